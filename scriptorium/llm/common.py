@@ -62,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written down and counted: for broadcast if it is small, as it is otherwise."""
+    out = cut(df)
+    n = out.count()
+    return (F.broadcast(out) if n <= BROADCAST_ROWS else out), n
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table written by :func:`cut` once nothing reads it any more."""
     path = getattr(df, "_scratch_path", None)

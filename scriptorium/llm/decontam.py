@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, text_or_empty
+from .common import BROADCAST_ROWS, sized, text_or_empty
 
 WINDOW = 8
 #: Items of fewer words never match; those shorter than a window match as a whole.
@@ -202,5 +202,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no item of ``benchmark``."""
-    bad = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
+    bad, _ = sized(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col("__bad_hash")), "left_anti")

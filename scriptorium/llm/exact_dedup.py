@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import cut, sized, text_or_empty
 
 #: Bytes of edge labels a map-side task holds before it spills subtrees.
 TRIE_BYTES = 48 << 20
@@ -191,6 +191,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat the identifier that stays, one remains.
     """
-    groups = exact_groups(docs, id_col, text_col, keep).filter("kept")
-    single = groups.filter("group_size = 1").select(docs.columns)
-    return single.unionByName(groups.filter("group_size > 1").dropDuplicates(["text_sha256"]).select(docs.columns))
+    groups = cut(exact_groups(docs.select(id_col, text_col), id_col, text_col, keep).select(F.col(id_col).alias("__trie_id"), F.col("text_sha256").alias("__trie_sha"), "kept", "group_size").filter("group_size > 1"))
+    gone, _ = sized(groups.filter("not kept").select("__trie_id", "__trie_sha").distinct())
+    twice, repeats = sized(groups.filter("kept").groupBy("__trie_id", "__trie_sha").count().filter("count > 1").drop("count"))
+
+    def meets(df):
+        return df[id_col].eqNullSafe(F.col("__trie_id")) & (F.sha2(text_or_empty(df, text_col), 256) == F.col("__trie_sha"))
+
+    stay = docs.join(gone, meets(docs), "left_anti")
+    if not repeats:
+        return stay
+    once = stay.join(twice, meets(stay), "left_semi").withColumn("__trie_sha", F.sha2(text_or_empty(stay, text_col), 256)).dropDuplicates(["__trie_sha"]).drop("__trie_sha")
+    return stay.join(twice, meets(stay), "left_anti").unionByName(once)

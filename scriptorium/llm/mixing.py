@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 #: Hexadecimal digits of the shuffle key that name a bucket: 4096 per source.
 BUCKET_DIGITS = 3
@@ -91,7 +91,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights
     order.  Repeated rows are rows like any other.  An empty table, or one of
     empty texts, takes nothing.
     """
-    sized = docs.select(F.col(id_col), F.col("source"), word_count(F.col(text_col)).alias("size"))
+    # the texts are read once; what follows works on sizes
+    sized = cut(docs.select(F.col(id_col), F.col("source"), word_count(F.col(text_col)).alias("size")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = capped_targets(cycled_weights(sources, weights), share, epochs)
     return fair_schedule(sized, targets, id_col, seed, epochs).orderBy(F.col("finish").asc_nulls_last(), F.col(id_col))

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import contaminated
 from .exact_dedup import exact_groups
+from .html_extract import extract_text
+from .langid import language_id
 from .license_scan import scan_licenses
 from .mixing import mix
 from .oracles import oracles
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
+from .toxicity import toxicity
 from .url_filter import filter_urls
 
 
@@ -35,10 +38,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,7 +64,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_decontamination, op4_exact_dedup, op7_license_scan, op9_simhash, op10_source_mix)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_decontamination, op4_exact_dedup, op5_html_text, op6_toxicity, op7_license_scan, op8_language_id, op9_simhash, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, sized, text_or_empty
 from .components import connected_components
 
 #: Rows of a table that a task looks at together; a key's rows are never parted.
@@ -72,16 +72,16 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, lanes: int = 1) -> DataFrame:
-    """(id, f0..): one row for each row of ``docs``; a null text is empty, which gives zero."""
+    """(id, text_hash, f0..): one row for each row of ``docs``; a null text is empty, which gives zero."""
 
     def run(batches):
-        names = ["id", *[f"f{i}" for i in range(lanes)]]
+        names = ["id", "text_hash", *[f"f{i}" for i in range(lanes)]]
         for batch in batches:
-            prints = [fingerprint(t.as_py(), k, lanes) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([_signed(p[i]) for p in prints], pa.int64()) for i in range(lanes)]], names=names)
+            prints = [fingerprint(t.as_py(), k, lanes) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array([_signed(p[i]) for p in prints], pa.int64()) for i in range(lanes)]], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("text_hash"), text_or_empty(docs, text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
 def _walk(prints: np.ndarray, rows: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -193,7 +193,7 @@ def segment_links(classes: DataFrame, lanes: int, segments: int, segment_bits: i
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, lanes: int = 1, segments: int = 2, segment_bits: int = 32, max_distance: int = 2) -> DataFrame:
-    """(id, f0.., class_size, component_id) for each row of ``docs``.
+    """(id, text_hash, f0.., class_size, component_id) for each row of ``docs``.
 
     ``component_id`` is the smallest identifier reachable over links of at most
     ``max_distance`` differing bits.  Rows with a null identifier take part and
@@ -210,15 +210,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = classes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_r")
     member = cut(rooted.join(first, F.col("root") == F.col("_r")).select(*[F.col(c).alias(f"_{c}") for c in f], "class_size", "component_id"))
-    return prints.join(member, [F.col(c) == F.col(f"_{c}") for c in f], "left").select("id", *f, "class_size", "component_id")
+    return prints.join(member, [F.col(c) == F.col(f"_{c}") for c in f], "left").select("id", "text_hash", *f, "class_size", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """(id, component_id) by the similarity of k-word shingle sets.
+    """(id, text_hash, component_id) by the similarity of k-word shingle sets.
 
     A fingerprint of 256 bits estimates the angle between two shingle sets; a
     Jaccard similarity j is a cosine of 2j/(1+j).  Twelve segments of 20 bits
     find nine of ten pairs at 0.8 and nearly all from 0.9.
     """
     limit = round(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return simhash_components(docs, id_col, text_col, k=k, lanes=4, segments=12, segment_bits=20, max_distance=int(limit)).select("id", "component_id")
+    return simhash_components(docs, id_col, text_col, k=k, lanes=4, segments=12, segment_bits=20, max_distance=int(limit)).select("id", "text_hash", "component_id")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: those with the smallest identifier of their group.
+
+    A row without identifier stays.
+    """
+    groups = near_duplicates(docs, id_col, text_col, similarity, k)
+    gone, _ = sized(groups.filter("id <> component_id").select(F.col("id").alias("__near_id"), F.col("text_hash").alias("__near_hash")).distinct())
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("__near_id")) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col("__near_hash")), "left_anti")
