@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER
+from .common import BROADCAST_ROWS, LOWER, UPPER, cut
 
 K = 3
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -82,7 +82,8 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Exact spans are places where a phrase stands word for word; others are
     merged diagonals of a notice that cover at least ``min_cover`` of its grams.
     """
-    votes = gram_votes(docs, template_grams(docs.sparkSession, phrases, notices), id_col, text_col)
+    # few rows, read twice below; the texts are read once
+    votes = cut(gram_votes(docs, template_grams(docs.sparkSession, phrases, notices), id_col, text_col))
     exact = votes.filter("exact").filter(F.size("tposes") == F.col("grams"))
     exact = exact.select("id", "text_hash", "label", "exact", F.col("diagonal").cast("long").alias("first_word"), (F.col("diagonal") + F.col("grams") + K - 2).cast("long").alias("last_word"), F.lit(1.0).alias("cover"))
     near = votes.filter("not exact")
