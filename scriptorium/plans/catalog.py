@@ -1,11 +1,359 @@
-"""The registered queries over the supplied tables and their SQL oracles."""
+"""The registered queries over the supplied tables.
+
+``conversations`` are the archives: conv_id, turn, role and text.  Annotations,
+manual edges and damaged copies are derived from them by fixed rules, so that
+every check has something to find.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.html_text import page_title, visible_text
+from ..functions.tokens import terms_of, with_nfkc
+from ..model import messages_of
+from ..operators import briefs, evidence, graph, index, integrity, planning, projects, search
+from ..operators.canonical import canonical_sha256
+from ..operators.projection import inspect_events, ordered_concat, project_events, render_transcripts
+from ..sources.markdown import markdown_messages
+from ..sources.packages import pack_archives, read_packages
+from .oracles import ORACLES
+
+QUERY = "the and of"
+PHRASE = "the of"
+BUDGET = 2_000
+PROMPT = 3_000
+PREFIX = 100
+TIME = "2024-05-01T00:00:00.000Z"
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project_events(_messages(spark, sf_dir))
+
+
+def _index(events: DataFrame) -> DataFrame:
+    return index.postings(index.event_terms(events))
+
+
+def _titles(events: DataFrame) -> DataFrame:
+    return events.filter("sequence = 0").select("archive_id", tx.title_of(F.col("content")).alias("title"))
+
+
+def _archives(events: DataFrame) -> DataFrame:
+    """(archive_id, title, transcript, transcript_sha256, event_count)."""
+    made = render_transcripts(events, _titles(events)).join(_titles(events), "archive_id").join(events.groupBy("archive_id").agg(F.count("*").alias("event_count")), "archive_id")
+    return made.withColumn("transcript_sha256", tx.sha256(F.col("transcript")))
+
+
+def _annotations(events: DataFrame) -> DataFrame:
+    """Every third event is annotated; kinds go round, notes are the first 40 characters."""
+    kinds = F.array(*[F.lit(k) for k in ("decision", "important", "question", "pin")])
+    a = events.filter("sequence % 3 = 0")
+    return a.select("archive_id", (F.col("sequence") / 3).cast("int").alias("pos"), "event_id", F.element_at(kinds, (F.col("sequence") % 4 + 1).cast("int")).alias("kind"), F.left(tx.one_line(F.col("content")), F.lit(40)).alias("note"), F.lit(TIME).alias("created_at"))
+
+
+def _edges(events: DataFrame) -> DataFrame:
+    """What an assistant says answers the event before it; every fifth event also points back, which is not allowed."""
+    w = Window.partitionBy("archive_id").orderBy("sequence")
+    e = events.withColumn("before", F.lag("event_id").over(w)).filter("before is not null")
+    answers = e.filter("role = 'assistant'").select("archive_id", F.col("before").alias("from_id"), F.col("event_id").alias("to_id"), F.lit("answers").alias("kind"))
+    back = e.filter("sequence % 5 = 0").select("archive_id", F.col("event_id").alias("from_id"), F.col("before").alias("to_id"), F.lit("clarifies").alias("kind"))
+    return answers.unionByName(back)
+
+
+def _hits(events: DataFrame) -> DataFrame:
+    return search.search_terms(events, _index(events), QUERY)
+
+
+def event_projection(spark, d):
+    return _events(spark, d)
+
+
+def inspect(spark, d):
+    return inspect_events(_events(spark, d))
+
+
+def scan_search(spark, d):
+    return search.search_scan(_events(spark, d), PHRASE)
+
+
+def token_stats(spark, d):
+    return index.term_totals(index.event_terms(_events(spark, d)))
+
+
+def event_token_counts(spark, d):
+    t = with_nfkc(_events(spark, d).select("archive_id", "event_id", "content"), "content", "n")
+    return t.select("archive_id", "event_id", F.size(terms_of(F.col("n"))).alias("terms"))
+
+
+def inverted_index(spark, d):
+    i = index.term_ranks(_index(_events(spark, d)))
+    return i.select("archive_id", "rank", "term", F.array_join("event_ids", " ").alias("event_ids"))
+
+
+def conjunctive_search(spark, d):
+    w = Window.partitionBy("archive_id").orderBy(F.col("score").desc(), "sequence")
+    hits = _hits(_events(spark, d))
+    return hits.withColumn("rank", F.row_number().over(w))
+
+
+def top_hits(spark, d):
+    return search.top_hits(_hits(_events(spark, d)), 2).select("archive_id", "event_id", "sequence", "rank")
+
+
+def evidence_window(spark, d):
+    events = _events(spark, d)
+    anchors = search.top_hits(_hits(events), 7)
+    return evidence.expand_window(anchors, events, 5)
+
+
+def handoff_chain(spark, d):
+    """Search, best hits, their neighbours, and a byte budget over what was found."""
+    events = _events(spark, d)
+    window = evidence.expand_window(search.top_hits(_hits(events), 7), events, 5)
+    chosen = events.join(window.select("archive_id", "event_id"), ["archive_id", "event_id"], "left_semi")
+    return evidence.head_budget(chosen, BUDGET).select("archive_id", "event_id", "sequence", "state", "allowed")
+
+
+def head_budget(spark, d):
+    return evidence.head_budget(_events(spark, d), BUDGET).select("archive_id", "event_id", "bytes", "before", "state", "allowed")
+
+
+def head_budget_bytes(spark, d):
+    return evidence.budget_bytes(evidence.head_budget(_events(spark, d), BUDGET, excerpts=True))
+
+
+def raw_tail(spark, d):
+    return evidence.raw_tail(_events(spark, d), BUDGET).select("archive_id", "event_id", "sequence", "part", "allowed")
+
+
+def raw_tail_excerpts(spark, d):
+    return evidence.raw_tail(_events(spark, d), BUDGET, excerpts=True).select("archive_id", "event_id", "excerpt")
+
+
+def recent_fallback(spark, d):
+    events = _events(spark, d)
+    eight = evidence.last_events(events, 3).select("archive_id", "event_id", F.lit("brief").alias("purpose"))
+    return eight.unionByName(evidence.last_events(events, 5).select("archive_id", "event_id", F.lit("prompt").alias("purpose")))
+
+
+def evidence_union(spark, d):
+    events = _events(spark, d)
+    explicit = evidence.last_events(events, 2).select("archive_id", "event_id", F.col("sequence").alias("pos"))
+    return evidence.evidence_union(explicit, _annotations(events), 3)
+
+
+def prompt_packing(spark, d):
+    p = evidence.pack_prompt(_events(spark, d), PROMPT, PREFIX)
+    return p.select("archive_id", "event_id", "rank", "block_chars", "cut", F.ceil(F.col("block_chars") / 4).alias("tokens"))
+
+
+def timeline_edges(spark, d):
+    return graph.timeline_edges(_events(spark, d)).select("archive_id", "from_id", "to_id", "kind")
+
+
+def manual_edges(spark, d):
+    events = _events(spark, d)
+    return graph.manual_edges(_edges(events), events).select("archive_id", "from_id", "to_id", "kind", "from_sequence", "to_sequence", "problem", "rank")
+
+
+def graph_build(spark, d):
+    events = _events(spark, d)
+    return graph.build_graph(events, _edges(events).filter("kind = 'answers'"))
+
+
+def graph_rebuild_diff(spark, d):
+    """A stored graph without the timeline edges from every fourth event and with a kind changed."""
+    events = _events(spark, d)
+    g = graph.build_graph(events, _edges(events).filter("kind = 'answers'"))
+    damaged = g.filter("not (kind = 'next' and rank % 4 = 3)")
+    return graph.graph_differences(damaged, events).select("archive_id", "part", "rank", "from_id", "to_id", "kind", "side")
+
+
+def role_counts(spark, d):
+    return graph.role_counts(_events(spark, d))
+
+
+def graph_inventory(spark, d):
+    events = _events(spark, d)
+    return graph.inventory(events, graph.build_graph(events, _edges(events).filter("kind = 'answers'")))
+
+
+def integrity_violations(spark, d):
+    """Events of which every seventh archive's second has another text and every eleventh's third another number."""
+    e = _events(spark, d)
+    e = e.withColumn("content", F.when((F.col("archive_id") % 7 == 0) & (F.col("sequence") == 1), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    e = e.withColumn("sequence", F.when((F.col("archive_id") % 11 == 0) & (F.col("sequence") == 2), F.lit(50)).otherwise(F.col("sequence")))
+    return integrity.event_violations(e)
+
+
+def annotation_orphans(spark, d):
+    """Annotations of which some are moved to another archive, made empty or given another kind."""
+    events = _events(spark, d)
+    a = _annotations(events)
+    a = a.withColumn("archive_id", F.when(F.col("archive_id") % 5 == 0, F.col("archive_id") + 1).otherwise(F.col("archive_id")))
+    a = a.withColumn("note", F.when(F.col("archive_id") % 13 == 2, "").otherwise(F.col("note"))).withColumn("kind", F.when(F.col("archive_id") % 17 == 3, "other").otherwise(F.col("kind")))
+    return integrity.annotation_violations(a, events, adding=True)
+
+
+def index_check(spark, d):
+    """A stored index without the terms of one letter, against one built anew."""
+    events = _events(spark, d)
+    return index.index_differences(_index(events).filter("char_length(term) > 1"), events)
+
+
+def posting_violations(spark, d):
+    """Postings with a stranger in every archive's term of rank 2, and rank 4 put in front."""
+    i = index.term_ranks(_index(_events(spark, d)))
+    bad = i.withColumn("event_ids", F.when(F.col("rank") == 2, F.array_append("event_ids", F.lit("evt_9999_000000000000"))).otherwise(F.col("event_ids")))
+    bad = bad.select("archive_id", F.when(F.col("rank") == 4, F.lit(0)).otherwise(F.col("rank")).alias("pos"), "term", "event_ids")
+    return integrity.index_violations(bad, _events(spark, d))
+
+
+def repeated_keys(spark, d):
+    return integrity.repeated(_events(spark, d), ["archive_id", "role"])
+
+
+def index_payload_hash(spark, d):
+    events = _events(spark, d)
+    return index.index_hashes(_index(events), _archives(events))
+
+
+def graph_payload_hash(spark, d):
+    events = _events(spark, d)
+    return graph.graph_hashes(graph.build_graph(events, _edges(events).filter("kind = 'answers'")), events, _archives(events))
+
+
+def recorder_caps(spark, d):
+    return integrity.recorder_caps(_messages(spark, d), 1_000, 5, 2_500).select("archive_id", "sequence", "bytes", "total_messages", "total_bytes", "accepted")
+
+
+def titles(spark, d):
+    return _titles(_events(spark, d)).withColumn("valid", tx.is_valid_title(F.col("title")))
+
+
+def transcript_render(spark, d):
+    events = _events(spark, d)
+    return render_transcripts(events, _titles(events))
+
+
+def fence_closing(spark, d):
+    """Content given a fence at its start and, in every other event, one at its end."""
+    e = _events(spark, d)
+    c = F.concat(F.lit("```py\n"), F.col("content"), F.when(F.col("sequence") % 2 == 0, "\n```").otherwise("\n~~~"))
+    return e.select("archive_id", "event_id", tx.close_fence(c).alias("content"))
+
+
+def viewer_escape(spark, d):
+    e = _events(spark, d).withColumn("content", F.concat(F.lit("<b>\"'&\u0001"), "content"))
+    return e.select("archive_id", "event_id", tx.safe_text(tx.preview(F.col("content"), 100)).alias("shown"), tx.safe_line(F.col("content")).alias("line"))
+
+
+def viewer_selection(spark, d):
+    events = _events(spark, d)
+    return briefs.map_selection(events, None, 3).select("archive_id", "event_id", "sequence", "rank", "joined")
+
+
+def map_edges(spark, d):
+    events = _events(spark, d)
+    g = graph.build_graph(events, _edges(events).filter("kind = 'answers'"))
+    return briefs.edges_within(graph.only_manual(g), briefs.map_selection(events, None, 3)).select("archive_id", "from_id", "to_id", "kind")
+
+
+def annotation_groups(spark, d):
+    events = _events(spark, d)
+    return briefs.annotation_groups(events.select("archive_id").distinct(), _annotations(events))
+
+
+def continuation_evidence(spark, d):
+    events = _events(spark, d)
+    packet = evidence.evidence_union(evidence.last_events(events, 1).select("archive_id", "event_id", F.lit(0).alias("pos")), _annotations(events))
+    chosen = events.join(packet, ["archive_id", "event_id"])
+    return evidence.head_budget(chosen, BUDGET, order="rank").select("archive_id", "event_id", "rank", "state", "allowed")
+
+
+def handoff_evaluation(spark, d):
+    """Bytes of the chosen evidence, and of the newest messages within the same bytes."""
+    events = _events(spark, d)
+    window = evidence.expand_window(search.top_hits(_hits(events), 7), events, 5)
+    chosen = events.join(window.select("archive_id", "event_id"), ["archive_id", "event_id"], "left_semi")
+    return planning.evaluation_summary(chosen, events, BUDGET)
+
+
+def project_search(spark, d):
+    """Hits in archives 0 to 9 of each project of ten, by title, then place."""
+    events = _events(spark, d)
+    members = events.select((F.col("archive_id") / 10).cast("long").alias("project_id"), "archive_id").distinct()
+    return projects.search_projects(members, _titles(events), search.search_scan(events, PHRASE)).select("project_id", "archive_id", "event_id", "sequence")
+
+
+def project_verify(spark, d):
+    """Members whose stored transcript hash is that of now; every ninth archive has changed."""
+    events = _events(spark, d)
+    a = _archives(events)
+    now = a.select("archive_id", "transcript_sha256")
+    stored = a.select((F.col("archive_id") / 10).cast("long").alias("project_id"), "archive_id", F.when(F.col("archive_id") % 9 == 0, F.reverse("transcript_sha256")).otherwise(F.col("transcript_sha256")).alias("transcript_sha256"))
+    return projects.verify_members(stored, now)
+
+
+def nfkc_tokens(spark, d):
+    e = _events(spark, d).withColumn("content", F.concat(F.lit("ﬁne Ａ２ ① "), "content"))
+    return index.term_totals(index.event_terms(e))
+
+
+def html_visible_text(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", visible_text("html").alias("text"))
+
+
+def page_titles(spark, d):
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    return p.select("page_id", page_title("html").alias("title"))
+
+
+def markdown_events(spark, d):
+    """Documents as Markdown transcripts, with a heading before and in the middle."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    t = docs.select(F.col("doc_id").alias("archive_id"), F.concat(F.lit("# A title\n\n## User\n\n"), "text", F.lit("\n\n## Assistant \n\n\nyes\n")).alias("transcript"))
+    return project_events(markdown_messages(t))
+
+
+def canonical_hash(spark, d):
+    e = _events(spark, d).select("archive_id", F.to_json(F.struct("role", "event_id", "content")).alias("raw"), "event_id")
+    return e.select("archive_id", "event_id", canonical_sha256("raw").alias("sha256"))
+
+
+def zip_roundtrip(spark, d):
+    events = _events(spark, d)
+    files = events.select("archive_id", F.concat(F.lit("events/"), "event_id", F.lit(".md")).alias("name"), F.encode("content", "UTF-8").alias("data"))
+    return read_packages(pack_archives(files)).select("archive_id", "name", F.sha2("data", 256).alias("sha256"))
+
+
+def canonical_order(spark, d):
+    """Events of each archive joined into one text, as every ordered text is made."""
+    return ordered_concat(_events(spark, d), ["archive_id"], "sequence", "event_id", "ids", " ")
+
+
+QUERIES = (
+    event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, top_hits, evidence_window, handoff_chain,
+    head_budget, head_budget_bytes, raw_tail, raw_tail_excerpts, recent_fallback, evidence_union, prompt_packing, timeline_edges, manual_edges, graph_build,
+    graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
+    graph_payload_hash, recorder_caps, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
+    handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
+)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -1,0 +1,128 @@
+"""DuckDB SQL for the registered queries that SQL can express."""
+
+from __future__ import annotations
+
+_CTES = {
+    "ev": r"""SELECT conv_id AS archive_id, 'evt_' || format('{:04d}', turn + 1) || '_' || left(sha256(turn::VARCHAR || chr(0) || role || chr(0) || text), 12) AS event_id,
+  turn::INTEGER AS sequence, role, text AS content, sha256(text) AS content_sha256 FROM conversations""",
+    "tok": r"""SELECT DISTINCT archive_id, event_id, sequence, term FROM (SELECT archive_id, event_id, sequence, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS term FROM ev) WHERE length(term) <= 128""",
+    "post": r"""SELECT archive_id, term, list(event_id ORDER BY sequence) AS ids FROM tok GROUP BY ALL""",
+    "hit": r"""SELECT archive_id, event_id, sequence, role, content FROM ev WHERE (archive_id, event_id) IN (SELECT (archive_id, event_id) FROM tok WHERE term IN ('the', 'and', 'of') GROUP BY archive_id, event_id HAVING count(DISTINCT term) = 3)""",
+    "top7": r"""SELECT archive_id, sequence, r FROM (SELECT archive_id, sequence, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) AS r FROM hit) WHERE r <= 7""",
+    "near": r"""SELECT archive_id, sequence, min(p) AS p FROM (SELECT archive_id, sequence + o.d AS sequence, r * 3 + o.k AS p FROM top7, (VALUES (0, 0), (-1, 1), (1, 2)) o(d, k)) GROUP BY ALL""",
+    "win": r"""SELECT archive_id, sequence, event_id FROM (SELECT e.archive_id, e.sequence, e.event_id, row_number() OVER (PARTITION BY e.archive_id ORDER BY p) AS n FROM near JOIN ev e USING (archive_id, sequence)) WHERE n <= 5""",
+    "chosen": r"""SELECT ev.* FROM ev SEMI JOIN win ON ev.archive_id = win.archive_id AND ev.event_id = win.event_id""",
+    "ann": r"""SELECT archive_id, (sequence // 3)::INTEGER AS pos, event_id, (['decision', 'important', 'question', 'pin'])[sequence % 4 + 1] AS kind, left(replace(replace(content, chr(13) || chr(10), ' '), chr(10), ' '), 40) AS note FROM ev WHERE sequence % 3 = 0""",
+    "prev": r"""SELECT *, lag(event_id) OVER (PARTITION BY archive_id ORDER BY sequence) AS before FROM ev""",
+    "edge": r"""SELECT archive_id, before AS from_id, event_id AS to_id, 'answers' AS kind FROM prev WHERE before IS NOT NULL AND role = 'assistant' UNION ALL SELECT archive_id, event_id, before, 'clarifies' FROM prev WHERE before IS NOT NULL AND sequence % 5 = 0""",
+    "man": r"""SELECT e.*, a.sequence AS from_sequence, b.sequence AS to_sequence FROM edge e LEFT JOIN ev a ON a.archive_id = e.archive_id AND a.event_id = e.from_id LEFT JOIN ev b ON b.archive_id = e.archive_id AND b.event_id = e.to_id""",
+    "nxt": r"""SELECT * FROM (SELECT archive_id, 0 AS part, sequence AS rank, event_id AS from_id, lead(event_id) OVER (PARTITION BY archive_id ORDER BY sequence) AS to_id, 'next' AS kind FROM ev) WHERE to_id IS NOT NULL""",
+    "graph": r"""SELECT archive_id, part, rank, from_id, to_id, kind FROM nxt UNION ALL SELECT archive_id, 1, row_number() OVER (PARTITION BY archive_id ORDER BY from_sequence, to_sequence, kind), from_id, to_id, kind FROM man WHERE kind = 'answers'""",
+    "line": r"""SELECT archive_id, trim(regexp_replace(unnest(string_split(content, chr(10))), '^#+\s*', '')) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM ev WHERE sequence = 0""",
+    "title": r"""SELECT archive_id, left(coalesce(arg_min(line, n) FILTER (line <> '' AND lower(line) NOT IN ('user', 'assistant', 'tool', 'system')), 'Untitled conversation'), 120) AS title FROM line GROUP BY archive_id""",
+    "script": r"""SELECT archive_id, '# ' || title || chr(10) || chr(10) || string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY sequence) AS transcript, count(*) AS event_count FROM ev JOIN title USING (archive_id) GROUP BY archive_id, title""",
+    "last3": r"""SELECT * FROM (SELECT ev.*, row_number() OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS back FROM ev) WHERE back <= 3""",
+    "union3": r"""SELECT archive_id, event_id, min(p) AS p FROM (SELECT archive_id, event_id, sequence AS p FROM last3 WHERE back <= 2 UNION ALL SELECT archive_id, event_id, pos + 1000000 FROM ann) GROUP BY ALL""",
+    "packet": r"""SELECT archive_id, event_id, row_number() OVER (PARTITION BY archive_id ORDER BY p) AS rank FROM (SELECT archive_id, event_id, min(p) AS p FROM (SELECT archive_id, event_id, 0 AS p FROM last3 WHERE back = 1 UNION ALL SELECT archive_id, event_id, pos + 1000000 FROM ann) GROUP BY ALL)""",
+}
+
+_BUDGET = r"""SELECT *, greatest(0, least(bytes, 2000 - before))::BIGINT AS allowed, CASE WHEN before >= 2000 THEN 'omitted' WHEN bytes <= 2000 - before THEN 'full' ELSE 'truncated' END AS state
+FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY archive_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT *, strlen(content)::BIGINT AS bytes FROM {source}))"""
+
+
+
+def _sql(names: str, body: str) -> str:
+    """``body`` with the common tables it names and those they need, in the order of the list above."""
+    wanted = set(names.split())
+    for name in reversed(list(_CTES)):
+        if name in wanted:
+            wanted |= {n for n in _CTES if n != name and f" {n} " in f" {_CTES[name].replace('(', ' ').replace(')', ' ').replace(',', ' ').replace(chr(10), ' ')} "}
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in _CTES.items() if n in wanted) + "\n" + body
+
+
+_SNIPPET = r"""CASE WHEN a > 0 THEN '…' ELSE '' END || replace(replace(substr(content, a + 1, b - a), chr(13) || chr(10), ' '), chr(10), ' ') || CASE WHEN b < length(content) THEN '…' ELSE '' END"""
+_ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+_DAMAGED = r"""d AS (SELECT archive_id, event_id, CASE WHEN archive_id % 11 = 0 AND sequence = 2 THEN 50 ELSE sequence END AS sequence, role, CASE WHEN archive_id % 7 = 0 AND sequence = 1 THEN content || '!' ELSE content END AS content, content_sha256 FROM ev),
+n AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) - 1 AS place FROM d)"""
+
+ORACLES: dict[str, str] = {
+    "event_projection": _sql("ev", "SELECT * FROM ev"),
+    "inspect": _sql("ev", "SELECT archive_id, event_id, sequence, role, content_sha256 FROM ev"),
+    "scan_search": _sql("ev", f"SELECT archive_id, event_id, sequence, role, {_SNIPPET} AS snippet FROM (SELECT *, greatest(0, i - 101) AS a, least(length(content), i - 1 + 6 + 180) AS b FROM (SELECT *, instr(lower(content), 'the of') AS i FROM ev) WHERE i > 0)"),
+    "token_stats": _sql("tok", "SELECT archive_id, count(*) AS occurrences, count(DISTINCT term) AS terms, true AS within_limits FROM tok GROUP BY archive_id"),
+    "event_token_counts": _sql("ev tok", "SELECT ev.archive_id, ev.event_id, count(term)::INTEGER AS terms FROM ev LEFT JOIN tok USING (archive_id, event_id) GROUP BY ALL"),
+    "inverted_index": _sql("post", "SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY term)::INTEGER AS rank, term, array_to_string(ids, ' ') AS event_ids FROM post"),
+    "conjunctive_search": _sql("hit", f"""SELECT archive_id, event_id, sequence, role, 3 AS score, {_SNIPPET} AS snippet, row_number() OVER (PARTITION BY archive_id ORDER BY sequence)::INTEGER AS rank
+FROM (SELECT *, greatest(0, p - 101) AS a, least(length(content), p - 1 + 180) AS b FROM (SELECT *, least(instr(lower(content), 'the'), instr(lower(content), 'and'), instr(lower(content), 'of')) AS p FROM hit))"""),
+    "top_hits": _sql("hit", "SELECT archive_id, event_id, sequence, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) AS rank FROM hit) WHERE rank <= 2"),
+    "evidence_window": _sql("win", "SELECT archive_id, sequence, event_id FROM win"),
+    "handoff_chain": _sql("chosen", f"SELECT archive_id, event_id, sequence, state, allowed FROM ({_BUDGET.format(order='sequence', source='chosen')})"),
+    "head_budget": _sql("ev", f"SELECT archive_id, event_id, bytes, before, state, allowed FROM ({_BUDGET.format(order='sequence', source='ev')})"),
+    "head_budget_bytes": _sql("ev", f"""SELECT archive_id, count(*) FILTER (state <> 'omitted') AS events, sum(CASE state WHEN 'full' THEN bytes WHEN 'truncated' THEN
+  coalesce(list_max(list_filter(list_transform(range(greatest(0, allowed // 4), allowed + 1), lambda i: strlen(left(content, i))), lambda b: b <= allowed)), 0) ELSE 0 END)::BIGINT AS bytes
+FROM ({_BUDGET.format(order='sequence', source='ev')}) GROUP BY archive_id"""),
+    "raw_tail": _sql("ev", """SELECT archive_id, event_id, sequence, CASE WHEN upto <= 2000 THEN 'full' ELSE 'tail' END AS part, least(bytes, 2000 - (upto - bytes))::BIGINT AS allowed
+FROM (SELECT *, strlen(content) AS bytes, sum(strlen(content)) OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS upto FROM ev) WHERE upto <= 2000 OR upto - bytes < 2000"""),
+    "raw_tail_excerpts": _sql("ev", """SELECT archive_id, event_id, CASE WHEN upto <= 2000 THEN content ELSE coalesce(right(content, list_max(list_filter(range(0, room + 1), lambda i: strlen(right(content, i)) <= room))), '') END AS excerpt
+FROM (SELECT *, (2000 - (upto - bytes))::BIGINT AS room FROM (SELECT *, strlen(content) AS bytes, sum(strlen(content)) OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS upto FROM ev) WHERE upto <= 2000 OR upto - bytes < 2000)"""),
+    "recent_fallback": _sql("ev", """SELECT archive_id, event_id, purpose FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS n FROM ev) JOIN (VALUES ('brief', 3), ('prompt', 5)) v(purpose, most) ON n <= most"""),
+    "evidence_union": _sql("union3", "SELECT archive_id, event_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY p) AS rank FROM union3) WHERE rank <= 3"),
+    "prompt_packing": _sql("ev", """SELECT archive_id, event_id, rank::INTEGER AS rank, chars AS block_chars, rank = 1 AND chars > 2900 AS cut, ceil(chars / 4)::BIGINT AS tokens
+FROM (SELECT *, sum(chars) OVER (PARTITION BY archive_id ORDER BY sequence) AS upto, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) AS rank FROM (SELECT *, (length(content) + 2 * length(event_id) + length(role) + 25)::BIGINT AS chars FROM ev)) WHERE upto <= 2900 OR rank = 1"""),
+    "timeline_edges": _sql("nxt", "SELECT archive_id, from_id, to_id, kind FROM nxt"),
+    "manual_edges": _sql("man", """SELECT archive_id, from_id, to_id, kind, from_sequence, to_sequence, CASE WHEN from_sequence >= to_sequence THEN 'not forward' END AS problem,
+row_number() OVER (PARTITION BY archive_id ORDER BY from_sequence, to_sequence, kind)::INTEGER AS rank FROM man"""),
+    "graph_build": _sql("graph", "SELECT archive_id, part::INTEGER AS part, rank::INTEGER AS rank, from_id, to_id, kind FROM graph"),
+    "graph_rebuild_diff": _sql("graph", "SELECT archive_id, part::INTEGER AS part, rank::INTEGER AS rank, from_id, to_id, kind, 'missing' AS side FROM graph WHERE kind = 'next' AND rank % 4 = 3"),
+    "role_counts": _sql("ev", "SELECT archive_id, role, n AS events, row_number() OVER (PARTITION BY archive_id ORDER BY f)::INTEGER AS rank FROM (SELECT archive_id, role, count(*) AS n, min(sequence) AS f FROM ev GROUP BY ALL)"),
+    "graph_inventory": _sql("ev graph", "SELECT archive_id, nodes, greatest(0, nodes - 1)::BIGINT AS timeline_edges, coalesce(m, 0)::BIGINT AS manual_edges FROM (SELECT archive_id, count(*) AS nodes FROM ev GROUP BY ALL) LEFT JOIN (SELECT archive_id, count(*) AS m FROM graph WHERE kind <> 'next' GROUP BY ALL) USING (archive_id)"),
+    "integrity_violations": _sql("ev", "").rstrip() + ",\n" + _DAMAGED + r"""
+SELECT archive_id, 'event id differs' AS rule, sequence::VARCHAR AS subject FROM n WHERE event_id <> 'evt_' || format('{:04d}', sequence + 1) || '_' || left(sha256(sequence::VARCHAR || chr(0) || role || chr(0) || content), 12)
+UNION ALL SELECT archive_id, 'content hash differs', sequence::VARCHAR FROM n WHERE content_sha256 <> sha256(content)
+UNION ALL SELECT archive_id, 'sequence broken', sequence::VARCHAR FROM n WHERE sequence <> place""",
+    "annotation_orphans": _sql("ev ann", "").rstrip() + r""",
+m AS (SELECT CASE WHEN archive_id % 5 = 0 THEN archive_id + 1 ELSE archive_id END AS archive_id, pos, event_id, kind, note FROM ann),
+c AS (SELECT archive_id, pos, event_id, CASE WHEN archive_id % 17 = 3 THEN 'other' ELSE kind END AS kind, CASE WHEN archive_id % 13 = 2 THEN '' ELSE note END AS note FROM m)
+SELECT archive_id, 'unknown event' AS rule, pos::VARCHAR AS subject FROM c WHERE NOT EXISTS (SELECT 1 FROM ev WHERE ev.archive_id = c.archive_id AND ev.event_id = c.event_id)
+UNION ALL SELECT archive_id, 'kind', pos::VARCHAR FROM c WHERE kind = 'other' UNION ALL SELECT archive_id, 'note', pos::VARCHAR FROM c WHERE length(note) = 0""",
+    "index_check": _sql("post", "SELECT archive_id, term, 'missing' AS side FROM post WHERE length(term) = 1"),
+    "posting_violations": _sql("post", "").rstrip() + r""",
+r AS (SELECT archive_id, term, row_number() OVER (PARTITION BY archive_id ORDER BY term) AS rank FROM post),
+o AS (SELECT *, lag(term) OVER (PARTITION BY archive_id ORDER BY CASE WHEN rank = 4 THEN 0 ELSE rank END) AS before FROM r)
+SELECT archive_id, 'term order' AS rule, term AS subject FROM o WHERE before >= term UNION ALL SELECT archive_id, 'unknown event', term FROM r WHERE rank = 2""",
+    "repeated_keys": _sql("ev", "SELECT archive_id, role, count(*) AS n FROM ev GROUP BY archive_id, role HAVING count(*) > 1"),
+    "index_payload_hash": _sql("post script", r"""SELECT archive_id, sha256('{"schema":"scriptorium-index/1","archiveId":"' || archive_id || '","transcriptSha256":"' || sha256(transcript) || '","eventCount":' || event_count || ',"terms":[' || terms || ']}') AS payload_sha256
+FROM script JOIN (SELECT archive_id, string_agg('["' || term || '",["' || array_to_string(ids, '","') || '"]]', ',' ORDER BY term) AS terms FROM post GROUP BY archive_id) USING (archive_id)"""),
+    "graph_payload_hash": _sql("ev graph script", r"""SELECT archive_id, sha256('{"schema":"scriptorium-graph/1","archiveId":"' || archive_id || '","transcriptSha256":"' || sha256(transcript) || '","nodes":[' || nodes || '],"edges":[' || coalesce(edges, '') || ']}') AS payload_sha256
+FROM script JOIN (SELECT archive_id, string_agg('{"id":"' || event_id || '","sequence":' || sequence || ',"role":"' || role || '","contentSha256":"' || content_sha256 || '"}', ',' ORDER BY sequence) AS nodes FROM ev GROUP BY archive_id) USING (archive_id)
+LEFT JOIN (SELECT archive_id, string_agg('{"from":"' || from_id || '","to":"' || to_id || '","kind":"' || kind || '"}', ',' ORDER BY part, rank) AS edges FROM graph GROUP BY archive_id) USING (archive_id)"""),
+    "recorder_caps": _sql("ev", """SELECT archive_id, sequence, bytes, total_messages, total_bytes, ok AND total_messages <= 5 AND total_bytes <= 2500 AS accepted
+FROM (SELECT *, count(*) FILTER (ok) OVER w AS total_messages, (sum(CASE WHEN ok THEN bytes ELSE 0 END) OVER w)::BIGINT AS total_bytes FROM (SELECT *, strlen(content)::BIGINT AS bytes, strlen(content) <= 1000 AS ok FROM ev) WINDOW w AS (PARTITION BY archive_id ORDER BY sequence))"""),
+    "titles": _sql("title", "SELECT archive_id, title, true AS valid FROM title"),
+    "transcript_render": _sql("script", "SELECT archive_id, transcript FROM script"),
+    "fence_closing": _sql("ev", "SELECT archive_id, event_id, '```py' || chr(10) || content || CASE WHEN sequence % 2 = 0 THEN chr(10) || '```' ELSE chr(10) || '~~~' || chr(10) || '```' END AS content FROM ev"),
+    "viewer_escape": _sql("ev", f"""SELECT archive_id, event_id, {_ESCAPE.format("replace(left(content, 100) || CASE WHEN length(content) > 100 THEN chr(10) || chr(10) || '[Shortened here. The archive holds the whole message.]' ELSE '' END, chr(1), '�')")} AS shown,
+trim(regexp_replace(regexp_replace(content, '[\\x00-\\x1F\\x7F]', '�', 'g'), '\\s+', ' ', 'g')) AS line FROM (SELECT archive_id, event_id, '<b>"' || chr(39) || '&' || chr(1) || content AS content FROM ev)""".replace("\\\\", "\\")),
+    "viewer_selection": _sql("last3", "SELECT archive_id, event_id, sequence, row_number() OVER (PARTITION BY archive_id ORDER BY sequence)::INTEGER AS rank, back > 1 AS joined FROM last3"),
+    "map_edges": _sql("graph last3", "SELECT archive_id, from_id, to_id, kind FROM graph WHERE kind <> 'next' AND (archive_id, from_id) IN (SELECT (archive_id, event_id) FROM last3) AND (archive_id, to_id) IN (SELECT (archive_id, event_id) FROM last3)"),
+    "annotation_groups": _sql("ev ann", r"""SELECT a.archive_id, k.kind, k.rank, count(pos) AS notes, coalesce(string_agg('- ' || trim(regexp_replace(note, '\s+', ' ', 'g')) || ' [' || event_id || ']', chr(10) ORDER BY pos), '- none') AS lines
+FROM (SELECT DISTINCT archive_id FROM ev) a CROSS JOIN (VALUES ('decision', 1), ('important', 2), ('question', 3), ('pin', 4)) k(kind, rank) LEFT JOIN ann ON ann.archive_id = a.archive_id AND ann.kind = k.kind GROUP BY ALL"""),
+    "continuation_evidence": _sql("ev packet", f"SELECT archive_id, event_id, rank::INTEGER AS rank, state, allowed FROM ({_BUDGET.format(order='rank', source='(SELECT ev.*, rank FROM ev JOIN packet USING (archive_id, event_id) WHERE rank <= 20)')})"),
+    "handoff_evaluation": _sql("ev chosen", f"""SELECT c.archive_id, c.chosen_events, c.chosen_bytes, coalesce(t.n, 0)::BIGINT AS tail_events, coalesce(t.bytes, 0)::BIGINT AS tail_bytes FROM
+(SELECT archive_id, count(*) AS chosen_events, sum(CASE state WHEN 'full' THEN bytes WHEN 'truncated' THEN coalesce(list_max(list_filter(list_transform(range(greatest(0, allowed // 4), allowed + 1), lambda i: strlen(left(content, i))), lambda b: b <= allowed)), 0) ELSE 0 END)::BIGINT AS chosen_bytes
+ FROM ({_BUDGET.format(order='sequence', source='chosen')}) GROUP BY archive_id) c
+LEFT JOIN (SELECT archive_id, count(*) AS n, sum(CASE WHEN upto <= room THEN bytes ELSE coalesce(list_max(list_filter(list_transform(range(0, rest + 1), lambda i: strlen(right(content, i))), lambda b: b <= rest)), 0) END)::BIGINT AS bytes FROM
+  (SELECT *, (room - (upto - bytes))::BIGINT AS rest FROM (SELECT ev.*, room, strlen(content) AS bytes, sum(strlen(content)) OVER (PARTITION BY ev.archive_id ORDER BY sequence DESC) AS upto FROM ev JOIN
+    (SELECT archive_id, sum(CASE state WHEN 'full' THEN bytes WHEN 'truncated' THEN coalesce(list_max(list_filter(list_transform(range(greatest(0, allowed // 4), allowed + 1), lambda i: strlen(left(content, i))), lambda b: b <= allowed)), 0) ELSE 0 END)::BIGINT AS room
+     FROM ({_BUDGET.format(order='sequence', source='chosen')}) GROUP BY archive_id) USING (archive_id)) WHERE upto <= room OR upto - bytes < room) GROUP BY archive_id) t ON t.archive_id = c.archive_id"""),
+    "project_search": _sql("ev title", "SELECT archive_id // 10 AS project_id, archive_id, event_id, sequence FROM ev WHERE contains(lower(content), 'the of')"),
+    "project_verify": _sql("script", """SELECT archive_id // 10 AS project_id, archive_id, NOT changed AS valid, CASE WHEN changed THEN 'changed' END AS reason FROM (SELECT archive_id, archive_id % 9 = 0 AND sha256(transcript) <> reverse(sha256(transcript)) AS changed FROM script)"""),
+    "nfkc_tokens": _sql("ev", r"""SELECT archive_id, count(*) AS occurrences, count(DISTINCT term) AS terms, true AS within_limits FROM (SELECT DISTINCT archive_id, event_id, term FROM (SELECT archive_id, event_id, unnest(regexp_extract_all(lower('fine A2 1 ' || content), '[\p{L}\p{N}_]+')) AS term FROM ev)) GROUP BY archive_id"""),
+    "canonical_hash": _sql("ev", r"""SELECT archive_id, event_id, sha256('{"content":' || to_json(content)::VARCHAR || ',"event_id":"' || event_id || '","role":"' || role || '"}') AS sha256 FROM ev"""),
+    "canonical_order": _sql("ev", "SELECT archive_id, string_agg(event_id, ' ' ORDER BY sequence) AS ids FROM ev GROUP BY archive_id"),
+    "zip_roundtrip": _sql("ev", "SELECT archive_id, 'events/' || event_id || '.md' AS name, content_sha256 AS sha256 FROM ev"),
+    "markdown_events": r"""WITH d AS (SELECT doc_id AS archive_id, 0 AS sequence, 'user' AS role, ltrim(text, chr(10)) AS content FROM documents UNION ALL SELECT doc_id, 1, 'assistant', 'yes' || chr(10) FROM documents)
+SELECT archive_id, 'evt_' || format('{:04d}', sequence + 1) || '_' || left(sha256(sequence::VARCHAR || chr(0) || role || chr(0) || content), 12) AS event_id, sequence, role, content, sha256(content) AS content_sha256 FROM d""",
+    "page_titles": r"""SELECT page_id, left(CASE WHEN t = '' THEN 'Shared conversation' ELSE t END, 120) AS title FROM (SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[\n\r ]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS t FROM pages)""",
+}
