@@ -84,14 +84,17 @@ def read_stored(raw: bytes, allowed: tuple[str, ...] | None = None) -> list[tupl
     return [(n, d, c) for n, d, c, _ in local]
 
 
-def pack_archives(files: DataFrame) -> DataFrame:
+def pack_archives(files: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """(archive_id, content) from (archive_id, name, data): one package for each archive.
 
+    Entries named in ``order`` come first and in that order, others by name.
+
     An archive's files are bounded by the package limit and meet in one group.
     """
 
     def pack(key, table):
-        rows = sorted(zip(table.column("name").to_pylist(), table.column("data").to_pylist()))
+        rank = {name: i for i, name in enumerate(order)}
+        rows = sorted(zip(table.column("name").to_pylist(), table.column("data").to_pylist()), key=lambda r: (rank.get(r[0], len(rank)), r[0]))
         return pa.table({"archive_id": [key[0].as_py()], "content": pa.array([write_stored(rows)], pa.binary())})
 
     kind = files.schema["archive_id"].dataType.simpleString()
