@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.text import sha256, utf16_length
 from ..model import EVIDENCE_BYTES, MAX_EVIDENCE, InputError
 from .evidence import budget_bytes, event_block, evidence_union, head_budget, last_events, raw_tail
+from .integrity import EVENT_ID
 from .projection import ordered_concat
 from .search import search_scan
 
@@ -195,3 +196,31 @@ def plan_summaries(plans: DataFrame) -> DataFrame:
     return plans.drop("prompt", "instructions")
 
 
+
+
+def plan_violations(plans: DataFrame, max_input_chars: int, max_output_tokens: int) -> DataFrame:
+    """(archive_id, rule, subject) of plans whose sizes, identifiers or consent hash are not what their content gives."""
+    query = F.col("query")
+    fixed = F.concat(
+        F.lit('"provider":'), _quoted("provider"), F.lit(',"model":'), _quoted("model"), F.lit(',"task":'), _quoted("task"), F.lit(',"query":'), F.when(query.isNull(), F.lit("null")).otherwise(_quoted("query")),
+        F.lit(f',"maxInputChars":{max_input_chars},"maxOutputTokens":{max_output_tokens},"instructions":'), _quoted("instructions"), F.lit("}"),
+    )
+    head = F.concat(F.lit(f'{{"version":"{PLAN_SCHEMA}","archiveId":"'), F.col("archive_id").cast("string"), F.lit('","transcriptSha256":"'), "transcript_sha256", F.lit('",'), fixed)
+    chars = utf16_length(F.col("prompt")).cast("long")
+    rules = {
+        "provider": ~F.col("provider").isin(*PROVIDERS),
+        "task": ~F.col("task").isin(*TASKS),
+        "model": ~F.col("model").rlike(f"^{MODEL.pattern}$"),
+        "events": (F.size("events_included") == 0) | F.exists("events_included", lambda x: ~x.rlike(EVENT_ID)),
+        "input chars": F.col("input_chars") != chars,
+        "estimated tokens": F.col("estimated_tokens") != F.ceil(chars / 4),
+        "over the limit": chars > max_input_chars,
+        "consent": F.col("consent_id") != _consent(head, "prompt"),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in rules.items()]))
+    return plans.select("archive_id", F.explode(found).alias("rule"), F.col("consent_id").alias("subject"))
+
+
+def _quoted(column: str):
+    """A text as a JSON string, of texts that planning itself has checked or written: quotes and backslashes alone need escaping."""
+    return F.concat(F.lit('"'), F.replace(F.replace(F.col(column), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))

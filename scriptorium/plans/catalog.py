@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.html_text import page_title, visible_text
+from ..functions.html_text import page_title, parse_shared, visible_text
 from ..functions.tokens import terms_of, with_nfkc
 from ..model import messages_of
 from ..operators import briefs, evidence, graph, index, integrity, planning, projects, search
 from ..operators.canonical import canonical_sha256
 from ..operators.projection import inspect_events, ordered_concat, project_events, render_transcripts
+from ..sources import documents, envelopes
 from ..sources.markdown import markdown_messages
 from ..sources.packages import pack_archives, read_packages
 from .oracles import ORACLES
@@ -342,12 +343,81 @@ def canonical_order(spark, d):
     return ordered_concat(_events(spark, d), ["archive_id"], "sequence", "event_id", "ids", " ")
 
 
+def shared_page_roundtrip(spark, d):
+    """Conversations written as pages with authors' roles, and read back."""
+    m = _messages(spark, d).filter("role in ('user', 'assistant')")
+    part = F.concat(F.lit('<article data-message-author-role="'), "role", F.lit('"><div><p>'), tx.escape_html(F.col("content")), F.lit("</p></div></article>"))
+    pages = ordered_concat(m.withColumn("t", part), ["archive_id"], "sequence", "t", "html")
+    parsed = pages.select("archive_id", parse_shared("html").alias("p"))
+    return project_events(parsed.select("archive_id", F.posexplode("p.messages").alias("sequence", "m")).select("archive_id", "sequence", "m.role", "m.content"))
+
+
+def archive_roundtrip(spark, d):
+    """Archives written as JSON documents, checked as a whole and read back."""
+    events = _events(spark, d)
+    messages = events.groupBy("archive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    a = _archives(events).join(messages, "archive_id").select("*", F.lit(TIME).alias("created_at"), F.lit("conversations").alias("source_name"), F.col("transcript_sha256").alias("source_sha256"))
+    texts = documents.archive_documents(a, events)
+    bad = documents.archive_text_violations(texts).select("archive_id").distinct()
+    _, again = documents.parse_archives(texts.join(bad, "archive_id", "left_anti"))
+    return again.select("archive_id", "event_id", "sequence", "role", "content_sha256")
+
+
+def envelope_roundtrip(spark, d):
+    """Transcripts encrypted and decrypted."""
+    a = _archives(_events(spark, d)).select("archive_id", F.encode("transcript", "UTF-8").alias("content"))
+    return envelopes.decrypt(envelopes.encrypt(a, b"a phrase for this query"), b"a phrase for this query").select("archive_id", F.sha2("content", 256).alias("sha256"), "error")
+
+
+def continuation_packets(spark, d):
+    events = _events(spark, d)
+    return planning.continuation_packets(_archives(events).withColumn("confidence", F.lit("user_supplied")), events, _annotations(events), budget=BUDGET).select("archive_id", "event_ids")
+
+
+def handoffs(spark, d):
+    events = _events(spark, d)
+    return planning.handoffs(planning.continuation_packets(_archives(events).withColumn("confidence", F.lit("user_supplied")), events, _annotations(events)))
+
+
+def conversation_briefs(spark, d):
+    events = _events(spark, d)
+    g = graph.build_graph(events, _edges(events).filter("kind = 'answers'"))
+    return briefs.brief(_archives(events).withColumn("confidence", F.lit("user_supplied")), events, _annotations(events), g)
+
+
+def viewer_pages(spark, d):
+    events = _events(spark, d)
+    return briefs.viewer(_archives(events), events, _annotations(events))
+
+
+def map_pages(spark, d):
+    events = _events(spark, d)
+    g = graph.build_graph(events, _edges(events).filter("kind = 'answers'"))
+    return briefs.map_viewer(_archives(events), events, g)
+
+
+def prompt_plans(spark, d):
+    events = _events(spark, d)
+    p = planning.prompt_plans(_archives(events), events, "ollama", "a-model", "semantic", PHRASE, PROMPT, 512)
+    return planning.plan_summaries(p).select("archive_id", F.array_join("events_included", " ").alias("events"), "input_chars", "estimated_tokens", "over_limit")
+
+
+def plan_check(spark, d):
+    """Plans of which every seventh archive's prompt and every fifth's size have been changed."""
+    events = _events(spark, d)
+    p = planning.prompt_plans(_archives(events), events, "ollama", "a-model", "summary", None, PROMPT, 512)
+    p = p.filter("not over_limit").withColumn("prompt", F.when(F.col("archive_id") % 7 == 0, F.concat(F.expr("substring(prompt, 1, length(prompt) - 1)"), F.lit("\u0021\u0021"))).otherwise(F.col("prompt")))
+    p = p.withColumn("input_chars", F.when(F.col("archive_id") % 5 == 0, F.col("input_chars") + 1).otherwise(F.col("input_chars")))
+    return planning.plan_violations(p, PROMPT, 512).filter("rule in ('consent', 'input chars')").select("archive_id", "rule")
+
+
 QUERIES = (
     event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, top_hits, evidence_window, handoff_chain,
     head_budget, head_budget_bytes, raw_tail, raw_tail_excerpts, recent_fallback, evidence_union, prompt_packing, timeline_edges, manual_edges, graph_build,
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
     graph_payload_hash, recorder_caps, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
+    shared_page_roundtrip, archive_roundtrip, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
 )
 
 

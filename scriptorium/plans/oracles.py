@@ -125,4 +125,14 @@ LEFT JOIN (SELECT archive_id, count(*) AS n, sum(CASE WHEN upto <= room THEN byt
     "markdown_events": r"""WITH d AS (SELECT doc_id AS archive_id, 0 AS sequence, 'user' AS role, ltrim(text, chr(10)) AS content FROM documents UNION ALL SELECT doc_id, 1, 'assistant', 'yes' || chr(10) FROM documents)
 SELECT archive_id, 'evt_' || format('{:04d}', sequence + 1) || '_' || left(sha256(sequence::VARCHAR || chr(0) || role || chr(0) || content), 12) AS event_id, sequence, role, content, sha256(content) AS content_sha256 FROM d""",
     "page_titles": r"""SELECT page_id, left(CASE WHEN t = '' THEN 'Shared conversation' ELSE t END, 120) AS title FROM (SELECT page_id, trim(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1), '[\n\r ]+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')) AS t FROM pages)""",
+    "shared_page_roundtrip": r"""WITH m AS (SELECT conv_id AS archive_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS sequence, role, trim(regexp_replace(text, '[\n\r ]+', ' ', 'g')) AS content FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT archive_id, 'evt_' || format('{:04d}', sequence + 1) || '_' || left(sha256(sequence::VARCHAR || chr(0) || role || chr(0) || content), 12) AS event_id, sequence, role, content, sha256(content) AS content_sha256 FROM m""",
+    "archive_roundtrip": _sql("ev", "SELECT archive_id, event_id, sequence, role, content_sha256 FROM ev"),
+    "envelope_roundtrip": _sql("script", "SELECT archive_id, sha256(transcript) AS sha256, NULL::VARCHAR AS error FROM script"),
+    "continuation_packets": _sql("ev ann", "SELECT archive_id, string_agg(event_id, ' ' ORDER BY pos) AS event_ids FROM ann GROUP BY archive_id"),
+    "prompt_plans": _sql("ev script", r"""SELECT archive_id, events, chars AS input_chars, ceil(chars / 4)::BIGINT AS estimated_tokens, chars > 3000 AS over_limit FROM (
+SELECT archive_id, string_agg(event_id, ' ' ORDER BY sequence) AS events, (any_value(prefix) + 2 * (count(*) - 1) + sum(CASE WHEN cut THEN length(left(content, 3000 - prefix - 160)) + 35 + 2 * length(event_id) + length(role) + 25 ELSE chars END))::BIGINT AS chars FROM (
+SELECT *, rank = 1 AND chars > 3000 - prefix AS cut FROM (SELECT *, sum(chars) OVER (PARTITION BY archive_id ORDER BY sequence) AS upto, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) AS rank FROM (
+SELECT ev.*, length('[archive:' || archive_id || ' transcript_sha256:' || sha256(transcript) || ']') + 1 AS prefix, (length(content) + 2 * length(event_id) + length(role) + 25)::BIGINT AS chars
+FROM (SELECT *, contains(lower(content), 'the of') AS hit, bool_or(contains(lower(content), 'the of')) OVER (PARTITION BY archive_id) AS found FROM ev) ev JOIN script USING (archive_id) WHERE hit OR NOT found)) WHERE upto <= 3000 - prefix OR rank = 1) GROUP BY archive_id)"""),
 }

@@ -186,3 +186,40 @@ def archive_documents(archives: DataFrame, events: DataFrame, schema: str = "scr
         F.struct(F.lit("utf-8").alias("encoding"), F.octet_length(t).cast("long").alias("byteLength"), sha256(t).alias("sha256"), t.alias("content")).alias("transcript"), "events", normal.alias("normalizedSource"),
     )
     return j.select("archive_id", F.to_json(doc).alias("raw"))
+
+
+PROJECT_FIELDS = {
+    "": ["schema", "projectId", "name", "createdAt", "archives", "artifacts", "edges", "claims"],
+    "archives": ["id", "path", "title", "transcriptSha256", "archiveSha256"],
+    "artifacts": ["id", "kind", "path", "name", "sha256", "head"],
+    "edges": ["from", "to", "kind"],
+    "claims": ["id", "archiveId", "eventId", "kind", "note", "createdAt"],
+}
+
+
+def parse_projects(texts: DataFrame) -> dict[str, DataFrame]:
+    """Relations of project texts (archive_id, raw): projects, members, artifacts, edges, claims, and violations of their fields."""
+
+    def rows(name: str, fields: dict[str, str]) -> DataFrame:
+        kind = "array<struct<" + ",".join(f"`{f}`:string" for f in PROJECT_FIELDS[name]) + ">>"
+        r = texts.select(F.get_json_object("raw", "$.projectId").alias("project_id"), F.explode(F.from_json(F.get_json_object("raw", f"$.{name}"), kind)).alias("r"))
+        return r.select("project_id", *[F.col(f"r.{f}").alias(c) for f, c in fields.items()])
+
+    bad = [field_violations(texts, PROJECT_FIELDS[""])] + [_nested_fields(texts, f"$.{n}", f) for n, f in PROJECT_FIELDS.items() if n]
+    return {
+        "projects": texts.select(F.get_json_object("raw", "$.projectId").alias("project_id"), F.get_json_object("raw", "$.name").alias("name"), F.get_json_object("raw", "$.createdAt").alias("created_at")),
+        "members": rows("archives", {"id": "archive_id", "path": "path", "title": "title", "transcriptSha256": "transcript_sha256", "archiveSha256": "archive_sha256"}),
+        "artifacts": rows("artifacts", {"id": "artifact_id", "kind": "kind", "path": "path", "name": "name", "sha256": "sha256", "head": "head"}),
+        "edges": rows("edges", {"from": "from_id", "to": "to_id", "kind": "kind"}),
+        "claims": rows("claims", {"id": "claim_id", "archiveId": "archive_id", "eventId": "event_id", "kind": "kind", "note": "note", "createdAt": "created_at"}),
+        "violations": union_all(bad),
+    }
+
+
+def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """:func:`parse_projects` of files; fields that are not known are an error."""
+    texts = read_texts(spark, path)
+    require_none(file_violations(texts), "project file")
+    out = parse_projects(texts)
+    require_none(out["violations"], "project")
+    return out

@@ -204,6 +204,15 @@ def test_plans(spark):
             planning.check_options(*bad, None, 2_000, 100)
 
 
+def test_plan_violations(spark):
+    e = events_of(spark, talk("alpha \"q\" beta", "gamma"))
+    p = planning.prompt_plans(archives_of(spark, e), e, "ollama", "m1", "semantic", 'say "beta" \\', 1_000)
+    assert planning.plan_violations(p, 1_000, 1_024).count() == 0
+    changed = p.withColumn("prompt", F.concat("prompt", F.lit("!"))).withColumn("model", F.lit("-"))
+    assert {r.rule for r in planning.plan_violations(changed, 1_000, 1_024).collect()} >= {"model", "input chars", "consent"}
+    assert {r.rule for r in planning.plan_violations(p, 999, 1_024).collect()} == {"consent"}
+
+
 def test_brief_and_viewers(spark):
     e = events_of(spark, talk("<script>alert(1)</script>", "b"))
     a, b = ids(e)

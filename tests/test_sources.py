@@ -181,6 +181,14 @@ def test_registry(spark):
     assert rows.count() == 5 and sorted(r.rule for r in bad.collect()) == ["capabilities", "id", "id repeated", "unknown field"]
 
 
+def test_projects(spark):
+    doc = {"schema": "p", "projectId": "prj_1", "name": "N", "createdAt": "t", "archives": [{"id": "a", "path": "a.json", "title": "T", "transcriptSha256": "0", "archiveSha256": "1"}], "artifacts": [], "edges": [{"from": "a", "to": "b", "kind": "related"}], "claims": []}
+    got = documents.parse_projects(spark.createDataFrame([(1, json.dumps(doc))], "archive_id long, raw string"))
+    assert got["violations"].count() == 0 and got["members"].first().archive_id == "a" and got["edges"].first().to_id == "b" and got["claims"].count() == 0
+    doc["edges"][0]["weight"] = 1
+    assert [r.subject for r in documents.parse_projects(spark.createDataFrame([(1, json.dumps(doc))], "archive_id long, raw string"))["violations"].collect()] == ["weight"]
+
+
 def test_files_and_heads(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "f.txt").write_text("hi")
