@@ -1,7 +1,8 @@
 """A workspace: the engine's relations as tables below one path, and a method for each command.
 
-Tables are versioned folders: a change writes the next version and a reader
-takes the last whole one, so a failed write changes nothing.  Every method
+Tables are folders of numbered writes: additions hold new rows alone, changes
+hold the whole, and a reader takes the last whole one and the additions after
+it.  A write that failed is not seen.  Every method
 works on all archives of the workspace, or on those named by ``archive_id``.
 """
 
@@ -37,30 +38,32 @@ class Workspace:
 
     # tables
 
-    def _versions(self, name: str) -> list[int]:
+    def _versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, kind) of the whole writes of a table, ``all`` or ``add``."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
             return []
         found = [s.getPath() for s in fs.listStatus(path)]
-        return sorted(int(p.getName()[1:]) for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        done = [p.getName().split("-") for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted((int(n), kind) for n, kind in done)
 
     def table(self, name: str) -> DataFrame:
         versions = self._versions(name)
         if not versions:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/v{versions[-1]}")
+        start = max([i for i, (_, kind) in enumerate(versions) if kind == "all"], default=0)
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{name}/{n}-{kind}" for n, kind in versions[start:]])
 
-    def _write(self, name: str, df: DataFrame) -> None:
+    def _write(self, name: str, df: DataFrame, kind: str = "all") -> None:
         have = self.spark.createDataFrame([], SCHEMAS[name])
         columns = [F.col(c).cast(have.schema[c].dataType).alias(c) if c in df.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in have.columns]
-        df.select(columns).write.parquet(f"{self.root}/{name}/v{(self._versions(name) or [0])[-1] + 1}")
+        number = (self._versions(name) or [(0, "")])[-1][0] + 1
+        df.select(columns).write.parquet(f"{self.root}/{name}/{number}-{kind}")
 
     def _add(self, name: str, df: DataFrame, keys: list[str]) -> None:
-        old = self.table(name)
-        new = df.join(old.select(keys), keys, "left_anti") if keys else df
-        columns = [c for c in old.columns if c in new.columns]
-        self._write(name, old.unionByName(new.select(columns), allowMissingColumns=True))
+        """Adds the rows whose keys are new; what is there is not written again."""
+        self._write(name, df.join(self.table(name).select(keys), keys, "left_anti"), "add")
 
     def _of(self, name: str, archive_id: int | None) -> DataFrame:
         t = self.table(name)
