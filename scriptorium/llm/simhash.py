@@ -26,10 +26,12 @@ from .components import connected_components
 
 #: Rows of a table that a task looks at together; a key's rows are never parted.
 BLOCK_ROWS = 100_000
+#: Tables of the search by similarity.
+LANES, SEGMENTS, SEGMENT_BITS = 6, 19, 20
 #: A cell with more members than this is walked and not paired.
 DENSE_CELL = 64
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: str, k: int) -> np.ndarray:
@@ -61,8 +63,8 @@ def fingerprint(text: str, k: int = 3, lanes: int = 1) -> list[int]:
         return [0] * lanes
     out = [_majority(h)]
     for lane in range(1, lanes):
-        x = (h ^ (h >> np.uint64(29))) * _MIX[lane % 4]
-        x = (x ^ (x >> np.uint64(32))) * _MIX[0] + np.uint64(lane)
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F * (2 * lane + 1) % (1 << 64))
+        x = (x ^ (x >> np.uint64(32))) * _MIX
         out.append(_majority(x ^ (x >> np.uint64(31))))
     return out
 
@@ -84,39 +86,61 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, text_hash long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
-def _walk(prints: np.ndarray, rows: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows that are within ``limit`` of each other."""
+def _walk(prints: np.ndarray, rows: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """A spanning forest (row, row, distance) of the rows that are within ``limit`` of each other."""
     links, rest = [], rows
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            near = np.bitwise_count(prints[rest] ^ prints[x]).sum(1) <= limit
+            far = np.bitwise_count(prints[rest] ^ prints[x]).sum(1)
+            near = far <= limit
             if near.any():
                 found = rest[near]
-                links.extend((x, y) for y in found)
+                links.extend(zip([x] * len(found), found.tolist(), far[near].tolist()))
                 queue.extend(found)
                 rest = rest[~near]
     return links
 
 
-def block_links(key: np.ndarray, other: np.ndarray, prints: np.ndarray, half_bits: int, limit: int) -> list[tuple[int, int]]:
-    """Links between rows with equal ``key`` whose ``other`` halves differ in one bit at most.
+def _forest(links: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The links of a minimum spanning forest: nearest first, none that closes a circle."""
+    up: dict[int, int] = {}
 
-    Rows are sorted by (key, other).  Returns pairs of row numbers within
-    ``limit`` bits of each other: all of them for sparse cells, a spanning
-    forest around dense ones.
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for a, b, _ in sorted(links, key=lambda e: e[2]):
+        x, y = top(a), top(b)
+        if x != y:
+            up[y] = x
+            out.append((a, b))
+    return out
+
+
+def block_links(key: np.ndarray, other: np.ndarray, prints: np.ndarray, half_bits: int, limits: tuple[int, ...]) -> list[tuple[int, int]]:
+    """A minimum spanning forest of rows with equal ``key`` whose ``other`` halves differ in one bit at most.
+
+    Rows are sorted by (key, other) and linked within the last of ``limits``
+    bits.  The smaller limits matter for dense cells alone, which are walked
+    once for each, so that near rows are linked by near pairs there too.
     """
     _, group = np.unique(key, return_inverse=True)
     cell = (group.astype(np.int64) << half_bits) | other
     values, first, count = np.unique(cell, return_index=True, return_counts=True)
     dense = count > DENSE_CELL
-    links: list[tuple[int, int]] = []
+    links: list[tuple[int, int, int]] = []
     balls = [0, *[1 << i for i in range(half_bits)]]
     for c in np.flatnonzero(dense):
         at = np.searchsorted(values, values[c] ^ np.array(balls))
         at = np.unique(at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == values[c] ^ np.array(balls))])
-        links += _walk(prints, np.concatenate([np.arange(first[i], first[i] + count[i]) for i in at]), limit)
+        rows = np.concatenate([np.arange(first[i], first[i] + count[i]) for i in at])
+        for limit in limits:
+            links += _walk(prints, rows, limit)
     for mask in balls:
         there = values ^ mask
         at = np.minimum(np.searchsorted(values, there), len(values) - 1)
@@ -126,24 +150,23 @@ def block_links(key: np.ndarray, other: np.ndarray, prints: np.ndarray, half_bit
         size = count[mine] * count[theirs]
         for lo in range(0, len(mine), 50_000):
             m, t, s = mine[lo : lo + 50_000], theirs[lo : lo + 50_000], size[lo : lo + 50_000]
-            if not len(m):
-                continue
             offset = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
             a = np.repeat(first[m], s) + offset // np.repeat(count[t], s)
             b = np.repeat(first[t], s) + offset % np.repeat(count[t], s)
             if mask == 0:
                 a, b = a[a < b], b[a < b]
-            near = np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= limit
-            links.extend(zip(a[near].tolist(), b[near].tolist()))
-    return links
+            far = np.bitwise_count(prints[a] ^ prints[b]).sum(1)
+            near = far <= limits[-1]
+            links.extend(zip(a[near].tolist(), b[near].tolist(), far[near].tolist()))
+    return _forest(links)
 
 
-def segment_links(classes: DataFrame, lanes: int, segments: int, segment_bits: int, max_distance: int) -> DataFrame:
-    """(a, b): links between nodes of ``classes`` (node, f0..).
+def segment_links(classes: DataFrame, lanes: int, segments: int, segment_bits: int, limits: tuple[int, ...]) -> DataFrame:
+    """(a, b): links between nodes of ``classes`` (node, f0..), a spanning forest for each key of a table.
 
-    Exact where ``max_distance < 2 * segments`` and the segments cover all bits,
-    for then one segment differs in one bit at most; beyond that, a link is
-    found if any segment does.
+    No connection is lost where the last limit is below ``2 * segments`` and
+    the segments cover all bits, for then one segment differs in one bit at
+    most; beyond that, a link is found if any segment does.
     """
     half = segment_bits // 2
     low = (1 << half) - 1
@@ -169,7 +192,7 @@ def segment_links(classes: DataFrame, lanes: int, segments: int, segment_bits: i
 
         def links_of(table: pa.Table):
             prints = np.stack([table.column(f"f{i}").to_numpy() for i in range(lanes)], 1).view(np.uint64)
-            pairs = block_links(table.column("key").to_numpy(), table.column("other").to_numpy(), prints, half, max_distance)
+            pairs = block_links(table.column("key").to_numpy(), table.column("other").to_numpy(), prints, half, limits)
             if pairs:
                 node = table.column("node").to_numpy()
                 ab = node[np.array(pairs, dtype=np.int64)]
@@ -204,24 +227,80 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     f = [f"f{i}" for i in range(lanes)]
     prints = cut(fingerprints(docs, id_col, text_col, k, lanes))
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*f)
-    classes = cut(prints.groupBy(*f).agg(F.min("id").alias("first_id"), F.count("*").alias("class_size")).withColumn("node", node))
-    roots = connected_components(segment_links(classes, lanes, segments, segment_bits, max_distance))
+    classes = cut(_classes(prints, f))
+    links = segment_links(classes, lanes, segments, segment_bits, (max_distance,))
+    return _component_rows(prints, classes, links, f)
+
+
+def _classes(prints: DataFrame, f: list[str]) -> DataFrame:
+    """(f0.., first_id, first_hash, class_size, node): one row for each fingerprint."""
+    node = F.col("f0") if len(f) == 1 else F.xxhash64(*f)
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", "text_hash"))
+    c = prints.groupBy(*f).agg(first.alias("first"), F.count("*").alias("class_size"))
+    return c.select(*f, F.col("first.id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "class_size", node.alias("node"))
+
+
+def _component_rows(prints: DataFrame, classes: DataFrame, links: DataFrame, f: list[str]) -> DataFrame:
+    roots = connected_components(links)
     rooted = classes.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "node"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "_r")
     member = cut(rooted.join(first, F.col("root") == F.col("_r")).select(*[F.col(c).alias(f"_{c}") for c in f], "class_size", "component_id"))
     return prints.join(member, [F.col(c) == F.col(f"_{c}") for c in f], "left").select("id", "text_hash", *f, "class_size", "component_id")
 
 
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(node, shingles) of the documents that stand for the ``wanted`` classes (node, first_id, first_hash)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    text = text_or_empty(docs, text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first_id")) & (F.col("_hash") == F.col("first_hash"))).select("node", "text")
+    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose two shingle sets have at least that Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(id, text_hash, component_id) by the similarity of k-word shingle sets.
 
-    A fingerprint of 256 bits estimates the angle between two shingle sets; a
-    Jaccard similarity j is a cosine of 2j/(1+j).  Twelve segments of 20 bits
-    find nine of ten pairs at 0.8 and nearly all from 0.9.
+    A fingerprint of 384 bits estimates the angle between two shingle sets; a
+    Jaccard similarity j is a cosine of 2j/(1+j).  Nineteen segments of 20 bits
+    find candidates within a fifth more than that distance, about two
+    deviations of the estimate, and the shingle sets of linked documents decide
+    exactly.  A table's cell then holds a millionth of the corpus; for more
+    than about 10**8 different texts the segments should have more bits.
+    Documents of one fingerprint are taken as similar.  Rows are treated as by
+    :func:`simhash_components`.
     """
-    limit = round(256 * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return simhash_components(docs, id_col, text_col, k=k, lanes=4, segments=12, segment_bits=20, max_distance=int(limit)).select("id", "text_hash", "component_id")
+    f = [f"f{i}" for i in range(LANES)]
+    limit = round(64 * LANES * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    prints = cut(fingerprints(docs, id_col, text_col, k, LANES))
+    classes = cut(_classes(prints, f))
+    links = cut(segment_links(classes, LANES, SEGMENTS, SEGMENT_BITS, (int(limit), int(limit * 1.2))).distinct())
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    wanted, _ = sized(classes.join(ends, "node", "left_semi").select("node", "first_id", "first_hash"))
+    sets = cut(_shingle_sets(docs, wanted, id_col, text_col, k))
+    return _component_rows(prints, classes, similar_links(links, sets, similarity), f).select("id", "text_hash", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
