@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 LEVELS = 3
 NO_SEGMENT = ""
@@ -78,7 +78,8 @@ def path_templates(shapes: DataFrame, max_children: int = 16, min_share: float =
         variable = (F.col("_children") > max_children) & (F.col("n") < F.col("_total") * min_share)
         similar = (own >= min_labels) & (rest >= min_labels) & (F.col("_commonest") == F.col("_common")) & (z2 < z_max * z_max)
         b = b.select(*[F.col(c).alias(f"_{c}") for c in child], F.when((F.col(f"s{i}") != NO_SEGMENT) & (variable | similar), F.lit("*")).otherwise(F.col(f"s{i}")).alias(f"t{i}"))
-        t = t.join(b, [F.col(c) == F.col(f"_{c}") for c in child]).drop(*[f"_{c}" for c in child])
+        # each level reads the one before it twice: written down, the plan stays small
+        t = cut(t.join(b, [F.col(c) == F.col(f"_{c}") for c in child]).drop(*[f"_{c}" for c in child]))
     return t
 
 
@@ -88,7 +89,7 @@ def template_verdicts(shapes: DataFrame, threshold: float = 0.6, prior_weight: f
     t = [f"t{i}" for i in range(1, levels + 1)]
     over_hosts = shapes.groupBy(*s).agg(F.sum("block").alias("_b"), F.sum("allow").alias("_a"))
     over_hosts = over_hosts.select(*[F.col(c).alias(f"_{c}") for c in s], ((F.col("_b") + F.lit(prior_weight * 0.5)) / (F.col("_b") + F.col("_a") + prior_weight)).alias("_prior"))
-    tree_rows = path_templates(shapes, levels=levels, **tree).join(over_hosts, [F.col(c) == F.col(f"_{c}") for c in s]).drop(*[f"_{c}" for c in s])
+    tree_rows = cut(path_templates(shapes, levels=levels, **tree).join(over_hosts, [F.col(c) == F.col(f"_{c}") for c in s]).drop(*[f"_{c}" for c in s]))
     per_template = tree_rows.groupBy("host", *t).agg(F.sum("block").alias("_b"), F.sum("allow").alias("_a"), F.sum(F.round(F.col("_prior") * F.col("n"), 9).cast("decimal(38,9)")).cast("double").alias("_w"), F.sum("n").alias("_n"))
     per_template = per_template.select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in t], ((F.col("_b") + F.lit(prior_weight) * (F.col("_w") / F.col("_n"))) / (F.col("_b") + F.col("_a") + prior_weight)).alias("purity"))
     out = tree_rows.join(per_template, [F.col("host") == F.col("_host"), *[F.col(c) == F.col(f"_{c}") for c in t]])
@@ -110,7 +111,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     p = p.select(id_col, "host", "path", rule.alias("rule"), action.alias("_action"), *[c.alias(f"s{i + 1}") for i, c in enumerate(shape_columns(F.col("path"), levels))])
     s = [f"s{i}" for i in range(1, levels + 1)]
-    shapes = p.groupBy("host", *s).agg(F.count("*").alias("n"), F.count_if(F.col("_action") == "block").alias("block"), F.count_if(F.col("_action") == "allow").alias("allow"))
+    shapes = cut(p.groupBy("host", *s).agg(F.count("*").alias("n"), F.count_if(F.col("_action") == "block").alias("block"), F.count_if(F.col("_action") == "allow").alias("allow")))
     verdicts = template_verdicts(shapes, threshold, levels=levels, **tree)
     verdicts = verdicts.select(F.col("host").alias("_host"), *[F.col(c).alias(f"_{c}") for c in s], "template", "verdict")
     ruled = p.filter(F.col("rule").isNotNull()).select(id_col, "host", "path", "rule", F.lit(None).cast("string").alias("template"), F.col("_action").alias("verdict"))
