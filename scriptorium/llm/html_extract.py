@@ -199,9 +199,9 @@ def nearest_paths(pages: DataFrame) -> DataFrame:
     before, after = F.coalesce("before", "_before"), F.coalesce("after", "_after")
 
     def common(x):
-        # a longer common prefix sorts nearer, so compare the prefixes' lengths
-        n = F.least(F.length("path"), F.length(x))
-        return F.coalesce(F.size(F.filter(F.sequence(F.lit(0), n), lambda i: F.substr(F.col("path"), F.lit(1), i) == F.substr(x, F.lit(1), i))), F.lit(-1))
+        """Length of the common prefix: the place of the first character that differs."""
+        same = F.zip_with(F.split("path", ""), F.split(x, ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        return F.array_position(same, False)
 
     near = F.when(before.isNull(), after).when(after.isNull(), before).when(common(after) > common(before), after).otherwise(before)
     return p.select("host", "path", near.alias("near_path")).filter("near_path is not null")

@@ -151,8 +151,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc_id, held_out, score, predicted), one row for each row of ``docs``.
 
     A null text is empty; empty texts get the intercept's score.  Without
-    labels every score is 0.5.  A null identifier is never held out nor
-    learned from.  Repeated rows get the same score.  Empty table, empty result.
+    labels every score is 0.5.  A null identifier counts as the empty text
+    (held out with the remainder 0) and is never learned from.  Repeated rows
+    get the same score.  Empty table, empty result.
     """
     weights = train(docs, labels, id_col, text_col, label_col, modulus, remainder, sample_rows)
     out = score_toxicity(docs, weights, id_col, text_col)
