@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names (capitalised words inside a
-sentence) and units after a number turn into typed placeholders, all else is
+sentence, but not words all in capitals) and units after a number turn into typed placeholders, all else is
 lower-cased.  Windows of template tokens are hash-joined with those of the
 benchmark, hits are gathered by item and offset, and the values that fill the
 placeholders are checked: along one offset each value of the item must stand
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, sized, text_or_empty
+from .common import BROADCAST_ROWS, cut, sized, text_or_empty
 
 WINDOW = 8
 #: Items of fewer words never match; those shorter than a window match as a whole.
@@ -65,7 +65,7 @@ class Canonicaliser:
                 self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
             low = word.lower()
             self.hash[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-            self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() else _UNIT if low in UNITS else 0
+            self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() and not word.isupper() else _UNIT if low in UNITS else 0
         return i
 
     def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Items of fewer than ``MIN_ITEM_WORDS`` words match nothing.  If either table
     is empty, so is the result.  Only the named columns are read.
     """
-    items = item_windows(benchmark, item_id_col, item_text_col, window).persist()
+    items = cut(item_windows(benchmark, item_id_col, item_text_col, window))
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())
     n_hashes = items.select("h").distinct().count()
     blocks = max(1, math.ceil(n_hashes / block_windows))

@@ -14,11 +14,11 @@ def run(spark, docs, items=((7, ITEM),), **options):
 
 
 def test_verbatim_variant_and_clean(spark):
-    docs = [(1, "Words before. " + ITEM + " Words after."), (2, "So. " + VARIANT), (3, "A train leaves and another one meets it at noon on the long way home."), (4, None), (5, ""), (None, ITEM), (1, "Words before. " + ITEM + " Words after.")]
+    docs = [(1, "Words before. " + ITEM + " Words after."), (2, "So. " + VARIANT), (3, "A train leaves and another one meets it at noon on the long way home."), (4, None), (5, ""), (None, ITEM), (6, "no names here at all " + ITEM.replace("Boston", "x").replace("Denver", "y").upper()), (1, "Words before. " + ITEM + " Words after.")]
     got, d, b = run(spark, docs)
-    assert {(r[0], r[2], r[3]) for r in got} == {(1, 7, "verbatim"), (2, 7, "reparameterised"), (None, 7, "verbatim")}
+    assert {(r[0], r[2], r[3]) for r in got} - {(6, 7, "verbatim")} == {(1, 7, "verbatim"), (2, 7, "reparameterised"), (None, 7, "verbatim")}
     kept = decontaminate(d, b).collect()
-    assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "5"]
+    assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "5"] and any(r[0] == 6 for r in got)
 
 
 def test_inconsistent_slots_are_no_match(spark):
