@@ -11,10 +11,16 @@ other half only, and the lookups of a partition are binary searches in a
 sorted array.  Equal fingerprints are one row (a class) from the start.  A cell
 of many near fingerprints is walked breadth first, where what has been reached
 is not compared again, so a task gives a spanning forest and never all pairs.
+
+Near-duplicates by Jaccard similarity (:func:`near_duplicates`) do not use
+fingerprints: their candidates come from prefixes of the shingle sets.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +32,12 @@ from .components import connected_components
 
 #: Rows of a table that a task looks at together; a key's rows are never parted.
 BLOCK_ROWS = 100_000
-#: Tables of the search by similarity.
-LANES, SEGMENTS, SEGMENT_BITS = 6, 19, 20
+#: The same for tables that carry shingle sets.
+BLOCK_BYTES = 256 << 20
+#: Leading bits of a shingle's hash that name its counter in the search by similarity.
+COUNTER_BITS = 20
+#: Parities of a shingle set: two sets differ in as many shingles as parities at least.
+PARITIES = 4096
 #: A cell with more members than this is walked and not paired.
 DENSE_CELL = 64
 
@@ -248,6 +258,123 @@ def _component_rows(prints: DataFrame, classes: DataFrame, links: DataFrame, f:
     return prints.join(member, [F.col(c) == F.col(f"_{c}") for c in f], "left").select("id", "text_hash", *f, "class_size", "component_id")
 
 
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _parities(x: np.ndarray) -> bytes:
+    return np.packbits((np.bincount((x % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).astype(bool)).tobytes()
+
+
+def _differ_at_most(size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles sets of these sizes and that similarity are not both in."""
+    return (1 - similarity) / (1 + similarity) * (size + other) + 1e-6
+
+
+def _set_rows(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, text_hash, f0, size, bits) for each row of ``docs``, f0 a hash of its shingle set; and rows (part, counts).
+
+    ``bits`` are the parities of the set's members, dealt by their last bits.
+
+    The rows of parts are each task's number of sets by counter, packed, in 16 parts.
+    """
+
+    def run(batches):
+        counts = np.zeros(1 << COUNTER_BITS, np.uint32)
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(2)]
+            for lo in range(0, len(sets), 1000):
+                counts += np.bincount(_counter(np.concatenate(sets[lo : lo + 1000])), minlength=len(counts)).astype(np.uint32)
+            f0 = pa.array([_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64())
+            n, size = len(sets), pa.array([len(x) for x in sets], pa.int32())
+            bits = pa.array([_parities(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f0, size, bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+        if counts.any():
+            packed = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, 16)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())], names=names)
+
+    names = ["id", "text_hash", "f0", "size", "bits", "part", "counts"]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("text_hash"), text_or_empty(docs, text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, f0 long, size int, bits binary, part int, counts binary")
+
+
+def _levels(counted: DataFrame) -> np.ndarray:
+    """How common a counter's shingles are, in steps of an eighth of a doubling."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                c = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
+                total[part] = total.get(part, 0) + c.astype(np.int64)
+        if total:
+            level = [np.minimum(np.round(8 * np.log2(1 + c)), 255).astype(np.uint8).tobytes() for c in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], names=["part", "level"])
+
+    out = np.zeros((16, (1 << COUNTER_BITS) // 16), np.uint8)
+    # sixteen rows of 64 KB, whatever the size of the input
+    for r in counted.repartition("part").mapInArrow(run, "part int, level binary").collect():
+        out[r.part] = np.frombuffer(r.level, np.uint8)
+    return out.reshape(-1)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Sets of that similarity share one of so many first members of a set of n, in any order common to all sets."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _prefix_cells(docs: DataFrame, levels: np.ndarray, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
+    """(shingle, node, hub, members): the sets with a shingle in their prefix, where they are two at least.
+
+    ``hub`` is the smallest node of the shingle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def prefixes(batches):
+        level = shared.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                nodes, parts = [], []
+                for t in batch.column(0).slice(lo, 1000):
+                    x = np.unique(shingle_hashes(t.as_py(), k))
+                    nodes.append(_signed(xxhash.xxh3_64_intdigest(x.tobytes())))
+                    parts.append(x[np.argsort(level[_counter(x)], kind="stable")[: prefix_length(len(x), similarity)]])
+                shingles = np.concatenate(parts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, parts))))], names=["shingle", "node"])
+
+    def cells(batches):
+        for table in _whole_keys(batches, "shingle"):
+            shingle, node = table.column("shingle").to_numpy(), table.column("node").to_numpy()
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (node[1:] != node[:-1])])
+            shingle, node = shingle[new], node[new]
+            _, first, group, count = np.unique(shingle, return_index=True, return_inverse=True, return_counts=True)
+            hub, members = node[first][group], count[group]
+            several = members > 1
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in (shingle, node, hub, members.astype(np.int64))], names=["shingle", "node", "hub", "members"])
+
+    rows = docs.select(text_or_empty(docs, text_col).alias("text")).mapInArrow(prefixes, "shingle long, node long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(cells, "shingle long, node long, hub long, members long")
+
+
+def _whole_keys(batches, key: str):
+    """Tables of about BLOCK_ROWS rows of batches sorted by ``key``, whose rows are never parted."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= BLOCK_ROWS or sum(b.nbytes for b in held) >= BLOCK_BYTES:
+            table = pa.Table.from_batches(held)
+            keys = table.column(key).to_numpy()
+            whole = int(np.searchsorted(keys, keys[-1]))
+            if whole:
+                yield table.slice(0, whole)
+            held = table.slice(whole).to_batches()
+            rows -= whole
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """(node, shingles) of the documents that stand for the ``wanted`` classes (node, first_id, first_hash)."""
 
@@ -280,27 +407,129 @@ def similar_links(links: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def cell_links(labels: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (row, row) that join all rows of similar sets, beyond what equal ``labels`` join already.
+
+    Every row is compared with all later rows that nothing joins to it yet.
+    """
+    label = np.unique(labels, return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    members, ends = np.concatenate(sets), np.cumsum(sizes)
+    out = []
+    for i in range(len(sets) - 1):
+        far = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9))
+        for lo in range(0, len(far), 1000):
+            some = far[lo : lo + 1000]
+            theirs = np.concatenate([members[ends[j] - sizes[j] : ends[j]] for j in some])
+            at = np.minimum(np.searchsorted(sets[i], theirs), sizes[i] - 1)
+            both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
+            for j in some[both >= similarity * (sizes[i] + sizes[some] - both)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+    return out
+
+
+def _possible_links(links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The links that the parities of ``known`` (node, size, bits) do not rule out."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, n = (batch.column(i).to_numpy() for i in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for i in (3, 5))
+            keep = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= _differ_at_most(m, n, similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    left = known.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("bits").alias("x"))
+    right = known.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("bits").alias("y"))
+    sizes = links.join(left, "a").join(right, "b").filter(F.least("m", "n") >= F.greatest("m", "n") * F.lit(similarity) - F.lit(1e-9))
+    return sizes.select("a", "b", "m", "x", "n", "y").mapInArrow(run, "a long, b long")
+
+
+def _open_cells(cells: DataFrame, links: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(cell, node, label): the sets of ``cells`` that may be similar to one which ``links`` do not join to them.
+
+    Cells of the same such sets are one.
+    """
+    roots = connected_components(links).withColumnRenamed("node", "_n")
+    labelled = cut(cells.filter("members > 2").join(roots, F.col("node") == F.col("_n"), "left").select("shingle", "node", F.coalesce("root", "node").alias("label")))
+    parted = labelled.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle")
+    rows = labelled.join(parted, "shingle", "left_semi").join(known, "node").select("shingle", "node", "label", "size", "bits")
+
+    def run(batches):
+        for table in _whole_keys(batches, "shingle"):
+            node, label, size = (table.column(c).to_numpy() for c in ("node", "label", "size"))
+            bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, PARITIES // 64)
+            _, first, count = np.unique(table.column("shingle").to_numpy(), return_index=True, return_counts=True)
+            for lo, n in zip(first.tolist(), count.tolist()):
+                near = np.zeros(n, bool)
+                for i in range(n - 1):
+                    m, other = size[lo + i], size[lo + i + 1 : lo + n]
+                    far = i + 1 + np.flatnonzero((label[lo + i + 1 : lo + n] != label[lo + i]) & (np.minimum(m, other) >= similarity * np.maximum(m, other) - 1e-9))
+                    for at in range(0, len(far), 10_000):
+                        some = far[at : at + 10_000]
+                        ok = some[np.bitwise_count(bits[lo + some] ^ bits[lo + i]).sum(1, dtype=np.int64) <= _differ_at_most(m, size[lo + some], similarity)]
+                        near[ok] = True
+                        near[i] |= len(ok) > 0
+                if near.any():
+                    some = lo + np.flatnonzero(near)
+                    cell = _signed(xxhash.xxh3_64_intdigest(node[some].tobytes()))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), cell)), pa.array(node[some]), pa.array(label[some])], names=["cell", "node", "label"])
+
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(run, "cell long, node long, label long").distinct()
+
+
+def _open_cell_links(cells: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the links within ``cells`` (cell, node, label), beyond what equal labels join already."""
+
+    def run(batches):
+        for table in _whole_keys(batches, "cell"):
+            node, label, held = table.column("node").to_numpy(), table.column("label").to_numpy(), table.column("shingles")
+            _, first, count = np.unique(table.column("cell").to_numpy(), return_index=True, return_counts=True)
+            for lo, n in zip(first.tolist(), count.tolist()):
+                members = [np.frombuffer(x.as_py(), np.uint64) for x in held.slice(lo, n)]
+                found = [(node[lo + i], node[lo + j]) for i, j in cell_links(label[lo : lo + n], members, similarity)]
+                if found:
+                    a, b = zip(*found)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    rows = cells.join(sets, "node").select("cell", "node", "label", "shingles")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(id, text_hash, component_id) by the similarity of k-word shingle sets.
 
-    A fingerprint of 384 bits estimates the angle between two shingle sets; a
-    Jaccard similarity j is a cosine of 2j/(1+j).  Nineteen segments of 20 bits
-    find candidates within a fifth more than that distance, about two
-    deviations of the estimate, and the shingle sets of linked documents decide
-    exactly.  A table's cell then holds a millionth of the corpus; for more
-    than about 10**8 different texts the segments should have more bits.
-    Documents of one fingerprint are taken as similar.  Rows are treated as by
-    :func:`simhash_components`.
+    Two sets of a Jaccard similarity share one of the first members of both,
+    in any order that is the same for all sets (prefix filtering), so no pair
+    is lost.  Rare shingles come first; how common they are is counted
+    roughly, which the result does not depend on.  Of the sets that share a
+    prefix shingle each is compared with the smallest first, and those that
+    this does not join are compared with each other, so a large group of near
+    copies never gives all its pairs.  Parities of the sets, which bound from
+    below how much they differ, spare most comparisons of the sets themselves.  Equal sets are one class.  Rows are
+    treated as by :func:`simhash_components`.
     """
-    f = [f"f{i}" for i in range(LANES)]
-    limit = round(64 * LANES * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    prints = cut(fingerprints(docs, id_col, text_col, k, LANES))
-    classes = cut(_classes(prints, f))
-    links = cut(segment_links(classes, LANES, SEGMENTS, SEGMENT_BITS, (int(limit), int(limit * 1.2))).distinct())
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    wanted, _ = sized(classes.join(ends, "node", "left_semi").select("node", "first_id", "first_hash"))
-    sets = cut(_shingle_sets(docs, wanted, id_col, text_col, k))
-    return _component_rows(prints, classes, similar_links(links, sets, similarity), f).select("id", "text_hash", "component_id")
+    rows = cut(_set_rows(docs, id_col, text_col, k))
+    levels = _levels(rows.filter("part is not null").select("part", "counts"))
+    prints = rows.filter("part is null").select("id", "text_hash", "f0")
+    classes = cut(_classes(prints, ["f0"]))
+    cells = cut(_prefix_cells(docs, levels, id_col, text_col, k, similarity))
+    known = rows.filter("part is null").select(F.col("f0").alias("node"), "size", "bits").join(cells.select("node").distinct(), "node", "left_semi")
+    known = cut(known.dropDuplicates(["node"]))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted, _ = sized(classes.join(nodes.distinct(), "node", "left_semi").select("node", "first_id", "first_hash"))
+        return cut(_shingle_sets(docs, wanted, id_col, text_col, k))
+
+    stars = cells.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    stars = cut(_possible_links(stars, known, similarity))
+    links = cut(similar_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("node"))), similarity))
+    rest = cut(_open_cells(cells, links, known, similarity))
+    links = links.unionByName(cut(_open_cell_links(rest, sets_of(rest.select("node")), similarity)))
+    return _component_rows(prints, classes, links, ["f0"]).select("id", "text_hash", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:

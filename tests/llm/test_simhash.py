@@ -93,3 +93,18 @@ def test_components(spark, links):
         for x in both:
             comp[x] = both
     assert got == {x: min(c) for x, c in comp.items() if x != min(c)}
+
+
+def groups(spark, rows):
+    return {r["id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_pairs_at_the_threshold(spark):
+    rows = []
+    for p in range(200):
+        words = [f"t{p}w{i}" for i in range(8)]
+        rows += [(4 * p, " ".join(words)), (4 * p + 1, " ".join([*words, "more"]))]  # 4 of 5
+        words = [f"u{p}w{i}" for i in range(84)]
+        rows += [(4 * p + 2, " ".join(words)), (4 * p + 3, " ".join([*words, *[f"v{p}w{i}" for i in range(20)]]))]  # 80 of 100
+    got = groups(spark, rows)
+    assert got == {d: d - d % 2 for d, _ in rows}
