@@ -108,3 +108,17 @@ def test_pairs_at_the_threshold(spark):
         rows += [(4 * p + 2, " ".join(words)), (4 * p + 3, " ".join([*words, *[f"v{p}w{i}" for i in range(20)]]))]  # 80 of 100
     got = groups(spark, rows)
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_repeats_in_a_text_do_not_part_equal_sets(spark):
+    line = " ".join(f"line{i}" for i in range(12))
+    pairs = [(" ".join(f"p{p}w{i}" for i in range(200)), p) for p in range(20)]
+    rows = []
+    for text, p in pairs:
+        # the turn from the line to itself is in both
+        rows += [(2 * p, f"{text} {line} {line}"), (2 * p + 1, f"{text} {' '.join([line] * 20)}")]
+    # the print of a text is that of a shingle which most of its shingles repeat, whatever else it holds
+    rows += [(100, "a " * 400 + " ".join(f"x{i}" for i in range(100))), (101, "a " * 400 + " ".join(f"y{i}" for i in range(100)))]
+    got = groups(spark, rows)
+    assert all(got[2 * p + 1] == 2 * p for _, p in pairs)
+    assert got[100] == 100 and got[101] == 101
