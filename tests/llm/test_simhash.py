@@ -122,3 +122,14 @@ def test_repeats_in_a_text_do_not_part_equal_sets(spark):
     got = groups(spark, rows)
     assert all(got[2 * p + 1] == 2 * p for _, p in pairs)
     assert got[100] == 100 and got[101] == 101
+
+
+def test_pairs_inside_a_family_just_below_the_threshold(spark):
+    base = " ".join(f"base{i}" for i in range(120))
+    rows = []
+    for p in range(60):
+        own, other = ([f"own{p}x{i}" for i in range(15)], [f"other{p}x{i}" for i in range(14)])
+        rows += [(2 * p, base + " " + " ".join(own)), (2 * p + 1, base + " " + " ".join([own[0], *other]))]
+    # two of one pair share 117 of 145 shingles (0.807), two of different pairs 116 of 146 (0.795)
+    got = groups(spark, rows)
+    assert got == {d: d - d % 2 for d, _ in rows}
