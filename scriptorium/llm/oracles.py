@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import NOTICES, PHRASES, K
+from .license_scan import K, template_rows
 from .url_filter import LEVELS, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,12 +51,7 @@ FROM q LEFT JOIN verdicts v USING (host, {', '.join(s)})"""
 
 
 def _license_scan(min_cover=0.7, gap=3) -> str:
-    rows, at = [], 0
-    for texts, exact in ((PHRASES, "true"), (NOTICES, "false")):
-        for text, label in texts:
-            w = text.split(" ")
-            rows += [f"({at}, {i}, '{' '.join(w[i : i + K])}', {len(w) - K + 1}, '{label}', {exact})" for i in range(len(w) - K + 1)]
-            at += 1
+    rows = [f"({t}, {i}, '{' '.join(gram)}', {grams}, '{label}', {str(exact).lower()})" for t, i, *gram, grams, label, exact in template_rows()]
     return rf"""WITH grams(template, tpos, gram, grams, label, exact) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT r, w, unnest(range(len(w) - {K - 1})) AS pos FROM d WHERE len(w) >= {K}),

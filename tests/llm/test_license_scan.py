@@ -1,6 +1,8 @@
 import re
 
-from scriptorium.llm.license_scan import NOTICES, PHRASES, scan_licenses
+import time
+
+from scriptorium.llm.license_scan import NOTICES, PHRASES, scan_licenses, template_words
 
 SCHEMA = "doc_id long, text string, labels string, words string"
 MIT = NOTICES[0][0]
@@ -20,7 +22,7 @@ def base(text):
 ROWS = [
     (1, "Released under the MIT License. Again: under-the mit LICENSE, cc by nc cc by nc"), (2, None), (3, ""), (4, "one two"), (5, "CC BY-NC 4.0"), (6, "Apache License, Version 2.0 é cc by nc"),
     (7, "under the mit under the mit license"), (None, "Released under the MIT License."), (1, "Released under the MIT License. Again: under-the mit LICENSE, cc by nc cc by nc"), (1, "another text, cc by nc"),
-    (8, "word " * 100_000 + "cc by nc"), (9, "\u0130 CC BY NC \ud7ff 🔐 cc by nc"),
+    (8, "word " * 100_000 + "cc by nc"), (9, "\u0130 CC BY NC \ud7ff 🔐 cc by nc"), (10, "\u212a cc by nc \u212aelvin UNDER THE MIT LICENSE\u00c9 under the mit license"), (11, "\x00cc\x00by\x7fnc\x80"),
 ]
 
 
@@ -33,7 +35,7 @@ def test_base_against_brute_force(spark):
 
 
 def test_edited_notice(spark):
-    words = MIT.split()
+    words = template_words(MIT)
     edited = words[:8] + ["inserted"] + words[8:]
     rows = [(1, "start " * 5 + " ".join(edited) + " end"), (2, " ".join(words[:6])), (3, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.doc_id: r for r in run(spark, rows)}
@@ -44,3 +46,11 @@ def test_edited_notice(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_work_is_linear_in_length(spark):
+    run(spark, [(1, "warm up")])
+    start = time.perf_counter()
+    (r,) = run(spark, [(1, "some words of prose " * 75_000 + "under the mit license")])
+    assert (r.n_words, r.n_base, r.first_word) == (300_004, 1, 300_000)
+    assert time.perf_counter() - start < 60
