@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import K, template_rows
+from .mixing import QUANTUM
 from .url_filter import LEVELS, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,15 +71,22 @@ FROM d LEFT JOIN base USING (r) LEFT JOIN sums USING (r)"""
 _EXACT_DEDUP = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
-_MIX = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, source_size * 2.0::DOUBLE AS cap FROM s),
-f AS (SELECT *, cap / weight AS fill, sum(source_size) OVER () * 1.5::DOUBLE AS budget FROM w),
-o AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS cap_before, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS weight_left FROM f WINDOW b AS (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-c AS (SELECT *, cap * weight_left <= (budget - cap_before) * weight AS capped FROM o),
-t AS (SELECT source, source_size, CASE WHEN capped THEN cap ELSE (budget - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () * weight END AS target FROM c),
-r AS (SELECT d.*, source_size, target, (sum(size) OVER (PARTITION BY d.source ORDER BY k, size, doc_id ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, floor(target)::BIGINT - before)) + greatest(0, least(size, floor(target)::BIGINT - before - source_size)))::BIGINT AS taken FROM r"""
+# Targets by rounds of sharing (each round fixes the sources that are over their cap), and one running sum over all packets.
+_MIX = r"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM d GROUP BY source),
+share AS (
+  SELECT 0 AS round, list({'source': source, 'n': n, 'weight': weight, 'target': NULL::DOUBLE} ORDER BY source NULLS LAST) AS all_, sum(n) * 1.5::DOUBLE AS budget FROM s
+  UNION ALL
+  SELECT round + 1, list_transform(all_, lambda x: {'source': x.source, 'n': x.n, 'weight': x.weight, 'target': CASE WHEN x.target IS NOT NULL THEN x.target
+      WHEN 2.0::DOUBLE * x.n * list_sum(list_transform(list_filter(all_, lambda y: y.target IS NULL), lambda y: y.weight)) <= x.weight * (budget - coalesce(list_sum(list_transform(all_, lambda y: y.target)), 0)) THEN 2.0::DOUBLE * x.n END}), budget
+  FROM share WHERE round <= (SELECT count(*) FROM s)),
+fixed AS (SELECT all_, budget - coalesce(list_sum(list_transform(all_, lambda y: y.target)), 0) AS free, list_sum(list_transform(list_filter(all_, lambda y: y.target IS NULL), lambda y: y.weight)) AS weights FROM share ORDER BY round DESC LIMIT 1),
+t AS (SELECT x.source AS source, x.n AS source_size, coalesce(x.target, free * x.weight / weights) AS target FROM (SELECT unnest(all_) AS x, free, weights FROM fixed)),
+r AS (SELECT row_number() OVER () AS r, d.*, source_size, target, (sum(size) OVER (PARTITION BY d.source ORDER BY k, size, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT r, source, target, least(QUANTUM, size - skip) AS words, before + epoch * source_size + least(skip + QUANTUM, size) AS finish_at FROM (SELECT *, unnest(range(0, size, QUANTUM)) AS skip FROM r) CROSS JOIN (VALUES (0), (1)) e(epoch)),
+o AS (SELECT r, words, sum(words) OVER (ORDER BY finish_at / target, source NULLS LAST, finish_at ROWS UNBOUNDED PRECEDING) - words AS before FROM p),
+got AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(sum(size) * 1.5::DOUBLE) FROM d) - before)))::BIGINT AS taken FROM o GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN got USING (r)""".replace("QUANTUM", str(QUANTUM))
 
 
 def oracles() -> dict[str, str]:
