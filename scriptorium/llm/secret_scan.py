@@ -4,7 +4,8 @@ The text is layer 0.  From each layer, URL escapes, Unicode escapes, base64
 runs and compressed bytes are unwrapped into further layers until nothing new
 appears.  A layer that equals one of its ancestors ends that branch (a cycle,
 as a self-reproducing archive makes), and a layer with the same content from
-the same place is visited once.  Every layer is scanned, and what it holds is
+the same place is visited once.  Compressed layers are unfolded as streams, so
+their length is not bounded and memory is that of a piece.  Every layer is scanned, and what it holds is
 mapped back to code points of the document.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import itertools
 import lzma
 import re
 import zlib
@@ -33,11 +35,20 @@ MIN_ASSIGNED = 12
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 in lines, as mail and key files have it.
+BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LINE_END = re.compile(r"[\r\n \t]+")
+#: Decoded bytes without any of these hold neither a match nor a further layer.
+PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|\x1f\x8b|BZh|\xfd7z|\x78[\x01\x5e\x9c\xda]|(?:\x00[ -~]){4}|(?:[ -~]\x00){4}")
 
-#: Bytes that one compressed layer may unfold to; a layer over it is counted in ``oversized``.
-MAX_LAYER_BYTES = 32 << 20
+#: Bytes of an unfolded layer that are looked at together.
+PIECE_BYTES = 8 << 20
+#: Bytes that two pieces have in common.  A match needs fewer: runs of spaces are one space there.
+OVERLAP_BYTES = 4096
+SPACES = re.compile(rb" {2,}")
+#: What a run of base64 or of escapes consists of: a piece never ends in one.
+RUN_BYTES = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b"+/_-=%\\\r\n"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,10 +69,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A decoded text with the document's span of each of its characters."""
 
-    __slots__ = ("text", "starts", "ends", "ancestors")
+    __slots__ = ("text", "starts", "ends", "ancestors", "kinds")
 
-    def __init__(self, text: str, starts, ends, ancestors: frozenset):
+    def __init__(self, text: str | None, starts, ends, ancestors: frozenset):
         self.text, self.starts, self.ends, self.ancestors = text, starts, ends, ancestors
+        self.kinds: set[int] = set()
 
 
 def _replaced(layer: Layer, matches: list, decode) -> tuple[str, np.ndarray, np.ndarray] | None:
@@ -109,44 +121,146 @@ def _unicode_pieces(m: re.Match) -> list[tuple[str, int, int]] | None:
     return [(chr(code), 0, m.end() - m.start())] if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes) -> tuple[bytes | None, bool]:
-    """(unfolded bytes or None, whether they exceed the bound)."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        else:
-            return None, False
-        out = d.decompress(data, MAX_LAYER_BYTES)
-        return out, len(out) >= MAX_LAYER_BYTES and not d.eof
-    except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
-        return None, False
+def _decompressor(head: bytes):
+    """A new decompressor for bytes that begin like a compressed stream."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
 
+def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What a compressed stream unfolds to, member after member, in chunks of a megabyte at most.
 
-def _readable(data: bytes) -> str | None:
-    """The text of bytes that look like text."""
+    Damaged and cut streams give what comes before the damage.
+    """
+    d, left = None, b""
+    for chunk in chunks:
+        left += chunk
+        while left:
+            if d is None and len(left) < 6:
+                break  # the next member's beginning may go on in the next chunk
+            if d is None and (d := _decompressor(left)) is None:
+                return
+            try:
+                if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                    out, left = d.decompress(left, 1 << 20), b""
+                    while out or not (d.needs_input or d.eof):
+                        yield out
+                        out = b"" if d.eof else d.decompress(b"", 1 << 20)
+                else:
+                    out = d.decompress(left, 1 << 20)
+                    left = d.unconsumed_tail
+                    yield out
+                    while not d.eof and len(out) == 1 << 20 and not left:  # what the decompressor still holds
+                        out = d.decompress(b"", 1 << 20)
+                        yield out
+            except (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError):
+                return
+            if d.eof:
+                left, d = d.unused_data or left, None
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The stream in overlapping pieces, none of which ends inside a run; a piece is as long as its longest run at least."""
+    held, size = [], 0
+    for chunk in chunks:
+        chunk = SPACES.sub(b" ", chunk)
+        held.append(chunk)
+        size += len(chunk)
+        if size >= PIECE_BYTES and len(chunk.rstrip(RUN_BYTES)):
+            whole = b"".join(held)
+            end = len(whole.rstrip(RUN_BYTES))
+            yield whole[:end]
+            held = [whole[max(0, end - OVERLAP_BYTES) :]]
+            size = len(held[0])
+    yield b"".join(held)
+
+
+def _texts_of(data: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, offset, step) of readings of bytes that may hold something: each character is ``step`` bytes, 0 for UTF-8.
+
+    Bytes that are no UTF-8 are read as Latin-1, and every other byte of what looks like UTF-16.
+    """
+    if not PROMISING.search(data):
+        return
     try:
-        text = data.decode("utf-8")
+        yield data.decode("utf-8"), 0, 0
     except UnicodeDecodeError:
-        return None
-    return None if CONTROL.search(text) else text
+        yield data.decode("latin-1"), 0, 1
+    if data.count(0) * 4 > len(data):
+        for i in (0, 1):
+            yield data[i::2].decode("latin-1"), i, 2
+
 
+def hidden_kinds(chunks: Iterator[bytes], ancestors: frozenset) -> tuple[set[int], int]:
+    """(kinds of secrets, number of layers) in a compressed stream and all that is nested in it.
 
-def _base64_bytes(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    The stream is unfolded piece by piece, however long it is.  A stream that
+    begins as one of its ancestors does ends the branch: an archive that
+    reproduces itself, in one step or in several.
+    """
+    stream = inflated(chunks)
+    head = b""
+    for chunk in stream:
+        head += chunk
+        if len(head) >= 1 << 16:
+            break
+    mark = hash(head)
+    if not head or mark in ancestors:
+        return set(), 0
+    whole = itertools.chain([head], stream)
+    if _decompressor(head) is not None:
+        kinds, layers = hidden_kinds(whole, ancestors | {mark})
+        if layers:
+            return kinds, layers + 1
+        whole = itertools.chain([head], stream)  # it only looked like one
+    kinds, layers = set(), 1
+    for piece in _pieces(whole):
+        for text, _, _ in _texts_of(piece):
+            kinds.update(k for _, k, _ in base_spans(text))
+            for layer in unwrapped_layers(text, ancestors | {mark}):
+                layers += 1
+                kinds.update(layer.kinds if layer.text is None else (k for _, k, _ in base_spans(layer.text)))
+    return kinds, layers
+
+
+def _base64_bytes(run: str, phase: int) -> bytes:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")[phase:]
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         return base64.b64decode(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
+        return b""
 
 
-def unwrapped_layers(text: str) -> Iterator[tuple[Layer | None, bool]]:
-    """(layer, False) for each decoded layer of ``text``, (None, True) for one over the bound."""
-    plain = Layer(text, None, None, frozenset([hash(text)]))
+def _stream_starts(data: bytes) -> list[int]:
+    """Where compressed streams may begin: a zlib header is too short to be looked for but at the start."""
+    starts = {m.start() for m in re.finditer(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00", data)}
+    return sorted(starts | ({0} if _decompressor(data) is not None else set()))
+
+
+def _runs(text: str) -> Iterator[tuple[str, int, int, np.ndarray | None]]:
+    """(run, start, end, places) of base64; places are the characters' in the text where line ends were taken out."""
+    for m in BASE64_RUN.finditer(text):
+        yield m.group(), m.start(), m.end(), None
+    if "\n" in text:
+        for m in BASE64_LINES.finditer(text):
+            run = LINE_END.sub("", m.group())
+            places = np.ones(m.end() - m.start(), bool)
+            for gap in LINE_END.finditer(m.group()):
+                places[gap.start() : gap.end()] = False
+            yield run, m.start(), m.end(), m.start() + np.flatnonzero(places)
+
+
+def unwrapped_layers(text: str, ancestors: frozenset = frozenset()) -> Iterator[Layer]:
+    """Each decoded layer of ``text``; one without a text stands for a compressed stream and has the kinds found in it."""
+    plain = Layer(text, None, None, ancestors | {hash(text)})
     work, seen = [plain], set()
 
     def ready(layer: Layer) -> Layer:
@@ -170,62 +284,69 @@ def unwrapped_layers(text: str) -> Iterator[tuple[Layer | None, bool]]:
                 continue
             matches = list(pattern.finditer(layer.text))
             if matches and (new := _replaced(ready(layer), matches, pieces)) and (child := push(*new, layer)):
-                yield child, False
-        for m in BASE64_RUN.finditer(layer.text):
-            data = _base64_bytes(m.group())
-            if not data:
-                continue
-            inflated, over = _inflate(data)
-            if over:
-                yield None, True
-            decoded = None
-            whole = inflated is not None
-            while inflated is not None and (again := _inflate(inflated))[0] is not None and again[0] != inflated:
-                inflated = again[0]  # compressed in compressed
-            decoded = _readable(inflated if whole else data)
-            if decoded is None:
-                continue
-            ready(layer)
-            a, b = m.start(), m.end()
-            if whole:
-                starts, ends = np.full(len(decoded), layer.starts[a]), np.full(len(decoded), layer.ends[b - 1])
-            else:
-                byte = np.arange(len(decoded)) if decoded.isascii() else np.cumsum([0] + [len(c.encode()) for c in decoded])[:-1]
-                last = byte if decoded.isascii() else byte + [len(c.encode()) - 1 for c in decoded]
-                starts = layer.starts[np.minimum(a + byte // 3 * 4 + byte % 3, b - 1)]
-                ends = layer.ends[np.minimum(a + last // 3 * 4 + last % 3 + 1, b - 1)]
-            if child := push(decoded, starts, ends, layer):
-                yield child, False
-
-
-def all_spans(text: str) -> tuple[list, list, int, int]:
-    """(base spans, all spans, number of decoded layers, number over the bound)."""
+                yield child
+        for run, a, b, places in _runs(layer.text):
+            for phase in range(4):
+                data = _base64_bytes(run, phase)
+                for start in _stream_starts(data):
+                    mark = hash(data[start:])
+                    if mark not in layer.ancestors and (mark, a, b) not in seen:
+                        seen.add((mark, a, b))
+                        kinds, n = hidden_kinds(iter([data[start:]]), layer.ancestors | {mark})
+                        if n:
+                            ready(layer)
+                            child = Layer(None, layer.starts[a : a + 1], layer.ends[b - 1 : b], layer.ancestors)
+                            child.kinds = kinds
+                            yield child
+                for decoded, offset, step in _texts_of(data):
+                    ready(layer)
+                    if step:
+                        byte = offset + step * np.arange(len(decoded))
+                        last = byte + step - 1
+                    elif decoded.isascii():
+                        byte = last = np.arange(len(decoded))
+                    else:
+                        last = np.cumsum([len(c.encode()) for c in decoded]) - 1
+                        byte = np.concatenate([[0], last[:-1] + 1])
+                    # the characters of the run that hold a byte's first and last bits
+                    first_char = np.minimum(phase + byte // 3 * 4 + byte % 3, len(run) - 1)
+                    last_char = np.minimum(phase + last // 3 * 4 + last % 3 + 1, len(run) - 1)
+                    if places is None:
+                        first_char, last_char = a + first_char, a + last_char
+                    else:
+                        first_char, last_char = places[first_char], places[last_char]
+                    if child := push(decoded, layer.starts[first_char], layer.ends[last_char], layer):
+                        yield child
+
+
+def all_spans(text: str) -> tuple[list, list, int]:
+    """(base spans, all spans, number of decoded layers)."""
     base = base_spans(text)
-    spans, layers, oversized = set(base), 0, 0
-    for layer, over in unwrapped_layers(text):
-        if over:
-            oversized += 1
-            continue
+    spans, layers = set(base), 0
+    for layer in unwrapped_layers(text):
         layers += 1
-        spans.update((int(layer.starts[s]), kind, int(layer.ends[e - 1])) for s, kind, e in base_spans(layer.text))
-    return base, sorted(spans), layers, oversized
+        if layer.text is None:
+            spans.update((int(layer.starts[0]), kind, int(layer.ends[0])) for kind in layer.kinds)
+        else:
+            spans.update((int(layer.starts[s]), kind, int(layer.ends[e - 1])) for s, kind, e in base_spans(layer.text))
+    return base, sorted(spans), layers
 
 
 def spans_text(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-_OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long, oversized long"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("layers", pa.int64()), ("oversized", pa.int64())])
+_OUT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, layers long"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("layers", pa.int64())])
 
 
 def _scan(batches):
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            base, spans, layers, oversized = all_spans(text.as_py() or "")
+            base, spans, layers = all_spans(text.as_py() or "")
             counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-            rows.append((doc_id, *counts, sha256(spans_text(base).encode()).hexdigest(), spans_text(spans), layers, oversized))
+            rows.append((doc_id, *counts, sha256(spans_text(base).encode()).hexdigest(), spans_text(spans), layers))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SCHEMA.types)], schema=_SCHEMA)
 
@@ -235,8 +356,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Offsets are code points, ends exclusive.  A null text is empty and an empty
     text has no spans.  Null identifiers and repeated rows are scanned like any
-    other.  ``oversized`` counts compressed layers that unfold to more than
-    ``MAX_LAYER_BYTES``, of which that much is scanned.  An empty table gives
-    an empty result.  Columns other than the two are not read.
+    other.  A secret in a compressed layer has the span of the run that holds the
+    layer.  An empty table gives an empty result.  Columns other than the two are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scan, _OUT)
