@@ -99,9 +99,9 @@ def test_what_comes_before_the_damage_is_scanned():
 def test_whole_layer_is_scanned():
     filler = b"word after word " * (5 * PIECE_BYTES // 16)
     for data in (gzip.compress(filler + SECRET.encode()), gzip.compress(gzip.compress(filler + SECRET.encode())), gzip.compress(b"x" * 34_000_000 + b" " + SECRET.encode())):
-        assert [s[1] for s in all_spans("x " + b64(data) + " y")[1]] == [0]
+        assert 0 in [s[1] for s in all_spans("x " + b64(data) + " y")[1]]
     spaced = filler[: PIECE_BYTES - 9] + b"token" + b" " * 30_000 + b"=" + b" " * 30_000 + b"abcdefghijkl1234"
-    assert [s[1] for s in all_spans(b64(gzip.compress(spaced)))[1]] == [0]
+    assert 0 in [s[1] for s in all_spans(b64(gzip.compress(spaced)))[1]]
 
 
 def test_archives_that_hold_themselves_end(monkeypatch):
