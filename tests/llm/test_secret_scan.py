@@ -81,7 +81,7 @@ ENCODERS = {
 }
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(sorted(ENCODERS)), min_size=1, max_size=3), st.sampled_from([(0, SECRET), (1, "AKIA" + "Q" * 16), (2, "0123456789abcdef" * 2)]))
 def test_round_trip_of_nested_encodings(names, secret):
     kind, text = secret
@@ -97,8 +97,8 @@ def test_what_comes_before_the_damage_is_scanned():
 
 
 def test_whole_layer_is_scanned():
-    filler = b"word after word " * (5 * PIECE_BYTES // 16)
-    for data in (gzip.compress(filler + SECRET.encode()), gzip.compress(gzip.compress(filler + SECRET.encode())), gzip.compress(b"x" * 34_000_000 + b" " + SECRET.encode())):
+    filler = b"word after word " * (2 * PIECE_BYTES // 16)
+    for data in (gzip.compress(filler + SECRET.encode()), gzip.compress(gzip.compress(filler + SECRET.encode())), gzip.compress(b"x" * 9_000_000 + b" " + SECRET.encode())):
         assert 0 in [s[1] for s in all_spans("x " + b64(data) + " y")[1]]
     spaced = filler[: PIECE_BYTES - 9] + b"token" + b" " * 30_000 + b"=" + b" " * 30_000 + b"abcdefghijkl1234"
     assert 0 in [s[1] for s in all_spans(b64(gzip.compress(spaced)))[1]]
