@@ -1,16 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names (capitalised words inside a
-sentence, but not words all in capitals) and units after a number turn into typed placeholders, all else is
-lower-cased.  Windows of template tokens are hash-joined with those of the
-benchmark, hits are gathered by item and offset, and the values that fill the
-placeholders are checked: along one offset each value of the item must stand
-for one value of the document.  Equal values everywhere are a verbatim copy,
-others a re-parameterised question.
-
-Documents are read once for each block of benchmark windows; a block is a
-bounded set of hashes that is sent to the executors, so a larger benchmark
-takes more passes and no more memory.
+sentence, but not words all in capitals) and units after a number turn into
+typed placeholders, all else is lower-cased.  Two kinds of windows of the
+benchmark are hash-joined with those of the documents, in one pass:
+
+* windows of lower-cased words, 13 or a whole shorter item: a copy, whatever
+  its words are;
+* windows of template tokens, of which at least half are words.  Hits are
+  gathered by item and offset, and the values that fill the placeholders are
+  checked: along one offset each value of the item must stand for one value of
+  the document.  These are re-parameterised questions.  Items that differ only
+  in their values are one template here, under the smallest identifier.
+
+The benchmark's hashes are sent to the executors as a bitmap of a bounded size;
+what passes it is joined with the benchmark's windows, so a larger benchmark
+takes no further pass and no more memory there.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, sized, text_or_empty
 
 WINDOW = 8
-#: Items of fewer words never match; those shorter than a window match as a whole.
-MIN_ITEM_WORDS = 5
 #: Words in a row, or the whole item, that make a document contaminated.
 MIN_WORDS = 13
-#: Benchmark windows in one pass over the documents.
-BLOCK_WINDOWS = 1_000_000
+#: A copy of a whole item of fewer words is of the kind ``short``: reported, but no reason to reject a document.
+MIN_ITEM_WORDS = 5
+#: Bits of the hash that name a bit of the bitmap: 128 KB at least and 16 MB at most.
+MIN_GATE_BITS, MAX_GATE_BITS = 20, 27
 VOCABULARY = 1_000_000
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
@@ -68,139 +73,193 @@ class Canonicaliser:
             self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() and not word.isupper() else _UNIT if low in UNITS else 0
         return i
 
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(words, hash of each template token, kind of its slot or 0)."""
+    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, hash of each lower-cased word, hash of each template token, kind of its slot or 0)."""
         if len(self.ids) > VOCABULARY:
             self._forget()
         words = TOKEN.findall(text)
         if not words:
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+            return [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
         ids = np.fromiter(map(self._id, words), np.int64, len(words))
-        h, kind = self.hash[ids], self.kind[ids]
+        plain, kind = self.hash[ids], self.kind[ids]
         before = np.concatenate([[_MARK], kind[:-1]]).astype(np.uint8)
         slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _CAPITAL) & (before != _MARK), _CAPITAL, np.where((kind == _UNIT) & (before == _NUMBER), _UNIT, 0))).astype(np.uint8)
+        h = plain.copy()
         for k, value in self.slot_hash.items():
             h[slot == k] = value
         keep = kind != _MARK
         if not keep.all():
             words = [w for w, ok in zip(words, keep.tolist()) if ok]
-        return words, h[keep], slot[keep]
+        return words, plain[keep], h[keep], slot[keep]
 
 
-def window_hashes(h: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of the windows of n tokens of which at least half are words."""
+def rolling(h: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A hash of every n tokens in a row, made of those of powers of two."""
     m = len(h) - n + 1
     if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = np.full(m, np.uint64(n))
-    for j in range(n):
-        out = out * _FACTOR + h[j : j + m]
+        return np.zeros(0, np.uint64)
+    out, at, size, power, factor = np.full(m, np.uint64(seed)), 0, 1, h, _FACTOR
+    while True:
+        if n & size:
+            out = out * factor + power[at : at + m]
+            at += size
+        if 2 * size > n:
+            return out
+        power = power[:-size] * factor + power[size:]
+        factor, size = factor * factor, 2 * size
+
+
+def template_windows(h: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the windows of n template tokens of which at least half are words.
+
+    What is mostly placeholders says nothing about its question; copies of it
+    are found by their words.
+    """
+    out = rolling(h, n, 2 * n)
     filled = np.concatenate([[0], np.cumsum(slot != 0)])
-    start = np.flatnonzero(filled[n:] - filled[:-n] <= n // 2)
+    start = np.flatnonzero(filled[n:] - filled[:-n] <= n // 2) if len(out) else np.zeros(0, np.int64)
     return start, out[start]
 
 
-_WINDOW_FIELDS = "pos int, n int, h long, template string, slots array<string>"
-_WINDOW_SCHEMA = pa.schema([("pos", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+def plain_windows(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = rolling(h, n, 2 * n + 1)
+    return np.arange(len(out)), out
+
 
+_WINDOW_FIELDS = "copied boolean, pos int, n int, h long, template string, slots array<string>"
+_WINDOW_TYPES = [pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string())]
+_WINDOW_NAMES = ["copied", "pos", "n", "h", "template", "slots"]
 
-def _window(words, slot, at: int, n: int, h) -> tuple:
-    canon = [_SLOTS[int(slot[i])] if slot[i] else words[i].lower() for i in range(at, at + n)]
-    return at, n, int(np.uint64(h).astype(np.int64)), " ".join(canon), [words[i].lower() for i in range(at, at + n) if slot[i]]
 
+def _window(copied: bool, words, slot, at: int, n: int, h) -> tuple:
+    low = [w.lower() for w in words[at : at + n]]
+    canon = low if copied else [_SLOTS[int(k)] if k else w for w, k in zip(low, slot[at : at + n])]
+    return copied, at, n, int(np.uint64(h).astype(np.int64)), " ".join(canon), [] if copied else [w for w, k in zip(low, slot[at : at + n]) if k]
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item_id, item_words, windows, pos, n, h, template, slots) of each benchmark item."""
+
+def _form(words, slot) -> str:
+    """The item's template with placeholders numbered by their values: what items have in common that differ in values alone."""
+    seen: dict[tuple, int] = {}
+    return " ".join(f"{_SLOTS[int(k)]}{seen.setdefault((int(k), w.lower()), len(seen))}" if k else w.lower() for w, k in zip(words, slot))
+
+
+def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
+    """(item_id, form, item_words, windows, copied, pos, n, h, template, slots) of each benchmark item."""
 
     def run(batches):
         canon = Canonicaliser()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, h, slot = canon.template(text)
-                n = min(window, len(words))
-                if n < MIN_ITEM_WORDS:
+                words, plain, h, slot = canon.template(text)
+                if not words:
                     continue
-                at, hs = window_hashes(h, slot, n)
-                rows += [(item, len(words), len(at), *_window(words, slot, int(a), n, x)) for a, x in zip(at, hs)]
+                form = xxhash.xxh3_64_intdigest(_form(words, slot).encode("utf-8", "surrogatepass")) - (1 << 63)
+                n = min(min_words, len(words))
+                rows += [(item, form, len(words), 1, *_window(True, words, slot, int(a), n, x)) for a, x in zip(*plain_windows(plain, n))]
+                if len(words) >= MIN_ITEM_WORDS:
+                    n = min(window, len(words))
+                    at, hs = template_windows(h, slot, n)
+                    rows += [(item, form, len(words), len(at), *_window(False, words, slot, int(a), n, x)) for a, x in zip(at, hs)]
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.int32(), *_WINDOW_SCHEMA.types])], names=["item_id", "item_words", "windows", *_WINDOW_SCHEMA.names])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *_WINDOW_TYPES])], names=["item_id", "form", "item_words", "windows", *_WINDOW_NAMES])
 
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(benchmark, text_col).alias("text")).distinct()
-    return items.mapInArrow(run, f"item_id long, item_words int, windows int, {_WINDOW_FIELDS}")
+    return items.mapInArrow(run, f"item_id long, form long, item_words int, windows int, {_WINDOW_FIELDS}")
 
 
-def _hits(docs: DataFrame, hashes: np.ndarray, lengths: list[int]) -> DataFrame:
-    """(id, text_hash, pos, n, h, template, slots) of the windows of ``docs`` whose hash is in a block."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.astype(np.uint64)))
+def _gate(items: DataFrame, n_windows: int) -> np.ndarray:
+    """A bitmap of the leading bits of the windows' hashes, as bytes; gathered in pieces of 8 KB."""
+    bits = min(MAX_GATE_BITS, max(MIN_GATE_BITS, math.ceil(math.log2(64 * max(n_windows, 1)))))
 
     def run(batches):
-        wanted = shared.value
-        gate = np.zeros(1 << 20, bool)
-        gate[(wanted >> np.uint64(44)).astype(np.int64)] = True
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(1).to_numpy()
+            for piece in np.unique(at >> 16).tolist():
+                mine = pieces.setdefault(piece, np.zeros(1 << 16, bool))
+                mine[at[at >> 16 == piece] & 0xFFFF] = True
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([np.packbits(p).tobytes() for p in pieces.values()], pa.binary())], names=["piece", "bits"])
+
+    at = F.shiftrightunsigned("h", 64 - bits)
+    out = np.zeros((1 << bits - 16, 1 << 13), np.uint8)
+    for r in items.select(F.shiftrightunsigned("h", 80 - bits).alias("piece"), at.alias("at")).distinct().repartition("piece").mapInArrow(run, "piece long, bits binary").collect():
+        out[r.piece] |= np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _hits(docs: DataFrame, gate: np.ndarray, lengths: list[tuple[bool, int]]) -> DataFrame:
+    """(id, text_hash, copied, pos, n, h, template, slots) of the windows of ``docs`` that pass the gate."""
+    shared = docs.sparkSession.sparkContext.broadcast(gate)
+    shift = np.uint64(64 - (8 * len(gate)).bit_length() + 1)
+
+    def run(batches):
+        gate = shared.value
         canon = Canonicaliser()
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(2)):
-                words, h, slot = canon.template(text.as_py())
-                for n in lengths:
-                    at, hs = window_hashes(h, slot, n)
-                    maybe = np.flatnonzero(gate[(hs >> np.uint64(44)).astype(np.int64)])
-                    if len(maybe):
-                        found = np.minimum(np.searchsorted(wanted, hs[maybe]), len(wanted) - 1)
-                        rows += [(i, *_window(words, slot, int(at[j]), n, hs[j])) for j in maybe[wanted[found] == hs[maybe]]]
+                words, plain, h, slot = canon.template(text.as_py())
+                for copied, n in lengths:
+                    at, hs = plain_windows(plain, n) if copied else template_windows(h, slot, n)
+                    bit = hs >> shift
+                    maybe = np.flatnonzero((gate[(bit >> np.uint64(3)).astype(np.int64)] << (bit & np.uint64(7)).astype(np.uint8)) & 128)
+                    if copied and n < MIN_ITEM_WORDS and len(maybe):  # short items may stand in a text at every other word
+                        maybe = maybe[np.unique(hs[maybe], return_index=True)[1]]
+                    rows += [(i, *_window(copied, words, slot, int(at[j]), n, hs[j])) for j in maybe]
             if rows:
                 which, *cols = zip(*rows)
                 take = pa.array(which, pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, t) for c, t in zip(cols, _WINDOW_SCHEMA.types)]], names=["id", "text_hash", *_WINDOW_SCHEMA.names])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, t) for c, t in zip(cols, _WINDOW_TYPES)]], names=["id", "text_hash", *_WINDOW_NAMES])
 
     return docs.mapInArrow(run, f"id long, text_hash long, {_WINDOW_FIELDS}")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, text_hash, item_id, kind, n_windows, first_word, last_word): one row for each document and item it holds.
 
-    ``kind`` is ``verbatim`` or ``reparameterised``.  Words are template tokens,
-    counted from 0, both ends included; of several places the one with most
-    windows, then the first, is given.  Null texts are empty and match nothing;
-    null identifiers and repeated rows are matched by identifier and text, once.
-    Items of fewer than ``MIN_ITEM_WORDS`` words match nothing.  If either table
-    is empty, so is the result.  Only the named columns are read.
+    ``kind`` is ``verbatim`` (``min_words`` words in a row, or all of a shorter
+    item), ``short`` (all of an item of fewer than ``MIN_ITEM_WORDS`` words) or
+    ``reparameterised``; where an item is there in two ways, the first of these.
+    Words are template tokens, counted from 0, both ends included; of several
+    places the one with most windows, then the first, is given.  Null texts are
+    empty and match nothing; null identifiers and repeated rows are matched by
+    identifier and text, once.  If either table is empty, so is the result.
+    Only the named columns are read.
     """
-    items = cut(item_windows(benchmark, item_id_col, item_text_col, window))
-    lengths = sorted(r[0] for r in items.select("n").distinct().collect())
-    n_hashes = items.select("h").distinct().count()
-    blocks = max(1, math.ceil(n_hashes / block_windows))
+    items = cut(item_windows(benchmark, item_id_col, item_text_col, window, min_words))
+    # one template for items that differ in their values alone
+    named = items.filter("not copied").groupBy("form").agg(F.min("item_id").alias("_item")).withColumnRenamed("form", "_form")
+    items = cut(items.join(named, (F.col("form") == F.col("_form")) & (F.col("item_id") == F.col("_item")), "left").filter("copied or _item is not null").drop("form", "_form", "_item"))
+    n_windows = items.count()
+    if not n_windows:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, kind string, n_windows int, first_word int, last_word int")
+    # at most a few dozen: a window's length is bounded
+    lengths = sorted((r.copied, r.n) for r in items.select("copied", "n").distinct().collect())
     text = text_or_empty(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    hits = None
-    for b in range(blocks):
-        # at most about block_windows hashes of the benchmark, never of the documents
-        block = items.select("h").distinct().filter(F.pmod("h", F.lit(blocks)) == b).toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64)
-        part = _hits(rows, block, lengths) if len(block) else None
-        hits = part if hits is None else hits if part is None else hits.unionByName(part)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, kind string, n_windows int, first_word int, last_word int")
-    side = items.select("item_id", "item_words", "windows", F.col("pos").alias("ipos"), F.col("n").alias("_n"), F.col("h").alias("_h"), F.col("template").alias("_template"), F.col("slots").alias("islots"))
-    side = F.broadcast(side) if items.count() <= BROADCAST_ROWS else side
-    joined = hits.join(side, (F.col("h") == F.col("_h")) & (F.col("template") == F.col("_template")))
-    joined = joined.select("id", "text_hash", "item_id", "item_words", "windows", "n", "pos", (F.col("pos") - F.col("ipos")).alias("offset"), F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")).alias("filled"))
-    along = joined.groupBy("id", "text_hash", "item_id", "item_words", "windows", "n", "offset").agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
+    hits = _hits(rows, _gate(items, n_windows), lengths)
+    side = items.select("item_id", "item_words", "windows", F.col("pos").alias("ipos"), F.col("h").alias("_h"), F.col("copied").alias("_copied"), F.col("template").alias("_template"), F.col("slots").alias("islots"))
+    side = F.broadcast(side) if n_windows <= BROADCAST_ROWS else side
+    joined = hits.join(side, (F.col("h") == F.col("_h")) & (F.col("template") == F.col("_template")) & (F.col("copied") == F.col("_copied")))
+    joined = joined.select("id", "text_hash", "item_id", "item_words", "copied", "windows", "n", "pos", (F.col("pos") - F.col("ipos")).alias("offset"), F.arrays_zip(F.col("islots").alias("i"), F.col("slots").alias("d")).alias("filled"))
+    along = joined.groupBy("id", "text_hash", "item_id", "item_words", "copied", "windows", "n", "offset").agg(F.collect_set("pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("filled"))
     at = F.col("at")
     along = along.withColumn("n_windows", F.size("at"))
     consistent = F.size(F.array_distinct(F.transform("filled", lambda x: x["i"]))) == F.size("filled")
     enough = F.col("n_windows") >= F.least(F.col("windows"), F.greatest(F.lit(1), F.least(F.lit(min_words), F.col("item_words")) - F.col("n") + 1))
-    same = F.forall("filled", lambda x: x["i"] == x["d"])
-    found = along.filter(enough & consistent).select(
+    kind = F.when(~F.col("copied"), "reparameterised").when(F.col("item_words") < MIN_ITEM_WORDS, "short").otherwise("verbatim")
+    found = along.filter(F.col("copied") | enough & consistent).select(
         "id", "text_hash", "item_id",
-        F.struct("n_windows", (-F.array_min(at)).alias("start"), F.when(same, "verbatim").otherwise("reparameterised").alias("kind"), (F.array_max(at) + F.col("n") - 1).alias("last")).alias("best"),
+        F.struct("copied", "n_windows", (-F.array_min(at)).alias("start"), kind.alias("kind"), (F.array_max(at) + F.col("n") - 1).alias("last")).alias("best"),
     )
     best = found.groupBy("id", "text_hash", "item_id").agg(F.max("best").alias("best"))
     return best.select(F.col("id").alias("doc_id"), "text_hash", "item_id", F.col("best.kind").alias("kind"), F.col("best.n_windows").alias("n_windows"), (-F.col("best.start")).alias("first_word"), F.col("best.last").alias("last_word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item of ``benchmark``."""
-    bad, _ = sized(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
+    """The rows of ``docs`` that hold no item of ``benchmark`` but short ones."""
+    bad, _ = sized(contaminated(docs, benchmark, id_col, text_col, **options).filter("kind <> 'short'").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct())
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_or_empty(docs, text_col)) == F.col("__bad_hash")), "left_anti")

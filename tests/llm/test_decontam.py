@@ -1,6 +1,8 @@
+import re
+
 import numpy as np
 
-from scriptorium.llm.decontam import contaminated, decontaminate
+from scriptorium.llm.decontam import Canonicaliser, contaminated, decontaminate
 
 ITEM = "If a train leaves Boston at 60 miles per hour and another train leaves Denver at 80 miles per hour then how long until they meet on the way."
 VARIANT = ITEM.replace("Boston", "Lyon").replace("Denver", "Paris").replace("60", "45").replace("80", "70")
@@ -16,7 +18,7 @@ def run(spark, docs, items=((7, ITEM),), **options):
 def test_verbatim_variant_and_clean(spark):
     docs = [(1, "Words before. " + ITEM + " Words after."), (2, "So. " + VARIANT), (3, "A train leaves and another one meets it at noon on the long way home."), (4, None), (5, ""), (None, ITEM), (6, "no names here at all " + ITEM.replace("Boston", "x").replace("Denver", "y").upper()), (1, "Words before. " + ITEM + " Words after.")]
     got, d, b = run(spark, docs)
-    assert {(r[0], r[2], r[3]) for r in got} - {(6, 7, "verbatim")} == {(1, 7, "verbatim"), (2, 7, "reparameterised"), (None, 7, "verbatim")}
+    assert {(r[0], r[2], r[3]) for r in got} == {(1, 7, "verbatim"), (2, 7, "reparameterised"), (None, 7, "verbatim"), (6, 7, "verbatim")}
     kept = decontaminate(d, b).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["3", "4", "5"] and any(r[0] == 6 for r in got)
 
@@ -43,19 +45,60 @@ def test_brute_force_on_random_text(spark):
             t += " " + " ".join(words[a : a + int(rng.integers(5, 40))]) + " " + text(5)
         docs.append((d, t))
 
-    def holds(doc, item):
-        w, x = doc.split(), item.split()
-        if len(x) < 5:
-            return False
-        n = min(13, len(x))
-        return any(w[i : i + n] == x[j : j + n] for i in range(len(w) - n + 1) for j in range(len(x) - n + 1))
-
-    want = {(d, i) for d, t in docs for i, x in items if holds(t, x)}
-    for options in ({}, {"block_windows": 50}):
-        got, _, _ = run(spark, docs, items, **options)
-        assert want <= {(r[0], r[2]) for r in got}
-        # what is more has as many windows at one offset, with a gap between them
-        assert all(r[4] >= 1 for r in got) and len(got) <= len(want) + 3
+    want = {(d, i, kind) for d, t in docs for i, x in items if (kind := holds(t, x))}
+    got, _, _ = run(spark, docs, items)
+    assert {(r[0], r[2], r[3]) for r in got if r[3] != "reparameterised"} == want and want
+    # without placeholders a template differs from a copy in that its windows may have a gap between them
+    assert {(r[0], r[2]) for r in got} == {(d, i) for d, t in docs for i, x in items if holds(t, x) or gathered(t, x)}
+
+
+def holds(doc, item):
+    """The rule for copies, word for word."""
+    w, x = (re.findall(r"\d+(?:[.,]\d+)*|\w+", t.lower()) for t in (doc, item))
+    n = min(13, len(x))
+    if n and any(w[i : i + n] == x[j : j + n] for i in range(len(w) - n + 1) for j in range(len(x) - n + 1)):
+        return "short" if len(x) < 5 else "verbatim"
+    return None
+
+
+def gathered(doc, item):
+    """The rule for templates, over all offsets and without hashes."""
+    canon = Canonicaliser()
+    (w, _, h, _), (x, _, g, slot) = canon.template(doc), canon.template(item)
+    if len(x) < 5:
+        return False
+    n = min(8, len(x))
+    windows = [j for j in range(len(x) - n + 1) if (slot[j : j + n] != 0).sum() <= n // 2]
+    need = min(len(windows), max(1, min(13, len(x)) - n + 1))
+    for offset in range(-len(x), len(w)):
+        hit = [j for j in windows if 0 <= j + offset <= len(w) - n and (h[j + offset : j + offset + n] == g[j : j + n]).all()]
+        filled = {(x[k].lower(), w[k + offset].lower()) for j in hit for k in range(j, j + n) if slot[k]}
+        if windows and len(hit) >= need and len({v for v, _ in filled}) == len(filled):
+            return True
+    return False
+
+
+def test_brute_force_on_questions_with_values(spark):
+    rng = np.random.default_rng(5)
+    names = ("Ann", "Bob", "Carl", "Dora")
+    forms = ("the shop of {a} sells {x} pens and {y} cups while {b} keeps {x} more", "Then {a} walks {x} km and {b} walks {y} km before they meet at the old mill", "sum {x} {y} {x} {y} 7 8 9 {x} {y} 3 5", "so {a} has {x} apples")
+    fill = lambda: str(rng.choice(forms)).format(a=rng.choice(names), b=rng.choice(names), x=rng.integers(2, 6), y=rng.integers(2, 6))
+    items = [(i, fill()) for i in range(25)]
+    docs = [(d, f"Words first, then {fill()} and so on. {fill()}") for d in range(60)]
+    got, _, _ = run(spark, docs, items)
+    assert {(r[0], r[2]) for r in got if r[3] == "verbatim"} == {(d, i) for d, t in docs for i, x in items if holds(t, x) == "verbatim"}
+    # items that differ in values alone share a template, so compare documents
+    assert {r[0] for r in got} == {d for d, t in docs if any(holds(t, x) or gathered(t, x) for _, x in items)}
+    assert any(r[3] == "reparameterised" for r in got)
+
+
+def test_copies_need_no_template(spark):
+    numbers = "12 " * 9 + "7 8 9 11 plus 4 and 5 minus 3 equal 9"
+    started = "The old clock of Vienna Prague Paris Rome Oslo Bonn strikes"
+    docs = [(1, "Table: " + numbers + " end"), (2, 'Q: "' + started.lower() + ' now"'), (3, "yes"), (4, "\n".join(("we read " + started).split())), (5, "word " * 100_000 + started)]
+    got, d, b = run(spark, docs, [(1, numbers), (2, started), (3, "Yes"), (4, "the"), (5, ""), (6, None)])
+    assert {(r[0], r[2], r[3]) for r in got} == {(1, 1, "verbatim"), (2, 2, "verbatim"), (2, 4, "short"), (3, 3, "short"), (4, 2, "verbatim"), (4, 4, "short"), (5, 2, "verbatim"), (5, 4, "short")}
+    assert [r.doc_id for r in decontaminate(d, b).collect()] == [3]
 
 
 def test_empty_tables(spark):
