@@ -98,15 +98,15 @@ def rolling(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    out, at, size, power, factor = np.full(m, np.uint64(seed)), 0, 1, h, _FACTOR
+    out, at, size, power, factor = np.full(m, np.uint64(seed)), 0, 1, h, int(_FACTOR)
     while True:
         if n & size:
-            out = out * factor + power[at : at + m]
+            out = out * np.uint64(factor) + power[at : at + m]
             at += size
         if 2 * size > n:
             return out
-        power = power[:-size] * factor + power[size:]
-        factor, size = factor * factor, 2 * size
+        power = power[:-size] * np.uint64(factor) + power[size:]
+        factor, size = factor * factor & (1 << 64) - 1, 2 * size
 
 
 def template_windows(h: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

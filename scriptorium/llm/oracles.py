@@ -4,51 +4,49 @@ from __future__ import annotations
 
 from .license_scan import K, template_rows
 from .mixing import QUANTUM
-from .url_filter import LEVELS, RULES
+from .url_filter import RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+#: The SQL unrolls the levels of the tree, which the operator goes down as far as the data do: paths of the checked tables are less deep.
+SQL_LEVELS = 5
+
+
 def _url_filter(max_children=16, min_share=0.05, min_labels=20, z_max=1.96, threshold=0.6, prior=10.0) -> str:
-    s = [f"s{i}" for i in range(1, LEVELS + 1)]
-    t = [f"t{i}" for i in range(1, LEVELS + 1)]
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for a, h, p in sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for c, n, _ in fits) + " END"
     action = "CASE " + " ".join(f"WHEN {c} THEN '{a}'" for c, _, a in fits) + " END"
-    part = [f"coalesce(parts[{i}], '')" for i in range(1, LEVELS)] + [f"coalesce(array_to_string(parts[{LEVELS}:], '/'), '')"]
     ctes = [
         r"""m AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['a', 'b']) AS x FROM pages)""",
         f"""u AS (SELECT page_id, {_LOWER.format("x.a")} AS host, x.b AS path FROM m)""",
         rf"""p AS (SELECT page_id, host, path, {rule} AS rule, {action} AS action,
-             string_split(regexp_replace(regexp_replace(regexp_replace(path, '^/|/$', '', 'g'), '[0-9A-Fa-f]{{16,}}', '{{x}}', 'g'), '[0-9]+', '{{n}}', 'g'), '/') AS parts FROM u)""",
-        f"""shapes AS (SELECT host, {", ".join(f"{e} AS {c}" for e, c in zip(part, s))}, count(*) AS n, count(*) FILTER (action = 'block') AS block, count(*) FILTER (action = 'allow') AS allow FROM p GROUP BY ALL)""",
+             regexp_replace(regexp_replace(regexp_replace(path, '^/|/$', '', 'g'), '[0-9A-Fa-f]{{16,}}', '{{x}}', 'g'), '[0-9]+', '{{n}}', 'g') AS shape FROM u)""",
+        """shapes AS (SELECT host, shape, string_split(shape, '/') AS parts, '' AS way, count(*) AS n, count(*) FILTER (action = 'block') AS block, count(*) FILTER (action = 'allow') AS allow FROM p GROUP BY host, shape)""",
     ]
     last = "shapes"
-    for i in range(1, LEVELS + 1):
-        key = ["host", *t[: i - 1]]
-        child = [*key, f"s{i}"]
-        below = f"s{i + 1}" if i < LEVELS else "''"
+    for i in range(1, SQL_LEVELS + 1):
         ctes += [
-            f"kinds{i} AS (SELECT {', '.join(child)}, {below} AS nxt, sum(n) AS n, sum(block) AS block, sum(allow) AS allow FROM {last} GROUP BY ALL)",
-            f"branch{i} AS (SELECT {', '.join(child)}, sum(n) AS n, sum(block) AS block, sum(allow) AS allow, max({{'n': n, 'c': nxt}}).c AS commonest FROM kinds{i} GROUP BY {', '.join(child)})",
-            f"stats{i} AS (SELECT {', '.join(key)}, count(*) AS children, sum(n) AS total, sum(block) AS pb, sum(allow) AS pa, max({{'n': n, 'c': commonest}}).c AS common FROM branch{i} GROUP BY {', '.join(key)})",
+            f"live{i} AS (SELECT *, parts[{i}] AS seg, coalesce(parts[{i + 1}], '') AS nxt FROM {last} WHERE len(parts) >= {i})",
+            f"kinds{i} AS (SELECT host, way, seg, nxt, sum(n) AS n, sum(block) AS block, sum(allow) AS allow FROM live{i} GROUP BY ALL)",
+            f"branch{i} AS (SELECT host, way, seg, sum(n) AS n, sum(block) AS block, sum(allow) AS allow, max({{'n': n, 'c': nxt}}).c AS commonest FROM kinds{i} GROUP BY host, way, seg)",
+            f"stats{i} AS (SELECT host, way, count(*) AS children, sum(n) AS total, sum(block) AS pb, sum(allow) AS pa, max({{'n': n, 'c': commonest}}).c AS common FROM branch{i} GROUP BY host, way)",
             f"""rated{i} AS (SELECT *, block + allow AS own, pb + pa - block - allow AS rest, (block + 1.0::DOUBLE) / (block + allow + 2.0::DOUBLE) AS r1,
-              (pb - block + 1.0::DOUBLE) / (pb + pa - block - allow + 2.0::DOUBLE) AS r2, (pb + 1.0::DOUBLE) / (pb + pa + 2.0::DOUBLE) AS pooled FROM branch{i} JOIN stats{i} USING ({', '.join(key)}))""",
-            f"""gen{i} AS (SELECT {', '.join(child)}, CASE WHEN s{i} <> '' AND ((children > {max_children} AND n < total * {min_share}::DOUBLE) OR (own >= {min_labels} AND rest >= {min_labels} AND commonest = common
-              AND (r1 - r2) * (r1 - r2) / (pooled * (1 - pooled) * (1 / (own + 2.0::DOUBLE) + 1 / (rest + 2.0::DOUBLE))) < {z_max * z_max}::DOUBLE)) THEN '*' ELSE s{i} END AS t{i} FROM rated{i})""",
-            f"tree{i} AS (SELECT x.*, g.t{i} FROM {last} x JOIN gen{i} g USING ({', '.join(child)}))",
+              (pb - block + 1.0::DOUBLE) / (pb + pa - block - allow + 2.0::DOUBLE) AS r2, (pb + 1.0::DOUBLE) / (pb + pa + 2.0::DOUBLE) AS pooled FROM branch{i} JOIN stats{i} USING (host, way))""",
+            f"""gen{i} AS (SELECT host, way, seg, CASE WHEN seg <> '' AND ((children > {max_children} AND n < total * {min_share}::DOUBLE) OR (own >= {min_labels} AND rest >= {min_labels} AND commonest = common
+              AND (r1 - r2) * (r1 - r2) / (pooled * (1 - pooled) * (1 / (own + 2.0::DOUBLE) + 1 / (rest + 2.0::DOUBLE))) < {z_max * z_max}::DOUBLE)) THEN '*' ELSE seg END AS name FROM rated{i})""",
+            f"tree{i} AS (SELECT x.host, shape, parts, x.way || '/' || name AS way, n, block, allow FROM live{i} x JOIN gen{i} USING (host, way, seg) UNION ALL SELECT host, shape, parts, way, n, block, allow FROM {last} WHERE len(parts) < {i})",
         ]
         last = f"tree{i}"
     ctes += [
-        f"hosts AS (SELECT {', '.join(s)}, (sum(block) + {prior * 0.5}::DOUBLE) / (sum(block) + sum(allow) + {prior}::DOUBLE) AS prior FROM shapes GROUP BY ALL)",
-        f"tp AS (SELECT x.*, h.prior FROM {last} x JOIN hosts h USING ({', '.join(s)}))",
-        f"per AS (SELECT host, {', '.join(t)}, (sum(block) + {prior}::DOUBLE * (sum(round(prior * n, 9)::DECIMAL(38, 9))::DOUBLE / sum(n))) / (sum(block) + sum(allow) + {prior}::DOUBLE) AS purity FROM tp GROUP BY ALL)",
-        f"verdicts AS (SELECT tp.host, {', '.join('tp.' + c for c in s)}, '/' || array_to_string(list_filter([{', '.join('tp.' + c for c in t)}], lambda x: x <> ''), '/') AS template, CASE WHEN purity > {threshold}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM tp JOIN per USING (host, {', '.join(t)}))",
-        f"q AS (SELECT page_id, host, path, rule, action, {', '.join(f'{e} AS {c}' for e, c in zip(part, s))} FROM p)",
+        f"hosts AS (SELECT shape, (sum(block) + {prior * 0.5}::DOUBLE) / (sum(block) + sum(allow) + {prior}::DOUBLE) AS prior FROM shapes GROUP BY shape)",
+        f"tp AS (SELECT x.host, shape, way AS template, n, block, allow, prior FROM {last} x JOIN hosts USING (shape))",
+        f"per AS (SELECT host, template, (sum(block) + {prior}::DOUBLE * (sum(round(prior * n, 9)::DECIMAL(38, 9))::DOUBLE / sum(n))) / (sum(block) + sum(allow) + {prior}::DOUBLE) AS purity FROM tp GROUP BY host, template)",
+        f"verdicts AS (SELECT host, shape, template, CASE WHEN purity > {threshold}::DOUBLE THEN 'block' ELSE 'allow' END AS verdict FROM tp JOIN per USING (host, template))",
     ]
     return f"""WITH {', '.join(ctes)}
 SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN template END AS template, CASE WHEN rule IS NULL THEN v.verdict ELSE action END AS verdict
-FROM q LEFT JOIN verdicts v USING (host, {', '.join(s)})"""
+FROM p LEFT JOIN verdicts v USING (host, shape)"""
 
 
 def _license_scan(min_cover=0.7, gap=3) -> str:

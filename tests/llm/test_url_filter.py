@@ -33,11 +33,25 @@ def test_templates_generalise_merge_and_reject(spark):
 
     from scriptorium.llm.url_filter import path_templates
 
-    shapes = spark.createDataFrame([("h", "x", "{n}", "", 50, 40, 10), ("h", "y", "{n}", "", 50, 41, 9), ("h", "z", "{n}", "", 50, 0, 50)], "host string, s1 string, s2 string, s3 string, n long, block long, allow long")
-    merged = {r.s1: r.t1 for r in path_templates(shapes, min_labels=20).select("s1", "t1").collect()}
-    assert merged["z"] == "z"
-    shapes = shapes.filter(F.col("s1") != "z")
-    assert {r.t1 for r in path_templates(shapes).collect()} == {"*"}
+    shapes = spark.createDataFrame([("h", "x/{n}", 50, 40, 10), ("h", "y/{n}", 50, 41, 9), ("h", "z/{n}", 50, 0, 50)], "host string, shape string, n long, block long, allow long")
+    merged = {r.shape[0]: r.template for r in path_templates(shapes, min_labels=20).collect()}
+    assert merged["z"] == "/z/{n}"
+    shapes = shapes.filter(~F.col("shape").startswith("z"))
+    assert {r.template for r in path_templates(shapes).collect()} == {"/*/{n}"}
+
+
+def test_tree_goes_to_the_deepest_path(spark):
+    names = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    urls = [f"http://h.net/a/b/c/{x}/item-{x}/z" for x in names] + ["http://h.net/a/b/c/aa/other", "http://h.net/a/b", "http://h.net/a//b/", "http://h.net/" + "/".join(f"d{x}" for x in names * 20)]
+    got = run(spark, urls)
+    assert {got[i].template for i in range(1, 40)} == {"/a/b/c/*/*/z"}
+    # the tail of a path that is alone from its second segment on stays as it is
+    assert [got[40 + i].template for i in range(4)] == ["/a/b/c/*/*", "/a/b", "/a//b", "/" + "/".join(f"d{x}" for x in names * 20)]
+    # labels below the third segment decide there
+    rules = (("block", "h.net", "/u/v/w/bad/"), ("allow", "h.net", "/u/v/w/good/"))
+    urls = [f"http://h.net/u/v/w/{kind}/{i}/p" for kind in ("bad", "good") for i in range(40)] + ["http://h.net/u/v/w/bad", "http://x.net/u/v/w/bad/7/p", "http://x.net/u/v/w/good/7/p"]
+    got = run(spark, urls, rules=rules)
+    assert [got[81 + i].verdict for i in range(2)] == ["block", "allow"]
 
 
 def test_repeats_and_empty(spark):
