@@ -60,5 +60,52 @@ def test_one_language():
     import numpy as np
 
     m = Model(["aa"], np.ones((1, 1 << 14)), np.array([1]))
-    best, score = m.predict(np.stack([trigram_counts("hello")]))
+    best, score, _ = m.predict(np.stack([trigram_counts("hello")]))
     assert best[0] == 0 and score[0] == 1
+
+
+def prose(rng, letters, n):
+    return " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 8)))) for _ in range(n))
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows = [(i, prose(rng, ("aeioustr", "bcdfghaz")[i % 2], 60), ("x", "y")[i % 2], 0.5) for i in range(400)]
+    junk = [(1000 + i, prose(rng, "жщыэю", 60), None, 0.5) for i in range(40)]
+    mixed = [(2000, rows[0][1] + " " + rows[1][1], None, 0.5), (2001, rows[0][1][:5], None, 0.5)]
+    kept = {r.doc_id for r in keep_identified(spark.createDataFrame(rows + junk + mixed, "doc_id long, text string, lang string, score double")).collect()}
+    assert kept >= {r[0] for r in rows + mixed}
+    assert len(kept & {r[0] for r in junk}) <= 10
+
+
+def test_rare_languages_are_learned(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(i, prose(rng, "aeioustr", 30), "common") for i in range(3000)] + [(9000 + i, prose(rng, "bcdfghaz", 30), "rare") for i in range(6)]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=50).collect()
+    assert {r.lang_pred for r in got if r.doc_id >= 9000} == {"rare"}
+
+
+def test_prediction_against_brute_force(spark):
+    """The nearest codeword by its weighted loss, one text and one bit at a time."""
+    import math
+
+    import numpy as np
+
+    from scriptorium.llm.langid import MARGIN_SCALE, identify, train
+
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(rng, ("aeiou", "bcdfgae", "klmnio")[i % 3], 1 + i % 40), "abc"[i % 3]) for i in range(200)] + [(500, "", "a"), (501, "12", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    for r in identify(docs, model).collect():
+        counts = trigram_counts(r.text)
+        if counts is None:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        margins = [sum(float(c) * float(model.weights[i, b]) for i, c in enumerate(counts) if c) / float(counts.sum()) for b in range(model.codes.shape[1])]
+        loss = {lang: sum(math.log1p(math.exp(-MARGIN_SCALE * m * int(code[b]))) * model.reliability[b] for b, m in enumerate(margins)) for lang, code in zip(model.languages, model.codes)}
+        assert abs(loss[r.lang_pred] - min(loss.values())) < 1e-5 and abs(r.loss - min(loss.values())) < 1e-5

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from scriptorium.llm.toxicity import FTRL, Features, fit, toxicity
+from scriptorium.llm.toxicity import FTRL, Features, _packed, fit, operating_point, toxicity
 
 
 def data(n=900):
@@ -42,7 +42,7 @@ def test_held_out_accuracy(spark):
 
 def test_weights_are_sparse_and_repeatable():
     docs, labels = data(300)
-    rows = [(i, t, y) for (i, t, _), (_, y) in zip(docs, labels)]
+    rows = [(i, _packed(Features(), t), y) for (i, t, _), (_, y) in zip(docs, labels)]
     a, b = fit(rows), fit(rows[::-1])
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all() and len(a[0]) < 500
     f, w = Features(), np.zeros((1 << 20) + 1)
@@ -63,3 +63,33 @@ def test_no_labels(spark):
     d, t = frames(spark, docs, [])
     assert {r.score for r in toxicity(d, t).collect()} == {0.5}
     assert toxicity(d.limit(0), t).collect() == []
+
+
+def test_operating_point_has_the_best_f1():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        m, y = rng.integers(-5, 6, 40) / 2, rng.integers(0, 2, 40)
+        f1 = lambda t: 2 * (y[m >= t]).sum() / ((m >= t).sum() + y.sum())
+        assert f1(operating_point(m, y)) == max(f1(t) for t in m)
+    assert operating_point(np.zeros(3), np.ones(3)) == 0 == operating_point(np.zeros(0), np.zeros(0))
+
+
+def test_stems_find_rare_compounds(spark):
+    docs, labels = data(600)
+    docs = [(i, t + (f" zornig{chr(97 + i % 23)}{chr(97 + i % 19)}" if y else ""), "") for (i, t, _), (_, y) in zip(docs, labels)]
+    d, t = frames(spark, [(i, x.replace("vile", "w1").replace("foul", "w2").replace("nasty", "w3"), "") for i, x, _ in docs], labels)
+    held = [r for r in toxicity(d, t).collect() if r.held_out]
+    assert sum(r.predicted == dict(labels)[r.doc_id] for r in held) >= 0.97 * len(held)
+
+
+def test_score_against_brute_force(spark):
+    """The score of a row is the logistic of the weights of its different coordinates, whoever computes it."""
+    from scriptorium.llm.toxicity import train
+
+    docs, labels = data(200)
+    d, t = frames(spark, docs, labels)
+    at, w = train(d, t)
+    weight = dict(zip(at.tolist(), w.tolist()))
+    for r in toxicity(d, t).collect():
+        margin = weight.get(1 << 20, 0.0) + sum(weight.get(x, 0.0) for x in set(Features().of(docs[r.doc_id][1]).tolist()))
+        assert abs(r.score - 1 / (1 + np.exp(-margin))) < 1e-9
