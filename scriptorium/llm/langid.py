@@ -35,9 +35,9 @@ SMOOTHING = 0.5
 PSEUDO_TRIGRAMS = 300_000
 MARGIN_SCALE = 8.0
 AMBIGUOUS = 0.6
-#: Loss of the nearest codeword from which on a text is in no learned language.  A text that says
-#: nothing about any bit has log 2, about 0.69; on sf0.1 the largest of 6,000 documents that were not learned from has 0.38.
-REJECT_LOSS = 0.5
+#: Share of a text's trigrams that some bit classifier has learned; below it the text is in no learned
+#: language.  A text in two of them is known though its bits contradict each other, so their loss does not decide.
+MIN_KNOWN = 0.5
 
 _letters: np.ndarray | None = None
 
@@ -82,6 +82,7 @@ class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray):
         self.languages = languages
         self.codes = codewords(len(languages))
+        self.known = (counts > 0).any(0)
         # each language weighs the same, however many rows it has
         p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)
         bits = self.codes.shape[1]
@@ -104,14 +105,12 @@ class Model:
         return out
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the language, score, loss) of each row; the score is the softmax of the negated losses."""
-        losses = self.losses(counts)
-        z = -losses * MARGIN_SCALE
+        """(index of the language, score, share of known trigrams) of each row; the score is the softmax of the negated losses."""
+        z = -self.losses(counts) * MARGIN_SCALE
         z -= z.max(1, keepdims=True)
         e = np.exp(z)
         best = e.argmax(1)
-        rows = np.arange(len(best))
-        return best, (e / e.sum(1, keepdims=True))[rows, best], losses[rows, best]
+        return best, (e / e.sum(1, keepdims=True))[np.arange(len(best)), best], counts[:, self.known].sum(1) / counts.sum(1)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -162,7 +161,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all, if none are named) of each row with lang_pred, score, ambiguous and loss.
+    """The columns ``keep`` (all, if none are named) of each row with lang_pred, score, ambiguous and known.
 
     Columns of ``docs`` with those four names are replaced.
     """
@@ -172,12 +171,12 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
         m = shared.value
         for batch in batches:
             n = batch.num_rows
-            langs, scores, losses = ["und"] * n, np.zeros(n), np.full(n, np.inf)
+            langs, scores, known = ["und"] * n, np.zeros(n), np.zeros(n)
             at, held = [], []
 
             def flush():
                 for i, b, s, x in zip(at, *m.predict(np.stack(held))):
-                    langs[i], scores[i], losses[i] = m.languages[b], s, x
+                    langs[i], scores[i], known[i] = m.languages[b], s, x
                 at.clear()
                 held.clear()
 
@@ -187,17 +186,17 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                     if counts is not None:
                         at.append(i)
                         held.append(counts)
-                        if len(held) == 64:
+                        if len(held) == 16:
                             flush()
                 if held:
                     flush()
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(langs), pa.array(scores), pa.array(scores < AMBIGUOUS), pa.array(losses)], names=names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(langs), pa.array(scores), pa.array(scores < AMBIGUOUS), pa.array(known)], names=names)
 
-    added = ("lang_pred", "score", "ambiguous", "loss")
+    added = ("lang_pred", "score", "ambiguous", "known")
     columns = [c for c in (keep or docs.columns) if c not in added]
     rows = docs.select(*dict.fromkeys([*columns, text_col]))
     at_text, kept, names = rows.columns.index(text_col), [rows.columns.index(c) for c in columns], [*columns, *added]
-    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in columns] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("loss", T.DoubleType())])
+    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in columns] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("known", T.DoubleType())])
     return rows.mapInArrow(run, schema)
 
 
@@ -221,11 +220,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", held_out(F.col("doc_id"), modulus, remainder).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, reject_loss: float = REJECT_LOSS) -> DataFrame:
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, min_known: float = MIN_KNOWN) -> DataFrame:
     """The rows of ``docs`` in a learned language.
 
-    Rejected are texts without a letter (null and empty ones too) and those
-    whose nearest codeword has a loss of ``reject_loss`` or more, for they are
+    Rejected are texts without a letter (null and empty ones too) and those of
+    whose trigrams the classifiers know less than ``min_known``, for they are
     in no learned language.  An ambiguous text stays: a text in two languages
     is not junk.  Where fewer than two languages can be learned, nothing tells
     them from others, and texts with a letter stay.
@@ -233,8 +232,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = train(docs, id_col, text_col, lang_col, sample_rows)
     if model is None or len(model.languages) < 2:
         return docs.filter(F.col(text_col).rlike(r"\p{L}"))
-    ours = {"lang_pred", "score", "ambiguous", "loss"}
+    ours = {"lang_pred", "score", "ambiguous", "known"}
     # columns of the same names travel under others
     held = docs.withColumnsRenamed({c: f"__held_{c}" for c in docs.columns if c in ours})
-    kept = identify(held, model, text_col).filter((F.col("lang_pred") != "und") & (F.col("loss") < reject_loss)).select(held.columns)
+    kept = identify(held, model, text_col).filter((F.col("lang_pred") != "und") & (F.col("known") >= min_known)).select(held.columns)
     return kept.toDF(*docs.columns)

@@ -77,7 +77,7 @@ def test_texts_in_no_learned_language_are_rejected(spark):
     mixed = [(2000, rows[0][1] + " " + rows[1][1], None, 0.5), (2001, rows[0][1][:5], None, 0.5)]
     kept = {r.doc_id for r in keep_identified(spark.createDataFrame(rows + junk + mixed, "doc_id long, text string, lang string, score double")).collect()}
     assert kept >= {r[0] for r in rows + mixed}
-    assert len(kept & {r[0] for r in junk}) <= 20
+    assert len(kept & {r[0] for r in junk}) == 0
 
 
 def test_rare_languages_are_learned(spark):
@@ -108,4 +108,5 @@ def test_prediction_against_brute_force(spark):
             continue
         margins = [sum(float(c) * float(model.weights[i, b]) for i, c in enumerate(counts) if c) / float(counts.sum()) for b in range(model.codes.shape[1])]
         loss = {lang: sum(math.log1p(math.exp(-MARGIN_SCALE * m * int(code[b]))) * model.reliability[b] for b, m in enumerate(margins)) for lang, code in zip(model.languages, model.codes)}
-        assert abs(loss[r.lang_pred] - min(loss.values())) < 1e-5 and abs(r.loss - min(loss.values())) < 1e-5
+        assert abs(loss[r.lang_pred] - min(loss.values())) < 1e-5
+        assert abs(r.known - sum(float(c) for i, c in enumerate(counts) if model.known[i]) / float(counts.sum())) < 1e-6
