@@ -20,8 +20,10 @@ takes no further pass and no more memory there.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ MIN_WORDS = 13
 MIN_ITEM_WORDS = 5
 #: Bits of the hash that name a bit of the bitmap: 128 KB at least and 16 MB at most.
 MIN_GATE_BITS, MAX_GATE_BITS = 20, 27
-VOCABULARY = 1_000_000
+#: Words that a task remembers.
+VOCABULARY = 400_000
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 #: Fixed list: common units of measure.
@@ -50,6 +53,19 @@ _SLOTS = {_NUMBER: "<number>", _CAPITAL: "<name>", _UNIT: "<unit>"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Ids(dict):
+    """Numbers of words in the order of their first use; a known word costs no call."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        self.learn(word, i)
+        return i
+
+
 class Canonicaliser:
     """Template tokens of texts, with a bounded memo of words."""
 
@@ -58,29 +74,25 @@ class Canonicaliser:
         self.slot_hash = {k: np.uint64(xxhash.xxh64_intdigest(v)) for k, v in _SLOTS.items()}
 
     def _forget(self):
-        self.ids: dict[str, int] = {}
+        self.ids = _Ids(self._learn)
         self.hash = np.zeros(1024, np.uint64)
         self.kind = np.zeros(1024, np.uint8)
 
-    def _id(self, word: str) -> int:
-        i = self.ids.get(word)
-        if i is None:
-            i = self.ids[word] = len(self.ids)
-            if i >= len(self.hash):
-                self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
-            low = word.lower()
-            self.hash[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-            self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() and not word.isupper() else _UNIT if low in UNITS else 0
-        return i
+    def _learn(self, word: str, i: int) -> None:
+        if i >= len(self.hash):
+            self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
+        low = word.lower()
+        self.hash[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() and not word.isupper() else _UNIT if low in UNITS else 0
 
-    def template(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(words, hash of each lower-cased word, hash of each template token, kind of its slot or 0)."""
+    def template(self, text: str) -> tuple[Iterator[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(words, which few texts are asked for, hash of each lower-cased word, hash of each template token, kind of its slot or 0)."""
         if len(self.ids) > VOCABULARY:
             self._forget()
         words = TOKEN.findall(text)
         if not words:
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-        ids = np.fromiter(map(self._id, words), np.int64, len(words))
+            return iter(()), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         plain, kind = self.hash[ids], self.kind[ids]
         before = np.concatenate([[_MARK], kind[:-1]]).astype(np.uint8)
         slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _CAPITAL) & (before != _MARK), _CAPITAL, np.where((kind == _UNIT) & (before == _NUMBER), _UNIT, 0))).astype(np.uint8)
@@ -88,9 +100,7 @@ class Canonicaliser:
         for k, value in self.slot_hash.items():
             h[slot == k] = value
         keep = kind != _MARK
-        if not keep.all():
-            words = [w for w, ok in zip(words, keep.tolist()) if ok]
-        return words, plain[keep], h[keep], slot[keep]
+        return itertools.compress(words, keep), plain[keep], h[keep], slot[keep]
 
 
 def rolling(h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -152,6 +162,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, plain, h, slot = canon.template(text)
+                words = list(words)
                 if not words:
                     continue
                 form = xxhash.xxh3_64_intdigest(_form(words, slot).encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -208,7 +219,9 @@ def _hits(docs: DataFrame, gate: np.ndarray, lengths: list[tuple[bool, int]]) ->
                     maybe = np.flatnonzero((gate[(bit >> np.uint64(3)).astype(np.int64)] << (bit & np.uint64(7)).astype(np.uint8)) & 128)
                     if copied and n < MIN_ITEM_WORDS and len(maybe):  # short items may stand in a text at every other word
                         maybe = maybe[np.unique(hs[maybe], return_index=True)[1]]
-                    rows += [(i, *_window(copied, words, slot, int(at[j]), n, hs[j])) for j in maybe]
+                    if len(maybe):
+                        words = list(words)
+                        rows += [(i, *_window(copied, words, slot, int(at[j]), n, hs[j])) for j in maybe]
             if rows:
                 which, *cols = zip(*rows)
                 take = pa.array(which, pa.int32())

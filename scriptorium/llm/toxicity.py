@@ -30,35 +30,47 @@ BITS = 20
 SAMPLE_ROWS = 12_000
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
-VOCABULARY = 1_000_000
+#: Words that a task remembers.
+VOCABULARY = 400_000
 WORD = re.compile(r"\w+")
 STEM_LETTERS = 6
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
+class _Hashes(dict):
+    """Hashes of words, a known word without a call."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+class _Stems(dict):
+    """Hashes of the stems of words, 0 for words that are no longer than a stem."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(("<" + word[:STEM_LETTERS]).encode("utf-8", "surrogatepass")) if len(word) > STEM_LETTERS else 0
+        return h
+
+
 class Features:
     """Hashed features of texts, with a bounded memo of words."""
 
     def __init__(self):
-        self.words: dict[str, int] = {}
-
-    def _hash(self, word: str) -> int:
-        h = self.words.get(word)
-        if h is None:
-            h = self.words[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+        self.words, self.stems = _Hashes(), _Stems()
 
     def of(self, text: str) -> np.ndarray:
         """Coordinates of words, stems, pairs and skip-grams, with repeats."""
         if len(self.words) > VOCABULARY:
             self.words.clear()
+            self.stems.clear()
         words = WORD.findall(text.lower())
-        h = np.fromiter(map(self._hash, words), np.uint64, len(words))
-        stems = np.fromiter([self._hash("<" + w[:STEM_LETTERS]) for w in words if len(w) > STEM_LETTERS], np.uint64)
+        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        stems = np.fromiter(map(self.stems.__getitem__, words), np.uint64, len(words))
         pairs = (h[:-1] * _A + h[1:] * _B + np.uint64(1)) * _C
         skips = (h[:-2] * _A + h[2:] * _B + np.uint64(2)) * _C
-        return (np.concatenate([h * _C, stems * _C, pairs, skips]) >> np.uint64(64 - BITS)).astype(np.int64)
+        return (np.concatenate([h * _C, stems[stems != 0] * _C, pairs, skips]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class FTRL:

@@ -65,6 +65,7 @@ def gathered(doc, item):
     """The rule for templates, over all offsets and without hashes."""
     canon = Canonicaliser()
     (w, _, h, _), (x, _, g, slot) = canon.template(doc), canon.template(item)
+    w, x = list(w), list(x)
     if len(x) < 5:
         return False
     n = min(8, len(x))
