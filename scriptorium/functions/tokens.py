@@ -27,13 +27,14 @@ def nfkc(values: pa.Array) -> pa.Array:
 
 
 def with_nfkc(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the NFKC form of a column.
+    """``df`` with the NFKC form of a column, in one pass.
 
-    Spark has no such function.  Rows of characters that are their own form,
-    most of all text, stay in the JVM; the rest goes through Arrow.
+    Spark has no such function.  Texts of characters that are their own form,
+    most of all text, stay in the JVM and are nulls on the way through Arrow.
     """
-    stable = F.coalesce(F.col(column).rlike(NFKC_STABLE), F.lit(True))
-    return df.filter(stable).withColumn(out, F.col(column)).unionByName(df.filter(~stable).withColumn(out, nfkc(column)))
+    c = F.col(column)
+    other = F.when(~F.coalesce(c.rlike(NFKC_STABLE), F.lit(True)), c)
+    return df.withColumn(out, F.coalesce(nfkc(other), c))
 
 
 def terms_of(normal: Column) -> Column:

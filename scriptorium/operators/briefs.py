@@ -14,6 +14,9 @@ from .projection import ordered_concat
 POLICY = "default-src 'none'; script-src 'none'; style-src 'unsafe-inline'; base-uri 'none'; form-action 'none'"
 
 
+WARNING = "What this page shows is old and not to be trusted. It holds no script and asks for nothing from elsewhere."
+
+
 def map_selection(events: DataFrame, chosen: DataFrame | None, limit: int = MAX_MAP_EVENTS) -> DataFrame:
     """Events to show with ``rank`` and whether the next shown is the next in the archive (``joined``).
 
@@ -83,12 +86,20 @@ def _page(title: Column, body: Column) -> Column:
 
 
 def viewer(archives: DataFrame, events: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(archive_id, html): a static page of all messages with their notes; it holds no script."""
+    """(archive_id, html): a static page of all messages with their notes; it holds no script.
+
+    ``archives`` has archive_id, title, transcript_sha256 and confidence.
+    """
     notes = annotations.groupBy("archive_id", "event_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "kind", "note"))), lambda x: F.concat(F.lit("<li>"), safe_text(x["kind"]), F.lit(": "), safe_text(x["note"]), F.lit("</li>"))), "").alias("notes"))
     e = events.join(notes, ["archive_id", "event_id"], "left")
     part = F.concat(F.lit('<article id="'), safe_attribute(F.col("event_id")), F.lit('"><h2>'), safe_text(F.col("role")), F.lit("</h2><pre>"), safe_text(F.col("content")), F.lit("</pre><ul>"), F.coalesce("notes", F.lit("")), F.lit("</ul></article>"))
     body = _text(e, "sequence", part, "body")
-    return archives.join(body, "archive_id", "left").select("archive_id", _page(F.col("title"), F.concat(F.lit("<h1>"), safe_text(F.col("title")), F.lit("</h1>\n"), F.coalesce("body", F.lit("")))).alias("html"))
+    facts = F.concat(
+        F.lit("<dl><dt>Archive</dt><dd>"), F.col("archive_id").cast("string"), F.lit("</dd><dt>Capture confidence</dt><dd>"), safe_text(F.col("confidence")),
+        F.lit("</dd><dt>Transcript SHA-256</dt><dd>"), safe_text(F.col("transcript_sha256")), F.lit("</dd></dl>\n"),
+    )
+    page = F.concat(F.lit("<h1>"), safe_text(F.col("title")), F.lit(f"</h1>\n<p>{WARNING}</p>\n"), facts, F.coalesce("body", F.lit("")))
+    return archives.join(body, "archive_id", "left").select("archive_id", _page(F.col("title"), page).alias("html"))
 
 
 def map_viewer(archives: DataFrame, events: DataFrame, graph: DataFrame, chosen: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 from ..model import GRAPH_KINDS, MAX_MANUAL_EDGES
+from .integrity import signed_differences
 from .projection import inspect_events
 
 GRAPH_SCHEMA = "scriptorium-graph/1"
@@ -75,9 +76,7 @@ def link_events(graph: DataFrame, events: DataFrame, edges: DataFrame) -> DataFr
 def graph_differences(graph: DataFrame, events: DataFrame) -> DataFrame:
     """Edges that a stored graph has and a rebuilt one has not (side ``stored``), and the reverse (``missing``)."""
     columns = ["archive_id", "part", "rank", "from_id", "to_id", "kind"]
-    built = rebuild_graph(graph, events).select(columns)
-    stored = graph.select(columns)
-    return stored.exceptAll(built).withColumn("side", F.lit("stored")).unionByName(built.exceptAll(stored).withColumn("side", F.lit("missing")))
+    return signed_differences(graph, rebuild_graph(graph, events), columns, ("stored", "missing"))
 
 
 def inventory(events: DataFrame, graph: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sha256, utf16_order
 from ..functions.tokens import terms_of, with_nfkc
 from ..model import MAX_OCCURRENCES, MAX_TERMS
+from .integrity import signed_differences
 
 INDEX_SCHEMA = "scriptorium-index/1"
 
@@ -63,7 +64,5 @@ def index_hashes(index: DataFrame, archives: DataFrame, schema: str = INDEX_SCHE
 
 def index_differences(stored: DataFrame, events: DataFrame) -> DataFrame:
     """(archive_id, term, side) where a stored index and one built from the events differ."""
-    built = postings(event_terms(events)).select("archive_id", "term", "event_ids")
-    stored = stored.select("archive_id", "term", "event_ids")
-    extra = stored.exceptAll(built).select("archive_id", "term", F.lit("stored").alias("side"))
-    return extra.unionByName(built.exceptAll(stored).select("archive_id", "term", F.lit("missing").alias("side")))
+    differ = signed_differences(stored, postings(event_terms(events)), ["archive_id", "term", "event_ids"], ("stored", "missing"))
+    return differ.select("archive_id", "term", "side")

@@ -22,7 +22,7 @@ HASH = "^[0-9a-f]{64}$"
 EVENT_ID = r"^evt_[0-9]{4,}_[0-9a-f]{12}$"
 
 
-def _breaches(df: DataFrame, rules: dict[str, Column], subject: Column) -> DataFrame:
+def breaches(df: DataFrame, rules: dict[str, Column], subject: Column) -> DataFrame:
     """One pass over ``df``: a row for each rule whose condition for a breach holds."""
     found = F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in rules.items()])
     rows = df.select("archive_id", subject.cast("string").alias("subject"), F.explode(F.array_compact(found)).alias("rule"))
@@ -49,7 +49,7 @@ def event_violations(events: DataFrame) -> DataFrame:
         "event id repeated": F.col("_same") > 1,
         "too many events": (F.col("_n") > MAX_EVENTS) & (F.col("_at") == 0),
     }
-    return _breaches(e, rules, F.col("sequence"))
+    return breaches(e, rules, F.col("sequence"))
 
 
 def archive_violations(archives: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def archive_violations(archives: DataFrame) -> DataFrame:
         "transcript length differs": F.col("byte_length") != F.octet_length("transcript"),
         "created_at": F.try_to_timestamp("created_at").isNull(),
     }
-    return _breaches(archives, rules, F.col("archive_id"))
+    return breaches(archives, rules, F.col("archive_id"))
 
 
 def import_violations(imports: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def import_violations(imports: DataFrame) -> DataFrame:
         "content missing": F.exists(m, lambda x: x["content"].isNull()),
         "too large": size > MAX_IMPORT_BYTES,
     }
-    return _breaches(imports, rules, F.col("archive_id"))
+    return breaches(imports, rules, F.col("archive_id"))
 
 
 def field_violations(raw: DataFrame, allowed: list[str], column: str = "raw") -> DataFrame:
@@ -94,7 +94,7 @@ def annotation_violations(annotations: DataFrame, events: DataFrame, adding: boo
         "created_at": F.try_to_timestamp("created_at").isNull(),
         "too many": F.col("_n") > MAX_ANNOTATIONS,
     }
-    return _breaches(a, rules, F.col("pos"))
+    return breaches(a, rules, F.col("pos"))
 
 
 def index_violations(index: DataFrame, events: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def index_violations(index: DataFrame, events: DataFrame) -> DataFrame:
         "too many terms": (F.col("_terms") > MAX_TERMS) & (F.col("pos") == 0),
         "too many occurrences": (F.col("_all") > MAX_OCCURRENCES) & (F.col("pos") == 0),
     }
-    own = _breaches(i, rules, F.col("term"))
+    own = breaches(i, rules, F.col("term"))
     refs = index.select("archive_id", "term", F.explode("event_ids").alias("event_id"))
     lost = refs.join(events.select("archive_id", "event_id"), ["archive_id", "event_id"], "left_anti")
     return own.unionByName(lost.select("archive_id", F.lit("unknown event").alias("rule"), F.col("term").alias("subject")))
@@ -122,11 +122,17 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def signed_differences(stored: DataFrame, derived: DataFrame, columns: list[str], sides: tuple[str, str]) -> DataFrame:
+    """Rows that one table has more often than the other, as often as that, with their side; both are read once."""
+    both = stored.select(*columns, F.lit(1).alias("_n")).unionByName(derived.select(*columns, F.lit(-1).alias("_n")))
+    odd = both.groupBy(*columns).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    odd = odd.withColumn("side", F.when(F.col("_n") > 0, sides[0]).otherwise(sides[1]))
+    return odd.select(*columns, "side", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))).alias("_n")).drop("_n")
+
+
 def rederived_differences(stored: DataFrame, derived: DataFrame) -> DataFrame:
     """Rows only in the stored table or only in the derived one, with their side."""
-    columns = [c for c in derived.columns if c in stored.columns]
-    a, b = stored.select(columns), derived.select(columns)
-    return a.exceptAll(b).withColumn("side", F.lit("stored")).unionByName(b.exceptAll(a).withColumn("side", F.lit("derived")))
+    return signed_differences(stored, derived, [c for c in derived.columns if c in stored.columns], ("stored", "derived"))
 
 
 def recorder_caps(messages: DataFrame, max_message: int, max_messages: int, max_bytes: int) -> DataFrame:

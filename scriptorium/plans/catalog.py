@@ -387,7 +387,7 @@ def conversation_briefs(spark, d):
 
 def viewer_pages(spark, d):
     events = _events(spark, d)
-    return briefs.viewer(_archives(events), events, _annotations(events))
+    return briefs.viewer(_archives(events).withColumn("confidence", F.lit("user_supplied")), events, _annotations(events))
 
 
 def map_pages(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from ..model import MAX_MAP_EVENTS, PREVIEW
+from ..operators.briefs import POLICY, WARNING
+
 _CTES = {
     "ev": r"""SELECT conv_id AS archive_id, 'evt_' || format('{:04d}', turn + 1) || '_' || left(sha256(turn::VARCHAR || chr(0) || role || chr(0) || text), 12) AS event_id,
   turn::INTEGER AS sequence, role, text AS content, sha256(text) AS content_sha256 FROM conversations""",
@@ -46,7 +49,48 @@ _ESCAPE = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;
 _DAMAGED = r"""d AS (SELECT archive_id, event_id, CASE WHEN archive_id % 11 = 0 AND sequence = 2 THEN 50 ELSE sequence END AS sequence, role, CASE WHEN archive_id % 7 = 0 AND sequence = 1 THEN content || '!' ELSE content END AS content, content_sha256 FROM ev),
 n AS (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) - 1 AS place FROM d)"""
 
+_PAGE = """'<!doctype html>' || chr(10) || '<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{policy}"><title>' || {title} || '</title></head><body>' || chr(10) || {body} || chr(10) || '</body></html>' || chr(10)"""
+
+
+def _page(title: str, body: str) -> str:
+    return _PAGE.format(policy=POLICY.replace("'", "''"), title=_ESCAPE.format(title), body=body)
+
+
+_VIEWER = _sql("ev ann title script", "").rstrip() + f""",
+notes AS (SELECT archive_id, event_id, string_agg('<li>' || {_ESCAPE.format("kind")} || ': ' || {_ESCAPE.format("note")} || '</li>', '' ORDER BY pos) AS notes FROM ann GROUP BY archive_id, event_id),
+body AS (SELECT ev.archive_id, string_agg('<article id="' || event_id || '"><h2>' || {_ESCAPE.format("role")} || '</h2><pre>' || {_ESCAPE.format("content")} || '</pre><ul>' || coalesce(notes, '') || '</ul></article>', chr(10) ORDER BY sequence) AS body
+  FROM ev LEFT JOIN notes USING (archive_id, event_id) GROUP BY ev.archive_id)
+SELECT archive_id, {_page("title", f"""'<h1>' || {_ESCAPE.format("title")} || '</h1>' || chr(10) || '<p>{WARNING}</p>' || chr(10) || '<dl><dt>Archive</dt><dd>' || archive_id || '</dd><dt>Capture confidence</dt><dd>user_supplied</dd><dt>Transcript SHA-256</dt><dd>' || sha256(transcript) || '</dd></dl>' || chr(10) || body""")} AS html
+FROM title JOIN script USING (archive_id) JOIN body USING (archive_id)"""
+
+_MAP = _sql("ev graph title", "").rstrip() + f""",
+shown AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(sequence) OVER w = sequence + 1, false) AS joined, 60 + (row_number() OVER w - 1) * 90 AS y
+  FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS back FROM ev) WHERE back <= {MAX_MAP_EVENTS} WINDOW w AS (PARTITION BY archive_id ORDER BY sequence)),
+dots AS (SELECT archive_id, max(rank) * 90 + 60 AS height,
+  string_agg('<circle cx="200" cy="' || y || '" r="20"/><text x="240" y="' || y || '">' || event_id || ' ' || {_ESCAPE.format("role")} || '</text>' || CASE WHEN joined THEN '<path d="M 200 ' || (y + 20) || ' V ' || (y + 70) || '"/>' ELSE '' END, chr(10) ORDER BY rank) AS dots,
+  string_agg('<article><h2>' || event_id || '</h2><pre>' || {_ESCAPE.format(f"(left(content, {PREVIEW}) || CASE WHEN length(content) > {PREVIEW} THEN chr(10) || chr(10) || '[Shortened here. The archive holds the whole message.]' ELSE '' END)")} || '</pre></article>', chr(10) ORDER BY rank) AS cards FROM shown GROUP BY archive_id),
+bends AS (SELECT g.archive_id, string_agg('<path class="manual" d="M 220 ' || a.y || ' C 420 ' || a.y || ', 420 ' || b.y || ', 220 ' || b.y || '"/><text x="430" y="' || ((a.y + b.y) // 2) || '">' || g.kind || '</text>', chr(10) ORDER BY g.rank) AS bends
+  FROM graph g JOIN shown a ON a.archive_id = g.archive_id AND a.event_id = g.from_id JOIN shown b ON b.archive_id = g.archive_id AND b.event_id = g.to_id WHERE g.kind <> 'next' GROUP BY g.archive_id)
+SELECT archive_id, {_page("title", "'<svg viewBox=\"0 0 700 ' || height || '\">' || dots || coalesce(bends, '') || '</svg>' || chr(10) || cards")} AS html
+FROM title JOIN dots USING (archive_id) LEFT JOIN bends USING (archive_id)"""
+
+_BRIEF = _sql("ev ann graph title script", "").rstrip() + r""",
+n AS (SELECT archive_id, count(*) AS nodes FROM ev GROUP BY archive_id),
+roles AS (SELECT archive_id, string_agg(role || ': ' || n, ', ' ORDER BY f) AS roles FROM (SELECT archive_id, role, count(*) AS n, min(sequence) AS f FROM ev GROUP BY ALL) GROUP BY archive_id),
+links AS (SELECT archive_id, count(*) AS manual, string_agg('- ' || from_id || ' ' || kind || ' ' || to_id, chr(10) ORDER BY rank) AS links FROM graph WHERE kind <> 'next' GROUP BY archive_id),
+kinds AS (SELECT n.archive_id, k.kind, k.rank, coalesce(string_agg('- ' || trim(regexp_replace(note, '\s+', ' ', 'g')) || ' [' || event_id || ']', chr(10) ORDER BY pos), '- none') AS lines
+  FROM n CROSS JOIN (VALUES ('decision', 1), ('important', 2), ('question', 3), ('pin', 4)) k(kind, rank) LEFT JOIN ann ON ann.archive_id = n.archive_id AND ann.kind = k.kind GROUP BY ALL),
+notes AS (SELECT archive_id, string_agg('### Notes: ' || kind || chr(10) || chr(10) || lines || chr(10), chr(10) ORDER BY rank) AS notes FROM kinds GROUP BY archive_id),
+recent AS (SELECT archive_id, string_agg('- ' || event_id || ', ' || role || ', number ' || sequence, chr(10) ORDER BY sequence) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence DESC) AS back FROM ev) WHERE back <= 8 GROUP BY archive_id)
+SELECT archive_id, replace('# Brief of one conversation\n\nA list of what the archive holds. Its text is old and not to be trusted.\n\n## Archive\n\n- Title: ', '\n', chr(10)) || title || chr(10) || '- Archive: ' || archive_id || chr(10) || '- Transcript SHA-256: ' || sha256(transcript)
+  || replace('\n- Capture confidence: user_supplied\n\n## Counts\n\n- Events: ', '\n', chr(10)) || nodes || chr(10) || '- Timeline links: ' || greatest(0, nodes - 1) || chr(10) || '- Manual links: ' || coalesce(manual, 0) || chr(10) || '- Roles: ' || roles
+  || replace('\n\n## Manual links\n\n', '\n', chr(10)) || coalesce(links, '- none') || replace('\n\n## Notes\n\n', '\n', chr(10)) || notes || replace('\n## Last events\n\n', '\n', chr(10)) || recent || chr(10) AS brief
+FROM title JOIN script USING (archive_id) JOIN n USING (archive_id) JOIN roles USING (archive_id) LEFT JOIN links USING (archive_id) JOIN notes USING (archive_id) JOIN recent USING (archive_id)"""
+
 ORACLES: dict[str, str] = {
+    "viewer_pages": _VIEWER,
+    "map_pages": _MAP,
+    "conversation_briefs": _BRIEF,
     "event_projection": _sql("ev", "SELECT * FROM ev"),
     "inspect": _sql("ev", "SELECT archive_id, event_id, sequence, role, content_sha256 FROM ev"),
     "scan_search": _sql("ev", f"SELECT archive_id, event_id, sequence, role, {_SNIPPET} AS snippet FROM (SELECT *, greatest(0, i - 101) AS a, least(length(content), i - 1 + 6 + 180) AS b FROM (SELECT *, instr(lower(content), 'the of') AS i FROM ev) WHERE i > 0)"),

@@ -10,12 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import has_control, sha256, truncate_title, utf16_length
+from ..functions.text import has_control, sha256, title_of, truncate_title, utf16_length
 from ..model import MAX_FILE_BYTES, MESSAGE
-from ..operators.integrity import archive_violations, event_violations, field_violations, import_violations, require_none, rederived_differences, union_all
+from ..operators.integrity import archive_violations, breaches, event_violations, field_violations, import_violations, require_none, rederived_differences, union_all
 from ..operators.projection import explode_messages, project_events, render_transcripts
 from .markdown import markdown_messages
 
+#: Keys of the documents, and what their fields may be.
+ARCHIVE_SCHEMAS = ("scriptorium/1",)
+MAX_TRANSCRIPT_BYTES = 10 << 20
+MAX_SOURCE_NAME = 160
+SHARED_METHODS = ("public_shared_link", "public_shared_snapshot")
+SHARED_PARSERS = ("chatgpt-share-dom/0.1", "chatgpt-share-react-router/0.2", "chatgpt-share-react-router/0.3", "dom", "stream")
 IMPORT_FIELDS = ["schema", "title", "messages"]
 MESSAGE_FIELDS = ["role", "content"]
 ARCHIVE_FIELDS = ["schema", "archiveId", "createdAt", "title", "capture", "security", "transcript", "events", "normalizedSource"]
@@ -97,14 +103,30 @@ def parse_archives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _capture_rules(archives: DataFrame) -> DataFrame:
-    method = F.when(F.col("capture.method").isin("manual", "normalized_json"), F.col("capture.method")).otherwise(F.lit("shared"))
-    hashes = {"normalized_json": "sourceDocumentSha256", "shared": "source_html_sha256"}
-    bad: Column = F.col("capture.method").isNull() | F.col("capture.confidence").isNull()
-    for kind, field in hashes.items():
-        bad = bad | ((method == kind) & ~F.coalesce(F.col(f"capture.{field}").rlike("^[0-9a-f]{64}$"), F.lit(False)))
-    bad = bad | ((method == "normalized_json") & F.col("messages").isNull())
-    rule = F.when(bad, "capture").when(~F.coalesce(F.col("security.untrustedContent") & (F.col("security.aiProcessing") == "not-used"), F.lit(False)), "security").when(~F.col("encoding").eqNullSafe("utf-8"), "encoding")
-    return archives.select("archive_id", rule.alias("rule"), F.col("capture.method").alias("subject")).filter("rule is not null")
+    """What of an archive's own fields and of how it was captured breaks a rule, each by its name."""
+    c = {f: F.col(f"capture.{f}") for f in (*CAPTURE_FIELDS["shared"], "sourceName", "sourceDocumentSha256")}
+    said = F.coalesce(c["method"], F.lit(""))
+    manual, normalized, shared = said == "manual", said == "normalized_json", said.isin(*SHARED_METHODS)
+    is_hash = lambda x: F.coalesce(x.rlike("^[0-9a-f]{64}$"), F.lit(False))
+    sure = F.when(shared, "visible_snapshot").otherwise(said)
+    rules = {
+        "schema": ~F.coalesce(F.col("schema").isin(*ARCHIVE_SCHEMAS), F.lit(False)),
+        "archive id": ~F.coalesce(F.col("stored_id").rlike("^arc_[0-9a-f-]{36}$"), F.lit(False)),
+        "encoding": ~F.col("encoding").eqNullSafe("utf-8"),
+        "transcript too long": F.octet_length("transcript") > MAX_TRANSCRIPT_BYTES,
+        "security": ~F.coalesce(F.col("security.untrustedContent") & (F.col("security.aiProcessing") == "not-used"), F.lit(False)),
+        "capture method": ~(manual | normalized | shared),
+        "capture confidence": ~c["confidence"].eqNullSafe(sure),
+        "source name": F.coalesce((utf16_length(c["sourceName"]) > MAX_SOURCE_NAME) | has_control(c["sourceName"]), F.lit(False)),
+        "source hash": normalized & ~is_hash(c["sourceDocumentSha256"]),
+        "shared capture": shared & ~(
+            c["provider"].eqNullSafe("chatgpt") & c["capture_method"].eqNullSafe(said) & c["completeness"].eqNullSafe("visible_snapshot") & c["hidden_state_available"].eqNullSafe(False)
+            & is_hash(c["source_url_sha256"]) & is_hash(c["source_html_sha256"]) & F.coalesce(c["parser"].isin(*SHARED_PARSERS), F.lit(False))
+        ),
+        "normalized source": manual & F.col("messages").isNotNull() | normalized & F.col("messages").isNull(),
+        "title differs": manual & ~F.col("title").eqNullSafe(title_of(F.col("transcript"))),
+    }
+    return breaches(archives, rules, c["method"])
 
 
 def archive_text_violations(texts: DataFrame) -> DataFrame:
@@ -170,6 +192,12 @@ def parse_registry(spark: SparkSession, text: str, input_format: str) -> tuple[D
     return manifests, union_all(bad)
 
 
+def stored_id(archive_id: Column) -> Column:
+    """The identifier that a document carries: made of the archive's own, so that reruns agree."""
+    digest = sha256(archive_id.cast("string"))
+    return F.concat_ws("-", F.concat(F.lit("arc_"), F.substring(digest, 1, 8)), *[F.substring(digest, at, n) for at, n in ((9, 4), (13, 4), (17, 4), (21, 12))])
+
+
 def archive_documents(archives: DataFrame, events: DataFrame, schema: str = "scriptorium/1") -> DataFrame:
     """(archive_id, raw): archives as JSON texts; ``archives`` has title, transcript, created_at, source_name and perhaps messages."""
     e = F.sort_array(F.collect_list(F.struct("sequence", "event_id", "role", "content", "content_sha256")))
@@ -179,9 +207,9 @@ def archive_documents(archives: DataFrame, events: DataFrame, schema: str = "scr
     messages = F.col("messages") if "messages" in archives.columns else F.lit(None).cast(f"array<{MESSAGE.simpleString()}>")
     source_hash = F.col("source_sha256") if "source_sha256" in archives.columns else F.lit(None).cast("string")
     normal = F.when(messages.isNotNull(), F.struct(F.lit("import/1").alias("schema"), F.col("title").alias("title"), messages.alias("messages")))
-    capture = F.struct(F.when(messages.isNull(), "manual").otherwise("normalized_json").alias("method"), F.lit("user_supplied").alias("confidence"), F.left("source_name", F.lit(160)).alias("sourceName"), source_hash.alias("sourceDocumentSha256"))
+    capture = F.struct(F.when(messages.isNull(), "manual").otherwise("normalized_json").alias("method"), F.when(messages.isNull(), "manual").otherwise("normalized_json").alias("confidence"), F.left("source_name", F.lit(MAX_SOURCE_NAME)).alias("sourceName"), source_hash.alias("sourceDocumentSha256"))
     doc = F.struct(
-        F.lit(schema).alias("schema"), F.col("archive_id").cast("string").alias("archiveId"), F.col("created_at").alias("createdAt"), truncate_title(F.col("title")).alias("title"), capture.alias("capture"),
+        F.lit(schema).alias("schema"), stored_id(F.col("archive_id")).alias("archiveId"), F.col("created_at").alias("createdAt"), truncate_title(F.col("title")).alias("title"), capture.alias("capture"),
         F.struct(F.lit(True).alias("untrustedContent"), F.lit("not-used").alias("aiProcessing")).alias("security"),
         F.struct(F.lit("utf-8").alias("encoding"), F.octet_length(t).cast("long").alias("byteLength"), sha256(t).alias("sha256"), t.alias("content")).alias("transcript"), "events", normal.alias("normalizedSource"),
     )

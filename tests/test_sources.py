@@ -115,6 +115,18 @@ def test_markdown_and_archive_round_trip(spark, tmp_path):
     for r in documents.archive_text_violations(texts).collect():
         found.setdefault(r.archive_id, set()).add(r.rule)
     assert 3 not in found and found[2] == {"unknown field"} and {"transcript hash differs", "content hash differs"} <= found[1]
+    doc = json.loads(raw)
+    damaged = {
+        "archive id": {"archiveId": "arc_x"}, "schema": {"schema": "other/1"}, "title differs": {"title": "Another"}, "capture method": {"capture": doc["capture"] | {"method": "guess", "confidence": "guess"}},
+        "capture confidence": {"capture": doc["capture"] | {"confidence": "normalized_json"}}, "source name": {"capture": doc["capture"] | {"sourceName": "a\nb"}}, "encoding": {"transcript": doc["transcript"] | {"encoding": "utf-16"}},
+        "normalized source": {"normalizedSource": {"schema": "import/1", "title": "T", "messages": [{"role": "user", "content": "Hello"}]}}, "security": {"security": {"untrustedContent": False, "aiProcessing": "not-used"}},
+        "source hash": {"capture": doc["capture"] | {"method": "normalized_json", "confidence": "normalized_json"}}, "shared capture": {"capture": {"method": "public_shared_link", "confidence": "visible_snapshot", "provider": "other"}},
+    }
+    texts = spark.createDataFrame([(i, json.dumps(doc | change)) for i, change in enumerate(damaged.values())], "archive_id long, raw string")
+    found = {}
+    for r in documents.archive_text_violations(texts).collect():
+        found.setdefault(r.archive_id, set()).add(r.rule)
+    assert [rule in found[i] for i, rule in enumerate(damaged)] == [True] * len(damaged)
     tables.write_bundles(docs, archives, str(tmp_path / "bundle"))
     files_ = spark.read.parquet(str(tmp_path / "bundle"))
     assert {r.name for r in files_.collect()} == {"archive.json", "transcript.md", "README.md"}
