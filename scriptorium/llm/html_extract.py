@@ -6,8 +6,8 @@ neighbour in path order with the longer common prefix.  The lines of a pair
 are aligned by their longest common subsequence.  What both pages have belongs
 to the site and is deleted, wherever it stands; but two pages may carry the
 same article or the same passage, so a line that a page itself declares as its
-article goes only if three paths of the host have it and the pair's articles
-are not the same in half of their lines.
+article goes only if most paths of the host have it, three at least, and the
+pair's articles are not the same in half of their lines.
 
 What differs on each page no comparison finds: lines in menus, headers,
 footers, sidebars, forms, adverts, notices or comments, told by their elements
@@ -45,7 +45,7 @@ CHROME_WORDS = frozenset("nav navbar navigation menu menubar breadcrumb breadcru
 #: Fixed list: words that say nothing more in such a name.
 NEUTRAL_WORDS = frozenset("area bar block box btn button buttons col column container content element global group holder inner item items left link links list main module page panel right row section site slot top bottom unit wrap wrapper outer primary secondary the".split())
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: A line of a declared article is the site's if so many paths of the host have it.
+#: A line of a declared article is the site's if so many paths of the host, and most of them, have it.
 HOST_PATHS = 3
 
 
@@ -262,7 +262,9 @@ def shared_lines(lines: DataFrame) -> DataFrame:
     site = asked
     if n:
         places = lines.select("host", "path", F.explode("lines").alias("line")).join(asked, (F.col("host") == F.col("_host")) & (F.col("line") == F.col("_line")), "left_semi")
-        site = places.distinct().groupBy(F.col("host").alias("_host"), F.col("line").alias("_line")).count().filter(F.col("count") >= HOST_PATHS)
+        paths = lines.select("host", "path").distinct().groupBy(F.col("host").alias("_h")).agg(F.count("*").alias("_paths"))
+        site = places.distinct().groupBy(F.col("host").alias("_host"), F.col("line").alias("_line")).count()
+        site = site.join(paths, F.col("_host") == F.col("_h")).filter((F.col("count") >= HOST_PATHS) & (2 * F.col("count") > F.col("_paths")))
         site, _ = sized(site.select("_host", "_line"))
     gone = shared.filter("not article").select("page_hash", "at").unionByName(shared.filter("article").join(site, (F.col("host") == F.col("_host")) & (F.col("line") == F.col("_line")), "left_semi").select("page_hash", "at"))
     return gone.groupBy("page_hash").agg(F.collect_set("at").alias("deleted"))

@@ -96,7 +96,7 @@ def brute(rows):
         if all(k in shared for k in seen):
             shared = set()
         same = 2 * len([k for k in article if k in shared]) >= max(1, len(article))
-        often = lambda t: sum(any(x == t for x, _ in lines) for lines in pages.values()) >= 3
+        often = lambda t: sum(any(x == t for x, _ in lines) for lines in pages.values()) >= max(3, len(pages) // 2 + 1)
         out[path] = "\n".join(mine[k][0] for k in seen if k not in shared or mine[k][1] == 1 and (same or not often(mine[k][0])))
     return out
 
@@ -108,8 +108,10 @@ def site(seed):
         section = int(rng.integers(4))
         top = ["Site name"] + (["Section %d" % section] if rng.random() < 0.8 else [])
         body = [f"own line {i} {j}" for j in range(int(rng.integers(0, 6)))]
-        if rng.random() < 0.5:
+        if rng.random() < 0.7:
             body.insert(int(rng.integers(len(body) + 1)), "Share this with all your friends")
+        if rng.random() < 0.2:
+            body.append("A saying that many articles quote.")
         if rng.random() < 0.3:
             body.append(f"passage of two pages {i // 2}")
         if i % 10 == 1:
@@ -129,6 +131,7 @@ def test_whole_operator_against_brute_force(spark):
     # the comparison is what takes these lines away: they stand in no element that would tell
     declared = {path: "\n".join(t for t, kind in page_lines(page) if kind != 2) for path, page in rows}
     assert sum("Imprint" in t for t in declared.values()) == 60 and sum("Imprint" in t for t in got.values()) < 6
+    assert sum("many articles quote" in t for t in got.values()) > 3
     assert sum("Share this" in t for t in got.values()) < sum("Share this" in t for t in declared.values())
 
 
