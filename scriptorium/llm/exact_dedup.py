@@ -140,8 +140,8 @@ def _batches(schema: pa.Schema, rows: Iterator[tuple]) -> Iterator[pa.RecordBatc
 
 
 def hash_bits(rows: int) -> int:
-    """Leading bits of the content hash that name a range, so that a trie holds some thousand texts."""
-    return min(24, max(0, math.ceil(math.log2(max(rows, 1) / 4096))))
+    """Leading bits of the content hash that name a range, so that a trie holds some hundred texts."""
+    return min(24, max(0, math.ceil(math.log2(max(rows, 1) / 512))))
 
 
 def _range(content_hash: int, bits: int) -> int:

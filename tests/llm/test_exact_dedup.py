@@ -58,7 +58,7 @@ def test_subtrees_spilled_after_the_shuffle_are_merged(spark):
     keyed = rows.select("id", F.xxhash64("text").alias("content_hash"), F.col("text").cast("binary").alias("content"))
     got = owners_of_copies(keyed, False, 0, 200).collect()
     assert sorted((r.keep_id, r.group_size) for r in got) == [(i, 2) for i in range(60)]
-    assert hash_bits(0) == 0 and hash_bits(1 << 20) == 8 and hash_bits(10**15) == 24
+    assert hash_bits(0) == 0 and hash_bits(1 << 20) == 11 and hash_bits(10**15) == 24
 
 
 def test_groups_against_brute_force(spark):
