@@ -18,10 +18,11 @@ from ..functions.tokens import terms_of, with_nfkc
 from ..model import messages_of
 from ..operators import briefs, evidence, graph, index, integrity, planning, projects, search
 from ..operators.canonical import canonical_sha256
-from ..operators.projection import inspect_events, ordered_concat, project_events, render_transcripts
-from ..sources import documents, envelopes
+from ..operators.projection import explode_messages, inspect_events, ordered_concat, project_events, render_transcripts
+from ..sources import documents, envelopes, snapshots
+from ..sources import files as files_
 from ..sources.markdown import markdown_messages
-from ..sources.packages import pack_archives, read_packages
+from ..sources.packages import manifest_violations, pack_archives, read_packages
 from .oracles import ORACLES
 
 QUERY = "the and of"
@@ -411,6 +412,157 @@ def plan_check(spark, d):
     return planning.plan_violations(p, PROMPT, 512).filter("rule in ('consent', 'input chars')").select("archive_id", "rule")
 
 
+def _json(c):
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+
+
+def stream_pages(spark, d):
+    """Conversations written as router streams, flat graphs of strings and references, and read back."""
+    w = Window.partitionBy("archive_id").orderBy("sequence")
+    m = _messages(spark, d).withColumn("b", 13 + 8 * (F.row_number().over(w) - 1))
+    entries = F.format_string(
+        '{"_5":%d},{"_6":%d,"_7":%d,"_9":%d},"m%d",{"_8":%d},%s,{"_10":11,"_12":%d},[%d],%s',
+        F.col("b") + 1, F.col("b") + 2, F.col("b") + 3, F.col("b") + 5, F.col("b"), F.col("b") + 4, _json(F.col("role")), F.col("b") + 6, F.col("b") + 7, _json(F.col("content")),
+    )
+    m = m.withColumn("t", entries).withColumn("at", F.col("b").cast("string"))
+    graphs = ordered_concat(m, ["archive_id"], "sequence", "t", "nodes", ",").join(ordered_concat(m, ["archive_id"], "sequence", "at", "line", ","), "archive_id")
+    flat = F.concat(F.lit('[{"_1":2},"data",{"_3":4},"linear_conversation",['), "line", F.lit('],"message","id","author","role","content","content_type","text","parts",'), "nodes", F.lit("]"))
+    page = F.concat(F.lit("<title>T</title><script>window.__reactRouterContext.streamController.enqueue("), _json(flat), F.lit(");</script>"))
+    parsed = graphs.select("archive_id", parse_shared(page).alias("p"))
+    rows = parsed.select("archive_id", "p.parser", F.posexplode("p.messages").alias("sequence", "m"))
+    return project_events(rows.select("archive_id", "sequence", "m.role", "m.content")).join(rows.select("archive_id", "sequence", "parser"), ["archive_id", "sequence"])
+
+
+def _snapshots(spark, d):
+    """Pages with their metadata, of which some were cut, are by a stranger or have another hash."""
+    m = _messages(spark, d).filter("role in ('user', 'assistant')")
+    part = F.concat(F.lit('<article data-message-author-role="'), "role", F.lit('"><div><p>'), tx.escape_html(F.col("content")), F.lit("</p></div></article>"))
+    pages = ordered_concat(m.withColumn("t", part), ["archive_id"], "sequence", "t", "html")
+    damaged = lambda n, r: F.col("archive_id") % n == r
+    digest = tx.sha256(F.col("html"))
+    meta = F.to_json(F.struct(
+        F.lit("shared-snapshot/0.1").alias("schema"), F.when(damaged(7, 1), "stranger").otherwise("chatgpt").alias("provider"), F.lit(TIME).alias("capturedAt"), tx.sha256(F.lit("u")).alias("sourceUrlSha256"),
+        F.when(damaged(9, 2), F.reverse(digest)).otherwise(digest).alias("pageSha256"), F.octet_length("html").alias("byteLength"), F.lit("none").alias("parser"), F.lit("w").alias("warning"), F.when(damaged(11, 3), "x").alias("more"),
+    ))
+    return pages.select("archive_id", F.encode(F.when(damaged(5, 0), F.concat("html", F.lit(" "))).otherwise(F.col("html")), "UTF-8").alias("html_bytes"), meta.alias("meta"))
+
+
+def snapshot_checks(spark, d):
+    return snapshots.snapshot_violations(_snapshots(spark, d))
+
+
+def snapshot_events(spark, d):
+    _, events, _ = snapshots.import_snapshots(_snapshots(spark, d))
+    return events
+
+
+def _imports(spark, d, damaged):
+    """Conversations as normalised imports; damaged ones lack a title or messages, or have other roles, keys or schemas."""
+    events = _events(spark, d)
+    at = lambda n, r: (F.col("archive_id") % n == r) if damaged else F.lit(False)
+    events = events.withColumn("role", F.when(at(11, 2) & (F.col("sequence") == 0), "robot").otherwise(F.col("role"))).withColumn("name", F.when(at(17, 4) & (F.col("sequence") == 1), "x"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("sequence", "role", "content", "name"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["name"].alias("name")))
+    rows = events.groupBy("archive_id").agg(listed.alias("messages")).join(_titles(_events(spark, d)), "archive_id")
+    messages = F.when(at(13, 3), F.slice("messages", 1, 0)).otherwise(F.col("messages"))
+    doc = F.struct(F.when(at(19, 5), "other/1").otherwise("import/1").alias("schema"), F.when(at(7, 0), "").otherwise(F.col("title")).alias("title"), messages.alias("messages"), F.when(at(5, 1), "x").alias("more"))
+    return rows.select("archive_id", F.to_json(doc).alias("raw"))
+
+
+def import_checks(spark, d):
+    return documents.parse_imports(_imports(spark, d, True), "import/1")[1]
+
+
+def import_events(spark, d):
+    imports, _ = documents.parse_imports(_imports(spark, d, False), "import/1")
+    return project_events(explode_messages(imports))
+
+
+def _members(events):
+    return events.select((F.col("archive_id") / 10).cast("long").alias("project_id"), "archive_id").distinct()
+
+
+def project_checks(spark, d):
+    """Projects of ten archives with repeats, strangers, loops and unknown kinds."""
+    members = _members(_events(spark, d))
+    artifacts = members.select("project_id", F.concat(F.lit("file-"), "project_id").alias("artifact_id")).distinct()
+    a = F.col("archive_id")
+    edges = members.select("project_id", a, a.cast("string").alias("from_id"), F.when(a % 7 == 0, a).otherwise(a + 1).cast("string").alias("to_id"), F.when(a % 11 == 0, "other").when(a % 6 == 5, "related").otherwise("continues").alias("kind"))
+    claims = members.select(F.when(a % 9 == 0, F.col("project_id") + 1).otherwise(F.col("project_id")).alias("project_id"), F.concat(F.lit("c"), a).alias("claim_id"), "archive_id", F.when(a % 8 == 0, "guess").otherwise("decision").alias("kind"), F.when(a % 12 == 0, "").otherwise("n").alias("note"))
+    again = lambda df, n: df.unionByName(df.filter(a % n == 0))
+    return projects.project_violations(again(members, 13), artifacts, again(edges, 17), claims, id_formats=False)
+
+
+def claims_verify(spark, d):
+    """Claims of which some are about archives that have changed or events that are not there."""
+    events = _events(spark, d)
+    members = _members(events).withColumn("valid", F.col("archive_id") % 9 != 0)
+    claims = events.filter("sequence < 3").select((F.col("archive_id") / 10).cast("long").alias("project_id"), "archive_id", F.concat("archive_id", F.lit("/"), "sequence").alias("claim_id"), F.when(F.col("archive_id") % 5 == 0, F.reverse("event_id")).otherwise(F.col("event_id")).alias("event_id"))
+    return projects.verify_claims(claims, members, events)
+
+
+def project_handoffs(spark, d):
+    """Claims, links and first hits of each project as Markdown."""
+    events = _events(spark, d)
+    members = _members(events)
+    claims = _annotations(events).join(members, "archive_id").withColumn("claim_id", F.format_string("%08d-%05d", "archive_id", "pos"))
+    edges = members.select("project_id", F.col("archive_id").cast("string").alias("from_id"), (F.col("archive_id") + 1).cast("string").alias("to_id"), F.lit("continues").alias("kind"))
+    titles_ = events.select("archive_id", F.format_string("archive %08d", "archive_id").alias("title")).distinct()
+    hits = projects.search_projects(members, titles_, search.search_scan(events, PHRASE))
+    named = members.select("project_id", F.concat(F.lit("number "), "project_id").alias("name")).distinct()
+    return projects.project_handoff(named, claims, edges, hits, 5)
+
+
+def project_members(spark, d):
+    """Members of projects written as JSON documents and read back."""
+    members = _members(_events(spark, d))
+    entry = F.struct(F.concat(F.lit("a"), F.format_string("%08d", "archive_id")).alias("id"), F.concat(F.lit("archives/"), "archive_id").alias("path"))
+    texts = members.groupBy(F.col("project_id").alias("archive_id")).agg(F.sort_array(F.collect_list(entry)).alias("archives"))
+    raw = F.to_json(F.struct(F.lit("project/1").alias("schema"), F.concat(F.lit("p"), "archive_id").alias("projectId"), F.lit("n").alias("name"), F.lit(TIME).alias("createdAt"), "archives"))
+    return documents.parse_projects(texts.select("archive_id", raw.alias("raw")))["members"].select("project_id", "archive_id", "path")
+
+
+def package_checks(spark, d):
+    """Packages against manifests with a hash changed, an entry left out or one too many."""
+    events = _events(spark, d)
+    path = F.concat(F.lit("events/"), "event_id", F.lit(".md"))
+    files = read_packages(pack_archives(events.select("archive_id", path.alias("name"), F.encode("content", "UTF-8").alias("data"))))
+    damaged = (F.col("archive_id") % 7 == 0) & (F.col("sequence") == 1)
+    listed = events.filter("not (archive_id % 5 = 0 and sequence = 2)").select("archive_id", path.alias("path"), F.octet_length("content").alias("byteLength"), F.when(damaged, F.reverse("content_sha256")).otherwise(F.col("content_sha256")).alias("sha256"))
+    more = events.filter("archive_id % 11 = 0 and sequence = 0").select("archive_id", F.lit("more.md").alias("path"), F.lit(1).alias("byteLength"), "content_sha256")
+    return manifest_violations(files, listed.unionByName(more.withColumnRenamed("content_sha256", "sha256")))
+
+
+def linked_graphs(spark, d):
+    """A graph to which links over two events are added."""
+    events = _events(spark, d)
+    w = Window.partitionBy("archive_id").orderBy("sequence")
+    more = events.select("archive_id", F.col("event_id").alias("from_id"), F.lead("event_id", 2).over(w).alias("to_id"), F.lit("supports").alias("kind")).filter("to_id is not null")
+    return graph.link_events(graph.build_graph(events, _edges(events).filter("kind = 'answers'")), events, more)
+
+
+def share_urls(spark, d):
+    """Urls of pages, some of them as shared conversations have them, with ports, queries or without encryption."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    forms = ("https://chatgpt.com/share/%d", "https://g.co/gemini/share/%d", "http://chatgpt.com/share/%d", "https://chatgpt.com:444/share/%d", "https://claude.ai/share/%d?y=1", "https://claude.ai/share/%d")
+    url = F.element_at(F.array(*[F.format_string(f, "page_id") for f in forms], F.col("url")), (F.col("page_id") % 7 + 1).cast("int"))
+    return p.select("page_id", snapshots.share_provider(url).alias("provider"))
+
+
+def artifact_paths(spark, d):
+    """Paths of urls, whole and without their first character."""
+    p = spark.read.parquet(f"{d}/pages.parquet").withColumn("path", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1))
+    path = F.when(F.col("page_id") % 3 == 0, F.col("path")).when(F.col("page_id") % 3 == 1, F.concat(F.lit(".."), "path")).otherwise(F.substr("path", F.lit(2)))
+    return p.select("page_id", files_.is_relative_path(path).alias("relative"))
+
+
+def unsafe_texts(spark, d):
+    """Content with a bell, a tab or a line feed at the end of some."""
+    mark = F.element_at(F.array(F.lit("\a"), F.lit("\t"), F.lit("\n"), F.lit("")), (F.col("sequence") % 4 + 1).cast("int"))
+    c = F.concat(tx.one_line(F.col("content")), mark)
+    return _events(spark, d).select("archive_id", "event_id", tx.has_unsafe(c).alias("unsafe"), tx.has_control(c).alias("control"))
+
+
 QUERIES = (
     event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, top_hits, evidence_window, handoff_chain,
     head_budget, head_budget_bytes, raw_tail, raw_tail_excerpts, recent_fallback, evidence_union, prompt_packing, timeline_edges, manual_edges, graph_build,
@@ -418,6 +570,8 @@ QUERIES = (
     graph_payload_hash, recorder_caps, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
     shared_page_roundtrip, archive_roundtrip, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
+    stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, claims_verify, project_handoffs, project_members, package_checks,
+    linked_graphs, share_urls, artifact_paths, unsafe_texts,
 )
 
 
