@@ -86,6 +86,38 @@ o AS (SELECT r, words, sum(words) OVER (ORDER BY finish_at / target, source NULL
 got AS (SELECT r, sum(greatest(0, least(words, (SELECT floor(sum(size) * 1.5::DOUBLE) FROM d) - before)))::BIGINT AS taken FROM o GROUP BY r)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM r LEFT JOIN got USING (r)""".replace("QUANTUM", str(QUANTUM))
 
+# Every kept term of every group, with zeros, by the definition of the distance.
+_DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+dense AS (SELECT lang, source, term, coalesce(n, 0) AS n, total, v FROM own JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p FROM dense),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM dense GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+terms AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL BY NAME SELECT *, 'term' AS part FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+# Prefixes as lists of turns; a subtree is found by its members, without a walk.
+_CRC = "xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::UBIGINT), lambda v, x: list_reduce([xor(v, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda w, y: CASE WHEN w & 1 = 1 THEN xor(w >> 1, 3988292384::UBIGINT) ELSE w >> 1 END)), 4294967295::UBIGINT)"
+_TRIE = rf"""WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS turns FROM t GROUP BY c),
+h AS (SELECT *, ({_CRC} % 6)::BIGINT AS h FROM l),
+b AS (SELECT h.c, list_concat(coalesce(base.turns[1:h], []), h.turns[h + 1:]) AS turns FROM h LEFT JOIN l base ON base.c = h.c - h.c % 100),
+m AS (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM b),
+p AS (SELECT c, d, len(turns) = d AS ends, coalesce(length(turns[d].text), 0) AS chars, min(c) OVER (PARTITION BY d, turns[1:d]) AS node FROM m),
+n AS (SELECT node, d, count(*) AS n_convs, any_value(chars) AS chars, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ids FROM p GROUP BY node, d),
+k AS (SELECT n.*, up.node AS parent FROM n LEFT JOIN p up ON up.c = n.node AND up.d = n.d - 1),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM k GROUP BY ALL),
+sub AS (SELECT p.node, p.d, count(*) FILTER (kids.node IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.chars) AS saved FROM p JOIN n x ON x.node = p.c AND x.d >= p.d LEFT JOIN kids ON kids.node = x.node AND kids.d = x.d GROUP BY ALL)
+SELECT k.node AS conv_id, k.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM k JOIN sub USING (node, d) LEFT JOIN kids USING (node, d)"""
+
 
 def oracles() -> dict[str, str]:
-    return {"op1_url_filter": _url_filter(), "op4_exact_dedup": _EXACT_DEDUP, "op7_license_scan": _license_scan(), "op10_source_mix": _MIX}
+    return {"op1_url_filter": _url_filter(), "op4_exact_dedup": _EXACT_DEDUP, "op7_license_scan": _license_scan(), "op10_source_mix": _MIX, "op11_prefix_trie": _TRIE, "op12_source_divergence": _DIVERGENCE}

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import contaminated
+from .divergence import source_divergence
 from .exact_dedup import exact_groups
 from .html_extract import extract_text
 from .langid import language_id
 from .license_scan import scan_licenses
 from .mixing import mix
 from .oracles import oracles
+from .packing import pack
+from .prefix_trie import prefix_trie
 from .secret_scan import scan_secrets
 from .simhash import simhash_components
 from .toxicity import toxicity
@@ -63,8 +66,22 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_decontamination, op4_exact_dedup, op5_html_text, op6_toxicity, op7_license_scan, op8_language_id, op9_simhash, op10_source_mix)}
+    return {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_decontamination, op4_exact_dedup, op5_html_text, op6_toxicity, op7_license_scan, op8_language_id, op9_simhash, op10_source_mix, op11_prefix_trie, op12_source_divergence, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
