@@ -49,6 +49,17 @@ def is_valid_title(c: Column) -> Column:
     return c.isNotNull() & F.char_length(c).between(1, MAX_TITLE) & ~has_control(c)
 
 
+def is_relative_path(c: Column) -> Column:
+    """Whether a text is a relative path of plain segments."""
+    parts = F.split(c, r"[\\/]")
+    return utf16_length(c).between(1, 512) & ~has_control(c) & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
+
+
+def is_text(c: Column, most: int) -> Column:
+    """Whether a text has 1 to ``most`` UTF-16 units and no control characters; null has not."""
+    return F.coalesce(utf16_length(c).between(1, most) & ~has_control(c), F.lit(False))
+
+
 def close_fence(content: Column) -> Column:
     """Content with a closer for a Markdown fence that is open at its end.
 

@@ -22,11 +22,11 @@ HASH = "^[0-9a-f]{64}$"
 EVENT_ID = r"^evt_[0-9]{4,}_[0-9a-f]{12}$"
 
 
-def breaches(df: DataFrame, rules: dict[str, Column], subject: Column) -> DataFrame:
+def breaches(df: DataFrame, rules: dict[str, Column], subject: Column, key: str = "archive_id") -> DataFrame:
     """One pass over ``df``: a row for each rule whose condition for a breach holds."""
     found = F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(name)) for name, c in rules.items()])
-    rows = df.select("archive_id", subject.cast("string").alias("subject"), F.explode(F.array_compact(found)).alias("rule"))
-    return rows.select("archive_id", "rule", "subject")
+    rows = df.select(key, subject.cast("string").alias("subject"), F.explode(F.array_compact(found)).alias("rule"))
+    return rows.select(key, "rule", "subject")
 
 
 def require_none(violations: DataFrame, what: str) -> None:

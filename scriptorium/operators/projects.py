@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import utf16_length
+from ..functions.text import is_relative_path, is_text
 from ..model import MAX_NOTE_UNITS
-from .integrity import union_all
+from .integrity import EVENT_ID, HASH, breaches, union_all
 
 # Kinds and formats.
 EDGE_KINDS = ("related", "continues", "supersedes", "depends_on", "produced_by", "supports")
 CLAIM_KINDS = ("decision", "task", "question")
 ID_FORMATS = {"archive": r"^arc_[0-9a-f-]{36}$", "artifact": r"^art_[0-9a-f-]{36}$", "claim": r"^clm_[0-9a-f-]{36}$", "project": r"^prj_[0-9a-f-]{36}$"}
+ARTIFACT_KINDS = ("file", "repository")
+GIT_HEAD = "^[0-9a-f]{40,64}$"
 MAX_MEMBERS, MAX_LINKS = 200, 1_000
+MAX_NAME, MAX_ARTIFACT_NAME = 120, 160
 
 
 def new_project(spark, project_id: str, name: str, created_at: str) -> DataFrame:
@@ -33,31 +36,68 @@ def canonical_edges(edges: DataFrame) -> DataFrame:
     return edges.withColumn("_a", F.when(r, F.least("from_id", "to_id")).otherwise(F.col("from_id"))).withColumn("to_id", F.when(r, F.greatest("from_id", "to_id")).otherwise(F.col("to_id"))).withColumn("from_id", F.col("_a")).drop("_a")
 
 
-def project_violations(members: DataFrame, artifacts: DataFrame, edges: DataFrame, claims: DataFrame, id_formats: bool = True) -> DataFrame:
+def _node_rules(df: DataFrame, what: str, id_formats: bool) -> dict:
+    """Rules of a node's own fields, those of the columns that there are."""
+    key = f"{what}_id"
+    hash_ = lambda c: ~F.coalesce(F.col(c).rlike(HASH), F.lit(False))
+    rules = {"id format": ~F.col(key).cast("string").rlike(ID_FORMATS[what])} if id_formats else {}
+    have = set(df.columns)
+    if "path" in have:
+        rules[f"{what} path"] = ~F.coalesce(is_relative_path(F.col("path")), F.lit(False))
+    for c, most in (("title", MAX_NAME), ("name", MAX_ARTIFACT_NAME)):
+        if c in have:
+            rules[f"{what} {c}"] = ~is_text(F.col(c), most)
+    if what == "archive":
+        return rules | {f"{c} format": hash_(c) for c in ("transcript_sha256", "archive_sha256") if c in have}
+    if "kind" in have:
+        rules["artifact kind"] = ~F.coalesce(F.col("kind").isin(*ARTIFACT_KINDS), F.lit(False))
+        if "sha256" in have:
+            rules["file hash"] = F.coalesce((F.col("kind") == "file") & hash_("sha256"), F.lit(False))
+        if "head" in have:
+            rules["repository head"] = F.coalesce((F.col("kind") == "repository") & ~F.coalesce(F.col("head").rlike(GIT_HEAD), F.lit(False)), F.lit(False))
+    return rules
+
+
+def project_violations(members: DataFrame, artifacts: DataFrame, edges: DataFrame, claims: DataFrame, id_formats: bool = True, projects: DataFrame | None = None) -> DataFrame:
     """(project_id, rule, subject): formats, repeats, unknown ends, loops and excess.
 
     Members have project_id and archive_id, artifacts artifact_id, claims
-    claim_id, archive_id, event_id, kind and note.
+    claim_id, archive_id, kind and note; paths, titles, names, hashes, heads
+    and dates are checked where there is a column for them, and the forms of
+    identifiers, those of events too, with ``id_formats``.
+    ``projects`` have project_id, name and created_at.
     """
-    nodes = members.select("project_id", F.col("archive_id").cast("string").alias("id"), F.lit("archive").alias("what")).unionByName(artifacts.select("project_id", F.col("artifact_id").alias("id"), F.lit("artifact").alias("what")))
+    nodes = members.select("project_id", F.col("archive_id").cast("string").alias("id")).unionByName(artifacts.select("project_id", F.col("artifact_id").alias("id")))
     row = lambda df, rule, subject: df.select("project_id", F.lit(rule).alias("rule"), F.col(subject).cast("string").alias("subject"))
-    parts = [row(nodes.groupBy("project_id", "id").count().filter("count > 1"), "id repeated", "id")]
-    if id_formats:
-        bad = F.lit(False)
-        for what in ("archive", "artifact"):
-            bad = bad | ((F.col("what") == what) & ~F.col("id").rlike(ID_FORMATS[what]))
-        parts += [row(nodes.filter(bad), "id format", "id"), row(claims.filter(~F.col("claim_id").rlike(ID_FORMATS["claim"])), "id format", "claim_id")]
-    known = nodes.select("project_id", "id").distinct()
+    twice = lambda df, keys, rule, subject: row(df.groupBy(*keys).count().filter("count > 1"), rule, subject)
+    own = lambda df, rules, subject: breaches(df, rules, F.col(subject), "project_id")
+    parts = [twice(nodes, ["project_id", "id"], "id repeated", "id"), twice(claims, ["project_id", "claim_id"], "claim repeated", "claim_id")]
+    for df, what in ((members, "archive"), (artifacts, "artifact")):
+        if rules := _node_rules(df, what, id_formats):
+            parts.append(own(df, rules, f"{what}_id"))
+    known = nodes.distinct()
     for end in ("from_id", "to_id"):
         parts.append(row(edges.join(known.withColumnRenamed("id", end), ["project_id", end], "left_anti"), "unknown end", end))
     parts += [
         row(edges.filter("from_id = to_id"), "loop", "from_id"),
-        row(edges.filter(~F.col("kind").isin(*EDGE_KINDS)), "edge kind", "kind"),
+        row(edges.filter(~F.coalesce(F.col("kind").isin(*EDGE_KINDS), F.lit(False))), "edge kind", "kind"),
         row(edges.filter("kind = 'related' and from_id > to_id"), "not canonical", "from_id"),
-        row(edges.groupBy("project_id", "from_id", "to_id", "kind").count().filter("count > 1"), "edge repeated", "from_id"),
+        twice(edges, ["project_id", "from_id", "to_id", "kind"], "edge repeated", "from_id"),
         row(claims.join(members.select("project_id", "archive_id"), ["project_id", "archive_id"], "left_anti"), "claim of a stranger", "claim_id"),
-        row(claims.filter(~F.col("kind").isin(*CLAIM_KINDS) | ~utf16_length(F.col("note")).between(1, MAX_NOTE_UNITS)), "claim", "claim_id"),
     ]
+    rules = {"claim": ~F.coalesce(F.col("kind").isin(*CLAIM_KINDS), F.lit(False)) | ~is_text(F.col("note"), MAX_NOTE_UNITS)}
+    if id_formats:
+        rules["id format"] = ~F.col("claim_id").rlike(ID_FORMATS["claim"])
+        if "event_id" in claims.columns:
+            rules["claim event"] = ~F.col("event_id").rlike(EVENT_ID)
+    if "created_at" in claims.columns:
+        rules["claim created_at"] = F.try_to_timestamp("created_at").isNull()
+    parts.append(own(claims, rules, "claim_id"))
+    if projects is not None:
+        rules = {"name": ~is_text(F.col("name"), MAX_NAME), "created_at": F.try_to_timestamp("created_at").isNull()}
+        if id_formats:
+            rules["project id"] = ~F.col("project_id").rlike(ID_FORMATS["project"])
+        parts.append(own(projects, rules, "project_id"))
     for df, most in ((members, MAX_MEMBERS), (artifacts, MAX_MEMBERS), (edges, MAX_LINKS), (claims, MAX_LINKS)):
         parts.append(row(df.groupBy("project_id").count().filter(F.col("count") > most), "too many", "count"))
     return union_all(parts)

@@ -353,17 +353,43 @@ def shared_page_roundtrip(spark, d):
     return project_events(parsed.select("archive_id", F.posexplode("p.messages").alias("sequence", "m")).select("archive_id", "sequence", "m.role", "m.content"))
 
 
-def archive_roundtrip(spark, d):
-    """Archives written as JSON documents, checked as a whole and read back."""
-    events = _events(spark, d)
+def _documents(events):
+    """Archives made from normalised imports, as JSON documents."""
     messages = events.groupBy("archive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
     a = _archives(events).join(messages, "archive_id").select("*", F.lit(TIME).alias("created_at"), F.lit("conversations").alias("source_name"), F.col("transcript_sha256").alias("source_sha256"))
-    texts = documents.archive_documents(a, events)
+    return documents.archive_documents(a, events)
+
+
+def archive_roundtrip(spark, d):
+    """Archives written as JSON documents, checked as a whole and read back."""
+    texts = _documents(_events(spark, d))
     bad = documents.archive_text_violations(texts).select("archive_id").distinct()
     _, again = documents.parse_archives(texts.join(bad, "archive_id", "left_anti"))
     return again.select("archive_id", "event_id", "sequence", "role", "content_sha256")
 
 
+def archive_forgeries(spark, d):
+    """Archive documents forged so that hashes and lengths still fit: texts, keys, sources, captures and the order of events."""
+    texts = _documents(_events(spark, d)).withColumn("d", F.from_json("raw", documents.ARCHIVE))
+    at = lambda *r: (F.col("archive_id") % 11).isin(*r)
+    doc, more = F.col("d"), F.lit("x")
+    script = F.when(at(1), F.concat(doc["transcript"]["content"], more)).otherwise(doc["transcript"]["content"])
+    transcript = F.struct(F.lit("utf-8").alias("encoding"), F.octet_length(script).cast("long").alias("byteLength"), tx.sha256(script).alias("sha256"), script.alias("content"))
+    message = lambda m, i: F.struct(F.when(at(8) & (i == 0), "robot").otherwise(m["role"]).alias("role"), F.when(at(7) & (i == 0), more).otherwise(m["content"]).alias("content"), F.when(at(9) & (i == 1), more).alias("more"))
+    source = F.struct(F.when(at(8), "other/1").otherwise("import/1").alias("schema"), doc["normalizedSource"]["title"].alias("title"), F.transform(doc["normalizedSource"]["messages"], message).alias("messages"), F.when(at(4), more).alias("more"))
+    as_shared = {"method": "public_shared_link", "confidence": "visible_snapshot", "provider": "chatgpt", "capture_method": "public_shared_link", "completeness": "visible_snapshot", "hidden_state_available": False, "source_url_sha256": "0" * 64, "source_html_sha256": "1" * 64, "parser": "dom"}
+    own = lambda f: F.when(~at(5, 6), doc["capture"][f]) if f in documents.CAPTURE_FIELDS["normalized_json"] else F.lit(None)
+    # fields that are null are not written
+    capture = F.struct(*[F.coalesce(own(f), F.when(at(5, 6), F.lit(as_shared.get(f)))).alias(f) for f in {**dict.fromkeys(documents.CAPTURE_FIELDS["normalized_json"]), **as_shared}])
+    events = F.when(at(10), F.reverse(doc["events"])).otherwise(doc["events"])
+    events = F.transform(events, lambda e, i: e.withField("more", F.when(at(3) & (i == 0), more)))
+    forged = F.struct(
+        doc["schema"].alias("schema"), doc["archiveId"].alias("archiveId"), doc["createdAt"].alias("createdAt"), F.when(at(2), more).otherwise(doc["title"]).alias("title"), capture.alias("capture"),
+        doc["security"].withField("more", F.when(at(3), more)).alias("security"), transcript.alias("transcript"), events.alias("events"), F.when(~at(6), source).alias("normalizedSource"),
+    )
+    return documents.archive_text_violations(texts.select("archive_id", F.to_json(forged).alias("raw")))
+
+
 def envelope_roundtrip(spark, d):
     """Transcripts encrypted and decrypted."""
     a = _archives(_events(spark, d)).select("archive_id", F.encode("transcript", "UTF-8").alias("content"))
@@ -493,6 +519,33 @@ def project_checks(spark, d):
     return projects.project_violations(again(members, 13), artifacts, again(edges, 17), claims, id_formats=False)
 
 
+def project_forgeries(spark, d):
+    """Projects of ten archives as JSON documents, with faults in the fields of every part."""
+    events = _events(spark, d)
+    first = events.filter("sequence = 0").select((F.col("archive_id") / 10).cast("long").alias("p"), F.col("archive_id").alias("a"), "event_id", tx.sha256(F.col("archive_id").cast("string")).alias("h"))
+    a, h = F.col("a"), F.col("h")
+    at = lambda n, r: a % n == r
+    named = lambda prefix, digest: F.concat(F.lit(prefix), F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 27))
+    member = named("arc_", h)
+    parts = first.select(
+        "p",
+        F.struct(F.when(at(23, 4), "arc_x").otherwise(member).alias("id"), F.when(at(7, 1), "../a").when(at(7, 2), "/a").otherwise(F.concat(F.lit("archives/"), a)).alias("path"), F.when(at(9, 3), F.concat(a, F.lit("\n"))).when(at(9, 4), "").otherwise("T").alias("title"),
+                 F.when(at(11, 5), F.upper(h)).otherwise(h).alias("transcriptSha256"), F.when(~at(13, 6), h).alias("archiveSha256"), F.when(at(17, 7), "x").alias("more")).alias("archive"),
+        F.struct(F.when(at(10, 9), "art_y").otherwise(named("art_", h)).alias("id"), F.when(at(5, 1), "link").when(at(2, 0), "file").otherwise("repository").alias("kind"), F.lit("d/f").alias("path"), F.when(at(8, 2), F.repeat(F.lit("n"), F.lit(161))).otherwise("n").alias("name"),
+                 F.when(at(2, 0), F.when(~at(3, 2), h)).alias("sha256"), F.when(at(2, 1), F.when(at(3, 1), F.left(h, F.lit(39))).otherwise(F.left(h, F.lit(40)))).alias("head")).alias("artifact"),
+        F.struct(member.alias("from"), F.when(at(7, 0), member).otherwise(named("art_", h)).alias("to"), F.when(at(6, 1), "other").when(at(6, 2), "related").otherwise("supports").alias("kind")).alias("edge"),
+        F.struct(named("clm_", F.when(at(4, 3), tx.sha256((a - 1).cast("string"))).otherwise(h)).alias("id"), member.alias("archiveId"), F.when(at(5, 2), F.substring("event_id", 1, 20)).otherwise(F.col("event_id")).alias("eventId"), F.when(at(6, 5), "guess").otherwise("task").alias("kind"),
+                 F.when(at(7, 6), "\t").otherwise("n").alias("note"), F.when(at(8, 7), "yesterday").otherwise(TIME).alias("createdAt")).alias("claim"),
+    )
+    listed = parts.groupBy("p").agg(*[F.sort_array(F.collect_list(c)).alias(f"{c}s") for c in ("archive", "artifact", "edge", "claim")])
+    p = F.col("p")
+    doc = F.struct(
+        F.when(p % 3 == 1, "other/1").otherwise(documents.PROJECT_SCHEMA).alias("schema"), named("prj_", tx.sha256(p.cast("string"))).alias("projectId"), F.when(p % 4 == 2, "").otherwise("P").alias("name"), F.when(p % 5 != 3, TIME).alias("createdAt"),
+        "archives", "artifacts", "edges", "claims",
+    )
+    return documents.project_text_violations(listed.select(p.alias("archive_id"), F.to_json(doc).alias("raw")))
+
+
 def claims_verify(spark, d):
     """Claims of which some are about archives that have changed or events that are not there."""
     events = _events(spark, d)
@@ -569,8 +622,8 @@ QUERIES = (
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
     graph_payload_hash, recorder_caps, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
-    shared_page_roundtrip, archive_roundtrip, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
-    stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, claims_verify, project_handoffs, project_members, package_checks,
+    shared_page_roundtrip, archive_roundtrip, archive_forgeries, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
+    stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, claims_verify, project_handoffs, project_members, package_checks,
     linked_graphs, share_urls, artifact_paths, unsafe_texts,
 )
 

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import has_control, sha256, title_of, truncate_title, utf16_length
-from ..model import MAX_FILE_BYTES, MESSAGE
+from ..model import MAX_FILE_BYTES, MESSAGE, SHARED_ROLES
 from ..operators.integrity import archive_violations, breaches, event_violations, field_violations, import_violations, require_none, rederived_differences, union_all
 from ..operators.projection import explode_messages, project_events, render_transcripts
+from ..operators.projects import project_violations
+from ..operators.shapes import shape_violations
 from .markdown import markdown_messages
 
 #: Keys of the documents, and what their fields may be.
@@ -24,15 +26,22 @@ SHARED_METHODS = ("public_shared_link", "public_shared_snapshot")
 SHARED_PARSERS = ("chatgpt-share-dom/0.1", "chatgpt-share-react-router/0.2", "chatgpt-share-react-router/0.3", "dom", "stream")
 IMPORT_FIELDS = ["schema", "title", "messages"]
 MESSAGE_FIELDS = ["role", "content"]
-ARCHIVE_FIELDS = ["schema", "archiveId", "createdAt", "title", "capture", "security", "transcript", "events", "normalizedSource"]
-EVENT_FIELDS = ["id", "sequence", "role", "content", "contentSha256"]
-TRANSCRIPT_FIELDS = ["encoding", "byteLength", "sha256", "content"]
+IMPORT_SCHEMA = "import/1"
 MANIFEST_FIELDS = ["schema", "id", "name", "version", "inputFormat", "capabilities", "securityContact"]
 CAPTURE_FIELDS = {
     "manual": ["method", "confidence", "sourceName"],
     "normalized_json": ["method", "confidence", "sourceName", "sourceDocumentSha256"],
     "shared": ["method", "confidence", "provider", "capture_method", "completeness", "hidden_state_available", "source_url_sha256", "source_html_sha256", "parser"],
 }
+#: The keys of an archive at every depth, and their types; which keys a capture has depends on its method.
+ARCHIVE_SHAPE = {
+    "schema": "string", "archiveId": "string", "createdAt": "string", "title": "string",
+    "capture": {"method": "string", "confidence": "string"} | {f"{f}?": "boolean" if f == "hidden_state_available" else "string" for fields in CAPTURE_FIELDS.values() for f in fields[2:]},
+    "security": {"untrustedContent": "boolean", "aiProcessing": "string"},
+    "transcript": {"encoding": "string", "byteLength": "integer", "sha256": "string", "content": "string"},
+    "events": [{"id": "string", "sequence": "integer", "role": "string", "content": "string", "contentSha256": "string"}],
+    "normalizedSource?": {"schema": "string", "title": "string", "messages": [{"role": "string", "content": "string"}]},
+}
 IMPORT = "struct<schema:string,title:string,messages:array<struct<role:string,content:string>>>"
 ARCHIVE = (
     "struct<schema:string,archiveId:string,createdAt:string,title:string,"
@@ -96,6 +105,8 @@ def parse_archives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     archives = a.select(
         "archive_id", F.col("d.archiveId").alias("stored_id"), F.col("d.schema").alias("schema"), "d.title", F.col("d.createdAt").alias("created_at"), "d.capture", "d.security",
         F.col("d.transcript.content").alias("transcript"), F.col("d.transcript.sha256").alias("transcript_sha256"), F.col("d.transcript.byteLength").alias("byte_length"), F.col("d.transcript.encoding").alias("encoding"), F.col("d.normalizedSource.messages").alias("messages"),
+        F.col("d.normalizedSource.schema").alias("source_schema"), F.col("d.normalizedSource.title").alias("source_title"),
+        F.coalesce(F.forall(F.transform("d.events", lambda e, i: e["sequence"] == i), lambda x: F.coalesce(x, F.lit(False))), F.lit(True)).alias("in_order"),
     )
     e = a.select("archive_id", F.explode("d.events").alias("e"))
     events = e.select("archive_id", F.col("e.id").alias("event_id"), "e.sequence", "e.role", "e.content", F.col("e.contentSha256").alias("content_sha256"))
@@ -123,32 +134,52 @@ def _capture_rules(archives: DataFrame) -> DataFrame:
             c["provider"].eqNullSafe("chatgpt") & c["capture_method"].eqNullSafe(said) & c["completeness"].eqNullSafe("visible_snapshot") & c["hidden_state_available"].eqNullSafe(False)
             & is_hash(c["source_url_sha256"]) & is_hash(c["source_html_sha256"]) & F.coalesce(c["parser"].isin(*SHARED_PARSERS), F.lit(False))
         ),
-        "normalized source": manual & F.col("messages").isNotNull() | normalized & F.col("messages").isNull(),
+        "normalized source": F.when(manual, F.col("messages").isNotNull()).otherwise(F.col("messages").isNull() & (normalized | shared)),
+        "source schema": F.col("messages").isNotNull() & ~F.col("source_schema").eqNullSafe(IMPORT_SCHEMA),
+        "role not shown": shared & F.coalesce(F.exists("messages", lambda m: ~F.coalesce(m["role"].isin(*SHARED_ROLES), F.lit(False))), F.lit(False)),
+        "events out of order": ~F.col("in_order"),
         "title differs": manual & ~F.col("title").eqNullSafe(title_of(F.col("transcript"))),
     }
     return breaches(archives, rules, c["method"])
 
 
+def _source_rules(archives: DataFrame) -> DataFrame:
+    """Archives with a source that is no sound import, or whose title or transcript is not what the source renders to."""
+    source = archives.filter("messages is not null")
+    imports = source.select("archive_id", F.col("source_title").alias("title"), "messages")
+    rendered = render_transcripts(explode_messages(imports), imports.select("archive_id", "title")).withColumnRenamed("transcript", "_rendered")
+    # an import without messages breaks a rule of its own and renders to nothing
+    both = source.select("archive_id", "title", "source_title", "transcript").join(rendered, "archive_id")
+    differ = {"title differs from the source": ~F.col("title").eqNullSafe(F.col("source_title")), "transcript differs from the source": ~F.col("transcript").eqNullSafe(F.col("_rendered"))}
+    broken = import_violations(imports)
+    return breaches(both, differ, F.col("archive_id")).unionByName(broken.select("archive_id", F.concat(F.lit("source: "), "rule").alias("rule"), "subject"))
+
+
 def archive_text_violations(texts: DataFrame) -> DataFrame:
-    """Everything that is wrong with archive texts: fields, hashes, and events other than the source gives."""
+    """Everything that is wrong with archive texts.
+
+    Keys and types at every depth, the archive's own fields and hashes, the
+    source it was made from, and a title, transcript or events other than that
+    source gives.
+    """
     archives, events = parse_archives(texts)
-    captured = [texts.select("archive_id", F.get_json_object("raw", "$.capture").alias("raw"), F.get_json_object("raw", "$.capture.method").alias("m"))]
-    known = captured[0].filter(F.col("m").isin("manual", "normalized_json"))
+    captured = texts.select("archive_id", F.get_json_object("raw", "$.capture").alias("raw"), F.get_json_object("raw", "$.capture.method").alias("m"))
     parts = [
-        field_violations(texts, ARCHIVE_FIELDS),
-        field_violations(texts.select("archive_id", F.get_json_object("raw", "$.transcript").alias("raw")), TRANSCRIPT_FIELDS),
-        field_violations(known.filter("m = 'manual'"), CAPTURE_FIELDS["manual"]),
-        field_violations(known.filter("m = 'normalized_json'"), CAPTURE_FIELDS["normalized_json"]),
-        field_violations(captured[0].filter("m not in ('manual', 'normalized_json')"), CAPTURE_FIELDS["shared"]),
-        _nested_fields(texts, "$.events", EVENT_FIELDS),
+        shape_violations(texts, ARCHIVE_SHAPE),
+        field_violations(captured.filter("m = 'manual'"), CAPTURE_FIELDS["manual"]),
+        field_violations(captured.filter("m = 'normalized_json'"), CAPTURE_FIELDS["normalized_json"]),
+        field_violations(captured.filter("m not in ('manual', 'normalized_json')"), CAPTURE_FIELDS["shared"]),
         archive_violations(archives),
         event_violations(events),
         _capture_rules(archives),
+        _source_rules(archives),
     ]
     columns = ["archive_id", "event_id", "sequence", "role", "content", "content_sha256"]
-    spoken = archives.filter("messages is null").select("archive_id", "transcript")
-    derived = project_events(markdown_messages(spoken)).select(columns).unionByName(project_events(explode_messages(archives.filter("messages is not null").select("archive_id", "messages"))).select(columns))
-    differ = rederived_differences(events.select(columns), derived)
+    spoken = archives.filter("capture.method = 'manual'").select("archive_id", "transcript")
+    sources = archives.filter("capture.method <> 'manual' and messages is not null").select("archive_id", "messages")
+    derived = project_events(markdown_messages(spoken)).select(columns).unionByName(project_events(explode_messages(sources)).select(columns))
+    based = events.join(spoken.select("archive_id").unionByName(sources.select("archive_id")), "archive_id", "left_semi").select(columns)
+    differ = rederived_differences(based, derived)
     parts.append(differ.select("archive_id", F.lit("events differ from the source").alias("rule"), F.col("event_id").alias("subject")))
     return union_all(parts)
 
@@ -216,12 +247,14 @@ def archive_documents(archives: DataFrame, events: DataFrame, schema: str = "scr
     return j.select("archive_id", F.to_json(doc).alias("raw"))
 
 
-PROJECT_FIELDS = {
-    "": ["schema", "projectId", "name", "createdAt", "archives", "artifacts", "edges", "claims"],
-    "archives": ["id", "path", "title", "transcriptSha256", "archiveSha256"],
-    "artifacts": ["id", "kind", "path", "name", "sha256", "head"],
-    "edges": ["from", "to", "kind"],
-    "claims": ["id", "archiveId", "eventId", "kind", "note", "createdAt"],
+PROJECT_SCHEMA = "project/1"
+#: The keys of a project at every depth, and their types.
+PROJECT_SHAPE = {
+    "schema": "string", "projectId": "string", "name": "string", "createdAt": "string",
+    "archives": [{"id": "string", "path": "string", "title": "string", "transcriptSha256": "string", "archiveSha256": "string"}],
+    "artifacts": [{"id": "string", "kind": "string", "path": "string", "name": "string", "sha256?": "string", "head?": "string"}],
+    "edges": [{"from": "string", "to": "string", "kind": "string"}],
+    "claims": [{"id": "string", "archiveId": "string", "eventId": "string", "kind": "string", "note": "string", "createdAt": "string"}],
 }
 
 
@@ -229,13 +262,14 @@ def parse_projects(texts: DataFrame) -> dict[str, DataFrame]:
     """Relations of project texts (archive_id, raw): projects, members, artifacts, edges, claims, and violations of their fields."""
 
     def rows(name: str, fields: dict[str, str]) -> DataFrame:
-        kind = "array<struct<" + ",".join(f"`{f}`:string" for f in PROJECT_FIELDS[name]) + ">>"
+        kind = "array<struct<" + ",".join(f"`{f.removesuffix('?')}`:string" for f in PROJECT_SHAPE[name][0]) + ">>"
         r = texts.select(F.get_json_object("raw", "$.projectId").alias("project_id"), F.explode(F.from_json(F.get_json_object("raw", f"$.{name}"), kind)).alias("r"))
         return r.select("project_id", *[F.col(f"r.{f}").alias(c) for f, c in fields.items()])
 
-    bad = [field_violations(texts, PROJECT_FIELDS[""])] + [_nested_fields(texts, f"$.{n}", f) for n, f in PROJECT_FIELDS.items() if n]
+    fields = lambda shape: [f.removesuffix("?") for f in shape]
+    bad = [field_violations(texts, fields(PROJECT_SHAPE))] + [_nested_fields(texts, f"$.{n}", fields(s[0])) for n, s in PROJECT_SHAPE.items() if isinstance(s, list)]
     return {
-        "projects": texts.select(F.get_json_object("raw", "$.projectId").alias("project_id"), F.get_json_object("raw", "$.name").alias("name"), F.get_json_object("raw", "$.createdAt").alias("created_at")),
+        "projects": texts.select(F.get_json_object("raw", "$.projectId").alias("project_id"), F.get_json_object("raw", "$.schema").alias("schema"), F.get_json_object("raw", "$.name").alias("name"), F.get_json_object("raw", "$.createdAt").alias("created_at")),
         "members": rows("archives", {"id": "archive_id", "path": "path", "title": "title", "transcriptSha256": "transcript_sha256", "archiveSha256": "archive_sha256"}),
         "artifacts": rows("artifacts", {"id": "artifact_id", "kind": "kind", "path": "path", "name": "name", "sha256": "sha256", "head": "head"}),
         "edges": rows("edges", {"from": "from_id", "to": "to_id", "kind": "kind"}),
@@ -244,10 +278,19 @@ def parse_projects(texts: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def project_text_violations(texts: DataFrame, schema: str = PROJECT_SCHEMA) -> DataFrame:
+    """(project_id, rule, subject): everything that is wrong with project texts (archive_id, raw), at every depth and between their parts."""
+    p = parse_projects(texts)
+    named = texts.select("archive_id", F.get_json_object("raw", "$.projectId").alias("project_id"))
+    shaped = shape_violations(texts, PROJECT_SHAPE).join(named, "archive_id").select("project_id", "rule", "subject")
+    other = p["projects"].filter(~F.col("schema").eqNullSafe(schema)).select("project_id", F.lit("schema").alias("rule"), F.col("schema").alias("subject"))
+    return union_all([shaped, other, project_violations(p["members"], p["artifacts"], p["edges"], p["claims"], projects=p["projects"])])
+
+
 def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """:func:`parse_projects` of files; fields that are not known are an error."""
+    """:func:`parse_projects` of files; whatever is wrong with one is an error."""
     texts = read_texts(spark, path)
     require_none(file_violations(texts), "project file")
-    out = parse_projects(texts)
-    require_none(out["violations"], "project")
-    return out
+    bad = project_text_violations(texts)
+    require_none(bad.withColumnRenamed("project_id", "archive_id"), "project")
+    return parse_projects(texts)

@@ -5,22 +5,18 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import has_control, utf16_length
+from ..functions.text import is_relative_path
 from ..model import MAX_FILE_BYTES, InputError
 
+__all__ = ["file_artifacts", "git_head", "is_relative_path", "repository_artifact"]
+
 HEAD = re.compile(r"[0-9a-f]{40,64}")
 REFERENCE = re.compile(r"ref: (refs/[A-Za-z0-9._/-]+)")
 
 
-def is_relative_path(c: Column) -> Column:
-    """Whether a text is a relative path of plain segments."""
-    parts = F.split(c, r"[\\/]")
-    return utf16_length(c).between(1, 512) & ~has_control(c) & ~F.exists(parts, lambda p: p.isin("", ".", ".."))
-
-
 def file_artifacts(spark: SparkSession, path: str, root: str) -> DataFrame:
     """(path, name, sha256, head) of files, by their paths below ``root``; hashes are taken where files lie."""
     f = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)

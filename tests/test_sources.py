@@ -1,3 +1,4 @@
+import hashlib
 import json
 import zlib
 
@@ -8,7 +9,8 @@ from scriptorium.functions.flat_graph import revive
 from scriptorium.functions.html_text import shared_conversation, text_of
 from scriptorium.model import InputError
 from scriptorium.operators.integrity import recorder_caps
-from scriptorium.operators.projection import project_events
+from scriptorium.operators.projection import explode_messages, project_events, render_transcripts
+from scriptorium.operators.shapes import shape_violations
 from scriptorium.sinks import tables
 from scriptorium.sources import documents, envelopes, files, packages, snapshots
 from scriptorium.sources.markdown import import_markdown
@@ -135,6 +137,66 @@ def test_markdown_and_archive_round_trip(spark, tmp_path):
         tables.write_bundles(docs, archives, str(tmp_path / "bundle"))
 
 
+def rules_of(violations, key="archive_id"):
+    found = {}
+    for r in violations.collect():
+        found.setdefault(r[key], set()).add((r.rule, r.subject))
+    return found
+
+
+def test_shapes(spark):
+    shape = {"a": "string", "n?": "number", "list": [{"k": "integer", "deep?": {"x": "boolean"}}]}
+    good = {"a": "s", "list": []}
+    cases = [
+        (good, set()), (good | {"n": 1.5}, set()), (good | {"list": [{"k": 1}, {"k": 2, "deep": {"x": True}}]}, set()),
+        (good | {"n": 1, "m": {"deep": 1}}, {("unknown field", "$.m")}), (good | {"a": 5}, {("wrong type", "$.a is no string")}), (good | {"a": None}, {("wrong type", "$.a is no string")}),
+        (good | {"list": [{"k": 1}, {"k": "1"}, {}, [1]]}, {("wrong type", "$.list[1].k is no integer"), ("missing field", "$.list[2].k"), ("wrong type", "$.list[3] is no object")}),
+        (good | {"list": [{"k": 1, "deep": {"x": False, "y": 1}}]}, {("unknown field", "$.list[0].deep.y")}), (good | {"list": {"k": 1}}, {("wrong type", "$.list is no array")}),
+        ({}, {("missing field", "$.a"), ("missing field", "$.list")}), ([1], {("wrong type", "$ is no object")}),
+    ]
+    texts = [(i, json.dumps(doc)) for i, (doc, _) in enumerate(cases)] + [(90, "{bad"), (91, '{"a":"x","a":"y","list":[]}'), (92, None), (93, "")]
+    found = rules_of(shape_violations(spark.createDataFrame(texts, "archive_id long, raw string"), shape))
+    assert [found.get(i, set()) for i in range(len(cases))] == [want for _, want in cases]
+    assert [found.get(i) for i in (90, 91, 92, 93)] == [{("not JSON", "$")}] * 4
+
+
+def test_forged_archives(spark):
+    """Documents that were changed together with their hashes and lengths."""
+    imports = spark.createDataFrame([(1, "T", [("user", "Hello"), ("assistant", "```\nopen")], "0" * 64)], "archive_id long, title string, messages array<struct<role:string,content:string>>, source_sha256 string")
+    events = project_events(explode_messages(imports))
+    archives = imports.join(render_transcripts(events, imports.select("archive_id", "title")), "archive_id").withColumn("created_at", F.lit("2024-01-01T00:00:00.000Z")).withColumn("source_name", F.lit("n"))
+    doc = json.loads(documents.archive_documents(archives, events).first().raw)
+    text = doc["transcript"]["content"]
+
+    def script(t):
+        return {"encoding": "utf-8", "byteLength": len(t.encode()), "sha256": hashlib.sha256(t.encode()).hexdigest(), "content": t}
+
+    source = doc["normalizedSource"]
+    shared = {"method": "public_shared_snapshot", "confidence": "visible_snapshot", "provider": "chatgpt", "capture_method": "public_shared_snapshot", "completeness": "visible_snapshot", "hidden_state_available": False, "source_url_sha256": "a" * 64, "source_html_sha256": "b" * 64, "parser": "dom"}
+    system = {"messages": [{"role": "system", "content": "Hello"}, source["messages"][1]]}
+    cases = [
+        ({}, set()),
+        ({"transcript": script(text + "More\n")}, {"transcript differs from the source"}),
+        ({"transcript": script(text.replace("Hello", "Hullo"))}, {"transcript differs from the source"}),
+        ({"title": "Other"}, {"title differs from the source"}),
+        ({"security": doc["security"] | {"x": 1}}, {"unknown field"}),
+        ({"normalizedSource": source | {"x": 1}}, {"unknown field"}),
+        ({"normalizedSource": source | {"schema": "s"}}, {"source schema"}),
+        ({"normalizedSource": source | {"messages": []}}, {"source: message count", "events differ from the source"}),
+        ({"normalizedSource": source | {"title": ""}}, {"source: title", "title differs from the source", "transcript differs from the source"}),
+        ({"events": doc["events"][::-1]}, {"events out of order"}),
+        ({"events": [doc["events"][0] | {"x": {}}, doc["events"][1]]}, {"unknown field"}),
+        ({"capture": shared}, set()),
+        ({"capture": shared, "normalizedSource": None}, {"wrong type", "normalized source"}),
+        ({"capture": shared, "normalizedSource": source | system}, {"role not shown", "transcript differs from the source", "events differ from the source"}),
+    ]
+    texts = [(i, json.dumps(doc | change)) for i, (change, _) in enumerate(cases)]
+    texts.append((50, json.dumps({k: v for k, v in (doc | {"capture": shared}).items() if k != "normalizedSource"})))
+    found = rules_of(documents.archive_text_violations(spark.createDataFrame(texts, "archive_id long, raw string")))
+    assert [{rule for rule, _ in found.get(i, set())} for i in range(len(cases))] == [want for _, want in cases]
+    assert {rule for rule, _ in found[50]} == {"normalized source"}
+
+
 def test_imports(spark, tmp_path):
     good = {"schema": "s", "title": "T", "messages": [{"role": "user", "content": "## User\nliteral"}, {"role": "assistant", "content": "ok"}]}
     (tmp_path / "g.json").write_text(json.dumps(good))
@@ -201,6 +263,38 @@ def test_projects(spark):
     assert [r.subject for r in documents.parse_projects(spark.createDataFrame([(1, json.dumps(doc))], "archive_id long, raw string"))["violations"].collect()] == ["weight"]
 
 
+def test_forged_projects(spark, tmp_path):
+    name = lambda kind, n: f"{kind}_00000000-0000-0000-0000-{n:012d}"
+    digest, time = "c" * 64, "2024-01-01T00:00:00.000Z"
+    doc = {
+        "schema": "project/1", "projectId": name("prj", 1), "name": "N", "createdAt": time,
+        "archives": [{"id": name("arc", n), "path": f"a/{n}.json", "title": "T", "transcriptSha256": digest, "archiveSha256": digest} for n in (1, 2)],
+        "artifacts": [{"id": name("art", 1), "kind": "file", "path": "f", "name": "f", "sha256": digest}, {"id": name("art", 2), "kind": "repository", "path": "r", "name": "r", "head": "d" * 40}],
+        "edges": [{"from": name("arc", 1), "to": name("art", 1), "kind": "supports"}],
+        "claims": [{"id": name("clm", 1), "archiveId": name("arc", 1), "eventId": "evt_0001_0123456789ab", "kind": "task", "note": "n", "createdAt": time}],
+    }
+
+    def change(part, i, **fields):
+        rows = [dict(r) for r in doc[part]]
+        rows[i] |= fields
+        return {part: rows}
+
+    cases = [
+        ({}, set()), ({"claims": doc["claims"] * 2}, {"claim repeated"}), (change("claims", 0, eventId="evt_1_0123456789ab"), {"claim event"}), (change("claims", 0, createdAt="soon"), {"claim created_at"}), (change("claims", 0, note="a\tb"), {"claim"}),
+        (change("artifacts", 0, kind="link"), {"artifact kind"}), (change("artifacts", 0, sha256="C" * 64), {"file hash"}), (change("artifacts", 1, head="d" * 39), {"repository head"}), (change("artifacts", 1, path="/r"), {"artifact path"}), (change("artifacts", 1, name="x" * 161), {"artifact name"}),
+        (change("archives", 0, path="a/../b"), {"archive path"}), (change("archives", 0, title=""), {"archive title"}), (change("archives", 1, archiveSha256="0"), {"archive_sha256 format"}), (change("archives", 1, extra=[1]), {"unknown field"}), (change("archives", 1, title=1), {"wrong type"}),
+        ({"name": "x" * 121}, {"name"}), ({"createdAt": "soon"}, {"created_at"}), ({"schema": "project/2"}, {"schema"}), ({"projectId": "prj_2"}, {"project id"}), (change("edges", 0, to=name("art", 9)), {"unknown end"}),
+    ]
+    for i, (changes, want) in enumerate(cases):
+        cases[i] = (doc | {"projectId": name("prj", i)} | changes, want)
+    texts = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(cases)], "archive_id long, raw string")
+    found = rules_of(documents.project_text_violations(texts), "project_id")
+    assert [{rule for rule, _ in found.get(d["projectId"], set())} for d, _ in cases] == [want for _, want in cases]
+    (tmp_path / "p.json").write_text(json.dumps(cases[1][0]))
+    with pytest.raises(InputError, match="claim repeated"):
+        documents.read_projects(spark, str(tmp_path / "p.json"))
+
+
 def test_files_and_heads(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "f.txt").write_text("hi")
