@@ -19,10 +19,12 @@ from ..model import messages_of
 from ..operators import briefs, evidence, graph, index, integrity, planning, projects, search
 from ..operators.canonical import canonical_sha256
 from ..operators.projection import explode_messages, inspect_events, ordered_concat, project_events, render_transcripts
+from ..sinks import tables
 from ..sources import documents, envelopes, snapshots
 from ..sources import files as files_
 from ..sources.markdown import markdown_messages
 from ..sources.packages import manifest_violations, pack_archives, read_packages
+from ..streaming.recorder import record_once
 from .oracles import ORACLES
 
 QUERY = "the and of"
@@ -238,6 +240,13 @@ def recorder_caps(spark, d):
     return integrity.recorder_caps(_messages(spark, d), 1_000, 5, 2_500).select("archive_id", "sequence", "bytes", "total_messages", "total_bytes", "accepted")
 
 
+def recorder_stream(spark, d):
+    """Messages in no order, recorded by a stream in three micro-batches."""
+    folder = tables.scratch_folder(spark)
+    _messages(spark, d).repartition(F.xxhash64("archive_id", "sequence")).write.parquet(f"{folder}/in")
+    return record_once(spark, f"{folder}/in", f"{folder}/out", 3, max_message=1_000, max_messages=5, max_bytes=2_500).select("archive_id", "sequence", "accepted", "reason")
+
+
 def titles(spark, d):
     return _titles(_events(spark, d)).withColumn("valid", tx.is_valid_title(F.col("title")))
 
@@ -620,7 +629,7 @@ QUERIES = (
     event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, top_hits, evidence_window, handoff_chain,
     head_budget, head_budget_bytes, raw_tail, raw_tail_excerpts, recent_fallback, evidence_union, prompt_packing, timeline_edges, manual_edges, graph_build,
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
-    graph_payload_hash, recorder_caps, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
+    graph_payload_hash, recorder_caps, recorder_stream, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
     shared_page_roundtrip, archive_roundtrip, archive_forgeries, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
     stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, claims_verify, project_handoffs, project_members, package_checks,

@@ -278,6 +278,12 @@ FROM script JOIN (SELECT archive_id, string_agg('{"id":"' || event_id || '","seq
 LEFT JOIN (SELECT archive_id, string_agg('{"from":"' || from_id || '","to":"' || to_id || '","kind":"' || kind || '"}', ',' ORDER BY part, rank) AS edges FROM graph GROUP BY archive_id) USING (archive_id)"""),
     "recorder_caps": _sql("ev", """SELECT archive_id, sequence, bytes, total_messages, total_bytes, ok AND total_messages <= 5 AND total_bytes <= 2500 AS accepted
 FROM (SELECT *, count(*) FILTER (ok) OVER w AS total_messages, (sum(CASE WHEN ok THEN bytes ELSE 0 END) OVER w)::BIGINT AS total_bytes FROM (SELECT *, strlen(content)::BIGINT AS bytes, strlen(content) <= 1000 AS ok FROM ev) WINDOW w AS (PARTITION BY archive_id ORDER BY sequence))"""),
+    # one message after the other: a list of verdicts grows with the totals
+    "recorder_stream": r"""WITH l AS (SELECT conv_id AS archive_id, list(strlen(text) ORDER BY turn) AS sizes FROM conversations GROUP BY conv_id),
+f AS (SELECT archive_id, list_reduce([{'n': 0, 't': 0::BIGINT, 'v': []::VARCHAR[]}] || list_transform(sizes, lambda x: {'n': 0, 't': x::BIGINT, 'v': []::VARCHAR[]}), lambda s, x:
+  CASE WHEN x.t > 1000 THEN {'n': s.n, 't': s.t, 'v': s.v || ['message']} WHEN s.n >= 5 OR s.t + x.t > 2500 THEN {'n': s.n, 't': s.t, 'v': s.v || ['full']} ELSE {'n': s.n + 1, 't': s.t + x.t, 'v': s.v || ['']} END).v AS v FROM l),
+r AS (SELECT archive_id, unnest(range(len(v)))::INTEGER AS sequence, unnest(v) AS reason FROM f)
+SELECT archive_id, sequence, reason = '' AS accepted, nullif(reason, '') AS reason FROM r""",
     "titles": _sql("title", "SELECT archive_id, title, true AS valid FROM title"),
     "transcript_render": _sql("script", "SELECT archive_id, transcript FROM script"),
     "fence_closing": _sql("ev", "SELECT archive_id, event_id, '```py' || chr(10) || content || CASE WHEN sequence % 2 = 0 THEN chr(10) || '```' ELSE chr(10) || '~~~' || chr(10) || '```' END AS content FROM ev"),

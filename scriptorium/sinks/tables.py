@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
 from ..operators.integrity import annotation_violations, require_none
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The name of a new folder that all executors see, in ``spark.checkpoint.dir``.
+
+    Where the session names none, a local master takes a temporary folder and
+    any other master one in the warehouse.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        top = tempfile.mkdtemp(prefix="scratch-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{top}/{uuid.uuid4().hex}"
+
+
 def write_bundles(documents: DataFrame, archives: DataFrame, path: str) -> None:
     """Archives' files (archive_id, name, content, sha256) as a new dataset; an existing one is an error.
 
