@@ -1,13 +1,15 @@
 """A workspace: the engine's relations as tables below one path, and a method for each command.
 
-Tables are folders of numbered writes: additions hold new rows alone, changes
-hold the whole, and a reader takes the last whole one and the additions after
-it.  A write that failed is not seen.  Every method
-works on all archives of the workspace, or on those named by ``archive_id``.
+Commands commit what they change as a whole, over all tables, and several
+writers may be at work (:mod:`.sinks.log`): additions hold new rows alone,
+changes hold the whole, and a reader takes the last whole one and the additions
+after it.  Every method works on all archives of the workspace, or on those named by ``archive_id``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from .model import EVENTS, InputError
 from .operators import briefs, evidence, graph, index, integrity, planning, projects, search
 from .operators.projection import inspect_events
 from .sinks import tables
+from .sinks.log import Commits, R, Transaction, transact
 from .sources import documents, envelopes, files, packages, snapshots
 from .sources.markdown import import_markdown
 
@@ -35,35 +38,25 @@ SCHEMAS = {
 class Workspace:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.commits = Commits(spark, self.root)
 
     # tables
 
-    def _versions(self, name: str) -> list[tuple[int, str]]:
-        """(number, kind) of the whole writes of a table, ``all`` or ``add``."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path)]
-        done = [p.getName().split("-") for p in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return sorted((int(n), kind) for n, kind in done)
+    def _transact(self, work: Callable[[Transaction], R]) -> R:
+        return transact(self.commits, SCHEMAS, work)
 
     def table(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        start = max([i for i, (_, kind) in enumerate(versions) if kind == "all"], default=0)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.root}/{name}/{n}-{kind}" for n, kind in versions[start:]])
+        return Transaction(self.commits, SCHEMAS).table(name)
 
     def _write(self, name: str, df: DataFrame, kind: str = "all") -> None:
-        have = self.spark.createDataFrame([], SCHEMAS[name])
-        columns = [F.col(c).cast(have.schema[c].dataType).alias(c) if c in df.columns else F.lit(None).cast(have.schema[c].dataType).alias(c) for c in have.columns]
-        number = (self._versions(name) or [(0, "")])[-1][0] + 1
-        df.select(columns).write.parquet(f"{self.root}/{name}/{number}-{kind}")
+        self._transact(lambda t: t.put(name, df, kind))
 
-    def _add(self, name: str, df: DataFrame, keys: list[str]) -> None:
-        """Adds the rows whose keys are new; what is there is not written again."""
-        self._write(name, df.join(self.table(name).select(keys), keys, "left_anti"), "add")
+    def clear(self) -> list[str]:
+        """Deletes data that belong to no commit; not while others write."""
+        gone = self.commits.unused()
+        for folder in gone:
+            self.commits.delete(folder)
+        return gone
 
     def _of(self, name: str, archive_id: int | None) -> DataFrame:
         t = self.table(name)
@@ -80,9 +73,14 @@ class Workspace:
                 archives = archives.withColumn(column, F.lit(value))
         if "byte_length" not in archives.columns:
             archives = archives.withColumn("byte_length", F.octet_length("transcript"))
-        self._add("archives", archives, ["archive_id"])
-        self._add("events", events, ["archive_id", "event_id"])
-        self._add("postings", index.postings(terms), ["archive_id", "term"])
+        built = index.postings(terms)
+
+        def store(t: Transaction) -> None:
+            t.add("archives", archives, ["archive_id"])
+            t.add("events", events, ["archive_id", "event_id"])
+            t.add("postings", built, ["archive_id", "term"])
+
+        self._transact(store)
         return archives.select("archive_id", "title", "transcript_sha256")
 
     def import_markdown(self, path: str, created_at: str) -> DataFrame:
@@ -101,7 +99,7 @@ class Workspace:
         return inspect_events(self._of("events", archive_id))
 
     def build_index(self) -> None:
-        self._write("postings", index.postings(index.event_terms(self.table("events"))))
+        self._transact(lambda t: t.put("postings", index.postings(index.event_terms(t.table("events")))))
 
     def verify_index(self, archive_id: int | None = None) -> DataFrame:
         return index.index_differences(self._of("postings", archive_id), self._of("events", archive_id))
@@ -117,7 +115,7 @@ class Workspace:
 
     def annotate(self, new: DataFrame) -> None:
         """Adds (archive_id, event_id, kind, note, created_at)."""
-        self._write("annotations", tables.add_annotations(self.table("annotations"), new, self.table("events")))
+        self._transact(lambda t: t.put("annotations", tables.add_annotations(t.table("annotations"), new, t.table("events"))))
 
     def _chosen(self, query: str | None, archive_id: int | None) -> DataFrame | None:
         if query is None:
@@ -148,17 +146,22 @@ class Workspace:
     # graphs
 
     def build_graph(self) -> None:
-        self._write("graph", graph.rebuild_graph(self.table("graph"), self.table("events")))
+        self._transact(lambda t: t.put("graph", graph.rebuild_graph(t.table("graph"), t.table("events"))))
 
     def verify_graph(self, archive_id: int | None = None) -> DataFrame:
         return graph.graph_differences(self._of("graph", archive_id), self._of("events", archive_id))
 
     def link(self, edges: DataFrame) -> None:
         """Adds (archive_id, from_id, to_id, kind); raises if any edge, old or new, is unsound."""
-        old = graph.only_manual(self.table("graph")).select("archive_id", "from_id", "to_id", "kind")
-        bad = graph.manual_edges(old.unionByName(edges.select(old.columns)), self.table("events")).filter("problem is not null")
-        integrity.require_none(bad.select("archive_id", F.col("problem").alias("rule"), F.col("from_id").alias("subject")), "edge")
-        self._write("graph", graph.link_events(self.table("graph"), self.table("events"), edges))
+
+        def add(t: Transaction) -> None:
+            events = t.table("events")
+            old = graph.only_manual(t.table("graph")).select("archive_id", "from_id", "to_id", "kind")
+            bad = graph.manual_edges(old.unionByName(edges.select(old.columns)), events).filter("problem is not null")
+            integrity.require_none(bad.select("archive_id", F.col("problem").alias("rule"), F.col("from_id").alias("subject")), "edge")
+            t.put("graph", graph.link_events(t.table("graph"), events, edges))
+
+        self._transact(add)
 
     def _graph(self, archive_id: int | None) -> DataFrame:
         return graph.rebuild_graph(self._of("graph", archive_id), self._of("events", archive_id))
@@ -216,15 +219,18 @@ class Workspace:
     # projects
 
     def new_project(self, project_id: str, name: str, created_at: str) -> None:
-        self._add("projects", projects.new_project(self.spark, project_id, name, created_at), ["project_id"])
+        self._transact(lambda t: t.add("projects", projects.new_project(self.spark, project_id, name, created_at), ["project_id"]))
 
     def add_archives(self, project_id: str, archive_ids: list[int]) -> None:
-        new = self.table("archives").filter(F.col("archive_id").isin(archive_ids)).select(F.lit(project_id).alias("project_id"), "archive_id", "transcript_sha256")
-        self._write("members", projects.add_members(self.table("members"), new))
+        def add(t: Transaction) -> None:
+            new = t.table("archives").filter(F.col("archive_id").isin(archive_ids)).select(F.lit(project_id).alias("project_id"), "archive_id", "transcript_sha256")
+            t.put("members", projects.add_members(t.table("members"), new))
+
+        self._transact(add)
 
     def _artifact(self, project_id: str, found: DataFrame) -> None:
         new = found.select(F.lit(project_id).alias("project_id"), F.concat(F.lit("art_"), F.left(F.sha2("path", 256), F.lit(32))).alias("artifact_id"), "path", "name", "sha256", "head")
-        self._add("artifacts", new, ["project_id", "artifact_id"])
+        self._transact(lambda t: t.add("artifacts", new, ["project_id", "artifact_id"]))
 
     def add_file(self, project_id: str, path: str, root: str) -> None:
         self._artifact(project_id, files.file_artifacts(self.spark, path, root))
@@ -232,22 +238,28 @@ class Workspace:
     def add_repository(self, project_id: str, directory: str, root: str) -> None:
         self._artifact(project_id, files.repository_artifact(self.spark, directory, root))
 
-    def _checked(self, **changed: DataFrame) -> None:
-        t = {n: changed.get(n, self.table(n)) for n in ("members", "artifacts", "edges", "claims")}
-        bad = projects.project_violations(t["members"], t["artifacts"], t["edges"], t["claims"], id_formats=False)
-        integrity.require_none(bad, "project")
+    def _checked(self, t: Transaction, **changed: DataFrame) -> None:
+        now = {n: changed.get(n, t.table(n)) for n in ("members", "artifacts", "edges", "claims")}
+        bad = projects.project_violations(now["members"], now["artifacts"], now["edges"], now["claims"], id_formats=False)
+        integrity.require_none(bad.withColumnRenamed("project_id", "archive_id"), "project")
         for name, df in changed.items():
-            self._write(name, df)
+            t.put(name, df)
 
     def link_nodes(self, edges: DataFrame) -> None:
         """Adds (project_id, from_id, to_id, kind); ``related`` has no direction."""
-        self._checked(edges=self.table("edges").unionByName(projects.canonical_edges(edges).select("project_id", "from_id", "to_id", "kind")))
+        new = projects.canonical_edges(edges).select("project_id", "from_id", "to_id", "kind")
+        self._transact(lambda t: self._checked(t, edges=t.table("edges").unionByName(new)))
 
     def claim(self, claims: DataFrame) -> None:
         """Adds (project_id, claim_id, archive_id, event_id, kind, note) on unchanged members."""
-        ok = projects.verify_claims(claims, projects.verify_members(self.table("members"), self.table("archives")), self.table("events"))
-        integrity.require_none(ok.filter("not valid").select(F.col("reason").alias("rule"), F.col("claim_id").alias("subject")), "claim")
-        self._checked(claims=self.table("claims").unionByName(claims.select(self.table("claims").columns)))
+
+        def add(t: Transaction) -> None:
+            ok = projects.verify_claims(claims, projects.verify_members(t.table("members"), t.table("archives")), t.table("events"))
+            integrity.require_none(ok.filter("not valid").select(F.col("reason").alias("rule"), F.col("claim_id").alias("subject")), "claim")
+            old = t.table("claims")
+            self._checked(t, claims=old.unionByName(claims.select(old.columns)))
+
+        self._transact(add)
 
     def verify_projects(self) -> tuple[DataFrame, DataFrame]:
         """(rows, verdicts) of members and claims."""
