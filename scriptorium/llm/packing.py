@@ -17,7 +17,7 @@ import functools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from .common import cut, sized
 SEQUENCE = 4096
 #: The token that ends each document.
 END = 1
-#: Words whose tokens a worker remembers; when there are more it begins anew.
+#: Words, and pieces of words, whose tokens a worker remembers.
 MEMO = 1 << 18
 #: Bytes of a text that are split into words at once.
 CHUNK = 1 << 20
@@ -41,29 +41,64 @@ ROWS = 512
 
 #: White space that ends a word, and digits, which are tokens of their own: no token stands on both sides.
 _BREAK = re.compile(rb"[\x20\x09-\x0D0-9]")
+#: Words that lower-casing and composition leave to the pattern below.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+#: Fixed value: the vocabulary's own pattern of pieces, for the letters of such words.
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
+
+class Memo(dict):
+    """Results of a function by its argument, which a missing key is given to.
+
+    What was used since half of the room was filled stays when it is full, and
+    long keys are not kept at all, so memory is bounded.
+    """
+
+    def __init__(self, make: Callable, room: int = MEMO, longest: int = 64):
+        self.make, self.room, self.longest, self.before = make, room, longest, {}
+
+    def __missing__(self, key):
+        out = self.before.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.room:
+                self.before = dict(self)
+                self.clear()
+            self[key] = out
+        return out
 
 
 class WordEncoder:
-    """Token ids of words as little-endian bytes; a word that is known costs no call of the tokenizer.
+    """Token ids of words as little-endian bytes.
 
     The vocabulary drops white space and no token, composition or case rule
     reaches across it, so the ids of a text are those of its words in a row.
+    Words of ASCII and Latin letters are their own composed form, and the
+    pattern that splits them is stated here; what it gives goes to the
+    vocabulary's merges.  All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.byte_level = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pieces, self.words = Memo(self._piece), Memo(self._word)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else self.byte_level.pre_tokenize_str(piece)[0][0]
+        return np.asarray([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text.lower())))
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def __call__(self, words: list[bytes]) -> bytes:
-        new = set(words).difference(self.known)
-        if len(new) + len(self.known) > MEMO:
-            self.known.clear()
-            new = set(words)
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
 
 
 @functools.lru_cache(maxsize=2)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scriptorium.llm import packing
-from scriptorium.llm.packing import WordEncoder, _fill, pack, packing_plan, token_pieces
+from scriptorium.llm.packing import Memo, WordEncoder, _fill, pack, packing_plan, token_pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string"
@@ -77,12 +77,19 @@ def test_chunks_do_not_change_ids(encode, text, chunk):
     assert np.frombuffer(got, "<u4").tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
-def test_memory_of_words_is_bounded(encode, monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 8)
+def test_memory_of_words_is_bounded(encode):
     own = WordEncoder(PATH)
-    texts = [f"w{i} x{i % 3} y" for i in range(30)]
+    own.words, own.pieces = Memo(own._word, 8), Memo(own._piece, 4)
+    texts = [f"w{i} x{i % 3} y{i}y {'z' * 70}{i}" for i in range(40)]
     assert [b"".join(token_pieces(t.encode(), own)) for t in texts] == [b"".join(token_pieces(t.encode(), encode)) for t in texts]
-    assert len(own.known) <= 8
+    assert len(own.words) <= 8 and len(own.words.before) <= 8 and len(own.pieces) <= 4 and all(len(w) <= 64 for w in own.words)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("'sStTrevmlLdD0 9\n"), st.characters(min_codepoint=33, max_codepoint=0x17F), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_ids_are_those_of_the_tokenizer(encode, text):
+    got = b"".join(token_pieces(text.encode(), encode, 4096))
+    assert np.frombuffer(got, "<u4").tolist() == [*encode.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
 def test_two_fit_replaces_the_smallest():
