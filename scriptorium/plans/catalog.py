@@ -109,6 +109,37 @@ def conjunctive_search(spark, d):
     return hits.withColumn("rank", F.row_number().over(w))
 
 
+#: Every pair of frequent words of the texts' languages, and some queries that no search takes.
+WORDS = ("the", "and", "of", "en", "de", "la", "que", "die", "der", "in")
+PAIRS = [f"{a} {b}" for i, a in enumerate(WORDS) for b in WORDS[i + 1 :]]
+REFUSED = ["", "a\tb", "...", "x" * 257, " ".join(f"w{i}" for i in range(17))]
+
+
+def _queries(spark):
+    return spark.createDataFrame(list(enumerate([*PAIRS, *REFUSED])), "query_id int, query string")
+
+
+def batch_search(spark, d):
+    events = _events(spark, d)
+    return search.search_batch(events, _index(events), _queries(spark))
+
+
+def query_checks(spark, d):
+    """Queries that are refused, and for each of the others in how many events it is found."""
+    events, queries = _events(spark, d), _queries(spark)
+    found = search.search_batch(events, _index(events), queries).groupBy("query_id").agg(F.count("*").alias("events"))
+    bad = search.query_violations(queries)
+    return queries.select("query_id").join(found, "query_id", "left").join(bad.select("query_id", "rule"), "query_id", "left").select("query_id", F.coalesce("events", F.lit(0)).alias("events"), "rule")
+
+
+def bucketed_search(spark, d):
+    """The index and the events as bucketed tables, searched without a shuffle."""
+    folder, n = tables.scratch_folder(spark), 16
+    events = _events(spark, d)
+    stored = tables.write_bucketed(_index(events), f"{folder}/index", n, ["term"])
+    return search.search_bucketed(tables.write_bucketed(events, f"{folder}/events", n, ["sequence"]), stored, QUERY)
+
+
 def top_hits(spark, d):
     return search.top_hits(_hits(_events(spark, d)), 2).select("archive_id", "event_id", "sequence", "rank")
 
@@ -626,7 +657,7 @@ def unsafe_texts(spark, d):
 
 
 QUERIES = (
-    event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, top_hits, evidence_window, handoff_chain,
+    event_projection, inspect, scan_search, token_stats, event_token_counts, inverted_index, conjunctive_search, batch_search, query_checks, bucketed_search, top_hits, evidence_window, handoff_chain,
     head_budget, head_budget_bytes, raw_tail, raw_tail_excerpts, recent_fallback, evidence_union, prompt_packing, timeline_edges, manual_edges, graph_build,
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
     graph_payload_hash, recorder_caps, recorder_stream, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,

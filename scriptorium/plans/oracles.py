@@ -194,6 +194,12 @@ UNION ALL SELECT DISTINCT archive_id, 'events out of order', 'normalized_json' F
 UNION ALL SELECT archive_id, 'events differ from the source', event_id FROM (FROM odd EXCEPT ALL FROM re)
 UNION ALL SELECT archive_id, 'events differ from the source', event_id FROM (FROM re EXCEPT ALL FROM odd)"""
 
+_BATCH = """,
+w AS (SELECT unnest(['the', 'and', 'of', 'en', 'de', 'la', 'que', 'die', 'der', 'in']) AS word, unnest(range(10)) AS i),
+asked AS (SELECT (row_number() OVER (ORDER BY x.i, y.i) - 1)::INTEGER AS query_id, x.word AS x, y.word AS y FROM w x JOIN w y ON x.i < y.i),
+found AS (SELECT query_id, x, y, ev.* FROM asked JOIN tok p ON p.term = x JOIN tok q ON q.term = y AND q.archive_id = p.archive_id AND q.event_id = p.event_id JOIN ev ON ev.archive_id = p.archive_id AND ev.event_id = p.event_id)
+"""
+
 ORACLES: dict[str, str] = {
     "handoffs": _HANDOFF,
     "plan_check": _sql("ev script", f"SELECT archive_id, unnest(CASE WHEN archive_id % 7 = 0 AND archive_id % 5 = 0 THEN ['consent'] WHEN archive_id % 7 = 0 THEN ['consent', 'input chars'] ELSE ['input chars'] END) AS rule FROM ({_PLANNED.format(which='true')}) WHERE NOT over_limit AND (archive_id % 7 = 0 OR archive_id % 5 = 0)"),
@@ -234,6 +240,12 @@ FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN p WHEN 1 THEN '..' || p ELSE
     "inverted_index": _sql("post", "SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY term)::INTEGER AS rank, term, array_to_string(ids, ' ') AS event_ids FROM post"),
     "conjunctive_search": _sql("hit", f"""SELECT archive_id, event_id, sequence, role, 3 AS score, {_SNIPPET} AS snippet, row_number() OVER (PARTITION BY archive_id ORDER BY sequence)::INTEGER AS rank
 FROM (SELECT *, greatest(0, p - 101) AS a, least(length(content), p - 1 + 180) AS b FROM (SELECT *, least(instr(lower(content), 'the'), instr(lower(content), 'and'), instr(lower(content), 'of')) AS p FROM hit))"""),
+    "bucketed_search": _sql("hit", f"""SELECT archive_id, event_id, sequence, role, 3 AS score, {_SNIPPET} AS snippet
+FROM (SELECT *, greatest(0, p - 101) AS a, least(length(content), p - 1 + 180) AS b FROM (SELECT *, least(instr(lower(content), 'the'), instr(lower(content), 'and'), instr(lower(content), 'of')) AS p FROM hit))"""),
+    "batch_search": _sql("ev tok", "").rstrip() + _BATCH + f"""SELECT query_id, archive_id, event_id, sequence, role, 2 AS score, {_SNIPPET} AS snippet FROM (SELECT *, greatest(0, p - 101) AS a, least(length(content), p - 1 + 180) AS b FROM
+(SELECT found.*, least(instr(lower(content), x), instr(lower(content), y)) AS p FROM found))""",
+    "query_checks": _sql("ev tok", "").rstrip() + _BATCH + """SELECT query_id, count(event_id) AS events, NULL::VARCHAR AS rule FROM asked LEFT JOIN found USING (query_id) GROUP BY query_id
+UNION ALL SELECT 45 + unnest(range(5))::INTEGER, 0, unnest(['length or control character', 'length or control character', 'number of terms', 'length or control character', 'number of terms'])""",
     "top_hits": _sql("hit", "SELECT archive_id, event_id, sequence, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY archive_id ORDER BY sequence) AS rank FROM hit) WHERE rank <= 2"),
     "evidence_window": _sql("win", "SELECT archive_id, sequence, event_id FROM win"),
     "handoff_chain": _sql("chosen", f"SELECT archive_id, event_id, sequence, state, allowed FROM ({_BUDGET.format(order='sequence', source='chosen')})"),

@@ -49,6 +49,25 @@ def write_index(index: DataFrame, path: str) -> None:
     index.repartitionByRange("term", "archive_id").sortWithinPartitions("term", "archive_id").write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, sort: list[str]) -> DataFrame:
+    """Writes a table in buckets by archive_id, a sorted file for each, and opens it.
+
+    Tables with as many buckets are joined and grouped by archive without a shuffle.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # one task for each bucket, so that it is one file and its order holds
+    dealt = df.repartition(buckets, "archive_id")
+    dealt.write.format("parquet").bucketBy(buckets, "archive_id").sortBy("archive_id", *sort).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def open_bucketed(spark: SparkSession, schema: str, path: str, buckets: int, sort: list[str]) -> DataFrame:
+    """A table of :func:`write_bucketed` in another session; the files do not say how they were bucketed, so that is told again."""
+    name = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY (archive_id) SORTED BY ({', '.join(['archive_id', *sort])}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_graph(graph: DataFrame, path: str) -> None:
     graph.repartition("archive_id").sortWithinPartitions("archive_id", "part", "rank").write.mode("overwrite").parquet(path)
 

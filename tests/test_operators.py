@@ -3,10 +3,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions.tokens import query_terms
 from scriptorium.model import InputError
 from scriptorium.operators import briefs, evidence, graph, index, integrity, planning, projects, search
 from scriptorium.operators.canonical import canonical_json
 from scriptorium.operators.projection import project_events
+from scriptorium.sinks import tables
 
 MESSAGES = "archive_id long, sequence int, role string, content string"
 
@@ -33,6 +35,39 @@ def test_two_searches_differ(spark):
     assert search.search_terms(e, i, "blue absent").collect() == []
 
 
+def test_batch_search_equals_single_searches(spark):
+    events = events_of(spark, talk("PKCE decision here", "the decision", "Ｐkce and ﬁne decision"), talk("nothing", "pkce, decision: PKCE"))
+    i = index.postings(index.event_terms(events))
+    asked = ["pkce decision", "decision", "ﬁne", "fine pkce", "absent", "nothing"]
+    refused = [None, "", "a\nb", "---", "x" * 257, " ".join(f"t{n}" for n in range(17)), "y" * 129]
+    queries = spark.createDataFrame(list(enumerate([*asked, *refused])), "query_id int, query string")
+    want = sorted((n, *r) for n, q in enumerate(asked) for r in search.search_terms(events, i, q).collect())
+    for rows in (100_000, 0):  # a broadcast side, and a shuffled one
+        assert sorted(tuple(r) for r in search.search_batch(events, i, queries, rows).collect()) == want
+    bad = {r.query_id: r.rule for r in search.query_violations(queries).collect()}
+    assert set(bad) == set(range(len(asked), len(asked) + len(refused)))
+    for q in [*asked, *refused]:
+        if q is not None:
+            try:
+                query_terms(q)
+                sound = True
+            except InputError:
+                sound = False
+            assert sound == (q in asked)
+
+
+def test_bucketed_tables_are_joined_without_a_shuffle(spark, tmp_path):
+    events = events_of(spark, *[talk("pkce decision", f"the {n}", "decision") for n in range(9)])
+    i = index.postings(index.event_terms(events))
+    a, b = tables.write_bucketed(i, str(tmp_path / "i"), 4, ["term"]), tables.write_bucketed(events, str(tmp_path / "e"), 4, ["sequence"])
+    again = tables.open_bucketed(spark, "archive_id long, term string, event_ids array<string>", str(tmp_path / "i"), 4, ["term"])
+    want = sorted(tuple(r) for r in search.search_terms(events, i, "decision pkce").collect())
+    for stored in (a, again):
+        hits = search.search_bucketed(b, stored, "decision pkce")
+        assert sorted(tuple(r) for r in hits.collect()) == want and len(want) == 9
+        assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
 def test_snippets(spark):
     text = "x " * 100 + "needle\r\nnext " + "y" * 300
     e = events_of(spark, talk(text))
