@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,55 +79,67 @@ def rebuilt(turns: DataFrame, family: int = 100) -> DataFrame:
     return rest.unionByName(heads).unionByName(ends)
 
 
-def _levels(rows: DataFrame) -> tuple[list[dict[str, DataFrame]], DataFrame]:
-    """The rounds, each with its ``segments``, ``chain`` and ``ends``, and all ``singles``.
+def _together(tables: list[DataFrame]) -> DataFrame:
+    """Tables of :func:`cut` with the same columns as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._scratch_path for t in tables])
 
-    A segment is a way down without a branching: node, parent, n, top, chars of
-    the top's text, bottom, chain_chars, n_children and n_single.  The chain has
-    its nodes below the top.
-    """
+
+def _levels(rows: DataFrame) -> dict[str, DataFrame]:
+    """What the rounds leave: their number, and for each round its ``tops``, shared ``turns`` below them, ``bottoms`` and ``kids``, and the ``ends`` of shared nodes."""
     root = rows.agg(F.min("conv_id").alias("node"), F.count_if(F.col("a") == END).alias("n"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("chars"))
-    tops, n_tops = cut(root.filter("n > 0")), 1
+    tops = cut(root.filter("n > 0").withColumn("round", F.lit(0)))
     first = tops.first()  # one row, or none of an empty table
-    live, rounds, singles = rows.withColumn("node", F.lit(first and first["node"]).cast("long")), [], []
+    live, n_tops, number = rows.withColumn("node", F.lit(first and first["node"]).cast("long")), 1, 0
+    turns, bottoms, kids, ends = [], [], [], []
     while n_tops:
-        small = F.broadcast if n_tops <= BROADCAST_ROWS else (lambda df: df)
+        small, here = F.broadcast if n_tops <= BROADCAST_ROWS else (lambda df: df), F.lit(number).alias("round")
         parts = (F.min("a") != F.max("a")) | (F.min("b") != F.max("b")) | (F.min("a") == END)
-        at = cut(live.groupBy("node", "pos").agg(F.max("chars").alias("chars"), parts.alias("parts")))
-        bottoms = cut(at.groupBy("node").agg(F.min(F.when(F.col("parts"), F.col("pos"))).alias("bottom")))
-        step = cut(live.join(small(bottoms), "node").filter("pos = bottom").select("conv_id", "node", "bottom", "a", "b", "chars"))
-        kids = cut(step.groupBy("node", "bottom", "a", "b").agg(F.min("conv_id").alias("child"), F.count("*").alias("n"), F.max("chars").alias("chars")))
-        turn = F.col("a") != END
-        chain = at.join(small(bottoms), "node").filter("pos < bottom").select("node", (F.col("pos") + 1).alias("depth"), "chars")
-        counts = kids.groupBy("node").agg(F.count_if(turn).alias("n_children"), F.count_if(turn & (F.col("n") == 1)).alias("n_single"))
-        below = chain.groupBy("node").agg(F.sum("chars").alias("chain_chars"))
-        segments = tops.join(bottoms, "node").join(counts, "node").join(below, "node", "left").na.fill(0, ["chain_chars"])
-        rounds.append({"segments": segments, "chain": chain, "ends": step.filter(~turn).select("conv_id", "node", F.col("bottom").alias("depth"))})
-        singles.append(kids.filter(turn & (F.col("n") == 1)).select(F.col("child").alias("conv_id"), F.col("node").alias("parent"), (F.col("bottom") + 1).alias("top")))
-        shared = kids.filter(turn & (F.col("n") > 1))
-        tops = shared.select(F.col("child").alias("node"), "n", F.col("node").alias("parent"), (F.col("bottom") + 1).alias("top"), "chars")
-        if n_tops := tops.count():
+        at = cut(live.groupBy("node", "pos").agg(F.max("chars").alias("chars"), parts.alias("parts")).select("node", "pos", "chars", "parts", here))
+        low = cut(at.groupBy("node").agg(F.min(F.when(F.col("parts"), F.col("pos"))).alias("bottom")).select("node", "bottom", here))
+        step = cut(live.join(small(low), "node").filter("pos = bottom").select("conv_id", "node", "bottom", "a", "b", "chars"))
+        grown = cut(step.groupBy("node", "bottom", "a", "b").agg(F.min("conv_id").alias("child"), F.count("*").alias("n"), F.max("chars").alias("chars")).select("node", "bottom", "a", "b", "child", "n", "chars", here))
+        for table, one in ((turns, at), (bottoms, low), (kids, grown), (ends, step)):
+            table.append(one)
+        shared = grown.filter((F.col("a") != END) & (F.col("n") > 1))
+        n_tops, number = shared.count(), number + 1
+        if n_tops:
             small = F.broadcast if n_tops <= BROADCAST_ROWS else (lambda df: df)
             go = step.join(small(shared.select("node", "a", "b", "child")), ["node", "a", "b"]).select("conv_id", "child", "bottom")
             went, live = live, cut(live.join(go, "conv_id").filter("pos > bottom").select("conv_id", "pos", live["a"], live["b"], live["chars"], F.col("child").alias("node")))
             drop_cut(went)
-    return rounds, reduce(DataFrame.unionByName, singles)
+    grown = _together(kids)
+    below = grown.filter((F.col("a") != END) & (F.col("n") > 1)).select(F.col("child").alias("node"), "n", F.col("node").alias("parent"), (F.col("bottom") + 1).alias("top"), "chars", (F.col("round") + 1).alias("round"))
+    gone = _together(ends).filter(F.col("a") == END).select("conv_id", "node", F.col("bottom").alias("depth"))
+    return {"rounds": number, "tops": tops.unionByName(below), "turns": _together(turns), "bottoms": _together(bottoms), "kids": grown, "ends": gone}
 
 
-def _rolled_up(rounds: list[dict[str, DataFrame]]) -> list[DataFrame]:
-    """For each round its segments with leaves and saved, those of the bottom's subtree; the last round first."""
-    out, below = [], None
-    for r in reversed(rounds):
-        s = r["segments"]
+def _segments(levels: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(segments, chain): ways down without a branching, and their nodes below the top.
+
+    Segments are round, node, parent, n, top, chars of the top's text, bottom,
+    chain_chars, n_children and n_single.
+    """
+    keys, turn = ["round", "node"], F.col("a") != END
+    chain = levels["turns"].join(levels["bottoms"], keys).filter("pos < bottom").select(*keys, (F.col("pos") + 1).alias("depth"), "chars")
+    counts = levels["kids"].groupBy(*keys).agg(F.count_if(turn).alias("n_children"), F.count_if(turn & (F.col("n") == 1)).alias("n_single"))
+    below = chain.groupBy(*keys).agg(F.sum("chars").alias("chain_chars"))
+    return cut(levels["tops"].join(levels["bottoms"], keys).join(counts, keys).join(below, keys, "left").na.fill(0, ["chain_chars"])), chain
+
+
+def _rolled_up(segments: DataFrame, rounds: int) -> DataFrame:
+    """Segments with leaves and saved, those of the bottom's subtree, from the last round to the first."""
+    done, below = [], None
+    for number in range(rounds - 1, -1, -1):
+        s = segments.filter(F.col("round") == number)
         if below is None:
             s = s.withColumn("_leaves", F.lit(0).cast("long")).withColumn("_saved", F.lit(0).cast("long"))
         else:
             sums = below.groupBy(F.col("parent").alias("node")).agg(F.sum("leaves").alias("_leaves"), F.sum(F.col("saved") + (F.col("n") - 1) * (F.col("chars") + F.col("chain_chars"))).alias("_saved"))
             s = s.join(sums, "node", "left").na.fill(0, ["_leaves", "_saved"])
-        leaves = F.when(F.col("n_children") == 0, F.lit(1)).otherwise(F.col("n_single") + F.col("_leaves"))
-        below = cut(s.withColumn("leaves", leaves.cast("long")).withColumnRenamed("_saved", "saved").drop("_leaves"))
-        out.append(below)
-    return out[::-1]
+        leaves = F.when(F.col("n_children") == 0, F.lit(1)).otherwise(F.col("n_single") + F.col("_leaves")).cast("long")
+        below = cut(s.select(*segments.columns, leaves.alias("leaves"), F.col("_saved").alias("saved")))
+        done.append(below)
+    return _together(done)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +218,13 @@ def prefix_trie(conversations: DataFrame, family: int = 100) -> DataFrame:
     An empty table has no root and gives no row.
     """
     rows = cut(rebuilt(cut(positions(conversations)), family))
-    rounds, singles = _levels(rows)
-    tagged = lambda name: reduce(DataFrame.unionByName, [r[name].withColumn("round", F.lit(i)) for i, r in enumerate(rounds)])
-    sums = reduce(DataFrame.unionByName, [s.withColumn("round", F.lit(i)) for i, s in enumerate(_rolled_up(rounds))])
-    hashes = list_hashes(tagged("ends"))
-    chain = _suffix_sums(tagged("chain")).join(sums, ["round", "node"]).select("node", "depth", F.col("node").alias("parent_conv_id"), "n", "bottom", "n_children", "leaves", (F.col("saved") + (F.col("n") - 1) * F.col("after")).alias("saved_tokens"))
-    top = sums.select("node", F.col("top").alias("depth"), F.col("parent").alias("parent_conv_id"), "n", "bottom", "n_children", "leaves", (F.col("saved") + (F.col("n") - 1) * (sums["chars"] + F.col("chain_chars"))).alias("saved_tokens"))
+    levels = _levels(rows)
+    segments, chain = _segments(levels)
+    sums = _rolled_up(segments, levels["rounds"])
+    hashes = list_hashes(levels["ends"])
+    singles = levels["kids"].filter((F.col("a") != END) & (F.col("n") == 1)).select(F.col("child").alias("conv_id"), F.col("node").alias("parent"), (F.col("bottom") + 1).alias("top"))
+    chain = _suffix_sums(chain).join(sums.drop("chars"), ["round", "node"]).select("node", "depth", F.col("node").alias("parent_conv_id"), "n", "bottom", "n_children", "leaves", (F.col("saved") + (F.col("n") - 1) * F.col("after")).alias("saved_tokens"))
+    top = sums.select("node", F.col("top").alias("depth"), F.col("parent").alias("parent_conv_id"), "n", "bottom", "n_children", "leaves", (F.col("saved") + (F.col("n") - 1) * (F.col("chars") + F.col("chain_chars"))).alias("saved_tokens"))
     children = F.when(F.col("depth") == F.col("bottom"), F.col("n_children")).otherwise(1).cast("long")
     empty = F.sha2(F.lit("").cast("binary"), 256)
     shared = top.unionByName(chain).join(hashes, ["node", "depth"], "left")
