@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.html_text import page_title, parse_shared, visible_text
 from ..functions.tokens import terms_of, with_nfkc
 from ..model import messages_of
-from ..operators import briefs, evidence, graph, index, integrity, planning, projects, search
+from ..operators import briefs, evidence, graph, index, integrity, mutations, planning, projects, search
 from ..operators.canonical import canonical_sha256
 from ..operators.projection import explode_messages, inspect_events, ordered_concat, project_events, render_transcripts
 from ..sinks import tables
@@ -25,6 +25,7 @@ from ..sources import files as files_
 from ..sources.markdown import markdown_messages
 from ..sources.packages import manifest_violations, pack_archives, read_packages
 from ..streaming.recorder import record_once
+from ..workspace import Workspace
 from .oracles import ORACLES
 
 QUERY = "the and of"
@@ -430,6 +431,27 @@ def archive_forgeries(spark, d):
     return documents.archive_text_violations(texts.select("archive_id", F.to_json(forged).alias("raw")))
 
 
+def sidecar_checks(spark, d):
+    """Sidecars of archives as files, of which some are missing, empty, cut off, another's or stray, with annotations of which some are unsound."""
+    events = _events(spark, d)
+    a, folder = F.col("archive_id"), tables.scratch_folder(spark)
+    at = lambda n, r: a % n == r
+    item = F.struct(F.when(at(10, 4) & (F.col("pos") == 0), "evt_0").otherwise(F.col("event_id")).alias("eventId"), F.when(at(6, 3), "odd").otherwise(F.col("kind")).alias("kind"), "note", F.col("created_at").alias("createdAt"))
+    items = _annotations(events).groupBy("archive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    own = F.when(at(7, 5), documents.stored_id(a + 1)).otherwise(documents.stored_id(a))
+    text = F.to_json(F.struct(F.lit("annotations/1").alias("schema"), own.alias("archiveId"), "items", F.when(at(9, 8), "x").alias("more")))
+    raw = F.when(at(5, 1), " ").when(at(5, 2), F.left("text", F.lit(40))).otherwise(F.col("text"))
+    files = items.withColumn("text", text).filter(~at(5, 0)).select(F.when(at(11, 4), -a).otherwise(a).alias("of"), raw.alias("value"))
+    files.write.partitionBy("of").text(folder)
+    found = documents.load_sidecars(spark, f"{folder}/*/*.txt", F.regexp_extract("_path", "/of=(-?[0-9]+)/", 1).cast("long"))
+    archives = events.select(a.alias("key"), "archive_id", documents.stored_id(a).alias("stored_id")).distinct()
+    states = documents.sidecar_states(archives, found)
+    notes, bad = documents.read_annotations(states, events)
+    told = states.select(F.lit("state").alias("part"), "archive_id", F.col("state").alias("what"), F.lit(None).cast("string").alias("subject"))
+    broken = bad.select(F.lit("rule").alias("part"), "archive_id", F.col("rule").alias("what"), F.when(~F.col("rule").startswith("sidecar"), F.col("subject")).alias("subject"))
+    return integrity.union_all([told, broken, notes.select(F.lit("note").alias("part"), "archive_id", F.col("event_id").alias("what"), F.col("pos").cast("string").alias("subject"))])
+
+
 def envelope_roundtrip(spark, d):
     """Transcripts encrypted and decrypted."""
     a = _archives(_events(spark, d)).select("archive_id", F.encode("transcript", "UTF-8").alias("content"))
@@ -586,6 +608,42 @@ def project_forgeries(spark, d):
     return documents.project_text_violations(listed.select(p.alias("archive_id"), F.to_json(doc).alias("raw")))
 
 
+def mutation_batch(spark, d):
+    """One ordered batch for all archives, with repeats, strangers and too many of a kind; its verdicts, and what is stored after it."""
+    events = _events(spark, d)
+    w = Workspace(spark, tables.scratch_folder(spark))
+    w._write("archives", _archives(events))
+    w._write("events", events)
+    a, p, n = F.col("archive_id"), F.col("project_id"), F.col("sequence")
+    first = events.filter("sequence = 0").withColumn("project_id", (a / 10).cast("long"))
+
+    def ops(op, place, rows, **fields):
+        fields = {"project_id": p.cast("string"), "archive_id": a} | fields
+        return rows.select(F.lit(op).alias("op"), (F.lit(place * 10**15) + a * 10**6 + n).alias("seq"), *[(v if isinstance(v, Column) else F.lit(v)).alias(c) for c, v in fields.items()])
+
+    again = lambda rows, of, r: rows.unionByName(rows.filter(a % of == r).withColumn("sequence", F.lit(1)))
+    after, turned = (a + F.when(a % 8 == 0, 0).otherwise(1)).cast("string"), a % 6 == 2
+    here = a.cast("string")
+    parts = [
+        ops("project", 1, first.filter("archive_id % 10 = 0"), name=F.when(p % 7 != 3, "P").otherwise(""), created_at=TIME),
+        ops("edge", 2, first.filter("archive_id % 11 = 2"), from_id=here, to_id=after, kind="continues"),
+        ops("member", 3, again(first, 4, 1)),
+        ops("member", 4, first.filter("archive_id % 13 = 5"), archive_id=-a - 1),
+        ops("edge", 5, first, from_id=F.when(turned, after).otherwise(here), to_id=F.when(turned, here).otherwise(after), kind=F.when(turned, "related").when(a % 6 == 1, "other").otherwise("continues")),
+        ops("claim", 6, again(first, 5, 2), id=F.concat(F.lit("c"), a), event_id=F.when(a % 7 == 2, "evt_0").otherwise(F.col("event_id")), kind=F.when(a % 9 == 4, "guess").otherwise("task"), note="n"),
+        ops("annotation", 7, events.withColumn("project_id", F.lit(None)), event_id=F.col("event_id"), kind="pin", note=F.when(n % 4 == 2, "").otherwise("n"), created_at=TIME),
+        ops("erase", 8, first.filter("archive_id % 17 = 3")),
+    ]
+    fields = [c.split() for c in mutations.BATCH.split(", ")]
+    batch = integrity.union_all([x.select(*[(F.col(c) if c in x.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields]) for x in parts])
+    verdicts = w.apply(batch, mutations.Caps(members=8, annotations=3)).select(F.lit("verdict").alias("part"), "op", F.col("seq").cast("string").alias("key"), "rule")
+    stored = lambda name, op, *keys: w.table(name).select(F.lit("stored").alias("part"), F.lit(op).alias("op"), F.concat_ws("/", *keys).alias("key"), F.lit(None).cast("string").alias("rule"))
+    return integrity.union_all([
+        verdicts, stored("projects", "project", "project_id"), stored("members", "member", "project_id", "archive_id", "transcript_sha256"), stored("edges", "edge", "project_id", "from_id", "to_id", "kind"),
+        stored("claims", "claim", "project_id", "claim_id", "event_id"), stored("annotations", "annotation", "archive_id", "pos", "event_id"),
+    ])
+
+
 def claims_verify(spark, d):
     """Claims of which some are about archives that have changed or events that are not there."""
     events = _events(spark, d)
@@ -662,8 +720,8 @@ QUERIES = (
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
     graph_payload_hash, recorder_caps, recorder_stream, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
-    shared_page_roundtrip, archive_roundtrip, archive_forgeries, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
-    stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, claims_verify, project_handoffs, project_members, package_checks,
+    shared_page_roundtrip, archive_roundtrip, archive_forgeries, sidecar_checks, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
+    stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, mutation_batch, claims_verify, project_handoffs, project_members, package_checks,
     linked_graphs, share_urls, artifact_paths, unsafe_texts,
 )
 

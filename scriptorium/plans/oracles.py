@@ -194,6 +194,49 @@ UNION ALL SELECT DISTINCT archive_id, 'events out of order', 'normalized_json' F
 UNION ALL SELECT archive_id, 'events differ from the source', event_id FROM (FROM odd EXCEPT ALL FROM re)
 UNION ALL SELECT archive_id, 'events differ from the source', event_id FROM (FROM re EXCEPT ALL FROM odd)"""
 
+_MUTATIONS = r""",
+f AS (SELECT archive_id AS a, archive_id // 10 AS p, event_id, (archive_id // 10) % 7 <> 3 AS named, sha256(transcript) AS h FROM ev JOIN script USING (archive_id) WHERE sequence = 0),
+pr AS (SELECT p, named, min(a) AS a FROM f WHERE a % 10 = 0 GROUP BY ALL),
+m AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY a) AS place FROM f WHERE named AND p IN (SELECT p FROM pr)),
+mem AS (SELECT * FROM m WHERE place <= 8),
+early AS (SELECT 2 AS k, a, 0 AS n, 'edge' AS op, 'unknown end' AS rule FROM f WHERE a % 11 = 2),
+mr AS (SELECT f.a, n, CASE WHEN m.a IS NULL THEN 'unknown project' WHEN place > 8 THEN 'too many' WHEN n = 1 THEN 'repeated' END AS rule FROM f CROSS JOIN (VALUES (0), (1)) t(n) LEFT JOIN m USING (a) WHERE n = 0 OR f.a % 4 = 1),
+e0 AS (SELECT *, CASE WHEN a % 8 = 0 THEN a ELSE a + 1 END AS b, CASE WHEN a % 6 = 2 THEN 'related' WHEN a % 6 = 1 THEN 'other' ELSE 'continues' END AS kind FROM f),
+e AS (SELECT *, CASE WHEN kind = 'related' THEN least(a::VARCHAR, b::VARCHAR) ELSE a::VARCHAR END AS x, CASE WHEN kind = 'related' THEN greatest(a::VARCHAR, b::VARCHAR) ELSE b::VARCHAR END AS y,
+  CASE WHEN kind = 'other' THEN 'edge kind' WHEN (p, a) NOT IN (SELECT (p, a) FROM mem) OR (p, b) NOT IN (SELECT (p, a) FROM mem) THEN 'unknown end' WHEN a = b THEN 'loop' END AS rule FROM e0),
+c AS (SELECT *, CASE WHEN a NOT IN (SELECT a FROM mem) THEN 'archive not valid' WHEN a % 7 = 2 THEN 'unknown event' WHEN a % 9 = 4 THEN 'kind' END AS rule FROM f),
+n0 AS (SELECT archive_id AS a, sequence, event_id, CASE WHEN sequence % 4 = 2 THEN 'note' END AS bad FROM ev),
+n AS (SELECT *, count(*) FILTER (bad IS NULL) OVER (PARTITION BY a ORDER BY sequence) - 1 AS pos FROM n0),
+v AS (SELECT 1 AS k, a, 0 AS n, 'project' AS op, CASE WHEN NOT named THEN 'name' END AS rule FROM pr
+UNION ALL SELECT * FROM early
+UNION ALL SELECT 3, a, n, 'member', rule FROM mr
+UNION ALL SELECT 4, -a - 1, 0, 'member', CASE WHEN a IN (SELECT a FROM m) THEN 'unknown archive' ELSE 'unknown project' END FROM f WHERE a % 13 = 5
+UNION ALL SELECT 5, a, 0, 'edge', rule FROM e
+UNION ALL SELECT 6, a, 0, 'claim', rule FROM c
+UNION ALL SELECT 6, a, 1, 'claim', coalesce(rule, 'repeated') FROM c WHERE a % 5 = 2
+UNION ALL SELECT 7, a, sequence, 'annotation', coalesce(bad, CASE WHEN pos >= 3 THEN 'too many' END) FROM n
+UNION ALL SELECT 8, a, 0, 'erase', 'operation' FROM f WHERE a % 17 = 3)
+SELECT 'verdict' AS part, op, (k * 1000000000000000 + CASE WHEN k = 4 THEN -a - 1 ELSE a END * 1000000 + n)::VARCHAR AS key, rule FROM v
+UNION ALL SELECT 'stored', 'project', p::VARCHAR, NULL FROM pr WHERE named
+UNION ALL SELECT 'stored', 'member', p || '/' || a || '/' || h, NULL FROM mem
+UNION ALL SELECT 'stored', 'edge', p || '/' || x || '/' || y || '/' || kind, NULL FROM e WHERE rule IS NULL
+UNION ALL SELECT 'stored', 'claim', p || '/c' || a || '/' || event_id, NULL FROM c WHERE rule IS NULL
+UNION ALL SELECT 'stored', 'annotation', a || '/' || pos || '/' || event_id, NULL FROM n WHERE bad IS NULL AND pos < 3"""
+
+_SIDECARS = r""",
+f AS (SELECT DISTINCT archive_id AS a, archive_id % 5 AS r, archive_id % 11 = 4 AS strange FROM ev),
+st AS (SELECT a, CASE WHEN r = 0 OR strange THEN 'missing' WHEN r = 1 THEN 'empty' WHEN r = 2 THEN 'unreadable' ELSE 'read' END AS state FROM f),
+n AS (SELECT a, pos, CASE WHEN a % 10 = 4 AND pos = 0 THEN 'evt_0' ELSE event_id END AS event_id, CASE WHEN a % 6 = 3 THEN 'odd' ELSE kind END AS kind FROM st JOIN ann ON ann.archive_id = a WHERE state = 'read')
+SELECT 'state' AS part, a AS archive_id, state AS what, NULL::VARCHAR AS subject FROM st
+UNION ALL SELECT 'state', NULL, 'stray', NULL FROM f WHERE strange AND r <> 0
+UNION ALL SELECT 'rule', NULL, 'sidecar stray', NULL FROM f WHERE strange AND r <> 0
+UNION ALL SELECT 'rule', a, 'sidecar ' || state, NULL FROM st WHERE state IN ('empty', 'unreadable')
+UNION ALL SELECT 'rule', a, 'sidecar of another archive', NULL FROM st WHERE state = 'read' AND a % 7 = 5
+UNION ALL SELECT 'rule', a, 'unknown field', '$.more' FROM st WHERE state = 'read' AND a % 9 = 8
+UNION ALL SELECT 'rule', a, 'unknown event', pos::VARCHAR FROM n WHERE (a, event_id) NOT IN (SELECT (archive_id, event_id) FROM ev)
+UNION ALL SELECT 'rule', a, 'kind', pos::VARCHAR FROM n WHERE kind NOT IN ('decision', 'important', 'question', 'pin')
+UNION ALL SELECT 'note', a, event_id, pos::VARCHAR FROM n"""
+
 _BATCH = """,
 w AS (SELECT unnest(['the', 'and', 'of', 'en', 'de', 'la', 'que', 'die', 'der', 'in']) AS word, unnest(range(10)) AS i),
 asked AS (SELECT (row_number() OVER (ORDER BY x.i, y.i) - 1)::INTEGER AS query_id, x.word AS x, y.word AS y FROM w x JOIN w y ON x.i < y.i),
@@ -216,6 +259,8 @@ UNION ALL SELECT archive_id, 'schema', 'other/1' FROM a WHERE archive_id % 19 =
     "import_events": _sql("ev", "SELECT * FROM ev"),
     "project_checks": _PROJECT_CHECKS,
     "project_forgeries": _PROJECT_FORGERIES,
+    "sidecar_checks": _sql("ev ann", "").rstrip() + _SIDECARS,
+    "mutation_batch": _sql("ev script", "").rstrip() + _MUTATIONS,
     "claims_verify": _sql("ev", "SELECT archive_id // 10 AS project_id, archive_id || '/' || sequence AS claim_id, reason IS NULL AS valid, reason FROM (SELECT *, CASE WHEN archive_id % 9 = 0 THEN 'archive not valid' WHEN archive_id % 5 = 0 THEN 'event missing' END AS reason FROM ev WHERE sequence < 3)"),
     "project_handoffs": _PROJECT_HANDOFFS,
     "project_members": "SELECT DISTINCT 'p' || (conv_id // 10) AS project_id, 'a' || format('{:08d}', conv_id) AS archive_id, 'archives/' || conv_id AS path FROM conversations",

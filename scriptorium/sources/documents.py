@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_control, sha256, title_of, truncate_title, utf16_length
 from ..model import MAX_FILE_BYTES, MESSAGE, SHARED_ROLES
-from ..operators.integrity import archive_violations, breaches, event_violations, field_violations, import_violations, require_none, rederived_differences, union_all
+from ..operators.integrity import annotation_violations, archive_violations, breaches, event_violations, field_violations, import_violations, require_none, rederived_differences, union_all
 from ..operators.projection import explode_messages, project_events, render_transcripts
 from ..operators.projects import project_violations
 from ..operators.shapes import shape_violations
+from .files import binary_files, file_key
 from .markdown import markdown_messages
 
 #: Keys of the documents, and what their fields may be.
@@ -56,7 +57,7 @@ def read_texts(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
 
     Identifiers come from paths, so reruns agree.
     """
-    f = spark.read.format("binaryFile").load(path)
+    f = binary_files(spark, path)
     problem = F.when(F.col("length") > max_bytes, "too large").when(F.col("length") == 0, "empty").when(~F.is_valid_utf8(F.col("content").cast("string")), "not UTF-8")
     raw = F.when(problem.isNull(), F.decode("content", "UTF-8"))
     return f.select(F.xxhash64("path").alias("archive_id"), "path", raw.alias("raw"), problem.alias("problem"))
@@ -193,14 +194,54 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> tuple[
     return parse_archives(texts)
 
 
-def read_annotations(spark: SparkSession, path: str | None, archives: DataFrame) -> DataFrame:
-    """Annotations of archives from JSON sidecars (archive_id from ``archives``' stored_id); none where there is no file."""
-    schema = "archiveId string, items array<struct<eventId:string,kind:string,note:string,createdAt:string>>"
-    if path is None:
-        return archives.select("archive_id", F.lit(0).alias("pos"), F.lit("").alias("event_id"), F.lit("").alias("kind"), F.lit("").alias("note"), F.lit("").alias("created_at")).limit(0)
-    side = spark.read.schema(schema).option("multiLine", True).json(path)
-    rows = side.select(F.col("archiveId").alias("stored_id"), F.posexplode("items").alias("pos", "i")).join(archives.select("archive_id", "stored_id"), "stored_id")
-    return rows.select("archive_id", "pos", F.col("i.eventId").alias("event_id"), "i.kind", "i.note", F.col("i.createdAt").alias("created_at"))
+#: The keys of a sidecar of annotations, their types, and how a sidecar's name follows from its archive's.
+ANNOTATIONS_SHAPE = {"schema": "string", "archiveId": "string", "items": [{"eventId": "string", "kind": "string", "note": "string", "createdAt": "string"}]}
+SIDECAR = r"\.annotations\.json$"
+
+
+def load_sidecars(spark: SparkSession, path: str, key: Column | None = None, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(key, path, raw, problem) of sidecar files by what the file's own path says.
+
+    The key is the archive's path, or ``key`` made of the path of the sidecar
+    in the column ``_path``.  ``problem`` is ``empty``, or ``unreadable`` for
+    what is too large or not UTF-8.
+    """
+    f = binary_files(spark, path).select(F.col("path").alias("_path"), F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
+    of = file_key(F.regexp_replace("_path", SIDECAR, "")) if key is None else key
+    problem = F.when((F.col("size") > max_bytes) | ~F.is_valid_utf8("text"), "unreadable").when(F.trim("text", F.lit(" \t\r\n")) == "", "empty")
+    return f.select(of.alias("key"), F.col("_path").alias("path"), F.when(problem.isNull(), F.col("text")).alias("raw"), problem.alias("problem"))
+
+
+def sidecar_states(archives: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(archive_id, stored_id, path, raw, state) of archives (key, archive_id, stored_id) and sidecars, joined from both sides.
+
+    Keys are :func:`file_key` of the archives' paths, or what the sidecars were loaded with.
+
+    ``missing`` is no fault: such an archive has no annotations.  ``empty`` and
+    ``unreadable`` are, for what stood there is not known; so is a ``stray``
+    sidecar, which has no archive and a null archive_id.  All others are
+    ``read``.
+    """
+    j = archives.select("key", "archive_id", "stored_id").join(sidecars, "key", "full_outer")
+    readable = F.try_parse_json("raw").isNotNull()
+    state = F.when(F.col("archive_id").isNull(), "stray").when(F.col("path").isNull(), "missing").when(F.col("problem").isNotNull(), F.col("problem")).when(~readable, "unreadable").otherwise("read")
+    return j.select("archive_id", "stored_id", "path", "raw", state.alias("state"))
+
+
+def read_annotations(states: DataFrame, events: DataFrame, schema: str = "annotations/1") -> tuple[DataFrame, DataFrame]:
+    """(annotations, violations) of archives' sidecars as :func:`sidecar_states` found them.
+
+    Annotations have archive_id, pos, event_id, kind, note and created_at.
+    Violations name what is empty, unreadable or stray, keys and types at every
+    depth, a sidecar of another archive, and annotations that break a rule.
+    """
+    bad = states.filter(F.col("state").isin("empty", "unreadable", "stray")).select("archive_id", F.concat(F.lit("sidecar "), "state").alias("rule"), F.col("path").alias("subject"))
+    texts = states.filter("state = 'read'")
+    whole = F.from_json("raw", "struct<schema:string,archiveId:string,items:array<struct<eventId:string,kind:string,note:string,createdAt:string>>>")
+    read = texts.select("archive_id", "stored_id", "path", whole.alias("d"))
+    rows = read.select("archive_id", F.posexplode("d.items").alias("pos", "i")).select("archive_id", "pos", F.col("i.eventId").alias("event_id"), "i.kind", "i.note", F.col("i.createdAt").alias("created_at"))
+    own = breaches(read, {"sidecar schema": ~F.col("d.schema").eqNullSafe(schema), "sidecar of another archive": ~F.col("d.archiveId").eqNullSafe(F.col("stored_id"))}, F.col("path"))
+    return rows, union_all([bad, shape_violations(texts.select("archive_id", "raw"), ANNOTATIONS_SHAPE), own, annotation_violations(rows, events)])
 
 
 def parse_registry(spark: SparkSession, text: str, input_format: str) -> tuple[DataFrame, DataFrame]:

@@ -4,22 +4,43 @@ from __future__ import annotations
 
 import re
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_relative_path
 from ..model import MAX_FILE_BYTES, InputError
 
-__all__ = ["file_artifacts", "git_head", "is_relative_path", "repository_artifact"]
+__all__ = ["binary_files", "empty_files", "file_artifacts", "file_key", "git_head", "is_relative_path", "repository_artifact"]
 
 HEAD = re.compile(r"[0-9a-f]{40,64}")
 REFERENCE = re.compile(r"ref: (refs/[A-Za-z0-9._/-]+)")
 
 
+def file_key(path: Column) -> Column:
+    """A path by which files are joined: of a local one it is written with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def empty_files(read: DataFrame) -> DataFrame:
+    """(path) of the files of a reader that have no bytes, which it lists and leaves out.
+
+    The list of names that is joined is the one that the reader holds anyway.
+    """
+    listed = read.sparkSession.createDataFrame([(unquote(name),) for name in read.inputFiles()], "path string").select(file_key(F.col("path")).alias("path"))
+    return listed.join(read.select(file_key(F.col("path")).alias("path")), "path", "left_anti")
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of files, those of no bytes too."""
+    read = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return read.unionByName(empty_files(read).select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
+
+
 def file_artifacts(spark: SparkSession, path: str, root: str) -> DataFrame:
     """(path, name, sha256, head) of files, by their paths below ``root``; hashes are taken where files lie."""
-    f = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
+    f = binary_files(spark, path).filter(F.col("length") <= MAX_FILE_BYTES)
     plain = F.regexp_replace("path", f"^(file:)?/*{re.escape(root.strip('/'))}/", "")
     return f.select(plain.alias("path"), F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("string").alias("head"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import sha256, title_of
-from ..model import MESSAGE
+from ..model import MESSAGE, InputError
 from ..operators.projection import explode_messages, project_events
+from .files import empty_files
 
 #: JavaScript's white space, by which the heading rule is stated.
 _SPACE = "\\t\\n\\x0b\\f\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
@@ -60,6 +61,8 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     are empty or not UTF-8 are an error when they are read.
     """
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    if none := empty_files(raw).limit(3).collect():
+        raise InputError("not a non-empty UTF-8 text: " + ", ".join(r["path"] for r in none))
     name = F.left(F.element_at(F.split("path", "/"), -1), F.lit(160))
     ok = F.is_valid_utf8(F.col("content").cast("string")) & (F.length("content") > 0)
     text = F.when(ok, F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not a non-empty UTF-8 text: "), "path")))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import EVENTS, InputError
-from .operators import briefs, evidence, graph, index, integrity, planning, projects, search
+from .operators import briefs, evidence, graph, index, integrity, mutations, planning, projects, search
 from .operators.projection import inspect_events
 from .sinks import tables
 from .sinks.log import Commits, R, Transaction, transact
@@ -32,6 +32,7 @@ SCHEMAS = {
     "artifacts": "project_id string, artifact_id string, path string, name string, sha256 string, head string",
     "edges": "project_id string, from_id string, to_id string, kind string",
     "claims": "project_id string, claim_id string, archive_id long, event_id string, kind string, note string",
+    "verdicts": "seq long, op string, rule string",
 }
 
 
@@ -261,6 +262,24 @@ class Workspace:
 
         self._transact(add)
 
+    def apply(self, batch: DataFrame, caps: mutations.Caps = mutations.Caps()) -> DataFrame:
+        """Applies an ordered batch of :data:`.operators.mutations.BATCH` in one commit; the verdicts (seq, op, rule) as they were written down.
+
+        What is refused changes nothing, and what is applied is there as a whole.
+        """
+        known = {r["op"] for r in batch.select("op").filter(F.col("op").isin(*mutations.TABLES)).distinct().collect()}  # six names at most
+
+        def work(t: Transaction) -> None:
+            state = {name: t.table(name) for name in ("archives", "events", "projects", "members", "artifacts", "edges", "claims", "annotations")}
+            added, verdicts = mutations.apply_batch(state, batch, caps)
+            for op in sorted(known):
+                name = mutations.TABLES[op][0]
+                t.put(name, added[name], "add")
+            t.put("verdicts", verdicts)
+
+        self._transact(work)
+        return self.table("verdicts")
+
     def verify_projects(self) -> tuple[DataFrame, DataFrame]:
         """(rows, verdicts) of members and claims."""
         members = projects.verify_members(self.table("members"), self.table("archives"))

@@ -197,6 +197,34 @@ def test_forged_archives(spark):
     assert {rule for rule, _ in found[50]} == {"normalized source"}
 
 
+def test_files_of_no_bytes_are_not_passed_over(spark, tmp_path):
+    (tmp_path / "a b%41é.json").write_text("x")
+    (tmp_path / "é c%.json").write_text("")
+    got = {r.path.rsplit("/", 1)[1]: r.problem for r in documents.read_texts(spark, str(tmp_path / "*.json")).collect()}
+    assert got == {"a b%41é.json": None, "é c%.json": "empty"}
+    with pytest.raises(Exception, match="not a non-empty UTF-8 text"):
+        import_markdown(spark, str(tmp_path))[0].collect()
+
+
+def test_sidecars(spark, tmp_path):
+    events = project_events(spark.createDataFrame([(n, 0, "user", "x") for n in range(1, 9)], "archive_id long, sequence int, role string, content string"))
+    event = {r.archive_id: r.event_id for r in events.collect()}
+    side = lambda n, **more: {"schema": "annotations/1", "archiveId": f"arc_{n}", "items": [{"eventId": event[n], "kind": "pin", "note": "n", "createdAt": "2024-01-01T00:00:00Z"}]} | more
+    (tmp_path / "a").mkdir()
+    texts = {
+        1: json.dumps(side(1)).encode(), 3: b"", 4: b" \n", 5: b"{cut", 6: b"\xff\xfe", 7: json.dumps(side(7, archiveId="arc_1", more=1)).encode(), 8: json.dumps(side(8) | {"items": [{"eventId": "evt_0", "kind": "odd", "note": "n" * 2001, "createdAt": "soon"}]}).encode(), 9: json.dumps(side(1)).encode(),
+    }
+    for n, text in texts.items():
+        (tmp_path / "a" / f"{n}.json.annotations.json").write_bytes(text)
+    archives = spark.createDataFrame([(f"file://{tmp_path}/a/{n}.json", n, f"arc_{n}") for n in range(1, 9)], "key string, archive_id long, stored_id string").withColumn("key", files.file_key(F.col("key")))
+    states = documents.sidecar_states(archives, documents.load_sidecars(spark, str(tmp_path / "a" / "*.annotations.json")))
+    assert {r.archive_id: r.state for r in states.collect()} == {1: "read", 2: "missing", 3: "empty", 4: "empty", 5: "unreadable", 6: "unreadable", 7: "read", 8: "read", None: "stray"}
+    notes, bad = documents.read_annotations(states, events)
+    assert {(r.archive_id, r.event_id) for r in notes.collect()} == {(1, event[1]), (7, event[7]), (8, "evt_0")}
+    found = {a: {rule for rule, _ in rules} for a, rules in rules_of(bad).items()}
+    assert found == {3: {"sidecar empty"}, 4: {"sidecar empty"}, 5: {"sidecar unreadable"}, 6: {"sidecar unreadable"}, 7: {"sidecar of another archive", "unknown field"}, 8: {"unknown event", "kind", "note", "created_at"}, None: {"sidecar stray"}}
+
+
 def test_imports(spark, tmp_path):
     good = {"schema": "s", "title": "T", "messages": [{"role": "user", "content": "## User\nliteral"}, {"role": "assistant", "content": "ok"}]}
     (tmp_path / "g.json").write_text(json.dumps(good))

@@ -1,9 +1,11 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.model import InputError
+from scriptorium.operators.mutations import BATCH, Caps
 from scriptorium.workspace import COMMANDS, Workspace
 
 NOW = "2024-01-01T00:00:00.000Z"
@@ -57,5 +59,77 @@ def test_from_import_to_handoff(spark, tmp_path):
         w.search_projects("PKCE")
 
 
+def one_by_one(events, hashes, batch, caps):
+    """The operations in turn on dictionaries."""
+    projects, members, artifacts, edges, claims, notes, out = {}, {}, {}, set(), set(), {}, {}
+    for r in sorted((r for r in batch if r["seq"] is not None), key=lambda r: r["seq"]):
+        op, p, rule = r["op"], r.get("project_id"), None
+        of = lambda rows: sum(k[0] == p for k in rows)  # noqa: B023, E731
+        if sum(x["seq"] == r["seq"] for x in batch) > 1:
+            rule = "order"
+        elif op == "project":
+            rule = "name" if not r.get("name") else "created_at" if r.get("created_at") != NOW else "repeated" if p in projects else projects.update({p: 1})
+        elif op == "member":
+            a = r["archive_id"]
+            rule = "unknown project" if p not in projects else "unknown archive" if a not in hashes else "repeated" if (p, a) in members else "too many" if of(members) >= caps.members else members.update({(p, a): 1})
+        elif op == "artifact":
+            rule = "unknown project" if p not in projects else "path" if ".." in r["path"] else "hash" if not r.get("sha256") else "repeated" if (p, r["id"]) in artifacts else "too many" if of(artifacts) >= caps.artifacts else artifacts.update({(p, r["id"]): 1})
+        elif op == "edge":
+            f, t = (r["from_id"], r["to_id"]) if r["kind"] != "related" else sorted((r["from_id"], r["to_id"]))
+            nodes = {(q, str(x)) for q, x in [*members, *artifacts]}
+            rule = "edge kind" if r["kind"] == "odd" else "unknown end" if not {(p, f), (p, t)} <= nodes else "loop" if f == t else "repeated" if (p, f, t, r["kind"]) in edges else "too many" if of(edges) >= caps.edges else edges.add((p, f, t, r["kind"]))
+        elif op == "claim":
+            rule = "archive not valid" if (p, r["archive_id"]) not in members else "unknown event" if (r["archive_id"], r["event_id"]) not in events else "kind" if r["kind"] != "task" else "note" if not r["note"] else "repeated" if (p, r["id"]) in claims else "too many" if of(claims) >= caps.claims else claims.add((p, r["id"]))
+        elif op == "annotation":
+            a = r["archive_id"]
+            rule = "unknown event" if (a, r["event_id"]) not in events else "kind" if r["kind"] != "pin" else "note" if not r["note"] else "too many" if len(notes.get(a, ())) >= caps.annotations else notes.setdefault(a, []).append(r["event_id"])
+        else:
+            rule = "operation"
+        out[r["seq"]] = rule
+    return out, members, edges, claims, notes
+
+
+def test_batches_are_their_operations_in_turn(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n in range(4):
+        (tmp_path / "in" / f"{n}.md").write_text(f"# T{n}\n\n## User\n\none {n}\n\n## Assistant\n\ntwo {n}\n", "utf-8")
+    w = Workspace(spark, str(tmp_path / "ws"))
+    hashes = {r.archive_id: r.transcript_sha256 for r in w.import_markdown(str(tmp_path / "in"), NOW).collect()}
+    known = {(r.archive_id, r.event_id) for r in w.inspect().collect()}
+    rng, archives, events = random.Random(8), [*hashes, 99], [*known, (99, "evt_0"), (next(iter(hashes)), "evt_0")]
+    caps = Caps(members=3, artifacts=2, edges=3, claims=3, annotations=3)
+
+    def some(seq):
+        op = rng.choices(["project", "member", "artifact", "edge", "claim", "annotation", "odd"], [1, 5, 3, 8, 5, 5, 1])[0]
+        a, e = rng.choice(events)
+        end = lambda: rng.choice([str(x) for x in [*archives, "f1", "f2", "f3"]])
+        row = {"seq": seq, "op": op, "project_id": rng.choice("pq"), "created_at": rng.choice([NOW] * 5 + ["soon"]), "archive_id": a, "note": rng.choice(["n", "n", "n", ""])}
+        own = {
+            "project": {"name": rng.choice(["N", "N", ""])}, "member": {"archive_id": rng.choice(archives)}, "artifact": {"id": rng.choice(["f1", "f2", "f3"]), "path": rng.choice(["a/b", "a/b", "../b"]), "name": "n", "sha256": rng.choice(["a" * 64, "a" * 64, None])},
+            "edge": {"from_id": end(), "to_id": end(), "kind": rng.choice(["related", "supports", "odd"])}, "claim": {"id": rng.choice("wxyz"), "event_id": e, "kind": rng.choice(["task", "task", "pin"])}, "annotation": {"event_id": e, "kind": rng.choice(["pin", "pin", "task"]), "created_at": NOW},
+        }
+        return row | own.get(op, {})
+
+    batch = [{"seq": 0, "op": "project", "project_id": "p", "name": "N", "created_at": NOW}] + [some(i) for i in range(1, 130)] + [some(131), some(131), some(132) | {"seq": None}]
+    fields = [c.split()[0] for c in BATCH.split(", ")]
+    # in two batches, the second on what the first has stored
+    parts = [[r for r in batch if r["seq"] is not None and r["seq"] < 60], [r for r in batch if r["seq"] is None or r["seq"] >= 60]]
+    got = {}
+    for part in parts:
+        df = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in part], BATCH)
+        verdicts = w.apply(df, caps).collect()
+        assert len(verdicts) == len(part)
+        got |= {r.seq: r.rule for r in verdicts}
+    want, members, edges, claims, notes = one_by_one(known, hashes, batch, caps)
+    assert got.pop(None) == "order" and got == want
+    assert {(r.project_id, r.archive_id) for r in w.table("members").collect()} == set(members) and {(r.project_id, r.claim_id) for r in w.table("claims").collect()} == claims
+    assert {(r.project_id, r.from_id, r.to_id, r.kind) for r in w.table("edges").collect()} == edges
+    stored = {}
+    for r in w.table("annotations").orderBy("pos").collect():
+        stored.setdefault(r.archive_id, []).append((r.pos, r.event_id))
+    assert stored == {a: list(enumerate(v)) for a, v in notes.items()}
+    assert {"repeated", "too many", "unknown end", "loop", "unknown project", None} <= set(want.values())
+
+
 def test_commands_name_methods():
     assert all(callable(getattr(Workspace, m)) for m in COMMANDS.values())
