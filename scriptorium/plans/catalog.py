@@ -497,7 +497,7 @@ def plan_check(spark, d):
     p = planning.prompt_plans(_archives(events), events, "ollama", "a-model", "summary", None, PROMPT, 512)
     p = p.filter("not over_limit").withColumn("prompt", F.when(F.col("archive_id") % 7 == 0, F.concat(F.expr("substring(prompt, 1, length(prompt) - 1)"), F.lit("\u0021\u0021"))).otherwise(F.col("prompt")))
     p = p.withColumn("input_chars", F.when(F.col("archive_id") % 5 == 0, F.col("input_chars") + 1).otherwise(F.col("input_chars")))
-    return planning.plan_violations(p, PROMPT, 512).filter("rule in ('consent', 'input chars')").select("archive_id", "rule")
+    return planning.plan_violations(p, PROMPT, 512).select("archive_id", "rule")
 
 
 def _json(c):

@@ -245,7 +245,9 @@ found AS (SELECT query_id, x, y, ev.* FROM asked JOIN tok p ON p.term = x JOIN t
 
 ORACLES: dict[str, str] = {
     "handoffs": _HANDOFF,
-    "plan_check": _sql("ev script", f"SELECT archive_id, unnest(CASE WHEN archive_id % 7 = 0 AND archive_id % 5 = 0 THEN ['consent'] WHEN archive_id % 7 = 0 THEN ['consent', 'input chars'] ELSE ['input chars'] END) AS rule FROM ({_PLANNED.format(which='true')}) WHERE NOT over_limit AND (archive_id % 7 = 0 OR archive_id % 5 = 0)"),
+    "plan_check": _sql("ev script", f"""SELECT archive_id, unnest(list_filter([CASE WHEN archive_id % 7 = 0 THEN 'consent' END, CASE WHEN (archive_id % 7 = 0) <> (archive_id % 5 = 0) THEN 'input chars' END,
+  CASE WHEN archive_id % 7 = 0 AND ceil((input_chars + 1) / 4) <> estimated_tokens THEN 'estimated tokens' END, CASE WHEN archive_id % 7 = 0 AND input_chars + 1 > 3000 THEN 'over the limit' END], lambda r: r IS NOT NULL)) AS rule
+FROM ({_PLANNED.format(which='true')}) WHERE NOT over_limit"""),
     "stream_pages": _sql("ev", "").rstrip() + ",\n" + _SAID + "\nSELECT *, 'stream' AS parser FROM said",
     "snapshot_checks": _sql("ev", "").rstrip() + ",\n" + _SAID_ON_PAGES + ",\n" + _BAD_SNAPSHOTS + "\nSELECT * FROM bad",
     "snapshot_events": _sql("ev", "").rstrip() + ",\n" + _SAID_ON_PAGES + ",\n" + _BAD_SNAPSHOTS + "\nSELECT * FROM said WHERE archive_id NOT IN (SELECT archive_id FROM bad)",

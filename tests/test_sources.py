@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions.flat_graph import revive
-from scriptorium.functions.html_text import shared_conversation, text_of
+from scriptorium.functions.html_text import shared_conversation, text_of, title_of_page
 from scriptorium.model import InputError
 from scriptorium.operators.integrity import recorder_caps
 from scriptorium.operators.projection import explode_messages, project_events, render_transcripts
@@ -76,6 +76,22 @@ def test_stream_pages():
             shared_conversation(bad)
 
 
+def test_flat_graphs():
+    assert revive([[1, 2, 1.0, -1, 0.5, True], {"_3": 4}, "t", "k", [0]])[0]["k"][0][1] == "t"
+    value = {"a": [1.5, None, True, {"b": "c", "d": []}], "e": "a"}
+    assert revive(flatten(value)) == value
+    deep = [[i + 1] for i in range(201)]
+    assert revive([*deep[:199], "end"]) and revive(["alone", {"bad": 7}]) == "alone"
+    for bad in ([*deep, "end"], [{"_1": 2, "_3": 2}, "k", 1, "k"], [{"_9": 0}], [[1.0], [7]], [[1], {"_0": 1}]):
+        with pytest.raises(InputError):
+            revive(bad)
+
+
+def test_titles_lose_the_providers_name():
+    title = lambda t: title_of_page(f"<title>{t}</title>", "ChatGPT")
+    assert [title(t) for t in ("A - ChatGPT", "A | chatgpt ", "A — ChatGPT", "A ChatGPT", "ChatGPT", "ChatGPT and A", "A -- ChatGPT")] == ["A", "A", "A", "A", "Shared conversation", "ChatGPT and A", "A -"]
+
+
 def test_flat_graph_cycles():
     loop = revive([{"_1": 0}, "self"])
     assert loop["self"] is loop
