@@ -20,7 +20,7 @@ from ..operators import briefs, evidence, graph, index, integrity, mutations, pl
 from ..operators.canonical import canonical_sha256
 from ..operators.projection import explode_messages, inspect_events, ordered_concat, project_events, render_transcripts
 from ..sinks import tables
-from ..sources import documents, envelopes, snapshots
+from ..sources import documents, envelopes, remote, snapshots
 from ..sources import files as files_
 from ..sources.markdown import markdown_messages
 from ..sources.packages import manifest_violations, pack_archives, read_packages
@@ -700,6 +700,33 @@ def share_urls(spark, d):
     return p.select("page_id", snapshots.share_provider(url).alias("provider"))
 
 
+def _serve(url, timeout, row):
+    """Answers for a page's url out of the table's row, by what its path says."""
+    what, hops = url.rsplit("/", 2)[-2:]
+    page = {"content-type": "text/html; charset=utf-8"}
+    if int(hops):
+        return remote.Answer(302, {"location": f"{int(hops) - 1}"}, iter(()))
+    if what == "lost":
+        raise OSError("no route")
+    kinds = {
+        "stranger": (301, {"location": "https://example.com/share/x"}, b""), "nowhere": (307, {}, b""), "gone": (404, page, b"gone"), "text": (200, {"content-type": "text/plain"}, b"x"),
+        "large": (200, page | {"content-length": str(remote.MAX_PAGE_BYTES + 1)}, b""), "bytes": (200, page, b"\xff\xfe"),
+    }
+    status, headers, body = kinds.get(what, (200, page, row["html"].encode()))
+    return remote.Answer(status, headers, iter([body]))
+
+
+def fetched_pages(spark, d):
+    """Pages served from the table under urls that redirect, lead astray, are gone or are no pages."""
+    p = spark.read.parquet(f"{d}/pages.parquet")
+    kinds = ("page", "stranger", "nowhere", "gone", "text", "large", "bytes", "lost")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("page_id") % 8 + 1).cast("int"))
+    url = F.concat(F.when(F.col("page_id") % 9 == 4, "http").otherwise("https"), F.lit("://chatgpt.com/share/"), kind, F.lit("/"), (F.col("page_id") % 5).cast("string"))
+    got = remote.fetch_pages(p.select(F.col("page_id").alias("archive_id"), url.alias("url"), "html"), _serve)
+    named = remote.snapshots_of(got, TIME).select("archive_id", "name")
+    return got.select("archive_id", "provider", "source_url_sha256", "source_html_sha256", "byte_length", "error").join(named, "archive_id", "left")
+
+
 def artifact_paths(spark, d):
     """Paths of urls, whole and without their first character."""
     p = spark.read.parquet(f"{d}/pages.parquet").withColumn("path", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1))
@@ -722,7 +749,7 @@ QUERIES = (
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
     shared_page_roundtrip, archive_roundtrip, archive_forgeries, sidecar_checks, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
     stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, mutation_batch, claims_verify, project_handoffs, project_members, package_checks,
-    linked_graphs, share_urls, artifact_paths, unsafe_texts,
+    linked_graphs, share_urls, fetched_pages, artifact_paths, unsafe_texts,
 )
 
 

@@ -273,6 +273,11 @@ two AS (SELECT archive_id, event_id AS from_id, lead(event_id, 2) OVER w AS to_i
 links AS (SELECT archive_id, from_id, to_id, kind, from_sequence AS a, to_sequence AS b FROM man WHERE kind = 'answers' UNION ALL SELECT * FROM two WHERE to_id IS NOT NULL)
 SELECT archive_id, part::INTEGER AS part, rank::INTEGER AS rank, from_id, to_id, kind FROM nxt UNION ALL SELECT archive_id, 1, row_number() OVER (PARTITION BY archive_id ORDER BY a, b, kind), from_id, to_id, kind FROM links""",
     "share_urls": "SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'gemini' WHEN 5 THEN 'claude' END AS provider FROM pages",
+    "fetched_pages": r"""WITH p AS (SELECT page_id AS a, html, (['page', 'stranger', 'nowhere', 'gone', 'text', 'large', 'bytes', 'lost'])[page_id % 8 + 1] AS kind, page_id % 5 AS hops, page_id % 9 = 4 AS plain FROM pages),
+e AS (SELECT *, CASE WHEN plain THEN 'http' ELSE 'https' END || '://chatgpt.com/share/' || kind || '/' || hops AS url, CASE WHEN plain THEN 'url not allowed' WHEN hops = 4 THEN 'too many redirects'
+  WHEN kind = 'stranger' THEN 'redirect not allowed' WHEN kind = 'nowhere' THEN 'redirect without a location' WHEN kind = 'gone' THEN 'status 404' WHEN kind = 'text' THEN 'no page' WHEN kind = 'large' THEN 'too large' WHEN kind = 'bytes' THEN 'not UTF-8' WHEN kind = 'lost' THEN 'unreachable' END AS error FROM p)
+SELECT a AS archive_id, CASE WHEN NOT plain THEN 'chatgpt' END AS provider, sha256(url) AS source_url_sha256, CASE WHEN error IS NULL THEN sha256(html) END AS source_html_sha256, CASE WHEN error IS NULL THEN strlen(html) END AS byte_length, error,
+CASE WHEN error IS NULL THEN 'snapshot-' || left(sha256(html), 16) END AS name FROM e""",
     "artifact_paths": r"""SELECT page_id, length(path) BETWEEN 1 AND 512 AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AS relative
 FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN p WHEN 1 THEN '..' || p ELSE substr(p, 2) END AS path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages))""",
     "unsafe_texts": _sql("ev", "SELECT archive_id, event_id, sequence % 4 = 0 AS unsafe, sequence % 4 < 3 AS control FROM ev"),

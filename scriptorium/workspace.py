@@ -18,7 +18,7 @@ from .operators import briefs, evidence, graph, index, integrity, mutations, pla
 from .operators.projection import inspect_events
 from .sinks import tables
 from .sinks.log import Commits, R, Transaction, transact
-from .sources import documents, envelopes, files, packages, snapshots
+from .sources import documents, envelopes, files, packages, remote, snapshots
 from .sources.markdown import import_markdown
 
 SCHEMAS = {
@@ -96,6 +96,18 @@ class Workspace:
         integrity.require_none(bad, "snapshot")
         return self._store(archives, events, created_at)
 
+    def fetch_shared(self, urls: DataFrame, get: remote.Get, path: str, captured_at: str) -> DataFrame:
+        """Pages of (archive_id, url) by ``get``, those that could be had written to ``path`` as snapshots; (archive_id, url, error)."""
+        pages = remote.fetch_pages(urls, get)
+        remote.snapshots_of(pages, captured_at).write.mode("errorifexists").parquet(path)
+        return pages.select("archive_id", "url", "error")
+
+    def import_shared(self, urls: DataFrame, get: remote.Get, created_at: str) -> DataFrame:
+        """Conversations at (archive_id, url) by ``get``; one that cannot be had or read makes the whole an error."""
+        archives, events, bad = remote.import_shared(remote.fetch_pages(urls, get), created_at)
+        integrity.require_none(bad, "shared page")
+        return self._store(archives, events, created_at)
+
     def inspect(self, archive_id: int | None = None) -> DataFrame:
         return inspect_events(self._of("events", archive_id))
 
@@ -304,7 +316,7 @@ class Workspace:
 COMMANDS = {
     "import-markdown": "import_markdown", "import-json": "import_json", "index": "build_index", "verify-index": "verify_index", "inspect": "inspect", "search": "search", "annotate": "annotate",
     "continue": "continue_", "handoff": "handoff", "evaluate-handoff": "evaluate_handoff", "package-export": "export_packages", "package-import": "import_packages", "graph-build": "build_graph",
-    "graph-verify": "verify_graph", "graph-link": "link", "graph-brief": "brief", "graph-viewer": "graph_viewer", "encrypt": "encrypt", "decrypt": "decrypt", "import-snapshot": "import_snapshots",
+    "graph-verify": "verify_graph", "graph-link": "link", "graph-brief": "brief", "graph-viewer": "graph_viewer", "encrypt": "encrypt", "decrypt": "decrypt", "import-snapshot": "import_snapshots", "fetch-share": "fetch_shared", "import-share": "import_shared",
     "viewer": "viewer", "ai-plan": "plan", "project-init": "new_project", "project-add-archive": "add_archives", "project-add-file": "add_file", "project-add-repository": "add_repository",
     "project-link": "link_nodes", "project-claim": "claim", "project-verify": "verify_projects", "project-search": "search_projects", "project-continue": "continue_projects",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.model import InputError
 from scriptorium.operators.mutations import BATCH, Caps
+from scriptorium.sources.remote import Answer
 from scriptorium.workspace import COMMANDS, Workspace
 
 NOW = "2024-01-01T00:00:00.000Z"
@@ -59,6 +60,20 @@ def test_from_import_to_handoff(spark, tmp_path):
         w.search_projects("PKCE")
 
 
+def test_shared_pages(spark, tmp_path):
+    def get(url, timeout, row):
+        return Answer(404 if url.endswith("gone") else 200, {"content-type": "text/html"}, iter([b'<article data-message-author-role="user"><p>Hi</p></article>']))
+
+    w = Workspace(spark, str(tmp_path / "ws"))
+    urls = spark.createDataFrame([(1, "https://chatgpt.com/share/a"), (2, "https://chatgpt.com/share/gone")], "archive_id long, url string")
+    assert {r.archive_id: r.error for r in w.fetch_shared(urls, get, str(tmp_path / "pages"), NOW).collect()} == {1: None, 2: "status 404"}
+    assert [r.archive_id for r in spark.read.parquet(str(tmp_path / "pages")).collect()] == [1]
+    with pytest.raises(InputError, match="status 404"):
+        w.import_shared(urls, get, NOW)
+    w.import_shared(urls.limit(1), get, NOW)
+    assert w.inspect().count() == 1 and w.search("hi").count() == 1
+
+
 def one_by_one(events, hashes, batch, caps):
     """The operations in turn on dictionaries."""
     projects, members, artifacts, edges, claims, notes, out = {}, {}, {}, set(), set(), {}, {}
