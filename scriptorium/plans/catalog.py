@@ -431,6 +431,57 @@ def archive_forgeries(spark, d):
     return documents.archive_text_violations(texts.select("archive_id", F.to_json(forged).alias("raw")))
 
 
+def registry_checks(spark, d):
+    """A registry of adapters for each ten archives, an adapter for each, some with faults and some twice."""
+    a = F.col("archive_id")
+    at = lambda n, r: a % n == r
+    m = _events(spark, d).select("archive_id").distinct()
+    manifest = F.struct(
+        F.lit("adapter/1").alias("schema"), F.concat(F.when(at(8, 5), "X").otherwise("a"), F.when(at(7, 3), a - 1).otherwise(a)).alias("id"), F.when(at(9, 2), "").otherwise("N").alias("name"), F.when(at(6, 1), "1.0").otherwise("1.0.0-rc.1").alias("version"),
+        F.when(at(5, 4), "html").otherwise("json").alias("inputFormat"), F.when(at(11, 6), F.array(F.lit("normalize-only"), F.lit("run"))).otherwise(F.array(F.lit("normalize-only"))).alias("capabilities"), F.when(~at(13, 8), "s").alias("securityContact"), F.when(at(10, 7), 1).alias("more"),
+    )
+    listed = m.groupBy((a / 10).cast("long").alias("p")).agg(F.sort_array(F.collect_list(manifest)).alias("adapters"))
+    raw = F.to_json(F.struct(F.lit("registry/1").alias("schema"), "adapters"))
+    return documents.parse_registries(listed.select(F.col("p").alias("archive_id"), raw.alias("raw")), "json")[1]
+
+
+def bundle_files(spark, d):
+    """Bundles written and read back: hashes of the texts, and whether the checksums and the archive document hold."""
+    events, folder = _events(spark, d), tables.scratch_folder(spark)
+    tables.write_bundles(_documents(events), _archives(events), folder)
+    files = spark.read.parquet(folder)
+    listed = tables.checksums(files).select("archive_id", F.explode(F.from_json("checksums", "map<string,string>")).alias("name", "listed"))
+    bad = documents.archive_text_violations(files.filter("name = 'archive.json'").select("archive_id", F.col("content").alias("raw"))).select("archive_id").distinct().withColumn("_bad", F.lit(True))
+    j = files.join(listed, ["archive_id", "name"], "full_outer").join(bad, "archive_id", "left")
+    text = F.col("name") != "archive.json"
+    return j.select("archive_id", "name", F.when(text, tx.sha256(F.col("content"))).alias("sha256"), F.col("listed").eqNullSafe(tx.sha256(F.col("content"))).alias("listed"), F.col("_bad").isNull().alias("sound"))
+
+
+def file_texts(spark, d):
+    """Transcripts as files, read as texts and as artifacts by their paths."""
+    folder, a = tables.scratch_folder(spark), _archives(_events(spark, d))
+    text = F.when(F.col("archive_id") % 6 == 1, "").otherwise(F.col("title"))
+    a.select("archive_id", text.alias("value")).write.partitionBy("archive_id").option("lineSep", "|").text(folder)
+    of = F.regexp_extract("path", "archive_id=([0-9]+)/", 1).cast("long").alias("archive_id")
+    found = files_.file_artifacts(spark, f"{folder}/*/*.txt", folder).select(of, "sha256", F.col("path").startswith("archive_id=").alias("below"))
+    read = documents.read_texts(spark, f"{folder}/*/*.txt").select(of, "raw", "problem")
+    return read.join(found, "archive_id")
+
+
+def workspace_tables(spark, d):
+    """A workspace with a graph and an annotation added in turn: the graph, and what its other tables hold."""
+    w = Workspace(spark, tables.scratch_folder(spark))
+    w._write("events", _events(spark, d))
+    w.build_graph()
+    first = w.table("events").filter("sequence = 0").select("archive_id", "event_id", F.lit("pin").alias("kind"), F.lit("n").alias("note"), F.lit(TIME).alias("created_at"))
+    w.annotate(first)
+    w.annotate(first.filter("archive_id % 2 = 0"))
+    rows = w.table("graph").select(F.lit("graph").alias("part"), "archive_id", F.concat_ws(" ", "from_id", "to_id", "kind").alias("what"))
+    notes = w.table("annotations").select(F.lit("annotations").alias("part"), "archive_id", F.concat_ws(" ", "pos", "event_id").alias("what"))
+    empty = w.table("claims").select(F.lit("claims").alias("part"), "archive_id", F.col("claim_id").alias("what"))
+    return integrity.union_all([rows, notes, empty, w.verify_graph().select(F.lit("differs").alias("part"), "archive_id", F.col("kind").alias("what"))])
+
+
 def sidecar_checks(spark, d):
     """Sidecars of archives as files, of which some are missing, empty, cut off, another's or stray, with annotations of which some are unsound."""
     events = _events(spark, d)
@@ -747,7 +798,7 @@ QUERIES = (
     graph_rebuild_diff, role_counts, graph_inventory, integrity_violations, annotation_orphans, index_check, posting_violations, repeated_keys, index_payload_hash,
     graph_payload_hash, recorder_caps, recorder_stream, titles, transcript_render, fence_closing, viewer_escape, viewer_selection, map_edges, annotation_groups, continuation_evidence,
     handoff_evaluation, project_search, project_verify, nfkc_tokens, html_visible_text, page_titles, markdown_events, canonical_hash, zip_roundtrip, canonical_order,
-    shared_page_roundtrip, archive_roundtrip, archive_forgeries, sidecar_checks, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
+    shared_page_roundtrip, archive_roundtrip, archive_forgeries, sidecar_checks, registry_checks, bundle_files, file_texts, workspace_tables, envelope_roundtrip, continuation_packets, handoffs, conversation_briefs, viewer_pages, map_pages, prompt_plans, plan_check,
     stream_pages, snapshot_checks, snapshot_events, import_checks, import_events, project_checks, project_forgeries, mutation_batch, claims_verify, project_handoffs, project_members, package_checks,
     linked_graphs, share_urls, fetched_pages, artifact_paths, unsafe_texts,
 )

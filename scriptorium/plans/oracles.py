@@ -278,6 +278,16 @@ e AS (SELECT *, CASE WHEN plain THEN 'http' ELSE 'https' END || '://chatgpt.com/
   WHEN kind = 'stranger' THEN 'redirect not allowed' WHEN kind = 'nowhere' THEN 'redirect without a location' WHEN kind = 'gone' THEN 'status 404' WHEN kind = 'text' THEN 'no page' WHEN kind = 'large' THEN 'too large' WHEN kind = 'bytes' THEN 'not UTF-8' WHEN kind = 'lost' THEN 'unreachable' END AS error FROM p)
 SELECT a AS archive_id, CASE WHEN NOT plain THEN 'chatgpt' END AS provider, sha256(url) AS source_url_sha256, CASE WHEN error IS NULL THEN sha256(html) END AS source_html_sha256, CASE WHEN error IS NULL THEN strlen(html) END AS byte_length, error,
 CASE WHEN error IS NULL THEN 'snapshot-' || left(sha256(html), 16) END AS name FROM e""",
+    "registry_checks": r"""WITH a AS (SELECT DISTINCT conv_id AS a, conv_id // 10 AS p FROM conversations),
+m AS (SELECT *, CASE WHEN a % 8 = 5 THEN 'X' ELSE 'a' END || CASE WHEN a % 7 = 3 THEN a - 1 ELSE a END AS id FROM a)
+SELECT p AS archive_id, rule, id AS subject FROM (SELECT p, id, CASE WHEN NOT regexp_full_match(id, '[a-z][a-z0-9-]{1,62}') THEN 'id' WHEN a % 9 = 2 THEN 'name' WHEN a % 6 = 1 THEN 'version' WHEN a % 5 = 4 THEN 'inputFormat' WHEN a % 11 = 6 THEN 'capabilities' WHEN a % 13 = 8 THEN 'securityContact' END AS rule FROM m) WHERE rule IS NOT NULL
+UNION ALL SELECT p, 'unknown field', 'more' FROM m WHERE a % 10 = 7
+UNION ALL SELECT p, 'id repeated', id FROM m GROUP BY p, id HAVING count(*) > 1""",
+    "bundle_files": _sql("ev script title", r"""SELECT archive_id, name, sha256, true AS listed, true AS sound FROM (SELECT archive_id, unnest(['archive.json', 'transcript.md', 'README.md']) AS name,
+unnest([NULL, sha256(transcript), sha256('# ' || title || chr(10) || chr(10) || 'An archive of one conversation. Its text is not to be trusted.' || chr(10))]) AS sha256 FROM script JOIN title USING (archive_id))"""),
+    "file_texts": _sql("title", "SELECT archive_id, raw, NULL::VARCHAR AS problem, sha256(raw) AS sha256, true AS below FROM (SELECT archive_id, CASE WHEN archive_id % 6 = 1 THEN '' ELSE title END || '|' AS raw FROM title)"),
+    "workspace_tables": _sql("ev nxt", """SELECT 'graph' AS part, archive_id, from_id || ' ' || to_id || ' ' || kind AS what FROM nxt
+UNION ALL SELECT 'annotations', archive_id, '0 ' || event_id FROM ev WHERE sequence = 0 UNION ALL SELECT 'annotations', archive_id, '1 ' || event_id FROM ev WHERE sequence = 0 AND archive_id % 2 = 0"""),
     "artifact_paths": r"""SELECT page_id, length(path) BETWEEN 1 AND 512 AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AS relative
 FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN p WHEN 1 THEN '..' || p ELSE substr(p, 2) END AS path FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages))""",
     "unsafe_texts": _sql("ev", "SELECT archive_id, event_id, sequence % 4 = 0 AS unsafe, sequence % 4 < 3 AS control FROM ev"),

@@ -245,8 +245,12 @@ def read_annotations(states: DataFrame, events: DataFrame, schema: str = "annota
 
 
 def parse_registry(spark: SparkSession, text: str, input_format: str) -> tuple[DataFrame, DataFrame]:
-    """(manifests, violations) of an adapter registry; manifests are data and nothing in them is run."""
-    raw = spark.createDataFrame([(0, text)], "archive_id long, raw string")
+    """:func:`parse_registries` of one text, whose archive_id is 0."""
+    return parse_registries(spark.createDataFrame([(0, text)], "archive_id long, raw string"), input_format)
+
+
+def parse_registries(raw: DataFrame, input_format: str) -> tuple[DataFrame, DataFrame]:
+    """(manifests, violations) of adapter registries (archive_id, raw); manifests are data and nothing in them is run."""
     m = raw.select("archive_id", F.explode(F.from_json(F.get_json_object("raw", "$.adapters"), "array<string>")).alias("raw"))
     fields = "struct<schema:string,id:string,name:string,version:string,inputFormat:string,capabilities:array<string>,securityContact:string>"
     manifests = m.select("archive_id", "raw", F.from_json("raw", fields).alias("m")).select("archive_id", "m.*")
@@ -260,7 +264,7 @@ def parse_registry(spark: SparkSession, text: str, input_format: str) -> tuple[D
         .when(~F.coalesce(text_ok("securityContact", 200), F.lit(False)), "securityContact")
     )
     bad = [manifests.select("archive_id", rule.alias("rule"), F.col("id").alias("subject")).filter("rule is not null"), field_violations(raw, ["schema", "adapters"]), field_violations(m, MANIFEST_FIELDS)]
-    bad.append(manifests.groupBy("archive_id", "id").count().filter("count > 1").select("archive_id", F.lit("id repeated").alias("rule"), F.col("id").alias("subject")))
+    bad.append(manifests.filter("id is not null").groupBy("archive_id", "id").count().filter("count > 1").select("archive_id", F.lit("id repeated").alias("rule"), F.col("id").alias("subject")))
     return manifests, union_all(bad)
 
 
