@@ -14,12 +14,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
-import itertools
+import codecs
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,21 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGNED = 12
 
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|\\([0-3][0-7]{2})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 in lines, as mail and key files have it.
 BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
 LINE_END = re.compile(r"[\r\n \t]+")
 #: Decoded bytes without any of these hold neither a match nor a further layer.
-PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx]|&#|\x1f\x8b|BZh|\xfd7z|\x78[\x01\x5e\x9c\xda]|(?:\x00[ -~]){4}|(?:[ -~]\x00){4}")
-
+PROMISING = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{16}|[A-Za-z0-9+/_-]{16}|%[0-9A-Fa-f]{2}|\\[uUx0-3]|&#|\x1f\x8b|BZh|\xfd7z|\x78[\x01\x5e\x9c\xda]|(?:\x00[ -~]){4}|(?:[ -~]\x00){4}")
+
+#: How compressed streams begin in URL and backslash escapes.
+ESCAPED_STREAM = re.compile(r"(?i:%1f%8b%08|%78%9c|x%9c|x%da|%fd7zxz%00|BZh[1-9]1AY%26SY)|(?i:\\x1f\\x8b)(?:(?i:\\x08)|\\b)|\\0?37\\213(?:\\0?10|\\b)|(?:x|\\x78)(?:\\x9c|\\xda)|\\xfd7zXZ\\x00|\\3757zXZ\\0")
+#: Where they end: at the quote that stands before them too, else at a space or a quote.
+ESCAPED_END = {"'": re.compile(r"(?:[^'\\\n]|\\.)*"), '"': re.compile(r'(?:[^"\\\n]|\\.)*'), "": re.compile(r"""[^\s"'<>]*""")}
+_WHOLE_ESCAPES = re.compile(rb"(?:\\x[0-9A-Fa-f]{2}|\\[^x]|[^\\])*")
+#: Bytes by which streams are told apart before they are compared as wholes.
+HEAD_BYTES = 1 << 16
 #: Bytes of an unfolded layer that are looked at together.
 PIECE_BYTES = 8 << 20
 #: Bytes that two pieces have in common.  A match needs fewer: runs of spaces are one space there.
@@ -116,8 +124,8 @@ def _url_pieces(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _unicode_pieces(m: re.Match) -> list[tuple[str, int, int]] | None:
-    digits = next(i for i in range(1, 7) if m.group(i) is not None)
-    code = int(m.group(digits), 10 if digits == 6 else 16)
+    digits = next(i for i in range(1, 8) if m.group(i) is not None)
+    code = int(m.group(digits), {6: 10, 7: 8}.get(digits, 16))
     return [(chr(code), 0, m.end() - m.start())] if 0 < code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
@@ -198,38 +206,75 @@ def _texts_of(data: bytes) -> Iterator[tuple[str, int, int]]:
             yield data[i::2].decode("latin-1"), i, 2
 
 
-def hidden_kinds(chunks: Iterator[bytes], ancestors: frozenset) -> tuple[set[int], int]:
+class _Unfolded:
+    """What a compressed stream unfolds to, as often as it is opened, and its identity: the whole of it, length and hash."""
+
+    def __init__(self, source: Callable[[], Iterator[bytes]]):
+        self.open = lambda: inflated(source())
+        self.head, self.short = b"", True
+        for chunk in self.open():
+            self.head += chunk
+            if len(self.head) > HEAD_BYTES:
+                self.short = False
+                break
+        self._identity: tuple[int, bytes] | None = None
+
+    def identity(self) -> tuple[int, bytes]:
+        if self._identity is None:
+            size, digest = 0, sha256()
+            for chunk in self.open():
+                size += len(chunk)
+                digest.update(chunk)
+            self._identity = size, digest.digest()
+        return self._identity
+
+    def same(self, other: _Unfolded) -> bool:
+        return not self.short and not other.short and self.head[:HEAD_BYTES] == other.head[:HEAD_BYTES] and self.identity() == other.identity()
+
+
+def hidden_kinds(chunks: Iterator[bytes] | Callable[[], Iterator[bytes]], ancestors: frozenset, above: tuple[_Unfolded, ...] = ()) -> tuple[set[int], int]:
     """(kinds of secrets, number of layers) in a compressed stream and all that is nested in it.
 
-    The stream is unfolded piece by piece, however long it is.  A stream that
-    begins as one of its ancestors does ends the branch: an archive that
-    reproduces itself, in one step or in several.
+    The stream is unfolded piece by piece, however long it is, and opened anew
+    for each reading: bytes that begin as a stream are unfolded further and
+    read as a text too.  What equals an ancestor as a whole ends the branch: an
+    archive that reproduces itself, in one step or in several.
     """
-    stream = inflated(chunks)
-    head = b""
-    for chunk in stream:
-        head += chunk
-        if len(head) >= 1 << 16:
-            break
-    mark = hash(head)
-    if not head or mark in ancestors:
+    given = chunks if callable(chunks) else list(chunks)
+    layer = _Unfolded(given if callable(given) else lambda: iter(given))
+    # a short stream is wholly in its head; long ones that begin alike are compared
+    mark = hash(layer.head)
+    if not layer.head or layer.short and mark in ancestors or any(map(layer.same, above)):
         return set(), 0
-    whole = itertools.chain([head], stream)
-    if _decompressor(head) is not None:
-        kinds, layers = hidden_kinds(whole, ancestors | {mark})
-        if layers:
-            return kinds, layers + 1
-        whole = itertools.chain([head], stream)  # it only looked like one
+    inner = ancestors | {mark} if layer.short else ancestors
     kinds, layers = set(), 1
-    for piece in _pieces(whole):
+    if _decompressor(layer.head) is not None:
+        kinds, nested = hidden_kinds(layer.open, inner, (*above, layer))
+        layers += nested
+    for piece in _pieces(layer.open()):
         for text, _, _ in _texts_of(piece):
             kinds.update(k for _, k, _ in base_spans(text))
-            for layer in unwrapped_layers(text, ancestors | {mark}):
+            for inside in unwrapped_layers(text, inner):
                 layers += 1
-                kinds.update(layer.kinds if layer.text is None else (k for _, k, _ in base_spans(layer.text)))
+                kinds.update(inside.kinds if inside.text is None else (k for _, k, _ in base_spans(inside.text)))
     return kinds, layers
 
 
+def _escaped_streams(text: str) -> Iterator[tuple[bytes, int, int]]:
+    """(bytes, start, end) of compressed streams that are written with URL or backslash escapes, hexadecimal or octal."""
+    if "%" not in text and "\\" not in text:
+        return
+    at = 0
+    while m := ESCAPED_STREAM.search(text, at):
+        before = text[m.start() - 1 : m.start()]
+        at = ESCAPED_END[before if before in ESCAPED_END else ""].match(text, m.start()).end()
+        raw = text[m.start() : at].encode("latin-1", "replace")
+        try:
+            yield unquote_to_bytes(raw) if "%" in m.group() else codecs.escape_decode(raw)[0], m.start(), at
+        except ValueError:  # a broken escape: what stands before it
+            yield codecs.escape_decode(_WHOLE_ESCAPES.match(raw).group())[0], m.start(), at
+
+
 def _base64_bytes(run: str, phase: int) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")[phase:]
     body = body[: len(body) - (len(body) % 4 == 1)]
@@ -277,6 +322,20 @@ def unwrapped_layers(text: str, ancestors: frozenset = frozenset()) -> Iterator[
             return child
         return None
 
+    def hidden(data: bytes, a: int, b: int, layer: Layer):
+        """The layer of a compressed stream that the characters from a to b stand for."""
+        mark = hash(data)  # that of the same characters as a text, which is another reading
+        if mark in layer.ancestors or ("stream", mark, a, b) in seen:
+            return None
+        seen.add(("stream", mark, a, b))
+        kinds, n = hidden_kinds(lambda: iter([data]), layer.ancestors | {mark})
+        if not n:
+            return None
+        ready(layer)
+        child = Layer(None, layer.starts[a : a + 1], layer.ends[b - 1 : b], layer.ancestors)
+        child.kinds = kinds
+        return child
+
     while work:
         layer = work.pop()
         for pattern, pieces, sign in ((URL_RUN, _url_pieces, "%"), (UNICODE_ESCAPE, _unicode_pieces, None)):
@@ -285,19 +344,15 @@ def unwrapped_layers(text: str, ancestors: frozenset = frozenset()) -> Iterator[
             matches = list(pattern.finditer(layer.text))
             if matches and (new := _replaced(ready(layer), matches, pieces)) and (child := push(*new, layer)):
                 yield child
+        for data, a, b in _escaped_streams(layer.text):
+            if (child := hidden(data, a, b, layer)) is not None:
+                yield child
         for run, a, b, places in _runs(layer.text):
             for phase in range(4):
                 data = _base64_bytes(run, phase)
                 for start in _stream_starts(data):
-                    mark = hash(data[start:])
-                    if mark not in layer.ancestors and (mark, a, b) not in seen:
-                        seen.add((mark, a, b))
-                        kinds, n = hidden_kinds(iter([data[start:]]), layer.ancestors | {mark})
-                        if n:
-                            ready(layer)
-                            child = Layer(None, layer.starts[a : a + 1], layer.ends[b - 1 : b], layer.ancestors)
-                            child.kinds = kinds
-                            yield child
+                    if (child := hidden(data[start:], a, b, layer)) is not None:
+                        yield child
                 for decoded, offset, step in _texts_of(data):
                     ready(layer)
                     if step:

@@ -77,6 +77,11 @@ ENCODERS = {
     "bz2 in gzip": lambda t: b64(gzip.compress(bz2.compress(t.encode()))),
     "xz": lambda t: b64(lzma.compress(t.encode())),
     "damaged text": lambda t: b64(b"\xff\x00 " + t.encode("latin-1")),
+    "octal": lambda t: "".join(f"\\{b:03o}" for b in t.encode("latin-1")),
+    "escaped gzip": lambda t: repr(gzip.compress(t.encode(), mtime=0)),
+    "quoted gzip": lambda t: "q=" + quote(gzip.compress(t.encode(), mtime=0)) + "&x=1",
+    "hex escapes": lambda t: "".join(f"\\x{b:02x}" for b in zlib.compress(t.encode())),
+    "text after a stream": lambda t: b64(gzip.compress(gzip.compress(b"nothing here") + b" " + t.encode())),
     "glued": lambda t: "id/" + b64(gzip.compress(t.encode())),
 }
 
@@ -104,6 +109,25 @@ def test_whole_layer_is_scanned():
     assert 0 in [s[1] for s in all_spans(b64(gzip.compress(spaced)))[1]]
 
 
+def test_streams_that_begin_alike_are_no_cycle():
+    rng = random.Random(3)
+    same = b64(rng.randbytes(900_000)).encode()  # 1.2 MB in both layers
+    inner = gzip.compress(same + b" " + SECRET.encode())
+    assert 0 in [s[1] for s in all_spans(b64(gzip.compress(same + b" " + base64.b64encode(inner))))[1]]
+    long = b"x y " * 50_000
+    for data in (gzip.compress(long + gzip.compress(long + SECRET.encode())), gzip.compress(gzip.compress(long) + gzip.compress(long + SECRET.encode()))):
+        all_spans(b64(data))  # ends
+
+
+def test_an_archive_of_itself_ends(monkeypatch):
+    from scriptorium.llm import secret_scan
+
+    # a stand-in for a long archive that unfolds to itself
+    a = b"\x1f\x8b\x08" + b"same again " * 20_000
+    monkeypatch.setattr(secret_scan, "inflated", lambda chunks: iter([a, b""]))
+    assert secret_scan.hidden_kinds(lambda: iter([a]), frozenset()) == (set(), 1)
+
+
 def test_archives_that_hold_themselves_end(monkeypatch):
     from scriptorium.llm import secret_scan
 
