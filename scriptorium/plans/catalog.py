@@ -394,11 +394,18 @@ def shared_page_roundtrip(spark, d):
     return project_events(parsed.select("archive_id", F.posexplode("p.messages").alias("sequence", "m")).select("archive_id", "sequence", "m.role", "m.content"))
 
 
+def _stored(df):
+    """A table written down, as documents are before they are checked; checks read them several times."""
+    folder = tables.scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _documents(events):
     """Archives made from normalised imports, as JSON documents."""
     messages = events.groupBy("archive_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("sequence", "role", "content"))), lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
     a = _archives(events).join(messages, "archive_id").select("*", F.lit(TIME).alias("created_at"), F.lit("conversations").alias("source_name"), F.col("transcript_sha256").alias("source_sha256"))
-    return documents.archive_documents(a, events)
+    return _stored(documents.archive_documents(a, events))
 
 
 def archive_roundtrip(spark, d):
@@ -428,7 +435,7 @@ def archive_forgeries(spark, d):
         doc["schema"].alias("schema"), doc["archiveId"].alias("archiveId"), doc["createdAt"].alias("createdAt"), F.when(at(2), more).otherwise(doc["title"]).alias("title"), capture.alias("capture"),
         doc["security"].withField("more", F.when(at(3), more)).alias("security"), transcript.alias("transcript"), events.alias("events"), F.when(~at(6), source).alias("normalizedSource"),
     )
-    return documents.archive_text_violations(texts.select("archive_id", F.to_json(forged).alias("raw")))
+    return documents.archive_text_violations(_stored(texts.select("archive_id", F.to_json(forged).alias("raw"))))
 
 
 def registry_checks(spark, d):
@@ -656,7 +663,7 @@ def project_forgeries(spark, d):
         F.when(p % 3 == 1, "other/1").otherwise(documents.PROJECT_SCHEMA).alias("schema"), named("prj_", tx.sha256(p.cast("string"))).alias("projectId"), F.when(p % 4 == 2, "").otherwise("P").alias("name"), F.when(p % 5 != 3, TIME).alias("createdAt"),
         "archives", "artifacts", "edges", "claims",
     )
-    return documents.project_text_violations(listed.select(p.alias("archive_id"), F.to_json(doc).alias("raw")))
+    return documents.project_text_violations(_stored(listed.select(p.alias("archive_id"), F.to_json(doc).alias("raw"))))
 
 
 def mutation_batch(spark, d):
@@ -686,7 +693,7 @@ def mutation_batch(spark, d):
         ops("erase", 8, first.filter("archive_id % 17 = 3")),
     ]
     fields = [c.split() for c in mutations.BATCH.split(", ")]
-    batch = integrity.union_all([x.select(*[(F.col(c) if c in x.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields]) for x in parts])
+    batch = _stored(integrity.union_all([x.select(*[(F.col(c) if c in x.columns else F.lit(None)).cast(kind).alias(c) for c, kind in fields]) for x in parts]))
     verdicts = w.apply(batch, mutations.Caps(members=8, annotations=3)).select(F.lit("verdict").alias("part"), "op", F.col("seq").cast("string").alias("key"), "rule")
     stored = lambda name, op, *keys: w.table(name).select(F.lit("stored").alias("part"), F.lit(op).alias("op"), F.concat_ws("/", *keys).alias("key"), F.lit(None).cast("string").alias("rule"))
     return integrity.union_all([

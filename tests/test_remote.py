@@ -33,7 +33,7 @@ def server():
     return serve
 
 
-def test_rules_of_requests_and_redirects(spark):
+def test_rules_of_requests_and_redirects(spark, tmp_path):
     url = "https://chatgpt.com/share/a"
     cases = [
         (url, {"*": PAGE}, None), (url, {"/share/a": "/share/b", "/share/b": "https://chatgpt.com/share/c", "/share/c": PAGE}, None), (url, {"*": "/share/a"}, "too many redirects"),
@@ -41,7 +41,8 @@ def test_rules_of_requests_and_redirects(spark):
         (url, {"*": "slow"}, "timed out"), (url, {"*": "endless"}, "too large"), (url, {"*": "x" * 301}, "too large"), (url, {"*": "x" * 300}, None), ("https://chatgpt.com/share/a?q=1", {"*": PAGE}, "url not allowed"), (None, {"*": PAGE}, "url not allowed"), ("nonsense", {"*": PAGE}, "url not allowed"),
     ]
     rows = spark.createDataFrame([(i, u, json.dumps(said)) for i, (u, said, _) in enumerate(cases)], "archive_id long, url string, said string")
-    pages = fetch_pages(rows, server(), max_bytes=300)
+    fetch_pages(rows, server(), max_bytes=300).coalesce(1).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
     got = {r.archive_id: r for r in pages.collect()}
     assert [got[i].error for i in range(len(cases))] == [error for _, _, error in cases]
     assert all((r.html_bytes is None) == (r.error is not None) for r in got.values()) and bytes(got[1].html_bytes) == PAGE.encode()
