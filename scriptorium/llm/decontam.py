@@ -87,11 +87,18 @@ class Canonicaliser:
 
     def template(self, text: str) -> tuple[Iterator[str], np.ndarray, np.ndarray, np.ndarray]:
         """(words, which few texts are asked for, hash of each lower-cased word, hash of each template token, kind of its slot or 0)."""
+        return self.readings(text)[:4]
+
+    def readings(self, text: str) -> tuple[Iterator[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """:func:`template`, and the hashes and kinds where words with a capital at a sentence's beginning are names.
+
+        Whether such a word is a name cannot be told, so both readings count.
+        """
         if len(self.ids) > VOCABULARY:
             self._forget()
         words = TOKEN.findall(text)
         if not words:
-            return iter(()), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+            return iter(()), *[np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint64, np.uint8)]
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         plain, kind = self.hash[ids], self.kind[ids]
         before = np.concatenate([[_MARK], kind[:-1]]).astype(np.uint8)
@@ -99,8 +106,10 @@ class Canonicaliser:
         h = plain.copy()
         for k, value in self.slot_hash.items():
             h[slot == k] = value
+        first = (kind == _CAPITAL) & (before == _MARK)
         keep = kind != _MARK
-        return itertools.compress(words, keep), plain[keep], h[keep], slot[keep]
+        named, as_name = np.where(first, self.slot_hash[_CAPITAL], h), np.where(first, np.uint8(_CAPITAL), slot)
+        return itertools.compress(words, keep), plain[keep], h[keep], slot[keep], named[keep], as_name[keep]
 
 
 def rolling(h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -131,6 +140,18 @@ def template_windows(h: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarra
     return start, out[start]
 
 
+def both_windows(h: np.ndarray, slot: np.ndarray, named: np.ndarray, as_name: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, hash, slots) of the template windows of both readings, of the second those alone that differ from the first."""
+    at, hs = template_windows(h, slot, n)
+    out = [(at, hs, slot)]
+    if (first := slot != as_name).any():
+        other = np.concatenate([[0], np.cumsum(first)])
+        at, hs = template_windows(named, as_name, n)
+        differs = other[at + n] > other[at]
+        out.append((at[differs], hs[differs], as_name))
+    return out
+
+
 def plain_windows(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     out = rolling(h, n, 2 * n + 1)
     return np.arange(len(out)), out
@@ -161,7 +182,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         for batch in batches:
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, plain, h, slot = canon.template(text)
+                words, plain, h, slot, named, as_name = canon.readings(text)
                 words = list(words)
                 if not words:
                     continue
@@ -170,8 +191,9 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 rows += [(item, form, len(words), 1, *_window(True, words, slot, int(a), n, x)) for a, x in zip(*plain_windows(plain, n))]
                 if len(words) >= MIN_ITEM_WORDS:
                     n = min(window, len(words))
-                    at, hs = template_windows(h, slot, n)
-                    rows += [(item, form, len(words), len(at), *_window(False, words, slot, int(a), n, x)) for a, x in zip(at, hs)]
+                    both = both_windows(h, slot, named, as_name, n)
+                    places = len(set().union(*(at.tolist() for at, _, _ in both)))
+                    rows += [(item, form, len(words), places, *_window(False, words, kinds, int(a), n, x)) for at, hs, kinds in both for a, x in zip(at, hs)]
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *_WINDOW_TYPES])], names=["item_id", "form", "item_words", "windows", *_WINDOW_NAMES])
@@ -212,16 +234,16 @@ def _hits(docs: DataFrame, gate: np.ndarray, lengths: list[tuple[bool, int]]) ->
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(2)):
-                words, plain, h, slot = canon.template(text.as_py())
-                for copied, n in lengths:
-                    at, hs = plain_windows(plain, n) if copied else template_windows(h, slot, n)
+                words, plain, h, slot, named, as_name = canon.readings(text.as_py())
+                windows = ((copied, n, *w) for copied, n in lengths for w in ([(*plain_windows(plain, n), slot)] if copied else both_windows(h, slot, named, as_name, n)))
+                for copied, n, at, hs, kinds in windows:
                     bit = hs >> shift
                     maybe = np.flatnonzero((gate[(bit >> np.uint64(3)).astype(np.int64)] << (bit & np.uint64(7)).astype(np.uint8)) & 128)
                     if copied and n < MIN_ITEM_WORDS and len(maybe):  # short items may stand in a text at every other word
                         maybe = maybe[np.unique(hs[maybe], return_index=True)[1]]
                     if len(maybe):
                         words = list(words)
-                        rows += [(i, *_window(copied, words, slot, int(at[j]), n, hs[j])) for j in maybe]
+                        rows += [(i, *_window(copied, words, kinds, int(at[j]), n, hs[j])) for j in maybe]
             if rows:
                 which, *cols = zip(*rows)
                 take = pa.array(which, pa.int32())

@@ -64,21 +64,38 @@ def holds(doc, item):
 def gathered(doc, item):
     """The rule for templates, over all offsets and without hashes."""
     canon = Canonicaliser()
-    (w, _, h, _), (x, _, g, slot) = canon.template(doc), canon.template(item)
+    w, _, *doc_readings = canon.readings(doc)
+    x, _, *item_readings = canon.readings(item)
     w, x = list(w), list(x)
     if len(x) < 5:
         return False
     n = min(8, len(x))
-    windows = [j for j in range(len(x) - n + 1) if (slot[j : j + n] != 0).sum() <= n // 2]
+    # each of (hashes, kinds) with and without names at the beginnings of sentences
+    docs, items = (list(zip(r[::2], r[1::2])) for r in (doc_readings, item_readings))
+    fine = [[j for j in range(len(x) - n + 1) if (slot[j : j + n] != 0).sum() <= n // 2] for _, slot in items]
+    windows = set().union(*fine)
     need = min(len(windows), max(1, min(13, len(x)) - n + 1))
     for offset in range(-len(x), len(w)):
-        hit = [j for j in windows if 0 <= j + offset <= len(w) - n and (h[j + offset : j + offset + n] == g[j : j + n]).all()]
-        filled = {(x[k].lower(), w[k + offset].lower()) for j in hit for k in range(j, j + n) if slot[k]}
+        hit, filled = set(), set()
+        for (g, slot), mine in zip(items, fine):
+            for j in mine:
+                at = slice(j + offset, j + offset + n)
+                if 0 <= j + offset <= len(w) - n and any((h[at] == g[j : j + n]).all() and (kinds[at] != 0).sum() <= n // 2 for h, kinds in docs):
+                    hit.add(j)
+                    filled |= {(x[k].lower(), w[k + offset].lower()) for k in range(j, j + n) if slot[k]}
         if windows and len(hit) >= need and len({v for v, _ in filled}) == len(filled):
             return True
     return False
 
 
+def test_names_at_the_beginning_of_a_sentence(spark):
+    item = "Alice has 12 apples and buys 5 more apples today."
+    docs = [(1, "Bob has 7 apples and buys 9 more apples today."), (2, "so Bob has 7 apples and buys 9 more apples today"), (3, "We saw. Bob has 7 apples and buys 9 more apples today"), (4, "Bob has 7 apples and sells 9 more pears today."), (5, "Alice has 7 apples and buys 9 more apples today."), (6, "bob has 7 apples and buys 9 more apples today")]
+    got, d, b = run(spark, docs, [(1, item)])
+    assert {(r[0], r[3]) for r in got} == {(1, "reparameterised"), (2, "reparameterised"), (3, "reparameterised"), (5, "reparameterised")}
+    assert sorted(r.doc_id for r in decontaminate(d, b).collect()) == [4, 6]
+
+
 def test_brute_force_on_questions_with_values(spark):
     rng = np.random.default_rng(5)
     names = ("Ann", "Bob", "Carl", "Dora")
