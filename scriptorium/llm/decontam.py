@@ -101,13 +101,15 @@ class Canonicaliser:
             return iter(()), *[np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint64, np.uint8)]
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
         plain, kind = self.hash[ids], self.kind[ids]
-        before = np.concatenate([[_MARK], kind[:-1]]).astype(np.uint8)
-        slot = np.where(kind == _NUMBER, _NUMBER, np.where((kind == _CAPITAL) & (before != _MARK), _CAPITAL, np.where((kind == _UNIT) & (before == _NUMBER), _UNIT, 0))).astype(np.uint8)
+        mark, capital = kind == _MARK, kind == _CAPITAL
+        begins = np.concatenate([[True], mark[:-1]])
+        counted = np.concatenate([[False], kind[:-1] == _NUMBER])
+        first = capital & begins
+        slot = np.where(capital & ~begins | (kind == _NUMBER) | (kind == _UNIT) & counted, kind, np.uint8(0))
         h = plain.copy()
         for k, value in self.slot_hash.items():
             h[slot == k] = value
-        first = (kind == _CAPITAL) & (before == _MARK)
-        keep = kind != _MARK
+        keep = ~mark
         named, as_name = np.where(first, self.slot_hash[_CAPITAL], h), np.where(first, np.uint8(_CAPITAL), slot)
         return itertools.compress(words, keep), plain[keep], h[keep], slot[keep], named[keep], as_name[keep]
 
@@ -142,14 +144,14 @@ def template_windows(h: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarra
 
 def both_windows(h: np.ndarray, slot: np.ndarray, named: np.ndarray, as_name: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(start, hash, slots) of the template windows of both readings, of the second those alone that differ from the first."""
-    at, hs = template_windows(h, slot, n)
-    out = [(at, hs, slot)]
-    if (first := slot != as_name).any():
-        other = np.concatenate([[0], np.cumsum(first)])
-        at, hs = template_windows(named, as_name, n)
-        differs = other[at + n] > other[at]
-        out.append((at[differs], hs[differs], as_name))
-    return out
+    first = slot != as_name
+    if not first.any() or len(h) < n:
+        return [(*template_windows(h, slot, n), slot)]
+    one, two = rolling(h, n, 2 * n), rolling(named, n, 2 * n)
+    filled, more = (np.concatenate([[0], np.cumsum(x)]) for x in (slot != 0, first))
+    filled, more = filled[n:] - filled[:-n], more[n:] - more[:-n]
+    at, other = np.flatnonzero(filled <= n // 2), np.flatnonzero((more > 0) & (filled + more <= n // 2))
+    return [(at, one[at], slot), (other, two[other], as_name)]
 
 
 def plain_windows(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
