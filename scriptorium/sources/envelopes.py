@@ -1,13 +1,15 @@
 """Encrypted archives: scrypt keys and AES-256-GCM, as JSON envelopes.
 
-Keys are derived in Arrow functions, one for each row's own salt; the bytes
-are encrypted by Spark's function.
+Keys are derived in Arrow functions, one for each salt; the bytes are encrypted
+by Spark's function.  A derivation is dear on purpose, so a salt serves several
+rows of one call, which one passphrase opens anyway; nonces are each row's own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,10 @@ from ..model import MAX_SECRET_BYTES, InputError
 
 # The only key derivation that is read or written.
 N, R, P, KEY, SALT, NONCE, TAG = 16_384, 8, 1, 32, 16, 12, 16
+#: Rows that a salt and its key serve at most; random nonces of one key would allow billions.
+ROWS_PER_SALT = 256
+#: Keys that a task remembers.
+KEYS = 4_096
 SCHEMA = "envelope/1"
 ENVELOPE = "struct<schema:string,kdf:struct<name:string,N:int,r:int,p:int,salt:string>,cipher:struct<name:string,nonce:string,tag:string>,ciphertext:string>"
 
@@ -32,20 +38,26 @@ def _key(passphrase: bytes, salt: bytes) -> bytes:
     return hashlib.scrypt(passphrase, salt=salt, n=N, r=R, p=P, dklen=KEY, maxmem=64 << 20)
 
 
-def encrypt(archives: DataFrame, passphrase: bytes) -> DataFrame:
+def encrypt(archives: DataFrame, passphrase: bytes, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """(archive_id, envelope) of (archive_id, content); content is bytes, not empty and within the limit.
 
     Salt, nonce and key come from one function, so a row's are of one piece;
-    a row that is computed again gets others.
+    a row that is computed again gets others.  Up to ``rows_per_salt`` rows of
+    a task have one salt; with 1 each row has its own.
     """
     _check(passphrase)
 
-    def fresh(ids: pa.Array) -> pa.Array:
-        rows = []
-        for _ in range(len(ids)):
-            salt = os.urandom(SALT)
-            rows.append({"salt": salt, "nonce": os.urandom(NONCE), "key": _key(passphrase, salt)})
-        return pa.array(rows, pa.struct([("salt", pa.binary()), ("nonce", pa.binary()), ("key", pa.binary())]))
+    def fresh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        left = 0
+        for ids in batches:
+            rows = []
+            for _ in range(len(ids)):
+                if not left:
+                    salt, left = os.urandom(SALT), rows_per_salt
+                    key = _key(passphrase, salt)
+                left -= 1
+                rows.append({"salt": salt, "nonce": os.urandom(NONCE), "key": key})
+            yield pa.array(rows, pa.struct([("salt", pa.binary()), ("nonce", pa.binary()), ("key", pa.binary())]))
 
     make = F.arrow_udf(fresh, T.StructType([T.StructField(c, T.BinaryType()) for c in ("salt", "nonce", "key")])).asNondeterministic()
     size = F.octet_length("content")
@@ -65,8 +77,17 @@ def decrypt(envelopes: DataFrame, passphrase: bytes) -> DataFrame:
     """(archive_id, content, error) of (archive_id, envelope); a wrong passphrase and altered bytes look the same."""
     _check(passphrase)
 
-    def derive(salts: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else _key(passphrase, s) for s in salts.to_pylist()], pa.binary())
+    def derive(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        keys: dict[bytes | None, bytes | None] = {None: None}
+        for salts in batches:
+            out = []
+            for salt in salts.to_pylist():
+                if salt not in keys:
+                    if len(keys) > KEYS:
+                        keys = {None: None}
+                    keys[salt] = _key(passphrase, salt)
+                out.append(keys[salt])
+            yield pa.array(out, pa.binary())
 
     key = F.arrow_udf(derive, T.BinaryType())
     e = envelopes.select("archive_id", F.from_json("envelope", ENVELOPE).alias("e"))

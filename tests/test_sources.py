@@ -291,6 +291,18 @@ def test_envelopes(spark):
         envelopes.encrypt(a, b"short")
 
 
+def test_rows_of_a_table_share_derivations(spark):
+    a = spark.range(300).repartition(2).select(F.col("id").alias("archive_id"), F.encode(F.concat(F.lit("text "), "id"), "UTF-8").alias("content"))
+    e = spark.createDataFrame(envelopes.encrypt(a, b"a long passphrase").collect(), "archive_id long, envelope string")
+    part = lambda path: F.count_distinct(F.get_json_object("envelope", path))
+    salts, nonces = e.select(part("$.kdf.salt"), part("$.cipher.nonce")).first()
+    assert salts <= 4 and nonces == 300
+    assert {(r.archive_id, bytes(r.content)) for r in envelopes.decrypt(e, b"a long passphrase").collect()} == {(i, b"text %d" % i) for i in range(300)}
+    own = spark.createDataFrame(envelopes.encrypt(a.limit(5), b"a long passphrase", rows_per_salt=1).collect(), e.schema)
+    assert own.select(part("$.kdf.salt")).first()[0] == 5
+    assert envelopes.decrypt(own.unionByName(e), b"a long passphrase").filter("error is not null").count() == 0
+
+
 def test_registry(spark):
     ok = {"schema": "m", "id": "my-adapter", "name": "N", "version": "1.0.0", "inputFormat": "f", "capabilities": ["normalize-only"], "securityContact": "c"}
     _, bad = documents.parse_registry(spark, json.dumps({"schema": "r", "adapters": [ok]}), "f")
