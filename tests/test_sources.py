@@ -12,6 +12,7 @@ from scriptorium.operators.integrity import recorder_caps
 from scriptorium.operators.projection import explode_messages, project_events, render_transcripts
 from scriptorium.operators.shapes import shape_violations
 from scriptorium.sinks import tables
+from scriptorium.plans.catalog import queries
 from scriptorium.sources import documents, envelopes, files, packages, snapshots
 from scriptorium.sources.markdown import import_markdown
 from scriptorium.streaming.recorder import record_stream
@@ -303,6 +304,16 @@ def test_rows_of_a_table_share_derivations(spark):
     assert envelopes.decrypt(own.unionByName(e), b"a long passphrase").filter("error is not null").count() == 0
 
 
+def test_many_files_are_read_folder_by_folder(spark, tmp_path, monkeypatch):
+    spark.range(12).selectExpr("id as conv_id", "0 as turn", "'user' as role", "concat('text ', id) as text").write.parquet(str(tmp_path / "conversations.parquet"))
+    names, read = [], files.empty_files
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 3, raising=False)
+    monkeypatch.setattr(files, "empty_files", lambda r: (names.append(len(r.inputFiles())), read(r))[1])
+    rows = queries()["file_texts"](spark, str(tmp_path)).collect()
+    assert sorted(r.archive_id for r in rows) == list(range(12)) and all(r.below and r.problem is None for r in rows)
+    assert sum(names) == 12 and max(names) < 12
+
+
 def test_registry(spark):
     ok = {"schema": "m", "id": "my-adapter", "name": "N", "version": "1.0.0", "inputFormat": "f", "capabilities": ["normalize-only"], "securityContact": "c"}
     _, bad = documents.parse_registry(spark, json.dumps({"schema": "r", "adapters": [ok]}), "f")
