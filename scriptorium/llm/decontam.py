@@ -23,6 +23,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,6 @@ MIN_WORDS = 13
 MIN_ITEM_WORDS = 5
 #: Bits of the hash that name a bit of the bitmap: 128 KB at least and 16 MB at most.
 MIN_GATE_BITS, MAX_GATE_BITS = 20, 27
-#: Words that a task remembers.
-VOCABULARY = 400_000
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
 #: Fixed list: common units of measure.
@@ -53,37 +52,101 @@ _SLOTS = {_NUMBER: "<number>", _CAPITAL: "<name>", _UNIT: "<unit>"}
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Ids(dict):
-    """Numbers of words in the order of their first use; a known word costs no call."""
+#: Texts are read together until they have so many characters.
+TEXT_BLOCK = 1 << 20
 
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
 
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self)
-        self.learn(word, i)
-        return i
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-class Canonicaliser:
-    """Template tokens of texts, with a bounded memo of words."""
+class _Characters:
+    """What a code point is, learned by blocks of 256 as they are met: its kind and a number for its lower case.
+
+    The two small sigmas have one number, so equal lower-cased words have equal numbers.
+    """
 
     def __init__(self):
-        self._forget()
-        self.slot_hash = {k: np.uint64(xxhash.xxh64_intdigest(v)) for k, v in _SLOTS.items()}
+        self.known = np.zeros(0x1100, bool)
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.fold = np.zeros(0x110000, np.uint64)
+
+    def learn(self, points: np.ndarray) -> None:
+        for block in np.flatnonzero(np.bincount(points >> 8, minlength=len(self.known)) * ~self.known).tolist():
+            for i in range(block << 8, block + 1 << 8):
+                c = chr(i)
+                self.kind[i] = _IN_WORD * (c.isalnum() or c == "_") | _DECIMAL * c.isdecimal() | _DIGIT * c.isdigit() | _UPPER * c.isupper() | _SMALL * (c.islower() or unicodedata.category(c) == "Lt") | _STOP * (c in ".!?\n") | _POINT * (c in ".,")
+                low = c.lower()
+                self.fold[i] = i if len(low) > 1 else 0x3C3 if low == "\u03c2" else ord(low)
+            at = slice(block << 8, block + 1 << 8)
+            self.fold[at] = _mixed(self.fold[at] + np.uint64(0x9E3779B97F4A7C15))
+            self.known[block] = True
+
+
+_IN_WORD, _DECIMAL, _DIGIT, _UPPER, _SMALL, _STOP, _POINT = (1 << i for i in range(7))
+_characters = _Characters()
+
+
+def _starts(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the matches of ``TOKEN`` in characters of these kinds."""
+    word = (kind & _IN_WORD).astype(bool)
+    before = np.concatenate([[False], word[:-1]])
+    start = word & ~before
+    inside = word.copy()
+    first = np.flatnonzero(start & (kind & _DECIMAL).astype(bool))
+    if len(first):  # a number ends where its digits do, and goes on over a point or comma between digits
+        decimal = np.concatenate([kind & _DECIMAL, [0, 0]]).astype(bool)
+        no_digit = np.flatnonzero(~decimal)
+        end = no_digit[np.searchsorted(no_digit, first)]
+        joined = end[(end < len(kind)) & decimal[np.minimum(end + 1, len(kind))]]
+        joined = joined[(kind[joined] & _POINT).astype(bool)]
+        inside[joined], start[joined + 1] = True, False
+        cut = end[end < len(kind)]
+        start[cut[word[cut]]] = True
+    stop = (kind & _STOP).astype(bool) & ~inside
+    at = np.flatnonzero(start | stop)
+    ends = np.flatnonzero(np.concatenate([inside[:-1] & ~inside[1:], inside[-1:]])) + 1
+    last = np.append(ends, len(kind))[np.searchsorted(ends, at + 1)]
+    last = np.minimum(last, np.append(at[1:], len(kind)))
+    return at, np.where(stop[at], at + 1, last)
+
+
+def _words(text: str) -> Iterator[str]:
+    """The text's words, without the marks that end sentences."""
+    yield from (w for w in TOKEN.findall(text) if w not in _MARKS)
+
+
+_MARKS = frozenset(".!?\n")
 
-    def _forget(self):
-        self.ids = _Ids(self._learn)
-        self.hash = np.zeros(1024, np.uint64)
-        self.kind = np.zeros(1024, np.uint8)
 
-    def _learn(self, word: str, i: int) -> None:
-        if i >= len(self.hash):
-            self.hash, self.kind = np.resize(self.hash, 2 * i), np.resize(self.kind, 2 * i)
-        low = word.lower()
-        self.hash[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"))
-        self.kind[i] = _MARK if word in ".!?\n" else _NUMBER if word[0].isdigit() or low in NUMBER_WORDS else _CAPITAL if word[0].isupper() and not word.isupper() else _UNIT if low in UNITS else 0
+class Canonicaliser:
+    """Template tokens of texts; many texts are read at once, in arrays over their characters."""
+
+    def __init__(self):
+        self.slot_hash = {k: np.uint64(xxhash.xxh64_intdigest(v)) for k, v in _SLOTS.items()}
+        self.sets = []
+        for words, kind in ((UNITS, _UNIT), (NUMBER_WORDS, _NUMBER)):
+            h = np.unique([self._tokens(w)[1][0] for w in words])
+            gate = np.zeros(1 << 16, bool)
+            gate[h & np.uint64(0xFFFF)] = True
+            self.sets.append((h, gate, kind))
+
+    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, hash, kind of the first character, whether a later one is in small letters) of each token."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        _characters.learn(points)
+        kind = _characters.kind[points]
+        start, end = _starts(kind)
+        if not len(start):
+            return start, *[np.zeros(0, t) for t in (np.uint64, np.uint8, bool)]
+        size = end - start
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(start, size) + place
+        first = np.cumsum(size) - size
+        power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), _FACTOR)]))
+        return start, _mixed(np.add.reduceat(_characters.fold[points[at]] * power[place], first)), kind[start], np.bitwise_or.reduceat(kind[at], first) & _SMALL > 0
 
     def template(self, text: str) -> tuple[Iterator[str], np.ndarray, np.ndarray, np.ndarray]:
         """(words, which few texts are asked for, hash of each lower-cased word, hash of each template token, kind of its slot or 0)."""
@@ -94,16 +157,24 @@ class Canonicaliser:
 
         Whether such a word is a name cannot be told, so both readings count.
         """
-        if len(self.ids) > VOCABULARY:
-            self._forget()
-        words = TOKEN.findall(text)
-        if not words:
-            return iter(()), *[np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint8, np.uint64, np.uint8)]
-        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
-        plain, kind = self.hash[ids], self.kind[ids]
+        return _words(text), *self.read([text])[1:]
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What :func:`readings` gives, of texts in a row, and the number of its text before the others for each word.
+
+        Between two texts stands the end of a line, which ends a sentence and no word goes over.
+        """
+        start, plain, head, small = self._tokens("\n".join(texts))
+        kind = np.where(head & _UPPER > 0, small * np.uint8(_CAPITAL), np.uint8(0))
+        for words, gate, value in self.sets:
+            maybe = np.flatnonzero(gate[plain & np.uint64(0xFFFF)])
+            found = maybe[np.isin(plain[maybe], words)]
+            kind[found] = np.where((value == _UNIT) & (kind[found] == _CAPITAL), kind[found], np.uint8(value))
+        kind[head & _DIGIT > 0] = _NUMBER
+        kind[head & _STOP > 0] = _MARK
         mark, capital = kind == _MARK, kind == _CAPITAL
-        begins = np.concatenate([[True], mark[:-1]])
-        counted = np.concatenate([[False], kind[:-1] == _NUMBER])
+        begins = np.concatenate([[True], mark[:-1]])[: len(mark)]
+        counted = np.concatenate([[False], kind[:-1] == _NUMBER])[: len(mark)]
         first = capital & begins
         slot = np.where(capital & ~begins | (kind == _NUMBER) | (kind == _UNIT) & counted, kind, np.uint8(0))
         h = plain.copy()
@@ -111,7 +182,8 @@ class Canonicaliser:
             h[slot == k] = value
         keep = ~mark
         named, as_name = np.where(first, self.slot_hash[_CAPITAL], h), np.where(first, np.uint8(_CAPITAL), slot)
-        return itertools.compress(words, keep), plain[keep], h[keep], slot[keep], named[keep], as_name[keep]
+        of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start[keep], "right")
+        return of, plain[keep], h[keep], slot[keep], named[keep], as_name[keep]
 
 
 def rolling(h: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -234,23 +306,37 @@ def _hits(docs: DataFrame, gate: np.ndarray, lengths: list[tuple[bool, int]]) ->
         gate = shared.value
         canon = Canonicaliser()
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column(2)):
-                words, plain, h, slot, named, as_name = canon.readings(text.as_py())
-                windows = ((copied, n, *w) for copied, n in lengths for w in ([(*plain_windows(plain, n), slot)] if copied else both_windows(h, slot, named, as_name, n)))
-                for copied, n, at, hs, kinds in windows:
-                    bit = hs >> shift
-                    maybe = np.flatnonzero((gate[(bit >> np.uint64(3)).astype(np.int64)] << (bit & np.uint64(7)).astype(np.uint8)) & 128)
-                    if copied and n < MIN_ITEM_WORDS and len(maybe):  # short items may stand in a text at every other word
-                        maybe = maybe[np.unique(hs[maybe], return_index=True)[1]]
-                    if len(maybe):
-                        words = list(words)
-                        rows += [(i, *_window(copied, words, kinds, int(at[j]), n, hs[j])) for j in maybe]
+            texts = batch.column(2).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            blocks = np.flatnonzero(np.diff(ends // TEXT_BLOCK, append=-1)) + 1 if texts else []
+            rows, lo = [], 0
+            for hi in map(int, blocks):
+                rows += [(lo + i, *w) for i, w in hits(canon, gate, texts[lo:hi])]
+                lo = hi
             if rows:
                 which, *cols = zip(*rows)
                 take = pa.array(which, pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, t) for c, t in zip(cols, _WINDOW_TYPES)]], names=["id", "text_hash", *_WINDOW_NAMES])
 
+    def hits(canon, gate, texts):
+        of, plain, h, slot, named, as_name = canon.read(texts)
+        begin = np.searchsorted(of, np.arange(len(texts)))
+        words: dict[int, list[str]] = {}
+        for copied, n in lengths:
+            for at, hs, kinds in [(*plain_windows(plain, n), slot)] if copied else both_windows(h, slot, named, as_name, n):
+                bit = hs >> shift
+                maybe = np.flatnonzero((gate[(bit >> np.uint64(3)).astype(np.int64)] << (bit & np.uint64(7)).astype(np.uint8)) & 128)
+                maybe = maybe[of[at[maybe]] == of[at[maybe] + n - 1]]  # no window goes over the end of its text
+                if copied and n < MIN_ITEM_WORDS and len(maybe):  # short items may stand in a text at every other word
+                    maybe = maybe[np.sort(np.unique(np.stack([of[at[maybe]].astype(np.uint64), hs[maybe]]), axis=1, return_index=True)[1])]
+                for j in maybe.tolist():
+                    i = int(of[at[j]])
+                    if i not in words:
+                        words[i] = list(_words(texts[i]))
+                    lo = int(begin[i])
+                    here = int(at[j]) - lo
+                    yield i, _window(copied, words[i], kinds[lo : lo + len(words[i])], here, n, hs[j])
+
     return docs.mapInArrow(run, f"id long, text_hash long, {_WINDOW_FIELDS}")
 
 

@@ -122,3 +122,21 @@ def test_copies_need_no_template(spark):
 def test_empty_tables(spark):
     assert run(spark, [])[0] == []
     assert run(spark, [(1, ITEM)], [])[0] == []
+
+
+def test_texts_read_together_are_as_texts_read_alone():
+    rng = np.random.default_rng(6)
+    pool = ["three", "Three", "THREE", "km", "KM", "Ab", "é", "É", "Σας", "ΟΔΟΣ", "İx", "ß", "²a", "１२", "12", "3.5", "1,000.", "7a", "a1", "_", ".", ",", "!", "?", "\n", " ", " ", " ", "𝔸b", "ǅa", "\ud800", "日本"]
+    texts = ["", *["".join(rng.choice(pool, rng.integers(0, 30))) for _ in range(2000)], ""]
+    canon = Canonicaliser()
+    of, *together = canon.read(texts)
+    begin, number = np.searchsorted(of, np.arange(len(texts) + 1)), {}
+    for i, text in enumerate(texts):
+        words, *alone = canon.readings(text)
+        words = list(words)
+        assert words == [w for w in re.findall(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]", text) if w not in ".!?\n"]
+        assert len(words) == begin[i + 1] - begin[i]
+        assert all((x[begin[i] : begin[i + 1]] == y).all() for x, y in zip(together, alone))
+        for w, h in zip(words, alone[0].tolist()):
+            assert number.setdefault(w.lower().replace("ς", "σ"), h) == h
+    assert len(set(number.values())) == len(number)
