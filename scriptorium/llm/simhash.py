@@ -12,8 +12,9 @@ sorted array.  Equal fingerprints are one row (a class) from the start.  A cell
 of many near fingerprints is walked breadth first, where what has been reached
 is not compared again, so a task gives a spanning forest and never all pairs.
 
-Near-duplicates by Jaccard similarity (:func:`near_duplicates`) do not use
-fingerprints: their candidates come from prefixes of the shingle sets.
+Near-duplicates by Jaccard similarity (:func:`near_duplicates`) are found by
+fingerprints of the shingle sets in the same way and verified by the sets; what
+fingerprints lose is found by prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BLOCK_BYTES = 256 << 20
 COUNTER_BITS = 20
 #: Parities of a shingle set: two sets differ in as many shingles as parities at least.
 PARITIES = 4096
+#: Fingerprints of shingle sets are looked up to this distance, up to which two segments lose none.
+PRINT_DISTANCE = 3
 #: A cell with more members than this is walked and not paired.
 DENSE_CELL = 64
 
@@ -272,9 +275,9 @@ def _differ_at_most(size: np.ndarray, other: np.ndarray, similarity: float) -> n
 
 
 def _set_rows(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, text_hash, f0, size, bits) for each row of ``docs``, f0 a hash of its shingle set; and rows (part, counts).
+    """(id, text_hash, f0, size, bits, print) for each row of ``docs``, f0 a hash of its shingle set; and rows (part, counts).
 
-    ``bits`` are the parities of the set's members, dealt by their last bits.
+    ``print`` is the set's SimHash; ``bits`` are the parities of the set's members, dealt by their last bits.
 
     The rows of parts are each task's number of sets by counter, packed, in 16 parts.
     """
@@ -288,14 +291,15 @@ def _set_rows(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             f0 = pa.array([_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64())
             n, size = len(sets), pa.array([len(x) for x in sets], pa.int32())
             bits = pa.array([_parities(x) for x in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f0, size, bits, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+            prints = pa.array([_signed(_majority(x)) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), f0, size, bits, prints, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             packed = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, 16)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64())] * 3 + [pa.nulls(16, pa.int32()), pa.nulls(16, pa.binary()), pa.nulls(16, pa.int64()), pa.array(range(16), pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    names = ["id", "text_hash", "f0", "size", "bits", "part", "counts"]
+    names = ["id", "text_hash", "f0", "size", "bits", "print", "part", "counts"]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_or_empty(docs, text_col)).alias("text_hash"), text_or_empty(docs, text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, text_hash long, f0 long, size int, bits binary, part int, counts binary")
+    return rows.mapInArrow(run, "id long, text_hash long, f0 long, size int, bits binary, print long, part int, counts binary")
 
 
 def _levels(counted: DataFrame) -> np.ndarray:
@@ -499,9 +503,27 @@ def _open_cell_links(cells: DataFrame, sets: DataFrame, similarity: float) -> Da
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
 
 
+def _print_links(rows: DataFrame) -> DataFrame:
+    """(a, b): candidates among the sets of ``rows`` (f0, print) by multi-index hashing of their fingerprints.
+
+    Sets of one fingerprint are candidates of the smallest of them; two
+    fingerprints are those of their smallest sets.
+    """
+    sets = rows.select("f0", "print").distinct()
+    prints = cut(sets.groupBy(F.col("print").alias("f0")).agg(F.min("f0").alias("first")).withColumn("node", F.col("f0")))
+    same = sets.join(prints.select(F.col("f0").alias("_p"), "first"), F.col("print") == F.col("_p")).select(F.col("first").alias("a"), F.col("f0").alias("b"))
+    first = lambda c: prints.select(F.col("node").alias(f"_{c}"), F.col("first").alias(f"f{c}"))
+    near = segment_links(prints, 1, 2, 32, (PRINT_DISTANCE,)).distinct()
+    near = near.join(first("a"), F.col("a") == F.col("_a")).join(first("b"), F.col("b") == F.col("_b")).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return same.filter("a <> b").unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, k: int = 5) -> DataFrame:
     """(id, text_hash, component_id) by the similarity of k-word shingle sets.
 
+    Candidates are first the sets whose SimHash fingerprints multi-index
+    hashing finds near; those whose sets are similar are joined.  Fingerprints
+    lose pairs, so an exact way for the rest follows.
     Two sets of a Jaccard similarity share one of the first members of both,
     in any order that is the same for all sets (prefix filtering), so no pair
     is lost.  Rare shingles come first; how common they are is counted
@@ -517,16 +539,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = rows.filter("part is null").select("id", "text_hash", "f0")
     classes = cut(_classes(prints, ["f0"]))
     cells = cut(_prefix_cells(docs, levels, id_col, text_col, k, similarity))
-    known = rows.filter("part is null").select(F.col("f0").alias("node"), "size", "bits").join(cells.select("node").distinct(), "node", "left_semi")
+    near = cut(_print_links(rows.filter("part is null")))
+    wanted = cells.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    known = rows.filter("part is null").select(F.col("f0").alias("node"), "size", "bits").join(wanted, "node", "left_semi")
     known = cut(known.dropDuplicates(["node"]))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted, _ = sized(classes.join(nodes.distinct(), "node", "left_semi").select("node", "first_id", "first_hash"))
         return cut(_shingle_sets(docs, wanted, id_col, text_col, k))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(_possible_links(pairs, known, similarity))
+        return cut(similar_links(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity))
+
+    by_print = verified(near)
+    # the rest: what fingerprints have joined with the smallest set of a shingle is not compared with it again
+    roots = cut(connected_components(by_print))
+    root = lambda c: roots.select(F.col("node").alias(f"_{c}"), F.col("root").alias(f"r{c}"))
     stars = cells.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(_possible_links(stars, known, similarity))
-    links = cut(similar_links(stars, sets_of(stars.select(F.explode(F.array("a", "b")).alias("node"))), similarity))
+    stars = stars.join(root("a"), F.col("a") == F.col("_a"), "left").join(root("b"), F.col("b") == F.col("_b"), "left")
+    stars = stars.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    links = cut(by_print.unionByName(verified(stars)))
     rest = cut(_open_cells(cells, links, known, similarity))
     links = links.unionByName(cut(_open_cell_links(rest, sets_of(rest.select("node")), similarity)))
     return _component_rows(prints, classes, links, ["f0"]).select("id", "text_hash", "component_id")

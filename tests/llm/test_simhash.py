@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from scriptorium.llm import simhash
 from scriptorium.llm.components import connected_components
 from scriptorium.llm.simhash import fingerprint, near_duplicates, simhash_components
 
@@ -133,3 +134,19 @@ def test_pairs_inside_a_family_just_below_the_threshold(spark):
     # two of one pair share 117 of 145 shingles (0.807), two of different pairs 116 of 146 (0.795)
     got = groups(spark, rows)
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = []
+    for p in range(10):
+        words = [f"p{p}w{i}" for i in range(1500)]
+        rows.append((2 * p, " ".join(words)))
+        words[rng.integers(1500)] = "edit"
+        rows.append((2 * p + 1, " ".join(words)))
+    near = [np.bitwise_count(np.uint64(x[0] ^ y[0])) <= 3 for x, y in zip(*[[[simhash._majority(np.unique(simhash.shingle_hashes(t, 5)))] for _, t in rows[i::2]] for i in (0, 1)])]
+    cells = simhash._prefix_cells
+    # without prefixes, what is found is found by fingerprints
+    monkeypatch.setattr(simhash, "_prefix_cells", lambda *a: cells(*a).filter("false"))
+    got = groups(spark, rows)
+    assert sum(near) >= 3 and all(got[2 * p] == 2 * p and (got[2 * p + 1] == 2 * p or not near[p]) for p in range(10))
