@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sides of a join are broadcast only when they are known to be below this many rows.
 BROADCAST_ROWS = 200_000
 
+#: Rows of a record batch that a task turns into Python objects together.
+SLICE_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,6 +67,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The record batches in pieces of SLICE_ROWS rows, so that what a task makes of texts stands for few of them at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def sized(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` written down and counted: for broadcast if it is small, as it is otherwise."""
     out = cut(df)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, sized, text_or_empty
+from .common import BROADCAST_ROWS, cut, sized, slices, text_or_empty
 
 WINDOW = 8
 #: Words in a row, or the whole item, that make a document contaminated.
@@ -53,7 +53,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 #: Texts are read together until they have so many characters.
-TEXT_BLOCK = 1 << 20
+TEXT_BLOCK = 1 << 19
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -305,7 +305,7 @@ def _hits(docs: DataFrame, gate: np.ndarray, lengths: list[tuple[bool, int]]) ->
     def run(batches):
         gate = shared.value
         canon = Canonicaliser()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             ends = np.cumsum([len(t) for t in texts])
             blocks = np.flatnonzero(np.diff(ends // TEXT_BLOCK, append=-1)) + 1 if texts else []

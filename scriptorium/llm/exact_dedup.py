@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, text_or_empty
+from .common import cut, sized, slices, text_or_empty
 
 #: Bytes of edge labels that the tries of a map-side task, and one trie after the shuffle, hold before they spill subtrees.
 TRIE_BYTES = 48 << 20
@@ -167,7 +167,7 @@ def _map_tries(prefer_largest: bool, bits: int, budget: int):
 
         def given():
             nonlocal held
-            for batch in batches:
+            for batch in slices(batches):
                 for doc_id, h, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     key = len(content).bit_length(), _range(h, bits)
                     trie = tries.get(key)
@@ -200,7 +200,7 @@ def _reduce_tries(prefer_largest: bool, bits: int, budget: int):
 
         def merged():
             key, trie, aside = None, None, set()
-            for batch in batches:
+            for batch in slices(batches):
                 for length_class, hash_range, h, content, owner, copies in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6))):
                     if key != (length_class, hash_range):
                         if trie is not None:

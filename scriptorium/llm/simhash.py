@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sized, text_or_empty
+from .common import cut, sized, slices, text_or_empty
 from .components import connected_components
 
 #: Rows of a table that a task looks at together; a key's rows are never parted.
 BLOCK_ROWS = 100_000
-#: The same for tables that carry shingle sets.
-BLOCK_BYTES = 256 << 20
+#: The same for tables that carry shingle sets or their parities.
+BLOCK_BYTES = 32 << 20
+#: Shingles of other sets that a set is compared with together.
+BLOCK_SHINGLES = 500_000
 #: Leading bits of a shingle's hash that name its counter in the search by similarity.
 COUNTER_BITS = 20
 #: Parities of a shingle set: two sets differ in as many shingles as parities at least.
@@ -284,10 +286,9 @@ def _set_rows(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column(2)]
-            for lo in range(0, len(sets), 1000):
-                counts += np.bincount(_counter(np.concatenate(sets[lo : lo + 1000])), minlength=len(counts)).astype(np.uint32)
+            counts += np.bincount(_counter(np.concatenate(sets)), minlength=len(counts)).astype(np.uint32)
             f0 = pa.array([_signed(xxhash.xxh3_64_intdigest(x.tobytes())) for x in sets], pa.int64())
             n, size = len(sets), pa.array([len(x) for x in sets], pa.int32())
             bits = pa.array([_parities(x) for x in sets], pa.binary())
@@ -336,15 +337,14 @@ def _prefix_cells(docs: DataFrame, levels: np.ndarray, id_col: str, text_col: st
 
     def prefixes(batches):
         level = shared.value
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                nodes, parts = [], []
-                for t in batch.column(0).slice(lo, 1000):
-                    x = np.unique(shingle_hashes(t.as_py(), k))
-                    nodes.append(_signed(xxhash.xxh3_64_intdigest(x.tobytes())))
-                    parts.append(x[np.argsort(level[_counter(x)], kind="stable")[: prefix_length(len(x), similarity)]])
-                shingles = np.concatenate(parts).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, parts))))], names=["shingle", "node"])
+        for batch in slices(batches):
+            nodes, parts = [], []
+            for t in batch.column(0):
+                x = np.unique(shingle_hashes(t.as_py(), k))
+                nodes.append(_signed(xxhash.xxh3_64_intdigest(x.tobytes())))
+                parts.append(x[np.argsort(level[_counter(x)], kind="stable")[: prefix_length(len(x), similarity)]])
+            shingles = np.concatenate(parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(np.repeat(np.array(nodes, np.int64), list(map(len, parts))))], names=["shingle", "node"])
 
     def cells(batches):
         for table in _whole_keys(batches, "shingle"):
@@ -383,7 +383,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str
     """(node, shingles) of the documents that stand for the ``wanted`` classes (node, first_id, first_hash)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
@@ -422,8 +422,9 @@ def cell_links(labels: np.ndarray, sets: list[np.ndarray], similarity: float) ->
     out = []
     for i in range(len(sets) - 1):
         far = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9))
-        for lo in range(0, len(far), 1000):
-            some = far[lo : lo + 1000]
+        step = min(1000, 1 + BLOCK_SHINGLES // max(sizes[i], 1))
+        for lo in range(0, len(far), step):
+            some = far[lo : lo + step]
             theirs = np.concatenate([members[ends[j] - sizes[j] : ends[j]] for j in some])
             at = np.minimum(np.searchsorted(sets[i], theirs), sizes[i] - 1)
             both = np.add.reduceat((sets[i][at] == theirs).astype(np.int64), np.cumsum(sizes[some]) - sizes[some])
